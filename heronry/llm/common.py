@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -41,15 +42,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``most`` bytes in each, one row at least."""
+def slice_ends(column: pa.Array, most: int = SLICE_BYTES) -> list[int]:
+    """Ends of parts of ``column`` that hold about ``most`` bytes each."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return [*(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), len(column)]
+
+
+def in_slices(column: pa.Array, f: Callable[[pa.Array], pa.Array], most: int = SLICE_BYTES) -> pa.Array:
+    """f over parts of a column of text, put together again."""
+    out, begin = [], 0
+    for end in slice_ends(column, most):
+        if end > begin or len(column) == 0:
+            out.append(f(column.slice(begin, end - begin)))
+        begin = end
+    return pa.concat_arrays(out)
+
+
+def batch_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` holds about ``most`` bytes in each."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        begin, total = 0, 0
-        for i, n in enumerate(sizes):
-            if i > begin and total + n > most:
-                yield batch.slice(begin, i - begin)
-                begin, total = i, 0
-            total += n
-        if begin < len(sizes):
-            yield batch.slice(begin)
+        begin = 0
+        for end in slice_ends(batch.column(column), most):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+            begin = end

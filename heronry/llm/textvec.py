@@ -32,6 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finaliser of splitmix64)."""
+    x = x.astype(np.uint64)
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
