@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import language, line_rules, mixing
+from heronry.llm import language, line_rules, mixing, warc
 from heronry.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(documents(spark, sf_dir))
 
@@ -24,10 +28,12 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
+    "op4_warc_segments": op4_warc_segments,
     "op6_language_id": op6_language_id,
     "op8_line_rules": op8_line_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": mixing.MIX_SQL,
+    "op4_warc_segments": warc.ARCHIVE_SQL,
 }
