@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import language, line_rules, mixing, warc
+from heronry.llm import bpe, language, line_rules, mixing, warc
 from heronry.llm.common import documents
 
 
@@ -22,6 +22,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(documents(spark, sf_dir))
 
 
+def word_tokenizer() -> str:
+    """The public tokenizer's file; the package that holds it is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.digests(bpe.encode_documents(docs, word_tokenizer()))
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_report(documents(spark, sf_dir))
 
@@ -30,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_warc_segments": op4_warc_segments,
     "op6_language_id": op6_language_id,
+    "op7_prefix_bpe": op7_prefix_bpe,
     "op8_line_rules": op8_line_rules,
 }
 
