@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, language, line_rules, mixing, warc
+from heronry.llm import bpe, language, line_rules, mixing, simhash, warc
 from heronry.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_warc_segments": op4_warc_segments,
+    "op5_covering_simhash": op5_covering_simhash,
     "op6_language_id": op6_language_id,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_line_rules": op8_line_rules,
