@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, language, line_rules, mixing, simhash, warc
+from heronry.llm import bpe, language, line_rules, mixing, multi_index, simhash, warc
 from heronry.llm.common import documents
 
 
@@ -42,6 +42,10 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_report(documents(spark, sf_dir))
 
 
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_warc_segments": op4_warc_segments,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_line_rules": op8_line_rules,
+    "op9_multi_index_hashing": op9_multi_index_hashing,
 }
 
 ORACLE_SQL: dict[str, str] = {
