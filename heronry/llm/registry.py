@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, language, line_rules, mixing, multi_index, simhash, warc
+from heronry.llm import bpe, language, line_rules, mixing, multi_index, simhash, suffixes, warc
 from heronry.llm.common import documents
 
 
@@ -46,6 +46,10 @@ def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_warc_segments": op4_warc_segments,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_line_rules": op8_line_rules,
     "op9_multi_index_hashing": op9_multi_index_hashing,
+    "op10_suffix_merge": op10_suffix_merge,
 }
 
 ORACLE_SQL: dict[str, str] = {
