@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, language, line_rules, mixing, multi_index, simhash, suffixes, warc
+from heronry.llm import bpe, cotraining, language, line_rules, mixing, multi_index, simhash, suffixes, warc
 from heronry.llm.common import documents
 
 
+def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining_quality": op1_cotraining_quality,
     "op3_source_mixing": op3_source_mixing,
     "op4_warc_segments": op4_warc_segments,
     "op5_covering_simhash": op5_covering_simhash,
