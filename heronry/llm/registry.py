@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, cotraining, language, line_rules, mixing, multi_index, simhash, suffixes, warc
+from heronry.llm import bpe, cotraining, language, line_dedup, line_rules, mixing, multi_index, simhash, suffixes, warc
 from heronry.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining_quality": op1_cotraining_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_warc_segments": op4_warc_segments,
     "op5_covering_simhash": op5_covering_simhash,
