@@ -5,8 +5,436 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heronry.functions import expr as x
+from heronry.operators import plan, reconcile, redact, reports, status, timeline
+from heronry.plans import views
+from heronry.plans.views import sql
+from heronry.sources.tables import table
 
 FLAGSHIP = "reconcile_report"
+NOW = views.STATUS_NOW
+Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---- reconciliation ----
+
+
+@query(sql("SELECT export_id, day, kind, entry_index, uuid, confidence FROM pairs", "entries", "media", "pairs"))
+def bucket_match(s: SparkSession, d: str) -> DataFrame:
+    pairs, _, _ = reconcile.bucket_match(views.entries(s, d), views.media(s, d))
+    return pairs.select("export_id", "day", "kind", "entry.entry_index", "media.uuid", "confidence")
+
+
+@query(
+    sql(
+        """SELECT coalesce(a.export_id, b.export_id) AS export_id, coalesce(entries, 0) AS entries, coalesce(exact, 0) AS exact, coalesce(ambiguous, 0) AS ambiguous, coalesce(no_media, 0) AS no_media,
+  coalesce(no_date, 0) AS no_date, coalesce(scan_incomplete, 0) AS scan_incomplete, coalesce(paired, 0) AS paired, coalesce(files, 0) AS files, coalesce(files, 0) - coalesce(paired, 0) AS unclaimed
+FROM (SELECT en.export_id, count(*) AS entries, count(*) FILTER (confidence = 'exact') AS exact, count(*) FILTER (confidence = 'ambiguous') AS ambiguous,
+    count(*) FILTER (uuid IS NULL AND en.day IS NOT NULL) AS no_media, count(*) FILTER (en.day IS NULL) AS no_date, 0 AS scan_incomplete, count(uuid) AS paired
+  FROM entries en LEFT JOIN pairs USING (entry_index) GROUP BY 1) a
+FULL JOIN (SELECT export_id, count(*) AS files FROM media GROUP BY 1) b ON a.export_id = b.export_id""",
+        "entries", "media", "pairs",
+    )
+)
+def reconcile_report(s: SparkSession, d: str) -> DataFrame:
+    entries, media = views.entries(s, d), views.media(s, d)
+    pairs, left, _ = reconcile.bucket_match(entries, media)
+    gaps = entries.select("export_id").limit(0)
+    gone = reconcile.missing_reason(left, gaps, F.col("day")).select("export_id", "entry_index", F.lit(None).cast("string").alias("uuid"), F.lit("missing").alias("confidence"), "reason")
+    items = pairs.select("export_id", "entry.entry_index", "media.uuid", "confidence", F.lit(None).cast("string").alias("reason")).unionByName(gone)
+    return reports.reconcile_report(items, media)
+
+
+@query()
+def memory_items(s: SparkSession, d: str) -> DataFrame:
+    entries = views.entries(s, d)
+    return reconcile.memory_items(entries, views.media(s, d), entries.select("export_id").limit(0))
+
+
+@query(
+    sql(
+        """SELECT * FROM (WITH days AS (SELECT DISTINCT export_id, kind, day::DATE AS d FROM media), g AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY export_id, kind ORDER BY d) > 1 THEN 1 ELSE 0 END AS new FROM days)
+SELECT export_id, kind, island, count(*) AS days, min(d)::VARCHAR AS first_day, max(d)::VARCHAR AS last_day
+FROM (SELECT *, sum(new) OVER (PARTITION BY export_id, kind ORDER BY d ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM g) GROUP BY ALL)""",
+        "media",
+    )
+)
+def day_islands(s: SparkSession, d: str) -> DataFrame:
+    rows = reconcile.islands(views.media(s, d)).select("export_id", "kind", "island", "day").distinct()
+    return rows.groupBy("export_id", "kind", F.col("island").cast("long").alias("island")).agg(F.count(F.lit(1)).alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+_AGREED = """agreement AS (SELECT export_id, day, kind, count(*) AS n, coalesce(count(lat) = count(*) AND min(lat) = max(lat) AND min(lon) = max(lon), false) AS agreed,
+  CASE WHEN agreed THEN min(lat) END AS lat, CASE WHEN agreed THEN min(lon) END AS lon FROM entries GROUP BY 1, 2, 3)"""
+views.SQL["agreement"] = _AGREED
+
+
+@query(sql("SELECT * FROM agreement", "entries", "agreement"))
+def bucket_agreement(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.bucket_agreement(views.entries(s, d))
+
+
+@query(
+    sql(
+        """SELECT export_id, entry_index, uuid, CASE WHEN confidence = 'exact' THEN p.lat ELSE a.lat END AS out_lat, CASE WHEN confidence = 'exact' THEN p.lon ELSE a.lon END AS out_lon
+FROM pairs p LEFT JOIN agreement a USING (export_id, day, kind)""",
+        "entries", "media", "pairs", "agreement",
+    )
+)
+def permitted_location(s: SparkSession, d: str) -> DataFrame:
+    entries = views.entries(s, d)
+    pairs, _, _ = reconcile.bucket_match(entries, views.media(s, d))
+    flat = pairs.select("export_id", "day", "kind", "entry.entry_index", "entry.lat", "entry.lon", "media.uuid", "confidence")
+    return reconcile.permitted_location(flat, reconcile.bucket_agreement(entries)).select("export_id", "entry_index", "uuid", "out_lat", "out_lon")
+
+
+@query(
+    sql(
+        """SELECT u.export_id, u.id, CASE WHEN u.token <> 'b' THEN 'no_token' WHEN f IS NULL THEN 'unnamed' ELSE 'named' END AS outcome, f[1] AS conversation, f[2]::VARCHAR AS pos, f[3]::VARCHAR AS token_pos
+FROM units u LEFT JOIN first ON u.export_id = first.export_id AND u.id = first.token""",
+        "messages",
+    )
+)
+def token_join(s: SparkSession, d: str) -> DataFrame:
+    out = reconcile.token_join(views.token_messages(s, d), views.token_units(s, d))
+    return out.select("export_id", "id", "outcome", "conversation", F.col("pos").cast("string").alias("pos"), F.col("token_pos").cast("string").alias("token_pos"))
+
+
+@query(sql("SELECT export_id, token, f[1] AS conversation, 'no_file' AS reason FROM first WHERE (export_id, token) NOT IN (SELECT (export_id, id) FROM units WHERE token = 'b')", "messages"))
+def missing_tokens(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.missing_tokens(views.token_messages(s, d), views.token_units(s, d))
+
+
+@query(sql("SELECT export_id, token, f[1] AS conversation FROM first", "messages"))
+def history_attribution(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.history_attribution(views.token_messages(s, d))
+
+
+@query(sql("SELECT export_id, spelling, min(ROW(conversation, pos, token_pos))[1] AS conversation FROM tokens WHERE token IS NULL GROUP BY ALL", "messages"))
+def unparsed_tokens(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.unparsed_tokens(views.token_messages(s, d))
+
+
+@query(sql("SELECT export_id, uuid, m.paths[1] AS main_path, o.paths[1] AS overlay_path FROM (SELECT * FROM claims WHERE role = 'main') m LEFT JOIN (SELECT * FROM claims WHERE role = 'overlay') o USING (export_id, uuid)", "files"))
+def pair_overlays(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.pair_overlays(views.overlay_files(s, d))[0].select("export_id", "uuid", "main_path", "overlay_path")
+
+
+@query(sql("SELECT export_id, uuid, paths[1] AS path FROM claims c WHERE role = 'overlay' AND NOT EXISTS (SELECT 1 FROM claims m WHERE m.role = 'main' AND m.export_id = c.export_id AND m.uuid = c.uuid)", "files"))
+def orphan_overlays(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.pair_overlays(views.overlay_files(s, d))[1].select("export_id", "uuid", "path")
+
+
+@query(sql("SELECT export_id, uuid, role, paths[1] AS kept, array_to_string(paths[2:], ',') AS ignored FROM claims WHERE len(paths) > 1", "files"))
+def duplicate_files(s: SparkSession, d: str) -> DataFrame:
+    out = reconcile.duplicates(views.overlay_files(s, d))[1]
+    return out.withColumn("ignored", F.array_join("ignored", ","))
+
+
+@query(
+    """SELECT v.vec_id AS id, min(z.zone) AS zone FROM (SELECT vec_id, (embedding[1]::DOUBLE * 90) AS lat, (embedding[2]::DOUBLE * 180) AS lon FROM embeddings) v
+LEFT JOIN (SELECT n_name AS zone, (n_nationkey % 5) * 12 - 30 AS a, (n_nationkey // 5) * 24 - 60 AS b FROM nation) z ON v.lat BETWEEN a AND a + 15 AND v.lon BETWEEN b AND b + 30 GROUP BY 1"""
+)
+def assign_zone(s: SparkSession, d: str) -> DataFrame:
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    points = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (at(1) * 90).alias("lat"), (at(2) * 180).alias("lon"))
+    a, b = (F.col("n_nationkey") % 5) * 12 - 30, F.floor(F.col("n_nationkey") / 5) * 24 - 60
+    zones = table(s, d, "nation").select(F.col("n_name").alias("zone"), a.alias("min_lat"), (a + 15).alias("max_lat"), b.alias("min_lon"), (b + 30).alias("max_lon"))
+    return reconcile.assign_zone(points, zones, 5.0).select("id", "zone")
+
+
+# ---- timelines and transcripts ----
+
+
+@query(sql("SELECT export_id, conversation, source, pos, seq FROM timeline", "timeline"))
+def timeline_merge(s: SparkSession, d: str) -> DataFrame:
+    merged = timeline.merge_timeline(*views.histories(s, d))
+    return merged.select("export_id", "conversation", "source", "pos", F.col("seq").cast("long").alias("seq"))
+
+
+@query(sql("SELECT export_id, conversation, arg_min(title, seq) FILTER (title IS NOT NULL) AS title FROM timeline GROUP BY ALL", "timeline"))
+def conversation_title(s: SparkSession, d: str) -> DataFrame:
+    return timeline.conversation_title(timeline.merge_timeline(*views.histories(s, d)))
+
+
+def _document(fmt: str) -> Query:
+    return lambda s, d: timeline.documents(views.transcript(s, d), fmt).select("export_id", "conversation", F.md5("document").alias("digest"), F.length("document").cast("long").alias("n_chars"))
+
+
+_DIGEST = ", md5(doc) AS digest, len(doc) AS n_chars FROM (SELECT export_id, conversation, {} AS doc FROM {} GROUP BY ALL)"
+_FIELD = "CASE WHEN regexp_matches({0}, '[,\"\\n\\r]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+_GUARDED = "(CASE WHEN regexp_matches(content, '^[=+\\-@\\t\\r]') THEN chr(39) || content ELSE content END)"
+QUERIES["transcript_csv"] = _document("csv")
+ORACLE_SQL["transcript_csv"] = sql(
+    "SELECT export_id, conversation" + _DIGEST.format(f"'{timeline.CSV_HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY seq) || chr(10)", "(SELECT *, 'chat,' || role || ',' || CASE WHEN role = 'user' THEN 'true' ELSE 'false' END || ',TEXT,' || coalesce(created, '') || ',' || " + _FIELD.format(_GUARDED) + " || ',,' || coalesce(title, '') AS line FROM t)"),
+    "transcript",
+)
+QUERIES["transcript_text"] = _document("text")
+ORACLE_SQL["transcript_text"] = sql(
+    "SELECT export_id, conversation"
+    + _DIGEST.format(
+        "string_agg(block, chr(10) ORDER BY seq)",
+        """(SELECT *, '[' || coalesce(created, 'no date') || '] ' || role || ' (chat TEXT, ' || CASE WHEN role = 'user' THEN 'sent' ELSE 'received' END || ')' || chr(10) ||
+  CASE WHEN content = '' THEN '' ELSE array_to_string(list_transform(string_split(regexp_replace(content, '\\n$', ''), chr(10)), lambda l: '> ' || regexp_replace(l, '\\r$', '') || chr(10)), '') END AS block FROM t)""",
+    ),
+    "transcript",
+)
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+QUERIES["transcript_html"] = _document("html")
+ORACLE_SQL["transcript_html"] = sql(
+    "SELECT export_id, conversation"
+    + _DIGEST.format(
+        "'<!doctype html>' || chr(10) || '<html lang=\"en\">' || chr(10) || '<head>' || chr(10) || '<meta charset=\"utf-8\">' || chr(10) || '<title>' || " + _ESCAPED.format("coalesce(arg_min(title, seq) FILTER (title IS NOT NULL), any_value(conversation))") + " || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || string_agg(block, '' ORDER BY seq) || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)",
+        "(SELECT *, '<article><p><span class=\"time\">' || coalesce(created, '') || '</span> ' || " + _ESCAPED.format("role") + " || ' (<span class=\"kind\">chat</span> <span class=\"media-type\">TEXT</span>, ' || CASE WHEN role = 'user' THEN 'sent' ELSE 'received' END || ')</p>' || CASE WHEN content <> '' THEN '<p class=\"body\" style=\"white-space: pre-wrap\">' || " + _ESCAPED.format("content") + " || '</p>' ELSE '' END || '</article>' AS block FROM t)",
+    ),
+    "transcript",
+)
+
+
+@query(sql("SELECT export_id, conversation, lower(coalesce(arg_min(title, seq) FILTER (title IS NOT NULL), any_value(conversation))) AS label FROM timeline GROUP BY ALL", "timeline"))
+def conversation_picker(s: SparkSession, d: str) -> DataFrame:
+    return timeline.picker(timeline.merge_timeline(*views.histories(s, d))).select("export_id", "conversation", F.lower("label").alias("label"))
+
+
+# ---- planning ----
+
+_STEMS = """p AS (SELECT (user_id % 8)::VARCHAR AS export_id, event_id, '/out/' || strftime(ts, '%Y/%m') AS dir, strftime(ts, '%Y%m%d_%H') || '0000' AS stem, CASE WHEN event_type = 'view' THEN 'jpg' ELSE 'mp4' END AS ext FROM events),
+r AS (SELECT export_id, event_id, dir || '/' || stem || '.' || ext AS path, dir || '/' || stem || '.' || ext AS g FROM p WHERE event_id % 29 = 0),
+own AS (SELECT export_id, path, min_by(event_id, event_id::VARCHAR) AS event_id FROM r GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_STEMS}, n AS (SELECT p.*, dir || '/' || stem || '.' || ext AS g, row_number() OVER (PARTITION BY p.export_id, dir, stem, ext ORDER BY event_id) AS k FROM p WHERE (export_id, event_id) NOT IN (SELECT (export_id, event_id) FROM own))
+SELECT n.export_id, n.event_id::VARCHAR AS source_id, CASE WHEN o.path IS NULL AND k = 1 THEN dir || '/' || stem || '.' || ext ELSE dir || '/' || stem || '_' || (CASE WHEN o.path IS NULL THEN k ELSE k + 1 END) || '.' || ext END AS output_path, false AS adopted
+FROM n LEFT JOIN own o ON n.export_id = o.export_id AND n.g = o.path UNION ALL SELECT export_id, event_id::VARCHAR, path, true FROM own"""
+)
+def allocate_paths(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    rows = e.select((F.col("user_id") % 8).cast("string").alias("export_id"), F.col("event_id").cast("string").alias("source_id"), "event_id", F.concat(F.lit("/out/"), F.date_format("ts", "yyyy/MM")).alias("dir"), F.concat(F.date_format("ts", "yyyyMMdd_HH"), F.lit("0000")).alias("stem"), F.when(F.col("event_type") == "view", "jpg").otherwise("mp4").alias("ext"))
+    recorded = rows.filter("event_id % 29 = 0").select("export_id", "source_id", F.concat("dir", F.lit("/"), "stem", F.lit("."), "ext").alias("output_path"))
+    return plan.allocate_paths(rows, recorded, ["event_id"]).select("export_id", "source_id", "output_path", "adopted")
+
+
+_DIR = "CASE WHEN t = '' THEN '_unnamed' WHEN lower(string_split(t, '.')[1]) IN ({}) THEN '_' || t ELSE t END".format(", ".join(f"'{r}'" for r in x.RESERVED_STEMS))
+
+
+@query(f"SELECT page_id, {_DIR} AS dir FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g')[:64], '^\\.+', ''), '\\.+$', '') AS t FROM pages)")
+def dir_names(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").select("page_id", x.dir_name(F.col("url")).alias("dir"))
+
+
+@query()
+def allocate_dirs(s: SparkSession, d: str) -> DataFrame:
+    keys = table(s, d, "pages").select((F.col("page_id") % 4).cast("string").alias("export_id"), F.regexp_replace("url", "[0-9?=&].*$", "").alias("conversation"))
+    return plan.allocate_dirs(keys)
+
+
+# ---- status ----
+
+
+@query(
+    sql(
+        """SELECT coalesce(i.export_id, n.export_id) AS export_id, coalesce(i.source_id, n.source_id) AS source_id, coalesce(status, 'pending') AS status, coalesce(n.url, i.url) AS url,
+  CASE WHEN i.source_id IS NULL OR (n.url IS NOT NULL AND i.url IS DISTINCT FROM n.url) THEN 1700000000 ELSE updated_at END AS updated_at
+FROM items i FULL JOIN (SELECT (o_custkey % 16)::VARCHAR AS export_id, o_orderkey::VARCHAR AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'https://n/' || o_orderkey END AS url FROM orders WHERE o_orderstatus <> 'P') n
+ON i.export_id = n.export_id AND i.source_id = n.source_id""",
+        "items",
+    )
+)
+def enroll(s: SparkSession, d: str) -> DataFrame:
+    return status.enroll(views.items(s, d), _second_run(s, d), NOW).select("export_id", "source_id", "status", "url", "updated_at")
+
+
+def _second_run(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").filter("o_orderstatus <> 'P'")
+    key = F.col("o_orderkey").cast("string")
+    return o.select((F.col("o_custkey") % 16).cast("string").alias("export_id"), F.lit("memory").alias("kind"), key.alias("source_id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://n/"), key)).alias("url"))
+
+
+@query(
+    sql(
+        """SELECT export_id, source_id, CASE WHEN hit THEN 'retired' ELSE status END AS status, CASE WHEN hit THEN 'the export no longer holds a source for this item' ELSE last_error END AS last_error, output_path
+FROM (SELECT *, o_orderstatus = 'P' AND status NOT IN ('done', 'retired') AND export_id <> '3' AS hit FROM items)""",
+        "items",
+    )
+)
+def retire_absent(s: SparkSession, d: str) -> DataFrame:
+    gaps = views.items(s, d).filter("export_id = '3'").select("export_id")
+    return status.retire_absent(views.items(s, d), _second_run(s, d), gaps, "memory", NOW).select("export_id", "source_id", "status", "last_error", "output_path")
+
+
+@query(
+    sql(
+        """SELECT export_id, source_id, CASE WHEN k % 5 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN k % 5 = 0 THEN 0 ELSE retry_count END AS retry_count, CASE WHEN k % 5 <> 0 THEN output_path END AS output_path, url FROM items""",
+        "items",
+    )
+)
+def reset(s: SparkSession, d: str) -> DataFrame:
+    i = views.items(s, d)
+    return status.reset(i, i.filter("cast(source_id as long) % 5 = 0").select(*status.KEY), NOW).select("export_id", "source_id", "status", "retry_count", "output_path", "url")
+
+
+@query(
+    sql(
+        """SELECT export_id, source_id, CASE WHEN k % 3 = 0 THEN 'failed' ELSE status END AS status, retry_count + (k % 3 = 0)::INT AS retry_count,
+  CASE WHEN k % 3 = 0 THEN 'cannot read <redacted> today' ELSE last_error END AS last_error, CASE WHEN k % 3 <> 0 THEN checksum END AS checksum FROM items""",
+        "items",
+    )
+)
+def mark_failed(s: SparkSession, d: str) -> DataFrame:
+    i = views.items(s, d)
+    facts = i.filter("cast(source_id as long) % 3 = 0").select(*status.KEY, F.concat(F.lit("cannot read "), F.md5("source_id"), F.lit(" today")).alias("note"))
+    return status.mark_failed(i, facts, NOW).select("export_id", "source_id", "status", "retry_count", "last_error", "checksum")
+
+
+@query(sql("SELECT export_id, kind, " + ", ".join(f"count(*) FILTER (status = '{w}') AS {w}" for w in x.ITEM_STATUSES) + ", count(*) AS total FROM items GROUP BY ALL", "items"))
+def status_counts(s: SparkSession, d: str) -> DataFrame:
+    return status.status_counts(views.items(s, d))
+
+
+@query(sql("SELECT export_id, source_id, status, retry_count FROM items WHERE status IN ('pending', 'failed') AND retry_count < 3", "items"))
+def work_list(s: SparkSession, d: str) -> DataFrame:
+    return status.work_list(views.items(s, d)).select("export_id", "source_id", "status", "retry_count")
+
+
+@query(
+    sql(
+        """SELECT export_id, source_id, CASE WHEN bytes % 4 = 0 THEN 'vanished' WHEN bytes % 4 = 1 THEN 'unreadable' WHEN bytes % 4 = 2 THEN 'changed' ELSE 'verified' END AS verdict FROM items WHERE status = 'done'""",
+        "items",
+    )
+)
+def resume_verdicts(s: SparkSession, d: str) -> DataFrame:
+    i = views.items(s, d)
+    m = F.col("bytes") % 4
+    files = i.filter("status = 'done' and bytes % 4 <> 0").select(F.col("output_path").alias("path"), F.when(m == 1, None).when(m == 2, "other").otherwise(F.col("checksum")).alias("checksum"), "bytes")
+    return status.resume(i, files, NOW)[1].select("export_id", "source_id", "verdict")
+
+
+@query(
+    """WITH e AS (SELECT (user_id % 8)::VARCHAR AS export_id, user_id::VARCHAR AS source_id, event_id AS seq, CASE event_id % 9 WHEN 0 THEN 'reset' WHEN 1 THEN 'missing' WHEN 2 THEN 'done' ELSE 'failed' END AS event FROM events),
+g AS (SELECT export_id, source_id, max(seq) FILTER (event = 'reset') AS reset_at, arg_max(event, seq) AS last, count(*) AS n_events FROM e GROUP BY ALL),
+f AS (SELECT export_id, source_id, last, n_events, count(*) FILTER (event = 'failed' AND (reset_at IS NULL OR seq > reset_at)) AS retry_count FROM e JOIN g USING (export_id, source_id) GROUP BY ALL)
+SELECT export_id, 'memory' AS kind, source_id, CASE last WHEN 'reset' THEN 'pending' WHEN 'missing' THEN 'source_missing' ELSE last END AS status, retry_count, n_events, last IN ('reset', 'failed') AND retry_count < 3 AS due FROM f"""
+)
+def fold_outcomes(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    m = F.col("event_id") % 9
+    event = F.when(m == 0, "reset").when(m == 1, "missing").when(m == 2, "done").otherwise("failed")
+    return status.fold_outcomes(e.select((F.col("user_id") % 8).cast("string").alias("export_id"), F.lit("memory").alias("kind"), F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("seq"), event.alias("event")))
+
+
+@query(sql("SELECT export_id, source_id FROM items WHERE false", "items"))
+def record_violations(s: SparkSession, d: str) -> DataFrame:
+    return status.record_violations(views.items(s, d)).select("export_id", "source_id")
+
+
+# ---- redaction ----
+
+
+@query(
+    """SELECT page_id, 'REDACTED' AS mark, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://redacted.invalid'
+  || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) ELSE '/REDACTED' END
+  || CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN '?' || array_to_string(list_transform(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
+       lambda p: CASE WHEN string_split(p, '=')[1] IN ('id', 'page', 'ref', 'q', 'token', 'lang', 'uid', 'mid', 'ts') THEN string_split(p, '=')[1] ELSE 'REDACTED' END || CASE WHEN contains(p, '=') THEN '=REDACTED' ELSE '' END), '&') ELSE '' END
+  || CASE WHEN regexp_extract(url, '#(.*)', 1) <> '' THEN '#REDACTED' ELSE '' END AS url FROM pages"""
+)
+def redact_urls(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").select("page_id", F.lit("REDACTED").alias("mark"), redact.redact_url(F.col("url")).alias("url"))
+
+
+@query("SELECT doc_id, run, len(run) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{20,}')) AS run FROM documents)")
+def alnum_runs(s: SparkSession, d: str) -> DataFrame:
+    return redact.alnum_runs(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", "run", F.length("run").cast("long").alias("n"))
+
+
+@query(
+    """WITH v AS (SELECT conv_id::VARCHAR AS value, 'conv' AS cls FROM conversations UNION ALL SELECT user_id::VARCHAR, 'user' FROM events), o AS (SELECT value, min(cls) AS cls FROM v WHERE value IS NOT NULL GROUP BY 1)
+SELECT value, cls, cls || '_' || row_number() OVER (PARTITION BY cls ORDER BY sha256('s' || chr(31) || 'handle' || chr(31) || value), value) AS handle FROM o"""
+)
+def handles(s: SparkSession, d: str) -> DataFrame:
+    conv = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("value"), F.lit("conv").alias("cls"))
+    user = table(s, d, "events").select(F.col("user_id").cast("string").alias("value"), F.lit("user").alias("cls"))
+    return redact.handles(conv.unionByName(user), "s")
+
+
+@query("SELECT export_id, file, '/' || k AS pointer, k AS key, value FROM (SELECT (user_id % 8)::VARCHAR AS export_id, event_id::VARCHAR AS file, props, unnest(json_keys(props)) AS k FROM events) e, LATERAL (SELECT json_extract_string(e.props, '$.\"' || e.k || '\"') AS value)")
+def json_leaves(s: SparkSession, d: str) -> DataFrame:
+    corpus = table(s, d, "events").select((F.col("user_id") % 8).cast("string").alias("export_id"), F.col("event_id").cast("string").alias("file"), F.col("props").alias("body"))
+    return redact.leaves(s, corpus, 3).select("export_id", "file", "pointer", "key", "value")
+
+
+@query()
+def redacted_leaves(s: SparkSession, d: str) -> DataFrame:
+    corpus = table(s, d, "events").select((F.col("user_id") % 8).cast("string").alias("export_id"), F.col("event_id").cast("string").alias("file"), F.to_json(F.struct(F.col("user_id").alias("username"), F.col("ts").cast("string").alias("created"), "event_type", "value", "props")).alias("body"))
+    return redact.synthesise(redact.leaves(s, corpus, 2), "s", 86_400)
+
+
+@query(
+    """WITH n AS (SELECT regexp_replace(url, '^.*/', '') AS name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^.*/', ''), '\\p{L}', 'a', 'g'), '[0-9]', '9', 'g'), 'a{12,}', 'aaaaaaaaaaaa', 'g'), '9{12,}', '999999999999', 'g') AS pattern FROM pages)
+SELECT pattern, count(*) AS n, array_to_string(list_sort(list_distinct(list(name)))[:3], ' ') AS examples FROM n GROUP BY 1"""
+)
+def pattern_census(s: SparkSession, d: str) -> DataFrame:
+    out = reports.pattern_census(table(s, d, "pages").select(x.base_name(F.col("url")).alias("name")))
+    return out.withColumn("examples", F.array_join("examples", " "))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\\S+|\\s'), lambda t: CASE WHEN strlen(t) > 64 OR regexp_matches(t, '[/=%&@]') THEN '<redacted>' ELSE t END), '') AS note FROM documents")
+def redact_note(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", x.redact_note(F.col("text"), F.lit(None).cast("string")).alias("note"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 86400 SECOND, '%Y-%m-%d %H:%M:%S') || ' UTC' AS moved, (epoch_us(ts) // 1000 + 86400000)::VARCHAR AS epoch FROM events")
+def shifted_dates(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select("event_id", redact.shift_date(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), 86_400).alias("moved"), redact.shift_epoch(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), 86_400).alias("epoch"))
+
+
+# ---- reports ----
+
+
+@query("SELECT o_custkey, min(year(o_orderdate))::INT AS first_year, max(year(o_orderdate))::INT AS last_year, count(*) AS n FROM orders GROUP BY 1")
+def year_span(s: SparkSession, d: str) -> DataFrame:
+    return reports.year_span(table(s, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey::VARCHAR AS id, list_sort(list_distinct(list(l_linenumber::BIGINT + 1))) AS seen FROM lineitem GROUP BY 1)
+SELECT id, array_to_string(seen, ',') AS seen, coalesce(array_to_string(list_filter(range(1, list_max(seen) + 1), lambda i: NOT list_contains(seen, i)), ','), '') AS missing FROM p"""
+)
+def missing_parts(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem")
+    number = F.col("l_linenumber").cast("long") + 1
+    seen = lambda odd: F.sort_array(F.collect_set(F.when(F.col("l_linenumber") % 2 == odd, number)))
+    parts = li.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(seen(0).alias("zips"), seen(1).alias("folders"))
+    out = reports.missing_parts(parts)
+    return out.select("id", F.array_join("seen", ",").alias("seen"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(
+    """SELECT (user_id % 8)::VARCHAR AS export_id, 'events' AS section, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT (o_custkey % 16)::VARCHAR, 'orders', count(*) FROM orders GROUP BY 1"""
+)
+def section_counts(s: SparkSession, d: str) -> DataFrame:
+    return reports.section_counts({"events": table(s, d, "events").select((F.col("user_id") % 8).cast("string").alias("export_id")), "orders": table(s, d, "orders").select((F.col("o_custkey") % 16).cast("string").alias("export_id"))})
+
+
+@query("SELECT event_id, printf('%+010.6f%+011.6f/', value - 50, 50 - value) AS iso, CASE WHEN value < 1024 THEN floor(value)::BIGINT || ' B' ELSE printf('%.1f KiB', floor(value) / 1024) END AS size FROM events")
+def formatted_values(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select("event_id", x.iso6709(F.col("value") - 50, 50 - F.col("value")).alias("iso"), x.binary_bytes(F.floor("value")).alias("size"))
