@@ -22,6 +22,7 @@ SHINGLE, RADIUS = 5, 4
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers don't reject."""
+    common.bound_batches(spark)
     model = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = cotraining.score_documents(docs, model, "quality_scores")
     return scored.filter(F.col("quality_scores.quality") >= cotraining.THRESHOLD).select(*docs.columns)
@@ -29,21 +30,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that resemble earlier ones; those that lose every line go."""
+    common.bound_batches(spark)
     return line_dedup.remove_later_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints."""
+    common.bound_batches(spark)
     return simhash.keep_one(docs, radius=RADIUS, width=SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the proportions of their sources' weights, repeated where a target asks for it."""
+    common.bound_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's ids, and the digest of the text decoded from them."""
+    common.bound_batches(spark)
     return bpe.digests(bpe.encode_documents(docs.select("doc_id", "text"), word_tokenizer()))
 
 

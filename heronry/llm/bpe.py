@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words and pairs that a worker remembers before it starts anew.
-MAX_WORDS, MAX_PAIRS = 500_000, 1_000_000
+MAX_WORDS, MAX_PAIRS = 250_000, 500_000
 #: Stands for the end of a word in the automaton; no byte is written as it.
 END = "\ue000"
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Where tables are cut when the session names no spark.checkpoint.dir (tests, local runs).
 DEFAULT_SHARED = "file:///tmp/checkpoints/heronry"
 #: Bytes of text that a vectorised step takes at once; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes that Spark sends to a Python worker at once; long texts make batches of few rows.
+BATCH_ROWS, BATCH_BYTES = 50_000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +32,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps survive a lost executor and don't redo it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles that nothing refers to any more, before the next ones need the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this process wrote under the shared folder."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the memory of Python workers small: executors share theirs with the JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,10 @@ FILTER_BITS = 1 << 25
 #: Sets under one word beyond which all pass on unfiltered, and sets of it that one task compares.
 MAX_FILTERED, BLOCK = 10_000, 2048
 
-LINES = "doc_id long, th long, line int, sig long, n int, bits long, prefix array<long>"
+#: Sets of more words than this also have a bitmap of WIDE_BITS bits, since 64 bits tell large sets little.
+WIDE_FROM, WIDE_BITS = 40, 512
+
+LINES = "doc_id long, th long, line int, sig long, n int, bits long, wide binary, prefix array<long>"
 
 
 def least_overlap(a, b):
@@ -37,31 +41,43 @@ def least_overlap(a, b):
     return (NUM * (a + b) + NUM + DEN - 1) // (NUM + DEN)
 
 
-def _sets(raw: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Distinct words of all lines in order of rarity: line of each and its hash; text and number of each line."""
-    from heronry.llm.line_rules import _lines
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(45)).astype(np.int64)
+
 
+def _sets(raw: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct words of all lines in order of rarity: line of each and its hash; text and number of each line."""
     starts, ends, _ = textvec.words(raw, offsets)
     h = textvec.word_hashes(textvec.ascii_lower(raw), starts, ends)
-    l_starts, _, l_doc = _lines(raw, offsets)
+    l_starts, _, l_doc = textvec.lines(raw, offsets)
     line = np.searchsorted(l_starts, starts, side="right") - 1
     number = np.arange(len(l_doc)) - np.searchsorted(l_doc, l_doc)
-    rank = np.zeros(len(h), np.int64) if counts is None else counts[(h >> np.uint64(45)).astype(np.int64)]
-    by = np.lexsort((h, rank, line))
+    rank = ranks[_cell(h)]
+    # one key holds line, rank and half of the hash; where halves meet, whole hashes decide
+    by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(32)) | (h >> np.uint64(32)))
+    half = h[by] >> np.uint64(32)
+    if len(l_doc) >= 1 << 20 or ((half[1:] == half[:-1]) & (h[by][1:] != h[by][:-1]) & (line[by][1:] == line[by][:-1])).any():
+        by = np.lexsort((h, rank, line))
     line, h = line[by], h[by]
     new = np.ones(len(h), bool)
     new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
     return line[new], h[new], l_doc, number
 
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 4096 steps, which orders them well enough."""
+    return np.minimum(4095, np.log2(counts + 1.0) * 120).astype(np.uint64)
+
+
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """How many lines hold words of each cell, over all documents. CELLS numbers reach the driver."""
+    """How often words of each cell occur, over all documents. CELLS numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batch_slices(batches, "text"):
-            _, h, _, _ = _sets(*textvec.column_bytes(batch.column("text")), None)
-            total += np.bincount((h >> np.uint64(45)).astype(np.int64), minlength=CELLS)
+            raw, offsets = textvec.column_bytes(batch.column("text"))
+            starts, ends, _ = textvec.words(raw, offsets)
+            total += np.bincount(_cell(textvec.word_hashes(textvec.ascii_lower(raw), starts, ends)), minlength=CELLS)
         if total.any():
             chunks = total.reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), pa.array([c.astype(np.uint32).tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
@@ -86,9 +102,24 @@ def _signature(line: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, size, sig, np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
 
 
+def _wide_bitmaps(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parity bitmaps of the large sets; null for the others."""
+    out: list[bytes | None] = [None] * len(size)
+    large = np.flatnonzero(size > WIDE_FROM)
+    for k in range(0, len(large), 512):
+        some = large[k : k + 512]
+        owner = np.repeat(np.arange(len(some)), size[some])
+        at = np.repeat(first[some], size[some]) + np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        bit = (h[at] >> np.uint64(6) & np.uint64(WIDE_BITS - 1)).astype(np.int64)
+        odd = np.bincount(owner * WIDE_BITS + bit, minlength=len(some) * WIDE_BITS).reshape(-1, WIDE_BITS) & 1
+        for i, row in zip(some.tolist(), np.packbits(odd.astype(np.uint8), axis=1), strict=True):
+            out[i] = row.tobytes()
+    return pa.array(out, pa.binary())
+
+
 def _line_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """A row for each line with a word: place, set, and the words of the set's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, "text"):
@@ -99,13 +130,14 @@ def _line_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             at = np.repeat(first, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(reach)), pa.int32()), pa.array(h[at].view(np.int64)))
             ids = [batch.column(c).take(pa.array(l_doc[mine])) for c in ("doc_id", "th")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[mine], pa.int32()), pa.array(sig.view(np.int64)), pa.array(size, pa.int32()), pa.array(bits.view(np.int64)), prefix], names=["doc_id", "th", "line", "sig", "n", "bits", "prefix"])
+            columns = [*ids, pa.array(number[mine], pa.int32()), pa.array(sig.view(np.int64)), pa.array(size, pa.int32()), pa.array(bits.view(np.int64)), _wide_bitmaps(h, first, size), prefix]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "line", "sig", "n", "bits", "wide", "prefix"])
 
     return docs.mapInArrow(rows, LINES)
 
 
 def _filter_group(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, sig: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Which rows, sorted by word and size, may match another under the same word."""
+    """Which rows, sorted by word and size, may match another under the same word. bits: a row of 64-bit words each."""
     live = np.zeros(len(n), bool)
     edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     size = np.diff(np.append(edge, len(word)))
@@ -119,37 +151,98 @@ def _filter_group(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, sig: np.ndar
         todo, a, b = todo[near], a[near], b[near]
         need = least_overlap(n[a], n[b])
         fits = (sig[a] != sig[b]) & (1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need)
-        fits &= np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= n[a] + n[b] - 2 * need
+        a, b, need = a[fits], b[fits], need[fits]
+        fits = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= n[a] + n[b] - 2 * need
         live[a[fits]] = live[b[fits]] = True
         step += 1
     return live
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables that hold all rows of each key they have, from batches that are sorted by the keys."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = np.stack([held.column(c).to_numpy() for c in keys])
+        other = np.flatnonzero((key != key[:, -1:]).any(0)) if held.num_rows else ()
+        if len(other):
+            yield held.slice(0, int(other[-1]) + 1)
+            held = held.slice(int(other[-1]) + 1)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def _live(lines: DataFrame) -> DataFrame:
     """word and sig of sets that may match another set under a word of their prefixes."""
-    postings = lines.select("sig", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    each = lines.select("sig", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    postings = each.select("word", "sig", "bits", F.expr("n * 4294967296L + pos").alias("size_pos"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def judged(t: pa.Table) -> pa.RecordBatch:
-            word, sig, n, pos, bits = (t.column(c).to_numpy() for c in ("word", "sig", "n", "pos", "bits"))
+        for t in _whole_groups(batches, ("word",)):
+            word, sig, bits, packed = (t.column(c).to_numpy() for c in ("word", "sig", "bits", "size_pos"))
+            # words and sizes in order, equal sets side by side
+            group = np.cumsum(np.append(0, word[1:] != word[:-1]))
+            by = np.lexsort((sig, group << 32 | packed >> 32))
+            word, sig, bits, packed = (x[by] for x in (word, sig, bits, packed))
             new = np.append(True, (word[1:] != word[:-1]) | (sig[1:] != sig[:-1]))
-            word, sig, n, pos, bits = (x[new] for x in (word, sig, n.astype(np.int64), pos.astype(np.int64), bits))
-            live = _filter_group(n, pos, bits, sig, word)
-            return pa.RecordBatch.from_arrays([pa.array(word[live]), pa.array(sig[live])], names=["word", "sig"])
+            word, sig, bits, packed = (x[new] for x in (word, sig, bits, packed))
+            n, pos = packed >> 32, packed & 0xFFFFFFFF
+            live = _filter_group(n, pos, bits.view(np.uint64)[:, None], sig, word)
+            yield pa.RecordBatch.from_arrays([pa.array(word[live]), pa.array(sig[live]), pa.array(pos[live].astype(np.int32))], names=["word", "sig", "pos"])
+
+    return postings.repartition("word").sortWithinPartitions("word").mapInArrow(keep, "word long, sig long, pos int")
+
 
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            word = held.column("word").to_numpy()
-            cut = int(np.searchsorted(word, word[-1])) if len(word) else 0
-            if cut:
-                yield judged(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield judged(held)
+def _refined(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """live without what wide bitmaps rule out. sets: sig, n, wide."""
+    rows = live.join(sets, "sig").select("word", "sig", "pos", "n", "wide")
 
-    return postings.repartition("word").sortWithinPartitions("word", "n", "sig").mapInArrow(keep, "word long, sig long")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ("word",)):
+            word, sig, pos, n = (t.column(c).to_numpy() for c in ("word", "sig", "pos", "n"))
+            group = np.cumsum(np.append(0, word[1:] != word[:-1]))
+            by = np.argsort(group << 32 | n.astype(np.int64), kind="stable")
+            word, sig, pos, n = word[by], sig[by], pos[by].astype(np.int64), n[by].astype(np.int64)
+            wide = t.column("wide").combine_chunks().take(pa.array(by))
+            small = np.flatnonzero(wide.is_null().to_numpy(zero_copy_only=False))
+            raw, _ = textvec.column_bytes(pc.fill_null(wide, bytes(WIDE_BITS // 8)))
+            bits = raw.view(np.uint64).reshape(len(word), -1)
+            live = np.zeros(len(word), bool)
+            live[small] = True
+            live |= _filter_group(n, pos, bits, sig, word)
+            # a large set whose only partners are small ones has none: sizes lie too far apart, but for the border
+            live |= (n * NUM <= (WIDE_FROM + 1) * DEN)
+            yield pa.RecordBatch.from_arrays([pa.array(word[live]), pa.array(sig[live]), pa.array(pos[live].astype(np.int32))], names=["word", "sig", "pos"])
+
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(keep, "word long, sig long, pos int")
+
+
+def _needed(live: DataFrame) -> DataFrame:
+    """word and sig where the set may have a partner with which it shares no live word before this one.
+
+    All other meetings of a set happen under an earlier word. Large groups pass whole.
+    """
+    ordered = live.groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("w"))
+    each = ordered.select("sig", "w", F.posexplode("w").alias("i", "p")).select(F.col("p.word").alias("word"), "sig", F.transform(F.slice("w", F.lit(1), F.col("i")), lambda e: e["word"]).alias("early"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ("word",)):
+            word, sig = t.column("word").to_numpy(), t.column("sig").to_numpy()
+            early = t.column("early").combine_chunks()
+            size = early.value_lengths().to_numpy(zero_copy_only=False)
+            edge = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
+            whole = np.minimum.reduceat(size, edge[:-1]) == 0
+            hit = np.repeat(whole | (np.diff(edge) > 200), np.diff(edge))
+            for g in np.flatnonzero(~whole & (np.diff(edge) > 1) & (np.diff(edge) <= 200)).tolist():
+                sets = [frozenset(x) for x in early.slice(edge[g], edge[g + 1] - edge[g]).to_pylist()]
+                kinds = set(sets)
+                if len(kinds) > 1:
+                    apart = {a for a in kinds if any(a.isdisjoint(b) for b in kinds)}
+                    hit[edge[g] : edge[g + 1]] = [x in apart for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(word[hit]), pa.array(sig[hit])], names=["word", "sig"])
+
+    return each.repartition("word").sortWithinPartitions("word").mapInArrow(keep, "word long, sig long")
 
 
 def _membership(sigs: DataFrame) -> np.ndarray:
@@ -164,12 +257,12 @@ def _membership(sigs: DataFrame) -> np.ndarray:
 
 def _whole_sets(docs: DataFrame, counts: np.ndarray, member: np.ndarray) -> DataFrame:
     """sig and all words, in order of rarity, of the sets that the bitmap lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts, member))
+    shared = docs.sparkSession.sparkContext.broadcast((_ranks(counts), member))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, member = shared.value
+        ranks, member = shared.value
         for batch in batch_slices(batches, "text"):
-            line, h, _, _ = _sets(*textvec.column_bytes(batch.column("text")), counts)
+            line, h, _, _ = _sets(*textvec.column_bytes(batch.column("text")), ranks)
             first, size, sig, _ = _signature(line, h)
             bit = (sig.view(np.int64) % FILTER_BITS).astype(np.uint64)
             hit = np.flatnonzero(member[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
@@ -228,9 +321,12 @@ def _pairs(sets: list[np.ndarray], place: list[int], cross: np.ndarray | None) -
 
 def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFrame:
     """sig, first place, links (how many other sets match) and earliest place of a match, for sets with a match."""
-    first = materialise(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "line")).alias("first")), "first-lines")
+    first = materialise(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "first-lines")
     live = materialise(_live(lines), "live")
+    live = materialise(_refined(live, first.select("sig", "n", "wide")), "refined")
+    first = first.select("sig", "first")
     sigs = live.select("sig").distinct()
+    live = materialise(_needed(live), "needed")
     sets = _whole_sets(docs, counts, _membership(sigs)).join(first, "sig")
     crowd = live.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     rows = live.join(crowd, "word", "left").join(sets, "sig")
@@ -242,17 +338,8 @@ def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFram
     rows = rows.select("word", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "sig", "words", "first.doc_id", "first.th", "first.line")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = np.stack([held.column(c).to_numpy() for c in ("word", "i", "j")])
-            cut = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1] + 1) if len(key[0]) and (key != key[:, -1:]).any() else 0
-            if cut:
-                yield matched(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield matched(held)
+        for t in _whole_groups(batches, ("word", "i", "j")):
+            yield matched(t)
 
     names = ["sig", "links", "doc_id", "th", "line"]
 

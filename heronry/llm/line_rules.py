@@ -66,17 +66,6 @@ def _seen_before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all lines (texts are split at \\n; an empty text is one line), and their texts."""
-    breaks = np.flatnonzero(raw == 10)
-    starts = np.concatenate([offsets[:-1], breaks + 1])
-    ends = np.concatenate([breaks, offsets[1:]])
-    doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, side="right") - 1])
-    end_doc = np.concatenate([doc[len(offsets) - 1 :], np.arange(len(offsets) - 1)])
-    by_start, by_end = np.lexsort((starts, doc)), np.lexsort((ends, end_doc))
-    return starts[by_start], ends[by_end], doc[by_start]
-
-
 def measure(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Counts for each text; starts, ends, text and failure of each line."""
     n = len(offsets) - 1
@@ -103,7 +92,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     covered = np.cumsum(repeat)[:-1] > 0
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=n)
 
-    l_starts, l_ends, l_doc = _lines(raw, offsets)
+    l_starts, l_ends, l_doc = textvec.lines(raw, offsets)
     k = len(l_starts)
     # lines stand in order of their starts; an empty line may share its start with the next text's first line
     line = np.searchsorted(l_starts, starts, side="right") - 1

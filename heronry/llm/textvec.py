@@ -22,7 +22,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i below n at least."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20) * 5 // 4
         for name, b in (("up", BASE), ("down", INVERSE)):
             x = np.full(size, b, np.uint64)
             x[0] = 1
@@ -76,6 +76,17 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all lines (texts are split at \\n; an empty text is one line), and their texts."""
+    breaks = np.flatnonzero(raw == 10)
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    ends = np.concatenate([breaks, offsets[1:]])
+    doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, side="right") - 1])
+    end_doc = np.concatenate([doc[len(offsets) - 1 :], np.arange(len(offsets) - 1)])
+    by_start, by_end = np.lexsort((starts, doc)), np.lexsort((ends, end_doc))
+    return starts[by_start], ends[by_end], doc[by_start]
+
+
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """Polynomial prefix sums: entry i covers the first i bytes."""
     up, _ = powers(len(raw) + 1)
