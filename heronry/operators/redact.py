@@ -296,11 +296,16 @@ def leak_check(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...]
     lat = F.regexp_extract(text, LABELLED, 1).try_cast("double")
     shape = F.filter(F.array(at("long_run", F.length(run), run != ""), at("live_url", F.length(host), (host != "") & (host != "redacted.invalid")), at("coordinate", F.length(text), text.rlike(LABELLED) & ~lat.between(1, 2))), lambda s: s.isNotNull())
     direct = out.select("file", "pointer", F.explode(shape).alias("s")).select("file", masked_pointer(F.col("pointer")).alias("pointer"), "s.*")
-    tokens = out.select("file", "pointer", F.explode(F.regexp_extract_all(text, F.lit("([A-Za-z]{6,}|[0-9]+)"), F.lit(1))).alias("token"))
+    strange = strange_tokens(out, generated, vocabulary)
+    return direct.unionByName(strange.select("file", masked_pointer(F.col("pointer")).alias("pointer"), "rule", F.length("token").cast("long").alias("n_chars")))
+
+
+def strange_tokens(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...] = ()) -> DataFrame:
+    """file, pointer, token and rule (token or number) of what nothing generated and no vocabulary holds."""
+    tokens = out.select("file", "pointer", F.explode(F.regexp_extract_all("value", F.lit("([A-Za-z]{6,}|[0-9]+)"), F.lit(1))).alias("token"))
     fine = F.lower("token").isin(*[w.lower() for w in (*vocabulary, *FILE_WORDS, *EXTENSIONS, *ENUM_WORDS, "redacted", "latitude", "longitude", "invalid")]) | F.col("token").rlike("^(x+|0+)$")
     strange = tokens.filter(~fine).join(generated.select("token").distinct(), "token", "left_anti")
-    rule = F.when(F.col("token").rlike("^[0-9]"), "number").otherwise("token")
-    return direct.unionByName(strange.select("file", masked_pointer(F.col("pointer")).alias("pointer"), rule.alias("rule"), F.length("token").cast("long").alias("n_chars")))
+    return strange.select("file", "pointer", "token", F.when(F.col("token").rlike("^[0-9]"), "number").otherwise("token").alias("rule"))
 
 
 def write_redacted(rows: DataFrame, path: str) -> None:

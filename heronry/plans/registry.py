@@ -438,3 +438,90 @@ def section_counts(s: SparkSession, d: str) -> DataFrame:
 def formatted_values(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return e.select("event_id", x.iso6709(F.col("value") - 50, 50 - F.col("value")).alias("iso"), x.binary_bytes(F.floor("value")).alias("size"))
+
+
+# ---- more of status and planning ----
+
+
+@query(
+    sql(
+        f"""SELECT export_id, source_id, CASE WHEN bytes % 2 = 0 OR status = 'pending' THEN 'excluded' ELSE status END AS status, CASE WHEN bytes % 2 = 0 OR status = 'pending' THEN '{status.EXCLUDED_NOTE}' ELSE last_error END AS last_error,
+  CASE WHEN bytes % 2 = 0 OR status = 'pending' THEN {NOW} ELSE updated_at END AS updated_at, checksum FROM items""",
+        "items",
+    )
+)
+def exclude(s: SparkSession, d: str) -> DataFrame:
+    i = views.items(s, d)
+    out = status.exclude(i, i.filter("bytes % 2 = 0 or status = 'pending'").select(*status.KEY), NOW)
+    return out.select("export_id", "source_id", "status", "last_error", "updated_at", "checksum")
+
+
+@query(
+    sql(
+        """SELECT export_id, kind, source_id, status, output_path FROM items UNION ALL
+SELECT (c_custkey % 16)::VARCHAR, 'history_export', c_custkey::VARCHAR, 'claimed', '/out/' || c_name FROM customer""",
+        "items",
+    )
+)
+def claim_directories(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "customer")
+    facts = c.select((F.col("c_custkey") % 16).cast("string").alias("export_id"), F.col("c_custkey").cast("string").alias("source_id"), F.concat(F.lit("/out/"), "c_name").alias("directory"))
+    return status.claim_directories(views.items(s, d), facts, NOW).select("export_id", "kind", "source_id", "status", "output_path")
+
+
+@query(sql("SELECT e.export_id, entry_index::VARCHAR AS source_id, coalesce(status, 'pending') AS status FROM entries e LEFT JOIN items i ON e.export_id = i.export_id AND e.entry_index::VARCHAR = i.source_id", "entries", "items"))
+def status_overlay(s: SparkSession, d: str) -> DataFrame:
+    rows = views.entries(s, d).select("export_id", F.col("entry_index").cast("string").alias("source_id"))
+    return plan.status_overlay(rows, views.items(s, d), "memory")
+
+
+@query(
+    sql(
+        """SELECT export_id, count(*) FILTER (status = 'pending') AS fixed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'done') AS skipped, 0::BIGINT AS deferred, 0::BIGINT AS excluded FROM items GROUP BY 1""",
+        "items",
+    )
+)
+def run_report(s: SparkSession, d: str) -> DataFrame:
+    before = views.items(s, d)
+    facts = before.filter("status = 'pending'").select(*status.KEY, F.concat(F.lit("/out/"), "source_id").alias("output_path"), F.sha2("source_id", 256).alias("checksum"), F.lit(1).cast("long").alias("bytes"))
+    rows = before.select("export_id", "source_id", F.lit("planned").alias("disposition"))
+    return reports.run_report(rows, before, status.mark_done(before, facts, NOW))
+
+
+_UUID = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12)"
+
+
+@query(
+    sql(
+        "SELECT export_id, uuid, day, " + _UUID.format("uuid") + " AS id, CASE WHEN kind = 'image' THEN 'main' ELSE 'overlay' END AS role, CASE WHEN kind = 'image' THEN 'image' ELSE 'video' END AS kind, CASE WHEN kind = 'image' THEN 'jpg' ELSE 'mp4' END AS out_ext FROM media",
+        "media",
+    )
+)
+def memory_names(s: SparkSession, d: str) -> DataFrame:
+    m = views.media(s, d)
+    image = F.col("kind") == "image"
+    name = F.concat(F.lit("x/memories/"), "day", F.lit("_"), F.concat_ws("-", *(F.substring("uuid", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.when(image, "-main.JPEG").otherwise("-overlay.Mp4"))
+    p = m.select("export_id", "uuid", x.parse_memory_name(name).alias("p"))
+    return p.select("export_id", "uuid", "p.day", F.col("p.uuid").alias("id"), "p.role", x.kind_of_ext(F.col("p.extension")).alias("kind"), x.output_ext(F.col("p.extension")).alias("out_ext"))
+
+
+@query(
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 12:34:56 UTC' AS stamp, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS next_day, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS previous_day,
+  '/out/' || strftime(o_orderdate, '%Y/%m') || '/' || strftime(o_orderdate, '%Y%m%d') || '_123456_2.jpg' AS path FROM orders"""
+)
+def stamps_and_names(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").withColumn("t", x.parse_utc(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 12:34:56 UTC"))))
+    moment = x.to_moment(F.col("t"))
+    near = x.neighbours(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", x.stamp_text(F.col("t")).alias("stamp"), near[0].alias("next_day"), near[1].alias("previous_day"), F.concat_ws("/", x.output_dir(F.lit("/out"), moment), x.output_name(x.output_stem(moment), F.lit("jpg"), F.lit(1))).alias("path"))
+
+
+@query(
+    """SELECT doc_id, token, 'token' AS rule FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}|[0-9]+')) AS token FROM documents) t
+WHERE regexp_matches(token, '^[A-Za-z]') AND lower(token) NOT IN (SELECT lower(w) FROM (SELECT unnest(['main','overlay','media','thumbnail','memories','metadata','history','chat','snap','zip','b','jpg','jpeg','png','mp4','gif','webp','json','html','mov','TEXT','STATUS','NOTE','STICKER','IMAGE','VIDEO','true','false','UTC','Success','Failed','redacted','latitude','longitude','invalid']) AS w))
+  AND NOT regexp_matches(token, '^(x+|0+)$') AND token NOT IN (SELECT p_name FROM part)"""
+)
+def leaked_words(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("/text").alias("pointer"), F.lit("string").alias("kind"), F.col("text").alias("value"))
+    tokens = redact.strange_tokens(docs, table(s, d, "part").select(F.col("p_name").alias("token")))
+    return tokens.filter("rule = 'token'").select(F.col("file").cast("long").alias("doc_id"), "token", "rule")
