@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heronry.llm.common import trim
+
 #: Words and pairs that a worker remembers before it starts anew.
-MAX_WORDS, MAX_PAIRS = 250_000, 500_000
+MAX_WORDS, MAX_PAIRS = 120_000, 200_000
 #: Stands for the end of a word in the automaton; no byte is written as it.
 END = "\ue000"
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -165,6 +167,7 @@ def round_trip(text: Column, path: str) -> Column:
         t = tokenizer(path)
         for column in batches:
             ids = [t.encode(x or "") for x in column.to_pylist()]
+            trim()
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([t.decode(x) for x in ids], pa.string())], names=RESULT.names)
 
     return codes(text.cast("string"))

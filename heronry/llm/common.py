@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +61,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the machine: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slice_ends(column: pa.Array, most: int = SLICE_BYTES) -> list[int]:
     """Ends of parts of ``column`` that hold about ``most`` bytes each."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -72,6 +81,7 @@ def in_slices(column: pa.Array, f: Callable[[pa.Array], pa.Array], most: int = S
         if end > begin or len(column) == 0:
             out.append(f(column.slice(begin, end - begin)))
         begin = end
+    trim()
     return pa.concat_arrays(out)
 
 
@@ -83,3 +93,4 @@ def batch_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLI
             if end > begin:
                 yield batch.slice(begin, end - begin)
             begin = end
+    trim()

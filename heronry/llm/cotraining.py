@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import slice_ends
+from heronry.llm.common import slice_ends, trim
 
 #: Bounds of the rows that models are fitted on: labelled rows over both classes, and the unlabelled pool.
 MAX_LABELLED, MAX_POOL = 3000, 4000
@@ -28,10 +28,12 @@ CONFIDENT, PER_ROUND = 0.95, 0.1
 #: Share of labelled rows kept apart for calibration.
 APART = 0.25
 THRESHOLD = 0.5
+#: Bytes of text that are described at once.
+SLICE = 1 << 19
 
 #: Classes of bytes whose trigrams describe a text's shape.
 _KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".;:", ",", "!?", "|/\\_=+~^", "#*$%&<>@", "'\"()[]{}-`")
-_KIND = np.full(256, len(_KINDS), np.int64)
+_KIND = np.full(256, len(_KINDS), np.int32)
 for _i, _chars in enumerate(_KINDS):
     _KIND[list(_chars.encode())] = _i
 _SHAPES = (len(_KINDS) + 1) ** 3
@@ -67,7 +69,7 @@ class TextParts:
     def matrix(self) -> np.ndarray:
         parts = []
         for at, doc, size in ((self.shape, self.shape_doc, _SHAPES), (self.word, self.word_doc, _WORDS)):
-            counts = np.bincount(doc * size + at, minlength=self.n * size).reshape(self.n, size)
+            counts = np.bincount(doc.astype(np.int64) * size + at, minlength=self.n * size).reshape(self.n, size)
             parts.append(counts / np.maximum(1, counts.sum(1, keepdims=True)))
         return np.concatenate([*parts, self.stats], axis=1)
 
@@ -76,7 +78,7 @@ def describe(raw: np.ndarray, offsets: np.ndarray) -> TextParts:
     n = len(offsets) - 1
     base = len(_KINDS) + 1
     kind = _KIND[raw]
-    doc_of = np.repeat(np.arange(n), np.diff(offsets))
+    doc_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     inside = doc_of[2:] == doc_of[:-2] if len(raw) > 2 else np.zeros(0, bool)
     shape = ((kind[:-2] * base + kind[1:-1]) * base + kind[2:])[inside] if len(raw) > 2 else np.zeros(0, np.int64)
     starts, ends, doc = textvec.words(raw, offsets)
@@ -217,6 +219,7 @@ def _features(text: Column) -> Column:
                 if end > begin:
                     out += [row.astype(np.float16).tobytes() for row in describe(*textvec.column_bytes(column.slice(begin, end - begin))).matrix()]
                 begin = end
+            trim()
             yield pa.array(out, pa.binary())
 
     return features(text)
@@ -260,7 +263,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     ids = {r.doc_id for r in got}
     free = np.array([r.doc_id not in ids for r in pooled], bool)
     by = np.lexsort((np.array([r.doc_id for r in got]), y))
-    return fit(x_text[by], x_meta[by], y[by], pool_text[free], pool_meta[free], counts[1] / (counts[0] + counts[1]), rounds)
+    del got, pooled
+    trim()
+    model = fit(x_text[by], x_meta[by], y[by], pool_text[free], pool_meta[free], counts[1] / (counts[0] + counts[1]), rounds)
+    trim()
+    return model
 
 
 def score(model: Model | None, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
@@ -273,7 +280,7 @@ def score(model: Model | None, text: Column, lang: Column, source: Column, n_cha
     def scores(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, *meta in batches:
             out, begin = [], 0
-            for end in slice_ends(texts):
+            for end in slice_ends(texts, SLICE):
                 if end > begin or not len(texts):
                     n = end - begin
                     if model is None:
@@ -284,6 +291,7 @@ def score(model: Model | None, text: Column, lang: Column, source: Column, n_cha
                         parts = [_sigmoid(t), _sigmoid(m), model.combine(np.clip(t, -12, 12), np.clip(m, -12, 12))]
                     out.append(pa.StructArray.from_arrays([pa.array(p) for p in parts], names=RESULT.names))
                 begin = end
+            trim()
             yield pa.concat_arrays(out)
 
     return scores(text.cast("string"), lang.cast("string"), source.cast("string"), n_chars.cast("long"))

@@ -327,7 +327,8 @@ def _counted_windows(rows: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = GRAM, max_spans: int = MAX_SPANS) -> DataFrame:
     """doc_id, th and ranges (begin, end) of bytes that lie in a repeated string. docs: doc_id, th, body."""
     found = materialise(_find_anchors(docs, length, gram), "anchors")
-    common = found.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written first, so that the join has a shuffle of its own on both sides, whose large partitions Spark can split
+    common = materialise(found.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "common")
     kept = materialise(found.join(common, "kg", "left_semi"), "repeated")
     place = F.struct("doc_id", "th", "at", "back", "fwd")
     classes = materialise(kept.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")

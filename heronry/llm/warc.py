@@ -51,7 +51,8 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = rows.filter(F.col("payload_bytes") >= min_bytes)
     first = large.groupBy(F.col("payload_digest").alias("d")).agg(F.max(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    first = first.filter("copies > 1").drop("copies")
+    # written first, so that the join has a shuffle of its own on both sides, whose large partitions Spark can split
+    first = materialise(first.filter("copies > 1").drop("copies"), "copies")
     at = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes)
     other = F.col("first_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first_id"))
     return rows.join(first, at, "left").withColumn("refers_to", F.when(other, F.col("first_id"))).drop("d", "first_id")
