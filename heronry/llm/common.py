@@ -32,10 +32,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps survive a lost executor and don't redo it."""
+    return materialise_at(df, name)[0]
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As materialise, with the folder, so that the caller can drop a table that later tables have replaced."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def release(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import batch_slices, materialise
+from heronry.llm.common import batch_slices, drop_path, materialise, materialise_at
 
 #: Bytes hashed for an anchor.
 GRAM = 100
@@ -326,12 +326,13 @@ def _counted_windows(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = GRAM, max_spans: int = MAX_SPANS) -> DataFrame:
     """doc_id, th and ranges (begin, end) of bytes that lie in a repeated string. docs: doc_id, th, body."""
-    found = materialise(_find_anchors(docs, length, gram), "anchors")
+    found, anchors_at = materialise_at(_find_anchors(docs, length, gram), "anchors")
     # written first, so that the join has a shuffle of its own on both sides, whose large partitions Spark can split
     common = materialise(found.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "common")
     kept = materialise(found.join(common, "kg", "left_semi"), "repeated")
+    drop_path(docs.sparkSession, anchors_at)  # repeated is written and takes its place
     place = F.struct("doc_id", "th", "at", "back", "fwd")
-    classes = materialise(kept.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")
+    classes, classes_at = materialise_at(kept.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")
     busy = classes.groupBy("kg").agg(F.count(F.lit(1)).alias("spans")).filter(F.col("spans") > max_spans).select("kg")
     some_busy = bool(busy.take(1))
     twice = F.explode(F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("p")
@@ -348,6 +349,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = GRAM, max_sp
     if some_busy:
         verdicts = verdicts.unionByName(_counted_windows(with_text(classes.join(busy, "kg", "left_semi")), length))
     verdicts = materialise(verdicts, "verdicts")
+    drop_path(docs.sparkSession, classes_at)
     begin, end = F.col("at") - F.col("high"), F.col("at") - F.col("low") + length
     return kept.join(verdicts, ["kg", "sh"]).select("doc_id", "th", begin.alias("begin"), end.alias("end"))
 
