@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm import bpe, common, cotraining, line_dedup, mixing, simhash
+from heronry.llm import bpe, common, cotraining, line_dedup, mixing, near_copies
 from heronry.llm.registry import word_tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Words in a shingle of the near-duplicate stage, and bits in which fingerprints of one group may differ.
+#: Words in a shingle of the near-duplicate stage, and bits in which fingerprints of its first candidates may differ.
 SHINGLE, RADIUS = 5, 4
 
 
@@ -35,9 +35,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """One document of each group linked by similarities of 0.8 or more of their shingle sets."""
     common.bound_batches(spark)
-    return simhash.keep_one(docs, radius=RADIUS, width=SHINGLE)
+    return near_copies.keep_one(docs, radius=RADIUS, width=SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

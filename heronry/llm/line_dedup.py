@@ -8,7 +8,7 @@ word that it shares. Pairs never become rows: a set gets its number of links and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +52,21 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.n
     l_starts, _, l_doc = textvec.lines(raw, offsets)
     line = np.searchsorted(l_starts, starts, side="right") - 1
     number = np.arange(len(l_doc)) - np.searchsorted(l_doc, l_doc)
+    return *by_rarity(line, h, ranks, len(l_doc)), l_doc, number
+
+
+def by_rarity(line: np.ndarray, h: np.ndarray, ranks: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and hashes in order of line and rarity, each hash of a line once."""
     rank = ranks[_cell(h)]
     # one key holds line, rank and half of the hash; where halves meet, whole hashes decide
     by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(32)) | (h >> np.uint64(32)))
     half = h[by] >> np.uint64(32)
-    if len(l_doc) >= 1 << 20 or ((half[1:] == half[:-1]) & (h[by][1:] != h[by][:-1]) & (line[by][1:] == line[by][:-1])).any():
+    if n_lines >= 1 << 20 or ((half[1:] == half[:-1]) & (h[by][1:] != h[by][:-1]) & (line[by][1:] == line[by][:-1])).any():
         by = np.lexsort((h, rank, line))
     line, h = line[by], h[by]
     new = np.ones(len(h), bool)
     new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-    return line[new], h[new], l_doc, number
+    return line[new], h[new]
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
@@ -69,15 +74,20 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return np.minimum(4095, np.log2(counts + 1.0) * 120).astype(np.uint64)
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often words of each cell occur, over all documents. CELLS numbers reach the driver."""
+def _hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    starts, ends, _ = textvec.words(raw, offsets)
+    return textvec.word_hashes(textvec.ascii_lower(raw), starts, ends)
+
+
+def word_counts(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray] = _hashes) -> np.ndarray:
+    """How often words (or what else hashes gives) of each cell occur, over all documents. CELLS numbers reach the
+    driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batch_slices(batches, "text"):
             raw, offsets = textvec.column_bytes(batch.column("text"))
-            starts, ends, _ = textvec.words(raw, offsets)
-            total += np.bincount(_cell(textvec.word_hashes(textvec.ascii_lower(raw), starts, ends)), minlength=CELLS)
+            total += np.bincount(_cell(hashes(raw, offsets)), minlength=CELLS)
         if total.any():
             chunks = total.reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), pa.array([c.astype(np.uint32).tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
@@ -195,22 +205,24 @@ def _live(lines: DataFrame) -> DataFrame:
 
 
 def _refined(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """live without what wide bitmaps rule out. sets: sig, n, wide."""
-    rows = live.join(sets, "sig").select("word", "sig", "pos", "n", "wide")
+    """live without what wide bitmaps rule out. sets: sig, n, wide and, where some are linked already, part: large
+    sets stay only for partners of other parts."""
+    part = "part" if "part" in sets.columns else "sig"
+    rows = live.join(sets, "sig").select("word", "sig", "pos", "n", "wide", F.col(part).alias("side"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ("word",)):
-            word, sig, pos, n = (t.column(c).to_numpy() for c in ("word", "sig", "pos", "n"))
+            word, sig, pos, n, side = (t.column(c).to_numpy() for c in ("word", "sig", "pos", "n", "side"))
             group = np.cumsum(np.append(0, word[1:] != word[:-1]))
             by = np.argsort(group << 32 | n.astype(np.int64), kind="stable")
-            word, sig, pos, n = word[by], sig[by], pos[by].astype(np.int64), n[by].astype(np.int64)
+            word, sig, pos, n, side = word[by], sig[by], pos[by].astype(np.int64), n[by].astype(np.int64), side[by]
             wide = t.column("wide").combine_chunks().take(pa.array(by))
             small = np.flatnonzero(wide.is_null().to_numpy(zero_copy_only=False))
             raw, _ = textvec.column_bytes(pc.fill_null(wide, bytes(WIDE_BITS // 8)))
             bits = raw.view(np.uint64).reshape(len(word), -1)
             live = np.zeros(len(word), bool)
             live[small] = True
-            live |= _filter_group(n, pos, bits, sig, word)
+            live |= _filter_group(n, pos, bits, side, word)
             # a large set whose only partners are small ones has none: sizes lie too far apart, but for the border
             live |= (n * NUM <= (WIDE_FROM + 1) * DEN)
             yield pa.RecordBatch.from_arrays([pa.array(word[live]), pa.array(sig[live]), pa.array(pos[live].astype(np.int32))], names=["word", "sig", "pos"])
@@ -319,6 +331,18 @@ def _pairs(sets: list[np.ndarray], place: list[int], cross: np.ndarray | None) -
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
+def dealt(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """live with the columns of sets and i, j and own: a crowded word's sets are dealt into blocks, and every two
+    blocks i and j meet in one task."""
+    crowd = live.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    rows = live.join(crowd, "word", "left").join(sets, "sig")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
+    met = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("met", F.explode(met))
+    return rows.withColumn("i", F.least("own", "met")).withColumn("j", F.greatest("own", "met"))
+
+
 def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFrame:
     """sig, first place, links (how many other sets match) and earliest place of a match, for sets with a match."""
     first = materialise(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "first-lines")
@@ -328,14 +352,7 @@ def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFram
     sigs = live.select("sig").distinct()
     live = materialise(_needed(live), "needed")
     sets = _whole_sets(docs, counts, _membership(sigs)).join(first, "sig")
-    crowd = live.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    rows = live.join(crowd, "word", "left").join(sets, "sig")
-    # a crowded word's sets are dealt into blocks, and every two blocks meet in one task
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    met = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("met", F.explode(met))
-    rows = rows.select("word", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "sig", "words", "first.doc_id", "first.th", "first.line")
+    rows = dealt(live, sets).select("word", "i", "j", "own", "sig", "words", "first.doc_id", "first.th", "first.line")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ("word", "i", "j")):
