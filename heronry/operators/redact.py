@@ -6,6 +6,8 @@ rows are dealt to tasks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z
 DATES = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:([ T])([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]+))?( UTC|Z)?)?\z"
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"
 LABELLED = r"(?i)^latitude, longitude:\s*([+-]?[0-9]+(?:\.[0-9]+)?),\s*([+-]?[0-9]+(?:\.[0-9]+)?)\z"
+URL_IN_TEXT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'\\<>]+"""
+PAIR_IN_TEXT = r"(?i:latitude, longitude:\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*,\s*[+-]?[0-9]+(?:\.[0-9]+)?)|[+-]?[0-9]{1,3}\.[0-9]+\s*,\s*[+-]?[0-9]{1,3}\.[0-9]+"
+PAIR_END = r"([+-]?[0-9]+(?:\.[0-9]+)?)\s*,\s*([+-]?[0-9]+(?:\.[0-9]+)?)\z"
 MAX_RUN = 12
 
 
@@ -282,20 +287,30 @@ def alnum_runs(rows: DataFrame, text_col: str, least: int = 20) -> DataFrame:
     return rows.withColumn("run", F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"([A-Za-z0-9]{{{least},}})"), F.lit(1)))).drop(text_col)
 
 
-def leak_check(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...] = ()) -> DataFrame:
-    """file, pointer (masked), rule and n_chars of whatever in a redacted corpus was not generated.
+def live_url(url: Column, known_hosts: tuple[str, ...] = ()) -> Column:
+    """True for a URL with any part (userinfo, host, port, path, parameter, fragment) that redact_url doesn't make."""
+    hosts = "|".join(re.escape(h) for h in ("redacted.invalid", *known_hosts))
+    chunk = f"(REDACTED|({'|'.join(KNOWN_PARAMS)}|REDACTED)=REDACTED)?"
+    return ~url.rlike(rf"^[A-Za-z][A-Za-z0-9+.-]*://({hosts})(/(REDACTED)?)*(\?{chunk}(&{chunk})*)?(#(REDACTED)?)?\z")
+
 
-    out: file, pointer, kind, value. generated: token. Rules: long_run (32 letters and digits or more), live_url
-    (host or path that is not a stand-in), coordinate (a labelled pair outside 1 to 2), token (six letters or more
-    that nothing generated and no vocabulary holds), number (digits that nothing generated; 0 is exempt).
+def leak_check(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...] = (), known_hosts: tuple[str, ...] = ()) -> DataFrame:
+    """file, pointer (masked), rule and n_chars of whatever in a redacted corpus was not generated, a row for each find.
+
+    out: file, pointer, kind, value. generated: token. Rules: long_run (32 letters and digits or more), live_url (a
+    part that is not a stand-in), coordinate (a pair, labelled or with decimals, of which one is outside 1 to 2), token
+    (six letters or more that nothing generated and no vocabulary holds), number (digits that nothing generated; 0 is
+    exempt).
     """
-    text = F.col("value")
-    at = lambda rule, n, cond: F.when(cond, F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n_chars")))
-    run = F.regexp_extract(text, "([A-Za-z0-9]{32,})", 1)
-    host = F.regexp_extract(text, r"[a-z]+://([^/?#\s]+)", 1)
-    lat = F.regexp_extract(text, LABELLED, 1).try_cast("double")
-    shape = F.filter(F.array(at("long_run", F.length(run), run != ""), at("live_url", F.length(host), (host != "") & (host != "redacted.invalid")), at("coordinate", F.length(text), text.rlike(LABELLED) & ~lat.between(1, 2))), lambda s: s.isNotNull())
-    direct = out.select("file", "pointer", F.explode(shape).alias("s")).select("file", masked_pointer(F.col("pointer")).alias("pointer"), "s.*")
+    every = lambda p: F.regexp_extract_all("value", F.lit(p), F.lit(0))
+    found = lambda rule, texts: F.transform(texts, lambda t: F.struct(F.lit(rule).alias("rule"), F.length(t).cast("long").alias("n_chars")))
+    urls = F.transform(every(URL_IN_TEXT), lambda u: F.regexp_replace(u, r"[.,);]+\z", ""))
+    inside = lambda t, i: F.coalesce(F.regexp_extract(t, PAIR_END, i).try_cast("double").between(1 - 1e-9, 2 + 1e-9), F.lit(False))
+    finds = (
+        found("long_run", every("[A-Za-z0-9]{32,}")), found("live_url", F.filter(urls, lambda u: live_url(u, known_hosts))),
+        found("coordinate", F.filter(every(PAIR_IN_TEXT), lambda t: ~(inside(t, 1) & inside(t, 2)))),
+    )
+    direct = out.select("file", "pointer", F.explode(F.concat(*finds)).alias("s")).select("file", masked_pointer(F.col("pointer")).alias("pointer"), "s.*")
     strange = strange_tokens(out, generated, vocabulary)
     return direct.unionByName(strange.select("file", masked_pointer(F.col("pointer")).alias("pointer"), "rule", F.length("token").cast("long").alias("n_chars")))
 

@@ -525,3 +525,21 @@ def leaked_words(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("/text").alias("pointer"), F.lit("string").alias("kind"), F.col("text").alias("value"))
     tokens = redact.strange_tokens(docs, table(s, d, "part").select(F.col("p_name").alias("token")))
     return tokens.filter("rule = 'token'").select(F.col("file").cast("long").alias("doc_id"), "token", "rule")
+
+
+_PLAIN_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://redacted\.invalid(/(REDACTED)?)*(\?{0}(&{0})*)?(#(REDACTED)?)?$".format("(REDACTED|(id|page|ref|q|token|lang|uid|mid|ts|REDACTED)=REDACTED)?")
+
+
+@query(
+    rf"""WITH f AS (SELECT doc_id, 'long_run' AS rule, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{32,}}')) AS t FROM documents
+UNION ALL SELECT doc_id, 'live_url', t FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{redact.URL_IN_TEXT.replace("'", "''")}')), '[.,);]+$', '') AS t FROM documents) WHERE NOT regexp_matches(t, '{_PLAIN_URL}')
+UNION ALL SELECT doc_id, 'coordinate', t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{redact.PAIR_IN_TEXT}')) AS t FROM documents)
+  WHERE NOT (regexp_extract(t, '([+-]?[0-9]+(\.[0-9]+)?)\s*,[^,]*$', 1)::DOUBLE BETWEEN 1 - 1e-9 AND 2 + 1e-9 AND regexp_extract(t, ',\s*([^,\s]*)$', 1)::DOUBLE BETWEEN 1 - 1e-9 AND 2 + 1e-9)
+UNION ALL SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]') THEN 'number' ELSE 'token' END, t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}|[0-9]+')) AS t FROM documents)
+  WHERE lower(t) NOT IN (SELECT lower(w) FROM (SELECT unnest(['main','overlay','media','thumbnail','memories','metadata','history','chat','snap','zip','b','jpg','jpeg','png','mp4','gif','webp','json','html','mov','TEXT','STATUS','NOTE','STICKER','IMAGE','VIDEO','true','false','UTC','Success','Failed','redacted','latitude','longitude','invalid']) AS w))
+  AND NOT regexp_matches(t, '^(x+|0+)$') AND t NOT IN (SELECT p_name FROM part))
+SELECT doc_id::VARCHAR AS file, '/text' AS pointer, rule, len(t) AS n_chars FROM f"""
+)
+def leak_check(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("/text").alias("pointer"), F.lit("string").alias("kind"), F.col("text").alias("value"))
+    return redact.leak_check(docs, table(s, d, "part").select(F.col("p_name").alias("token")))

@@ -218,6 +218,19 @@ def test_redaction_round_trip_and_leaks(spark):
     assert found == {"live_url", "token"}
 
 
+def test_leaks_behind_the_first_match(spark):
+    ok = "https://redacted.invalid/REDACTED?id=REDACTED&REDACTED=REDACTED#REDACTED"
+    run = "a1" * 16
+    values = {
+        "second": f"{ok} https://h.example/", "path": "https://redacted.invalid/a", "user": "https://u@redacted.invalid/", "parameter": "https://redacted.invalid/?id=7", "name": "https://redacted.invalid/?zz=REDACTED",
+        "fragment": "https://redacted.invalid/#a", "clean": f"({ok}).", "runs": f"{run} {run}b", "longitude": "Latitude, Longitude: 1.5, 48.1", "inner": "at 1.25, 1.5 or 1.5 , -9.75", "pair": "1.25, 1.5", "number": "0 17",
+    }
+    out = spark.createDataFrame([(k, "/t", "string", v) for k, v in values.items()], "file string, pointer string, kind string, value string")
+    got = sorted((r.file, r.rule, r.n_chars) for r in redact.leak_check(out, spark.createDataFrame([("1",), ("25",), ("5",)], "token string")).collect() if r.rule not in ("token", "number") or r.file == "number")
+    want = [(k, "live_url", len(values[k])) for k in ("path", "user", "parameter", "name", "fragment")] + [("second", "live_url", 18), ("runs", "long_run", 32), ("runs", "long_run", 33), ("longitude", "coordinate", 30), ("inner", "coordinate", 11), ("number", "number", 2)]
+    assert got == sorted(want)
+
+
 def test_masking_rules(spark):
     rows = spark.createDataFrame([("e", "a.json", "/x/1/y"), ("e", "b.json", "/x")], "export_id string, file string, pointer string")
     rules = spark.createDataFrame([("r1", "a*.json", "/x/*/y"), ("r2", "*", "/nothing")], "rule string, file_glob string, pointer string").select("rule", "file_glob", F.col("pointer"))
