@@ -1,9 +1,11 @@
-"""Language identification in two steps: the family first, then linear support vector machines within it."""
+"""Language identification in two steps: the family first, then linear support vector machines, one for each pair of
+its languages, that vote."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +85,15 @@ def profile(text: Column) -> Column:
 
 @dataclass
 class Model:
-    """Weights by bucket: columns for the families, then columns for the languages of families with several."""
+    """Weights by bucket: columns for the families, then a column for each pair of languages within a family."""
 
     families: list[str]
     members: dict[str, list[str]]
     weights: np.ndarray
 
     @property
-    def columns(self) -> list[tuple[str, str]]:
-        return [("", f) for f in self.families] + [(f, x) for f in self.families for x in self.members[f] if len(self.members[f]) > 1]
+    def columns(self) -> list[tuple[str, str, str]]:
+        return [("", f, "") for f in self.families] + [(f, a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, epochs: int, penalty: float) -> np.ndarray:
@@ -129,12 +131,26 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, text_col: str = "text", l
     members = {f: sorted(set(langs[kinds == f])) for f in families}
     parts = [_hinge(x, np.where(kinds[:, None] == np.array(families)[None], 1, -1), EPOCHS, PENALTY)]
     for f in families:
-        if len(members[f]) > 1:
-            mine = kinds == f
-            parts.append(_hinge(x[mine], np.where(langs[mine][:, None] == np.array(members[f])[None], 1, -1), EPOCHS, PENALTY))
+        for a, b in combinations(members[f], 2):
+            mine = (langs == a) | (langs == b)
+            parts.append(_hinge(x[mine], np.where(langs[mine][:, None] == a, 1, -1), EPOCHS, PENALTY))
     return Model(families, members, np.concatenate(parts, axis=1))
 
 
+def _vote(margins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of k languages wins most of its pairs (of equals the one with the larger margins), and mean margins.
+
+    margins: a column for each pair, positive for its first language.
+    """
+    votes, total = np.zeros((len(margins), k)), np.zeros((len(margins), k))
+    for j, (a, b) in enumerate(combinations(range(k), 2)):
+        votes[:, a] += margins[:, j] >= 0
+        votes[:, b] += margins[:, j] < 0
+        total[:, a] += margins[:, j] / (k - 1)
+        total[:, b] -= margins[:, j] / (k - 1)
+    return np.where(votes == votes.max(1, keepdims=True), total, -np.inf).argmax(1), total
+
+
 def _predict(model: Model | None, column: pa.Array) -> pa.StructArray:
     raw, offsets = textvec.column_bytes(column)
     n = len(column)
@@ -160,12 +176,12 @@ def _predict(model: Model | None, column: pa.Array) -> pa.StructArray:
     names, score = np.empty(n, object), outer[np.arange(n), first]
     for i, f in enumerate(model.families):
         mine = np.flatnonzero(first == i)
-        at = [j for j, (of, _) in enumerate(columns) if of == f]
+        at = [j for j, (of, _, _) in enumerate(columns) if of == f]
         if not at:
             names[mine] = model.members[f][0]
         elif len(mine):
-            inner = softmax(margins[np.ix_(mine, at)])
-            best = margins[np.ix_(mine, at)].argmax(1)
+            best, total = _vote(margins[np.ix_(mine, at)], len(model.members[f]))
+            inner = softmax(total)
             names[mine] = np.array(model.members[f], object)[best]
             score[mine] *= inner[np.arange(len(mine)), best]
     names[~known], score[~known] = "und", 0.0

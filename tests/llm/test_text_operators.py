@@ -195,6 +195,19 @@ def test_language_families(spark):
     assert {r.lang_pred for r in bare.collect()} == {"und"}
 
 
+def test_languages_of_a_family_vote_by_pairs(spark):
+    r = random.Random(5)
+    share = {"da": 0.97, "no": 0.5, "sv": 0.03}
+    text = lambda lang: " ".join("ddd" if r.random() < share[lang] else "sss" for _ in range(80))
+    rows = [(i, text(lang), lang, None, None) for i, lang in enumerate(list(share) * 60)]
+    out = {x.doc_id: x for x in language.language_report(spark.createDataFrame(rows, DOCS), max_rows=200).collect()}
+    # the one between the others is no half space against both, but is one against each
+    assert sum(out[i].lang_pred == rows[i][2] for i in out) >= 0.97 * len(out)
+    best, total = language._vote(np.array([[1.0, -5.0, 0.1], [3.0, -1.0, 2.0], [-1.0, -1.0, -1.0]]), 3)
+    # pairs ab, ac, bc: each one wins once in the first two rows
+    assert best.tolist() == [2, 0, 2] and total[1].tolist() == [1.0, -0.5, -0.5]
+
+
 # ---- op7 ----
 
 
