@@ -7,6 +7,7 @@ rows are dealt to tasks.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,20 +31,39 @@ URL_IN_TEXT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'\\<>]+"""
 PAIR_IN_TEXT = r"(?i:latitude, longitude:\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*,\s*[+-]?[0-9]+(?:\.[0-9]+)?)|[+-]?[0-9]{1,3}\.[0-9]+\s*,\s*[+-]?[0-9]{1,3}\.[0-9]+"
 PAIR_END = r"([+-]?[0-9]+(?:\.[0-9]+)?)\s*,\s*([+-]?[0-9]+(?:\.[0-9]+)?)\z"
 MAX_RUN = 12
+#: Levels of JSON that one plan opens.
+CUT = 6
 
 
 # ---- leaves ----
 
 
-def leaves(spark: SparkSession, corpus: DataFrame, depth: int = 12) -> DataFrame:
+def levels(body: Column) -> Column:
+    """How deep the containers of a JSON text are nested; 0 for a plain value or none."""
+    brackets = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.when(c.isin("[", "{"), F.struct((acc["at"] + 1).alias("at"), F.greatest(acc["most"], acc["at"] + 1).alias("most"))).otherwise(F.struct((acc["at"] - F.when(c == "", 0).otherwise(1)).alias("at"), acc["most"].alias("most")))
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def _cut(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows written to the shared folder and read again: Spark's optimizer does not come through plans of many levels."""
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/heronry'}/heronry-leaves-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def leaves(spark: SparkSession, corpus: DataFrame, depth: int = 0) -> DataFrame:
     """A row for each leaf of each document: export_id, file, pointer, key, parent_key, kind, value.
 
-    corpus: export_id, file, body (JSON text). An element of an array has its array's key. Values below depth
-    levels come as JSON text of kind nested; empty containers are leaves.
+    corpus: export_id, file, body (JSON text). An element of an array has its array's key. All levels are opened: the
+    deepest one is found first, and depth levels at least are gone through; empty containers are leaves, of kind nested.
     """
     empty = F.lit("")
     rows = corpus.select("export_id", "file", F.try_parse_json("body").alias("v"), empty.alias("pointer"), empty.alias("key"), empty.alias("parent_key"), F.lit(True).alias("open")).filter("v is not null")
-    for _ in range(depth):
+    deepest = corpus.filter(F.try_parse_json("body").isNotNull()).agg(F.max(levels(F.col("body")))).first()[0] or 0
+    for level in range(max(depth, deepest)):
+        if level and level % CUT == 0:
+            rows = _cut(spark, rows)
         inner = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()), how="left")
         went = F.col("pos").isNotNull()
         step = F.coalesce(F.replace(F.replace(F.col("key_"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
@@ -214,7 +234,8 @@ def handles(values: DataFrame, seed: str, digits: int = 4) -> DataFrame:
 def synthesise(rows: DataFrame, seed: str, seconds: int) -> DataFrame:
     """leaves with cls and ``out``, the value that takes its place. Join keys' values take handles.
 
-    Null, empty and 0 stay; truth values are redrawn; numbers and texts keep their shape.
+    Null, empty and 0 stay; truth values are redrawn; numbers and texts keep their shape. A container that was not
+    opened is an error.
     """
     digest = draw(seed, "leaf", F.col("file"), F.col("pointer"))
     kind, value = F.col("kind"), F.col("value")
@@ -224,7 +245,8 @@ def synthesise(rows: DataFrame, seed: str, seconds: int) -> DataFrame:
     given = handles(wanted, seed).select("value", "handle")
     d = F.col("digest")
     out = (
-        F.when(kind.isin("null", "nested") | F.col("cls").isin("empty", "enum", "extension"), value).when(F.col("cls") == "join", F.col("handle")).when(kind == "bool", F.when(draw_int(d, 2) == 0, "false").otherwise("true"))
+        F.when((kind == "nested") & ~value.isin("{}", "[]"), F.raise_error(F.concat(F.lit("not opened: "), "file")).cast("string"))
+        .when(kind.isin("null", "nested") | F.col("cls").isin("empty", "enum", "extension"), value).when(F.col("cls") == "join", F.col("handle")).when(kind == "bool", F.when(draw_int(d, 2) == 0, "false").otherwise("true"))
         .when(kind == "int", F.coalesce(shift_epoch(value, seconds), F.when(is_coordinate(F.col("key"), F.col("parent_key")), F.lit("1")), redact_int(value, d)))
         .when(kind == "float", F.when(is_coordinate(F.col("key"), F.col("parent_key")), fake_coordinate(value, d)).otherwise(redact_float(value, d)))
         .when(F.col("cls") == "url", redact_url(value)).when(F.col("cls") == "latlon", redact_latlon(value, d)).when(F.col("cls") == "datetime", F.coalesce(shift_date(value, seconds), generic_tag(d)))

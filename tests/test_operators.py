@@ -218,6 +218,27 @@ def test_redaction_round_trip_and_leaks(spark):
     assert found == {"live_url", "token"}
 
 
+def test_leaves_of_any_depth(spark):
+    import json
+
+    body = '{"username": "marielle", "latitude": 48.8566, "q": "[{\\"[", "e": [], "o": {}}'
+    for i in range(9):
+        body = f'{{"a{i}": [{body}, {i}]}}'
+    corpus = spark.createDataFrame([("e", "deep", body), ("e", "flat", '{"n": "x]"}'), ("e", "plain", "7"), ("e", "bad", "[[[")], "export_id string, file string, body string")
+    rows = redact.leaves(spark, corpus)
+    got = rows.collect()
+    assert {r.value for r in got if r.kind == "nested"} == {"[]", "{}"} and {r.value for r in got if r.key == "username"} == {"marielle"}
+    def walk(node, at=""):
+        inner = node.items() if isinstance(node, dict) else list(enumerate(node)) if isinstance(node, list) else ()
+        return {at: node} if not inner else {k: v for i, x in inner for k, v in walk(x, f"{at}/{i}").items()}
+
+    assert {r.pointer for r in got if r.file == "deep"} == set(walk(json.loads(body)))
+    out = " ".join(r.out for r in redact.synthesise(rows, "s", 0).collect())
+    assert "marielle" not in out and "48.8566" not in out
+    with pytest.raises(Exception, match="not opened: f"):
+        redact.synthesise(spark.createDataFrame([("e", "f", "/a", "a", "", "nested", '{"b":1}')], rows.schema), "s", 0).collect()
+
+
 def test_leaks_behind_the_first_match(spark):
     ok = "https://redacted.invalid/REDACTED?id=REDACTED&REDACTED=REDACTED#REDACTED"
     run = "a1" * 16
