@@ -224,6 +224,12 @@ def strip_delimited(c: Column) -> Column:
     return F.regexp_replace(quoted, r"(?s)`[^`]*+(`|\z)", "`…$1")
 
 
+def parse_strict(body: Column) -> Column:
+    """A JSON text as a variant; null if it is no JSON, holds a key twice, or goes on behind its end."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def unknown_words(kind: Column, status: Column) -> Column:
     """Names of the columns of a status row whose word is not known."""
     return F.filter(F.array(F.when(~kind.isin(*ITEM_KINDS), F.lit("kind")), F.when(~status.isin(*ITEM_STATUSES), F.lit("status"))), lambda x: x.isNotNull())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.functions import expr as x
+from heronry.sources.tables import cut
 
 OVERLAY_MODES = ("merged", "both", "originals")
 
@@ -99,53 +100,80 @@ def allocate_paths(plan: DataFrame, recorded: DataFrame, order: list[str]) -> Da
     return named.select(*columns).unionByName(kept.select(*columns))
 
 
-def _families(keys: DataFrame, key: list[str], name: str, depth: int) -> DataFrame:
-    """keys with ``family``: the name left when suffixes ``_n`` are taken off one by one while the shorter name is asked for too."""
-    asked = keys.select(*key, F.col(name).alias("base")).distinct()
-    out = keys.withColumn("family", F.col(name))
-    for _ in range(depth):
-        shorter = F.regexp_extract("family", r"(?s)^(.*)_[0-9]+\z", 1)
-        out = out.withColumn("base", F.when(shorter != "", shorter)).join(asked.withColumn("there", F.lit(True)), [*key, "base"], "left")
-        out = out.withColumn("family", F.when(F.col("there"), F.col("base")).otherwise(F.col("family"))).drop("base", "there")
-    return out
+def _families(keys: DataFrame, key: list[str], name: str) -> DataFrame:
+    """keys with ``family``: the name left when suffixes ``_n`` are taken off one by one while the shorter name is asked for too.
 
-
-def _claim_in_order(requests: DataFrame, reserved: DataFrame, key: list[str], order: list[str], depth: int) -> DataFrame:
-    """requests (key, id columns, name) with ``claimed``: the name, or name_2 and so on, that nothing before holds.
-
-    reserved: key, folded. Only families of several requests or with a reserved name are walked.
+    keys: distinct rows of key and name. All shorter forms of a name are looked up at once, however many there are.
     """
-    rows = requests.withColumn("folded", x.fold(F.col("name")))
-    keys = rows.select(*key, "folded").unionByName(reserved.select(*key, "folded")).distinct()
-    family = _families(keys, key, "folded", depth)
+    shape = r"(?s)^(.*?)((?:_[0-9]+)*)\z"
+    base, tail = F.regexp_extract(name, shape, 1), F.regexp_extract(name, shape, 2)
+    parts = F.filter(F.split(tail, "_"), lambda p: p != "")
+    shorter = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(k.alias("k"), F.concat("base", F.array_join(F.transform(F.slice("parts", F.lit(1), F.size("parts") - k), lambda p: F.concat(F.lit("_"), p)), "")).alias("base")))
+    suffixed = keys.filter(F.col(name).rlike(r"_[0-9]+\z")).select(*key, name, base.alias("base"), parts.alias("parts"))
+    each = suffixed.select(*key, name, F.explode(shorter).alias("s")).select(*key, name, "s.k", F.col("s.base").alias("base")).filter("base <> ''")
+    asked = keys.select(*key, F.col(name).alias("base"))
+    there = each.join(asked, [*key, "base"]).groupBy(*key, name).agg(F.map_from_entries(F.collect_list(F.struct("k", "base"))).alias("there"))
+    # the longest run of shorter names, from one suffix less on, that are all asked for
+    run = F.aggregate(F.array_sort(F.map_keys("there")), F.lit(0), lambda acc, k: F.when(k == acc + 1, k).otherwise(acc))
+    rooted = there.select(*key, name, F.try_element_at("there", run).alias("root"))
+    return keys.join(rooted, [*key, name], "left").select(*key, name, F.coalesce("root", name).alias("family"))
+
+
+def _number_of(name: Column, stem: Column) -> Column:
+    """1 for the stem itself, n for ``stem_n``, else null."""
+    rest = F.substring(name, F.length(stem) + 2, F.lit(1 << 30))
+    suffixed = F.startswith(name, F.concat(stem, F.lit("_"))) & rest.rlike(r"^([2-9]|[1-9][0-9]{1,17})\z")
+    return F.when(name == stem, F.lit(1).cast("long")).when(suffixed, rest.try_cast("long"))
+
+
+def _claim_in_order(requests: DataFrame, reserved: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """requests (key, order, name) with ``claimed``: the name, or name_2 and so on, that nothing before holds.
+
+    reserved: key, folded. Where a family's requests all ask for one name, the k-th takes the k-th free number, which
+    is a join on row numbers; families of several names, such as ``a`` and ``a_2``, are walked one by one.
+    """
+    rows = cut(requests.withColumn("folded", x.fold(F.col("name"))), "requests")
+    taken = cut(reserved.select(*key, "folded").distinct(), "reserved")
+    family = cut(_families(rows.select(*key, "folded").unionByName(taken).distinct(), key, "folded"), "families")
+    group = [*key, "family"]
     rows = rows.join(family, [*key, "folded"])
-    held = reserved.select(*key, "folded").distinct().join(family, [*key, "folded"])
-    busy = rows.groupBy(*key, "family").agg(F.count(F.lit(1)).alias("n")).join(held.groupBy(*key, "family").agg(F.collect_set("folded").alias("held")), [*key, "family"], "left")
-    rows = rows.join(busy, [*key, "family"])
-    alone = (F.col("n") == 1) & F.col("held").isNull()
-    easy = rows.filter(alone).withColumn("claimed", F.col("name"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken = set(group["held"].iloc[0]) if group["held"].iloc[0] is not None else set()
-        group = group.sort_values(order, kind="stable")
-        out, tried = [], {}
-        for name, folded in zip(group["name"], group["folded"], strict=True):
-            n, suffix = tried.get(folded, 1), ""
-            while folded + suffix in taken:
+    held = taken.join(family, [*key, "folded"])
+    kinds = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("need"), F.min("folded").alias("low"), F.max("folded").alias("high"))
+    one = kinds.filter("low = high").select(*group, "need", F.col("low").alias("stem"))
+    numbers = held.join(one, group).select(*group, _number_of(F.col("folded"), F.col("stem")).alias("n")).groupBy(*group).agg(F.collect_set("n").alias("held"))
+    none = F.array().cast("array<bigint>")
+    free = one.join(numbers, group, "left").select(*group, F.coalesce("held", none).alias("held"), "need")
+    free = free.select(*group, F.explode(F.array_except(F.sequence(F.lit(1).cast("long"), F.col("need") + F.size("held")), "held")).alias("n"))
+    by = Window.partitionBy(*group)
+    free = free.withColumn("k", F.row_number().over(by.orderBy("n")))
+    alone = rows.join(one.select(*group), group, "left_semi").withColumn("k", F.row_number().over(by.orderBy(*order))).join(free, [*group, "k"])
+    suffix = F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")
+    alone = alone.select(*requests.columns, F.concat("name", suffix).alias("claimed"))
+
+    columns = requests.columns
+
+    def walk(asking: pd.DataFrame, holding: pd.DataFrame) -> pd.DataFrame:
+        used, out, tried = set(holding["folded"]), [], {}
+        asking = asking.sort_values(order, kind="stable")
+        for name, folded in zip(asking["name"], asking["folded"], strict=True):
+            n, end = tried.get(folded, (1, ""))
+            while folded + end in used:
                 n += 1
-                suffix = f"_{n}"
-            tried[folded] = n
-            taken.add(folded + suffix)
-            out.append(name + suffix)
-        return group.assign(claimed=out)
+                end = f"_{n}"
+            tried[folded] = n, end
+            used.add(folded + end)
+            out.append(name + end)
+        return asking[columns].assign(claimed=out)
 
-    hard = rows.filter(~alone)
-    schema = T.StructType([*hard.schema.fields, T.StructField("claimed", T.StringType())])
-    walked = hard.groupBy(*key, "family").applyInPandas(walk, schema)
-    return easy.select(*walked.columns).unionByName(walked).select(*requests.columns, "claimed")
+    many = rows.join(kinds.filter("low < high").select(*group), group, "left_semi")
+    schema = T.StructType([*requests.schema.fields, T.StructField("claimed", T.StringType())])
+    # columns of its own, since both sides stem from the same names; names that nobody asks for stay out
+    holding = held.join(kinds.filter("low < high").select(*group), group, "left_semi")
+    holding = holding.toDF(*holding.columns)
+    return alone.unionByName(many.groupBy(*group).cogroup(holding.groupBy(*group)).applyInPandas(walk, schema))
 
 
-def allocate_dirs(keys: DataFrame, recorded: DataFrame | None = None, occupied: DataFrame | None = None, depth: int = 6) -> DataFrame:
+def allocate_dirs(keys: DataFrame, recorded: DataFrame | None = None, occupied: DataFrame | None = None) -> DataFrame:
     """export_id, conversation, dir and adopted for each conversation, keys in sorted order.
 
     recorded: export_id, conversation, dir of earlier runs; a conversation keeps the lowest of its own that no
@@ -174,20 +202,21 @@ def allocate_dirs(keys: DataFrame, recorded: DataFrame | None = None, occupied:
         return pd.DataFrame(out, columns=["export_id", "conversation", "dir"])
 
     kept = calm.unionByName(contested.groupBy("export_id").applyInPandas(settle, "export_id string, conversation string, dir string"))
+    kept = cut(kept, "kept-dirs")
     reserved = kept.select("export_id", x.fold(F.col("dir")).alias("folded")).unionByName(occupied.select("export_id", x.fold(F.col("dir")).alias("folded"))).unionByName(recorded.select("export_id", x.fold(F.col("dir")).alias("folded"))).unionByName(rows.select("export_id", none.alias("folded"))).distinct()
     new = rows.join(kept, ["export_id", "conversation"], "left_anti").withColumn("name", x.dir_name(F.col("conversation")))
-    named = _claim_in_order(new, reserved, ["export_id"], ["conversation"], depth)
+    named = _claim_in_order(new, reserved, ["export_id"], ["conversation"])
     return kept.withColumn("adopted", F.lit(True)).unionByName(named.select("export_id", "conversation", F.col("claimed").alias("dir"), F.lit(False).alias("adopted")))
 
 
-def allocate_copies(plan: DataFrame, depth: int = 6) -> DataFrame:
+def allocate_copies(plan: DataFrame) -> DataFrame:
     """plan with ``copy``: names of kept originals, in plan order, main before overlay, ``stem_2.ext`` on a clash.
 
     plan: export_id, dir, seq, part (0 main, 1 overlay), stem, ext.
     """
     rows = plan.withColumn("name", F.col("stem")).withColumn("fext", x.fold(F.col("ext")))
     none = rows.select("export_id", "dir", "fext", F.lit("").alias("folded")).limit(0)
-    out = _claim_in_order(rows, none, ["export_id", "dir", "fext"], ["seq", "part"], depth)
+    out = _claim_in_order(rows, none, ["export_id", "dir", "fext"], ["seq", "part"])
     return out.withColumn("copy", F.concat("claimed", F.lit("."), "ext")).drop("claimed", "name", "fext")
 
 

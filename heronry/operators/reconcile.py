@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
+from heronry.sources.tables import cut
 
 BUCKET = ("export_id", "day", "kind")
 
@@ -21,17 +22,25 @@ def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(bucket.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(bucket))
 
 
-def bucket_match(entries: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries and media of one day and kind, in turn: entries by entry_index, media by uuid.
-
-    Gives the pairs (confidence exact if the bucket holds one of each, else ambiguous), the entries left over,
-    and the media left over. Entries without a day stay left over.
-    """
+def _buckets(entries: DataFrame, media: DataFrame) -> DataFrame:
+    """Entries and media of a bucket side by side, each in its turn, as structs; one is null where a side ran out."""
     e = _ranked(entries.filter(F.col("day").isNotNull()), ["entry_index"])
     m = _ranked(media, ["uuid"])
     m_side = m.select(*BUCKET, "rn", F.col("n").alias("m_n"), F.struct(*[c for c in media.columns if c not in BUCKET]).alias("media"))
     e_side = e.select(*BUCKET, "rn", F.col("n").alias("e_n"), F.struct(*[c for c in entries.columns if c not in BUCKET]).alias("entry"))
-    both = e_side.join(m_side, [*BUCKET, "rn"], "full")
+    return e_side.join(m_side, [*BUCKET, "rn"], "full")
+
+
+def bucket_match(entries: DataFrame, media: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries and media of one day and kind, in turn: entries by entry_index, media by uuid.
+
+    Gives the pairs (confidence exact if the bucket holds one of each, else ambiguous), the entries left over,
+    and the media left over. Entries without a day stay left over. written: write what the three have in common, for
+    callers that need them all.
+    """
+    both = _buckets(entries, media)
+    if written:
+        both = cut(both, "buckets")
     confidence = F.when((F.col("e_n") == 1) & (F.col("m_n") == 1), "exact").otherwise("ambiguous")
     pairs = both.filter("entry is not null and media is not null").select(*BUCKET, "entry", "media", confidence.alias("confidence"))
     left = both.filter("entry is not null and media is null").select(*BUCKET, "entry.*").unionByName(entries.filter(F.col("day").isNull()))
@@ -52,32 +61,58 @@ def islands(rows: DataFrame, day: str = "day") -> DataFrame:
     return tagged.drop("d")
 
 
+def _linked_days(entries: DataFrame, media: DataFrame) -> DataFrame:
+    """export_id, kind, d (a day number), n_media and chain: days that follow each other and hold opposite sides, so
+    that an entry of one may take a medium of the other, share a chain; a chain holds both sides.
+
+    entries and media: export_id, kind, d.
+    """
+    key = ["export_id", "kind", "d"]
+    count = lambda side, n: side.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
+    days = count(entries, "n_entries").join(count(media, "n_media"), key, "full").fillna(0, ["n_entries", "n_media"])
+    by = Window.partitionBy("export_id", "kind").orderBy("d")
+    before = lambda c: F.lag(c).over(by)
+    meets = ((F.col("n_entries") > 0) & (before("n_media") > 0)) | ((F.col("n_media") > 0) & (before("n_entries") > 0))
+    tied = F.coalesce((before("d") == F.col("d") - 1) & meets, F.lit(False))
+    chained = days.withColumn("new", (~tied).cast("int")).withColumn("chain", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    size = Window.partitionBy("export_id", "kind", "chain")
+    return chained.withColumn("days", F.count(F.lit(1)).over(size)).filter("days > 1").select(*key, "n_media", "chain")
+
+
 def adjacent_match(entries: DataFrame, media: DataFrame) -> DataFrame:
     """export_id, entry_index and uuid of entries that take media a day off, by the residues of bucket_match.
 
     Entries in order try the next day, then the day before, and take the first medium by uuid that is left. The
-    order matters, so each island of days is worked through as one group; islands without both sides are skipped.
-    An island grows with the leftovers of consecutive days of one export and kind, never with the table.
+    order matters, so chains of days that can meet are walked, on entry numbers, day numbers and counts of media
+    alone; the media that an entry takes come by a join on their ranks. After bucket_match a day holds one side only,
+    so a chain ends wherever two days hold the same one.
     """
-    e = entries.select("export_id", "kind", "day", F.lit(0).alias("side"), F.col("entry_index").cast("string").alias("key"), F.col("entry_index").alias("n"))
-    m = media.select("export_id", "kind", "day", F.lit(1).alias("side"), F.col("uuid").alias("key"), F.lit(0).cast("long").alias("n"))
-    rows = islands(e.unionByName(m)).filter("island is not null")
-    sides = rows.groupBy("export_id", "kind", "island").agg(F.min("side").alias("low"), F.max("side").alias("high")).filter("low = 0 and high = 1")
-    rows = rows.join(sides.select("export_id", "kind", "island"), ["export_id", "kind", "island"], "left_semi")
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        free = {d: sorted(g["key"], reverse=True) for d, g in group[group["side"] == 1].groupby("day")}
-        out = []
-        for _, r in group[group["side"] == 0].sort_values("n").iterrows():
-            at = pd.Timestamp(r["day"])
-            for step in (1, -1):
-                day = (at + pd.Timedelta(days=step)).strftime("%Y-%m-%d")
-                if free.get(day):
-                    out.append((r["export_id"], r["n"], free[day].pop()))
-                    break
-        return pd.DataFrame(out, columns=["export_id", "entry_index", "uuid"])
-
-    return rows.groupBy("export_id", "kind", "island").applyInPandas(take, "export_id string, entry_index long, uuid string")
+    number = F.datediff(F.try_to_date(F.col("day"), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date"))
+    e = entries.select("export_id", "kind", number.alias("d"), "entry_index").filter("d is not null")
+    m = media.select("export_id", "kind", number.alias("d"), "uuid").filter("d is not null")
+    days = cut(_linked_days(e, m), "linked-days")
+    key = ["export_id", "kind", "d"]
+    asking = e.join(days.select(*key, "chain"), key)
+
+    def take(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        left = {d: n for d, n in zip(have["d"].tolist(), have["n_media"].tolist(), strict=True) if n}
+        first = dict(left)
+        asks = asks.sort_values("entry_index", kind="stable")
+        day, rank = [], []
+        for d in asks["d"].tolist():
+            at = d + 1 if left.get(d + 1) else d - 1 if left.get(d - 1) else None
+            day.append(at)
+            rank.append(first[at] - left[at] + 1 if at is not None else None)
+            if at is not None:
+                left[at] -= 1
+        out = asks[["export_id", "kind", "entry_index"]].assign(d=pd.array(day, "Int32"), rank=pd.array(rank, "Int32"))
+        return out[out["d"].notna()]
+
+    chain = ["export_id", "kind", "chain"]
+    have = days.toDF(*days.columns)  # columns of its own: both sides stem from the same days
+    taken = asking.groupBy(*chain).cogroup(have.groupBy(*chain)).applyInPandas(take, "export_id string, kind string, entry_index long, d int, rank int")
+    ranked = m.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("uuid")))
+    return taken.join(ranked, [*key, "rank"]).select("export_id", "entry_index", "uuid")
 
 
 def duplicates(files: DataFrame, id_col: str = "uuid", role_col: str = "role") -> tuple[DataFrame, DataFrame]:
@@ -193,14 +228,14 @@ def memory_items(entries: DataFrame, media: DataFrame, scan_gaps: DataFrame) ->
 
     source_id is the medium's uuid, or ``unpaired-entry-<index>``. The result of a whole reconciliation of days.
     """
-    pairs, left, free = bucket_match(entries, media)
-    flat = pairs.select(*BUCKET, "entry.entry_index", "media.uuid", "confidence")
-    moved = adjacent_match(left, free)
-    off = left.join(moved, ["export_id", "entry_index"]).select(*BUCKET, "entry_index", "uuid", F.lit("ambiguous").alias("confidence"))
-    none = left.join(moved, ["export_id", "entry_index"], "left_anti")
-    gone = missing_reason(none, scan_gaps, F.col("day")).select(*BUCKET, "entry_index", F.lit(None).cast("string").alias("uuid"), F.lit("missing").alias("confidence"), "reason")
-    all_rows = flat.unionByName(off).withColumn("reason", F.lit(None).cast("string")).unionByName(gone)
-    return all_rows.withColumn("source_id", F.coalesce("uuid", F.concat(F.lit("unpaired-entry-"), F.col("entry_index").cast("string"))))
+    pairs, left, free = bucket_match(entries.select(*BUCKET, "entry_index"), media.select(*BUCKET, "uuid"), written=True)
+    none = F.lit(None).cast("string")
+    flat = pairs.select(*BUCKET, "entry.entry_index", "media.uuid", "confidence", none.alias("reason"))
+    tried = left.join(adjacent_match(left, free), ["export_id", "entry_index"], "left")
+    rest = missing_reason(tried, scan_gaps, F.col("day"))
+    found = F.col("uuid").isNotNull()
+    rest = rest.select(*BUCKET, "entry_index", "uuid", F.when(found, "ambiguous").otherwise("missing").alias("confidence"), F.when(~found, F.col("reason")).alias("reason"))
+    return flat.unionByName(rest).withColumn("source_id", F.coalesce("uuid", F.concat(F.lit("unpaired-entry-"), F.col("entry_index").cast("string"))))
 
 
 def assign_zone(points: DataFrame, zones: DataFrame, cell: float = 1.0, id_col: str = "id") -> DataFrame:
@@ -229,3 +264,15 @@ def in_polygon(lat: Column, lon: Column, polygon: Column) -> Column:
         & (lon < (F.get(polygon, (i + 1) % n)["lon"] - F.get(polygon, i)["lon"]) * (lat - F.get(polygon, i)["lat"]) / (F.get(polygon, (i + 1) % n)["lat"] - F.get(polygon, i)["lat"]) + F.get(polygon, i)["lon"]),
     )
     return F.size(crossings) % 2 == 1
+
+
+def named_set(items: DataFrame, gaps: DataFrame) -> DataFrame:
+    """export_id, source_id and side (item or gap) of all that a run names. items and gaps: export_id, source_id.
+
+    An id on both sides is an error that fails the job: an item with a file cannot lack one.
+    """
+    key = ["export_id", "source_id"]
+    each = items.select(*key, F.lit("item").alias("side")).unionByName(gaps.select(*key, F.lit("gap").alias("side")))
+    sides = each.groupBy(*key).agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    clash = F.raise_error(F.concat(F.lit("an item and a gap share an id in export "), F.coalesce("export_id", F.lit("null")))).cast("string")
+    return sides.select(*key, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(clash).alias("side"))

@@ -7,11 +7,13 @@ rows are dealt to tasks.
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heronry.functions import expr as x
+from heronry.sources.tables import cut
+
 # Keys whose values join rows, keys of free text, and words that say nothing about a person.
 USER_KEYS = ("from", "to", "username", "user", "sender", "name", "displayname")
 CONVERSATION_KEYS = ("conversation", "conversationid", "conversationtitle", "thread")
@@ -45,13 +47,6 @@ def levels(body: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
 
 
-def _cut(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows written to the shared folder and read again: Spark's optimizer does not come through plans of many levels."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/heronry'}/heronry-leaves-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def leaves(spark: SparkSession, corpus: DataFrame, depth: int = 0) -> DataFrame:
     """A row for each leaf of each document: export_id, file, pointer, key, parent_key, kind, value.
 
@@ -59,11 +54,11 @@ def leaves(spark: SparkSession, corpus: DataFrame, depth: int = 0) -> DataFrame:
     deepest one is found first, and depth levels at least are gone through; empty containers are leaves, of kind nested.
     """
     empty = F.lit("")
-    rows = corpus.select("export_id", "file", F.try_parse_json("body").alias("v"), empty.alias("pointer"), empty.alias("key"), empty.alias("parent_key"), F.lit(True).alias("open")).filter("v is not null")
-    deepest = corpus.filter(F.try_parse_json("body").isNotNull()).agg(F.max(levels(F.col("body")))).first()[0] or 0
+    rows = corpus.select("export_id", "file", x.parse_strict(F.col("body")).alias("v"), empty.alias("pointer"), empty.alias("key"), empty.alias("parent_key"), F.lit(True).alias("open")).filter("v is not null")
+    deepest = corpus.filter(x.parse_strict(F.col("body")).isNotNull()).agg(F.max(levels(F.col("body")))).first()[0] or 0
     for level in range(max(depth, deepest)):
         if level and level % CUT == 0:
-            rows = _cut(spark, rows)
+            rows = cut(rows, "leaves")  # Spark's optimizer does not come through plans of many levels
         inner = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()), how="left")
         went = F.col("pos").isNotNull()
         step = F.coalesce(F.replace(F.replace(F.col("key_"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
@@ -291,14 +286,22 @@ def id_keyed_containers(keys: DataFrame, schema_words: tuple[str, ...] = (), lea
     return g.filter((F.col("n") >= least) & (F.col("kinds") == 1) & (F.col("own") > 0) & (2 * F.col("single") >= F.col("own")))
 
 
-def vocabulary_gaps(words: DataFrame, vocabulary: tuple[str, ...], cap: int = 20) -> DataFrame:
-    """Words of masked names by what could be done about each: known already, over the cap, nested, or to be named.
+def vocabulary_gaps(paths: DataFrame, vocabulary: tuple[str, ...], longest: int = MAX_RUN) -> DataFrame:
+    """bucket, word and n: parts of JSON files' names that a vocabulary of names does not hold.
 
-    words: word, nested. Buckets are disjoint and each word has one.
+    paths: path below the ``json`` folder. named: a word of a plain file name, which alone is shown; over_cap: such a
+    word beyond longest characters; not_fixable: digits, dates, ids and other signs of a plain file name; withheld: a
+    word of a path with folders, of which nothing is known. Every find is in one bucket.
     """
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("nested").alias("nested"))
-    bucket = F.when(F.lower("word").isin(*vocabulary), "known").when(F.col("nested"), "withheld").when(F.col("n") > cap, "over_cap").when(F.length("word") < 3, "not_fixable").otherwise("named")
-    return counts.withColumn("bucket", bucket)
+    known = [w.lower() for w in (*vocabulary, *EXTENSIONS)]
+    nested = F.contains("path", F.lit("/"))
+    token = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Za-z][A-Za-z0-9]*|[0-9]+|[^A-Za-z0-9]+)"
+    each = paths.select(nested.alias("nested"), F.explode(F.regexp_extract_all("path", F.lit(token), F.lit(1))).alias("t"))
+    word = F.col("t").rlike(r"^[A-Za-z][A-Za-z0-9]*\z")
+    plain = F.lower("t").isin(*known) | F.col("t").rlike(r"^[._~/-]+\z")
+    bucket = F.when(plain, None).when(F.col("nested"), F.when(word, "withheld")).when(~word, "not_fixable").when(F.length("t") > longest, "over_cap").otherwise("named")
+    found = each.withColumn("bucket", bucket).filter("bucket is not null").withColumn("word", F.when(F.col("bucket") == "named", F.lower("t")))
+    return found.groupBy("bucket", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- leaks ----
@@ -316,25 +319,26 @@ def live_url(url: Column, known_hosts: tuple[str, ...] = ()) -> Column:
     return ~url.rlike(rf"^[A-Za-z][A-Za-z0-9+.-]*://({hosts})(/(REDACTED)?)*(\?{chunk}(&{chunk})*)?(#(REDACTED)?)?\z")
 
 
-def leak_check(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...] = (), known_hosts: tuple[str, ...] = ()) -> DataFrame:
-    """file, pointer (masked), rule and n_chars of whatever in a redacted corpus was not generated, a row for each find.
+def leak_check(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...] = (), known_hosts: tuple[str, ...] = (), longest: int = 32) -> DataFrame:
+    """file, pointer (masked), rule, n_chars and a masked excerpt of whatever in a redacted corpus was not generated, a
+    row for each find.
 
-    out: file, pointer, kind, value. generated: token. Rules: long_run (32 letters and digits or more), live_url (a
+    out: file, pointer, kind, value. generated: token. Rules: long_run (longest letters and digits or more), live_url (a
     part that is not a stand-in), coordinate (a pair, labelled or with decimals, of which one is outside 1 to 2), token
     (six letters or more that nothing generated and no vocabulary holds), number (digits that nothing generated; 0 is
     exempt).
     """
     every = lambda p: F.regexp_extract_all("value", F.lit(p), F.lit(0))
-    found = lambda rule, texts: F.transform(texts, lambda t: F.struct(F.lit(rule).alias("rule"), F.length(t).cast("long").alias("n_chars")))
+    found = lambda rule, texts: F.transform(texts, lambda t: F.struct(F.lit(rule).alias("rule"), F.length(t).cast("long").alias("n_chars"), masked_excerpt(t).alias("excerpt")))
     urls = F.transform(every(URL_IN_TEXT), lambda u: F.regexp_replace(u, r"[.,);]+\z", ""))
     inside = lambda t, i: F.coalesce(F.regexp_extract(t, PAIR_END, i).try_cast("double").between(1 - 1e-9, 2 + 1e-9), F.lit(False))
     finds = (
-        found("long_run", every("[A-Za-z0-9]{32,}")), found("live_url", F.filter(urls, lambda u: live_url(u, known_hosts))),
+        found("long_run", every(f"[A-Za-z0-9]{{{longest},}}")), found("live_url", F.filter(urls, lambda u: live_url(u, known_hosts))),
         found("coordinate", F.filter(every(PAIR_IN_TEXT), lambda t: ~(inside(t, 1) & inside(t, 2)))),
     )
     direct = out.select("file", "pointer", F.explode(F.concat(*finds)).alias("s")).select("file", masked_pointer(F.col("pointer")).alias("pointer"), "s.*")
     strange = strange_tokens(out, generated, vocabulary)
-    return direct.unionByName(strange.select("file", masked_pointer(F.col("pointer")).alias("pointer"), "rule", F.length("token").cast("long").alias("n_chars")))
+    return direct.unionByName(strange.select("file", masked_pointer(F.col("pointer")).alias("pointer"), "rule", F.length("token").cast("long").alias("n_chars"), masked_excerpt(F.col("token")).alias("excerpt")))
 
 
 def strange_tokens(out: DataFrame, generated: DataFrame, vocabulary: tuple[str, ...] = ()) -> DataFrame:
@@ -345,9 +349,36 @@ def strange_tokens(out: DataFrame, generated: DataFrame, vocabulary: tuple[str,
     return strange.select("file", "pointer", "token", F.when(F.col("token").rlike("^[0-9]"), "number").otherwise("token").alias("rule"))
 
 
-def write_redacted(rows: DataFrame, path: str) -> None:
-    """The redacted leaves as JSON rows, in a folder for each file."""
-    rows.select("file", "export_id", "pointer", "kind", F.col("out").alias("value")).write.partitionBy("file").mode("overwrite").json(path)
+def mirrored_names(files: DataFrame, seconds: int = 0) -> DataFrame:
+    """files (export_id, file) with ``mirror``: the masked name, ``stem-2.ext`` and so on where names of an export meet,
+    in order of the files' own names. Masked names hold no digits but dates, so a number never meets another's stem."""
+    name = redact_filename(F.col("file"), seconds)
+    by = Window.partitionBy("export_id", "masked").orderBy("file")
+    rows = files.select("export_id", "file").distinct().withColumn("masked", name).withColumn("k", F.row_number().over(by))
+    stem, end = F.regexp_extract("masked", r"(?s)^(.*?)(\.[^./]*)?\z", 1), F.regexp_extract("masked", r"(?s)^(.*?)(\.[^./]*)?\z", 2)
+    return rows.select("export_id", "file", F.when(F.col("k") == 1, F.col("masked")).otherwise(F.concat(stem, F.lit("-"), F.col("k").cast("string"), end)).alias("mirror"))
+
+
+def masked_excerpt(c: Column, limit: int = 80) -> Column:
+    """A text for reports: every run of word characters as stars, but for REDACTED, cut at limit characters."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W)"), F.lit(1))
+    starred = F.array_join(F.transform(pieces, lambda t: F.when((t == "REDACTED") | ~t.rlike(r"(?U)^\w"), t).otherwise(F.repeat(F.lit("*"), F.length(t)))), "")
+    return F.when(F.length(starred) <= limit, starred).otherwise(F.concat(F.left(starred, F.lit(limit)), F.lit("...")))
+
+
+def write_redacted(rows: DataFrame, path: str, seconds: int = 0) -> None:
+    """A mirror of a redacted corpus under path: ``documents`` (JSON texts nested again, in a folder for each export and
+    mirrored name), ``listing`` (mirrored names with their numbers of leaves) and ``report`` (leaves by kind and class).
+
+    rows: what synthesise gives. Original names appear in none of them.
+    """
+    names = mirrored_names(rows, seconds)
+    docs = renest(rows).join(names, ["export_id", "file"]).select("export_id", F.col("mirror").alias("file"), "body")
+    docs.write.partitionBy("export_id", "file").mode("overwrite").text(f"{path}/documents")
+    counted = rows.groupBy("export_id", "file").agg(F.count(F.lit(1)).alias("leaves")).join(names, ["export_id", "file"])
+    counted.select("export_id", F.col("mirror").alias("file"), "leaves").write.mode("overwrite").parquet(f"{path}/listing")
+    named = rows.join(names, ["export_id", "file"]).drop("file").withColumnRenamed("mirror", "file")
+    tallies(named).write.mode("overwrite").parquet(f"{path}/report")
 
 
 def renest(rows: DataFrame, value: str = "out") -> DataFrame:
@@ -367,7 +398,7 @@ def renest(rows: DataFrame, value: str = "out") -> DataFrame:
         entry = F.struct(F.when(number, F.col("step").try_cast("long")).alias("i"), "step", "body")
         label = lambda s: F.regexp_replace(F.to_json(F.array(name(s))), r"^\[|\]$", "")
         grouped = here.groupBy(*key, "path").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.min(number).alias("list"))
-        array = F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["body"]), ","), F.lit("]"))
-        object_ = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda x: F.concat(label(x["step"]), F.lit(":"), x["body"])), ","), F.lit("}"))
+        array = F.concat(F.lit("["), F.array_join(F.transform("e", lambda s: s["body"]), ","), F.lit("]"))
+        object_ = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda s: F.concat(label(s["step"]), F.lit(":"), s["body"])), ","), F.lit("}"))
         level = level.filter(F.size("path") < depth).unionByName(grouped.select(*key, "path", F.when(F.col("list"), array).otherwise(object_).alias("body")))
     return level.select(*key, "body")

@@ -199,6 +199,21 @@ def claims(items: DataFrame) -> DataFrame:
     return held.select("export_id", "kind", "source_id", F.col("output_path").alias("directory"))
 
 
+def write_snapshot(items: DataFrame, path: str, version: int) -> None:
+    """The table under path, in a folder for the version and one for each kind, and then its meta rows (version and
+    export_id), so that a snapshot without meta rows is one that was not finished. An older version is never touched."""
+    items.write.partitionBy("kind").mode("error").parquet(f"{path}/version={version}/items")
+    items.select(F.lit(version).alias("version"), "export_id").distinct().write.mode("error").parquet(f"{path}/version={version}/meta")
+
+
+def read_snapshot(spark, path: str, version: int, export_id: str | None = None) -> DataFrame:
+    """The table of a finished snapshot. With an export_id the snapshot must hold that export alone."""
+    meta = spark.read.parquet(f"{path}/version={version}/meta")
+    if export_id is not None:
+        check_snapshot(meta, version, export_id)
+    return spark.read.parquet(f"{path}/version={version}/items").select(*COLUMNS)
+
+
 def check_snapshot(meta: DataFrame, version: int, export_id: str) -> None:
     """Raise unless a snapshot's meta row (version, export_id) is of this version and export."""
     rows = meta.select("version", "export_id").distinct().limit(2).collect()

@@ -43,9 +43,11 @@ def conversation_title(timeline: DataFrame) -> DataFrame:
 
 
 def picker(timeline: DataFrame) -> DataFrame:
-    """Conversations in the order of a list for people: title, else key, without regard to case; ties by key."""
+    """Conversations in the order of a list for people, with their ``place`` in their export's list: title, else key,
+    without regard to case; ties by key."""
     titled = conversation_title(timeline).withColumn("label", F.coalesce("title", "conversation"))
-    return titled.orderBy("export_id", F.lower("label"), "conversation")
+    order = [F.lower("label"), F.col("conversation")]
+    return titled.withColumn("place", F.row_number().over(Window.partitionBy("export_id").orderBy(*order))).orderBy("export_id", "place")
 
 
 def resolve_links(timeline: DataFrame, items: DataFrame) -> DataFrame:
@@ -104,16 +106,22 @@ def html_block(with_links: bool) -> Column:
     )
 
 
-def documents(timeline: DataFrame, fmt: str, with_links: bool = False, max_records: int = 50_000) -> DataFrame:
-    """export_id, conversation, part and the document's text in a format of FORMATS.
+HTML_HEAD = '<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'
+HTML_BODY, HTML_TAIL = "</title>\n</head>\n<body>\n", "\n</body>\n</html>\n"
 
-    A conversation of over max_records rows gives several parts, so that no value outgrows a task; each part is a
-    whole document of its format.
+
+def _rendered(fmt: str, with_links: bool) -> Column:
+    return {"json": json_record, "csv": csv_row, "text": text_block, "html": lambda: html_block(with_links)}[fmt]()
+
+
+def documents(timeline: DataFrame, fmt: str, with_links: bool = False) -> DataFrame:
+    """export_id, conversation and the document's text in a format of FORMATS, one for each conversation.
+
+    A document is one value and so must fit a row; write_transcripts has no such bound.
     """
-    part = F.floor((F.col("seq") - 1) / max_records).cast("int")
-    row = {"json": json_record, "csv": csv_row, "text": text_block, "html": lambda: html_block(with_links)}[fmt]()
-    grouped = timeline.select("export_id", "conversation", part.alias("part"), F.struct("seq", row.alias("row")).alias("r"), F.struct(F.when(F.col("title").isNotNull(), F.col("seq")).alias("at"), "title").alias("t"))
-    grouped = grouped.groupBy("export_id", "conversation", "part").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias("rows"), F.min(F.when(F.col("t.at").isNotNull(), F.col("t")))["title"].alias("title"))
+    titled = F.when(F.col("title").isNotNull(), F.struct("seq", "title"))
+    rows = timeline.select("export_id", "conversation", F.struct("seq", _rendered(fmt, with_links).alias("row")).alias("r"), titled.alias("t"))
+    grouped = rows.groupBy("export_id", "conversation").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias("rows"), F.min("t")["title"].alias("title"))
     if fmt == "json":
         body = F.to_json(F.struct("conversation", F.col("rows").alias("records")))
     elif fmt == "csv":
@@ -122,11 +130,47 @@ def documents(timeline: DataFrame, fmt: str, with_links: bool = False, max_recor
         body = F.array_join("rows", "\n")
     else:
         title = x.html_escape(F.coalesce("title", "conversation"))
-        body = F.concat(F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit("</title>\n</head>\n<body>\n"), F.array_join("rows", ""), F.lit("\n</body>\n</html>\n"))
-    return grouped.select("export_id", "conversation", "part", body.alias("document"))
+        body = F.concat(F.lit(HTML_HEAD), title, F.lit(HTML_BODY), F.array_join("rows", ""), F.lit(HTML_TAIL))
+    return grouped.select("export_id", "conversation", body.alias("document"))
 
 
-def write_transcripts(timeline: DataFrame, path: str, fmt: str, with_links: bool = False) -> None:
-    """Documents under path, in a folder for each export and format, as text files of whole documents."""
-    docs = documents(timeline, fmt, with_links).withColumn("format", F.lit(FORMATS[fmt]))
-    docs.select("export_id", "format", "conversation", "part", "document").write.partitionBy("export_id", "format").mode("overwrite").json(path)
+def document_lines(timeline: DataFrame, fmt: str, with_links: bool = False) -> DataFrame:
+    """export_id, conversation, place and piece: what stands in each conversation's document, a row for each message
+    and for head and foot, each without the line end that closes it.
+
+    Put together in order of place with line ends, they are the document; json and html have line ends between records.
+    """
+    key = ["export_id", "conversation"]
+    ends = timeline.groupBy(*key).agg(F.max("seq").alias("last"), F.min(F.when(F.col("title").isNotNull(), F.struct("seq", "title")))["title"].alias("title"))
+    closed = lambda c: F.regexp_replace(c, r"\n\z", "")
+    if fmt == "json":
+        rows = timeline.withColumn("piece", F.to_json(json_record())).join(ends.drop("title"), key)
+        rows = rows.withColumn("piece", F.concat("piece", F.when(F.col("seq") < F.col("last"), ",").otherwise("")))
+        name = F.regexp_replace(F.to_json(F.array("conversation")), r"^\[|\]$", "")
+        head, foot = F.concat(F.lit('{"conversation":'), name, F.lit(',"records":[')), F.lit("]}")
+    elif fmt == "csv":
+        rows, head, foot = timeline.withColumn("piece", csv_row()), F.lit(CSV_HEADER), F.lit(None).cast("string")
+    elif fmt == "text":
+        rows = timeline.withColumn("piece", F.concat(F.when(F.col("seq") > 1, "\n").otherwise(""), closed(text_block())))
+        head = foot = F.lit(None).cast("string")
+    else:
+        rows = timeline.withColumn("piece", html_block(with_links))
+        head = closed(F.concat(F.lit(HTML_HEAD), x.html_escape(F.coalesce("title", "conversation")), F.lit(HTML_BODY)))
+        foot = F.lit(HTML_TAIL.strip("\n"))
+    frame = ends.select(*key, F.explode(F.array(F.struct(F.lit(0).cast("long").alias("place"), head.alias("piece")), F.struct((F.col("last") + 1).cast("long").alias("place"), foot.alias("piece")))).alias("f"))
+    return rows.select(*key, F.col("seq").cast("long").alias("place"), "piece").unionByName(frame.select(*key, "f.*").filter("piece is not null"))
+
+
+def write_transcripts(timeline: DataFrame, path: str, fmt: str, with_links: bool = False, dirs: DataFrame | None = None) -> None:
+    """Each conversation's document as a text file under path, in a folder for its export and one for itself.
+
+    dirs: export_id, conversation, dir as plan.allocate_dirs gives them; without them a folder is the conversation's
+    key. Messages are written one by one in order, so a conversation of any length passes through a task's memory.
+    """
+    rows = document_lines(timeline, fmt, with_links)
+    if dirs is None:
+        rows = rows.withColumn("dir", F.col("conversation"))
+    else:
+        rows = rows.join(dirs.select("export_id", "conversation", "dir"), ["export_id", "conversation"])
+    ordered = rows.select("export_id", "dir", "place", "piece").repartition("export_id", "dir").sortWithinPartitions("export_id", "dir", "place")
+    ordered.select("export_id", "dir", "piece").write.partitionBy("export_id", "dir").mode("overwrite").text(f"{path}/{FORMATS[fmt]}")

@@ -47,7 +47,8 @@ def bucket_match(s: SparkSession, d: str) -> DataFrame:
         """SELECT coalesce(a.export_id, b.export_id) AS export_id, coalesce(entries, 0) AS entries, coalesce(exact, 0) AS exact, coalesce(ambiguous, 0) AS ambiguous, coalesce(no_media, 0) AS no_media,
   coalesce(no_date, 0) AS no_date, coalesce(scan_incomplete, 0) AS scan_incomplete, coalesce(paired, 0) AS paired, coalesce(files, 0) AS files, coalesce(files, 0) - coalesce(paired, 0) AS unclaimed
 FROM (SELECT en.export_id, count(*) AS entries, count(*) FILTER (confidence = 'exact') AS exact, count(*) FILTER (confidence = 'ambiguous') AS ambiguous,
-    count(*) FILTER (uuid IS NULL AND en.day IS NOT NULL) AS no_media, count(*) FILTER (en.day IS NULL) AS no_date, 0 AS scan_incomplete, count(uuid) AS paired
+    count(*) FILTER (uuid IS NULL AND en.day IS NOT NULL AND en.export_id <> '3') AS no_media, count(*) FILTER (en.day IS NULL) AS no_date,
+    count(*) FILTER (uuid IS NULL AND en.day IS NOT NULL AND en.export_id = '3') AS scan_incomplete, count(uuid) AS paired
   FROM entries en LEFT JOIN pairs USING (entry_index) GROUP BY 1) a
 FULL JOIN (SELECT export_id, count(*) AS files FROM media GROUP BY 1) b ON a.export_id = b.export_id""",
         "entries", "media", "pairs",
@@ -56,16 +57,39 @@ FULL JOIN (SELECT export_id, count(*) AS files FROM media GROUP BY 1) b ON a.exp
 def reconcile_report(s: SparkSession, d: str) -> DataFrame:
     entries, media = views.entries(s, d), views.media(s, d)
     pairs, left, _ = reconcile.bucket_match(entries, media)
-    gaps = entries.select("export_id").limit(0)
+    gaps = s.createDataFrame([("3",)], "export_id string")
     gone = reconcile.missing_reason(left, gaps, F.col("day")).select("export_id", "entry_index", F.lit(None).cast("string").alias("uuid"), F.lit("missing").alias("confidence"), "reason")
     items = pairs.select("export_id", "entry.entry_index", "media.uuid", "confidence", F.lit(None).cast("string").alias("reason")).unionByName(gone)
     return reports.reconcile_report(items, media)
 
 
-@query()
+@query(
+    sql(
+        """left_e AS (SELECT e.export_id, e.kind, e.day::DATE AS d, entry_index FROM e LEFT JOIN m USING (export_id, day, kind, rn) WHERE m.uuid IS NULL),
+left_m AS (SELECT m.export_id, m.kind, m.day::DATE AS d, uuid, row_number() OVER (PARTITION BY m.export_id, m.kind, m.day ORDER BY uuid) AS rank FROM m LEFT JOIN e USING (export_id, day, kind, rn) WHERE e.entry_index IS NULL),
+days AS (SELECT export_id, kind, d, sum(ne)::INT AS ne, sum(nm)::INT AS nm FROM (SELECT export_id, kind, d, 1 AS ne, 0 AS nm FROM left_e UNION ALL SELECT export_id, kind, d, 0, 1 FROM left_m) GROUP BY ALL),
+marked AS (SELECT *, coalesce(d - lag(d) OVER w = 1 AND ((ne > 0 AND lag(nm) OVER w > 0) OR (nm > 0 AND lag(ne) OVER w > 0)), false) AS tied FROM days WINDOW w AS (PARTITION BY export_id, kind ORDER BY d)),
+chains AS (SELECT *, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY export_id, kind ORDER BY d ROWS UNBOUNDED PRECEDING) AS chain FROM marked),
+state AS (SELECT export_id, kind, chain, min(d) AS first_day, list(nm ORDER BY d) AS have, sum(ne) AS asks FROM chains GROUP BY ALL HAVING count(*) > 1),
+asking AS (SELECT l.export_id, l.kind, c.chain, entry_index, (l.d - s.first_day)::INT + 1 AS p, row_number() OVER (PARTITION BY l.export_id, l.kind, c.chain ORDER BY entry_index) AS r
+  FROM left_e l JOIN chains c ON l.export_id = c.export_id AND l.kind = c.kind AND l.d = c.d JOIN state s ON s.export_id = c.export_id AND s.kind = c.kind AND s.chain = c.chain),
+walk AS (SELECT export_id, kind, chain, 0::BIGINT AS r, have, NULL::BIGINT AS entry_index, NULL::INT AS spot, NULL::INT AS rank FROM state
+  UNION ALL SELECT export_id, kind, chain, r, list_transform(have, lambda n, i: CASE WHEN i = spot THEN n - 1 ELSE n END), entry_index, spot, CASE WHEN spot IS NOT NULL THEN have[spot] END
+  FROM (SELECT w.export_id, w.kind, w.chain, a.r, w.have, a.entry_index, CASE WHEN coalesce(w.have[a.p + 1], 0) > 0 THEN a.p + 1 WHEN a.p > 1 AND w.have[a.p - 1] > 0 THEN a.p - 1 END AS spot
+    FROM walk w JOIN asking a ON w.export_id = a.export_id AND w.kind = a.kind AND w.chain = a.chain AND a.r = w.r + 1)),
+moved AS (SELECT w.export_id, entry_index, uuid FROM walk w JOIN state s USING (export_id, kind, chain)
+  JOIN left_m l ON l.export_id = w.export_id AND l.kind = w.kind AND l.d = s.first_day + (spot - 1) AND l.rank = s.have[spot] - w.rank + 1 WHERE spot IS NOT NULL)
+SELECT export_id, day, kind, entry_index, uuid, confidence, reason, coalesce(uuid, 'unpaired-entry-' || entry_index) AS source_id FROM (
+  SELECT export_id, day, kind, entry_index, uuid, confidence, NULL AS reason FROM pairs UNION ALL
+  SELECT e.export_id, e.day, e.kind, e.entry_index, moved.uuid, CASE WHEN moved.uuid IS NULL THEN 'missing' ELSE 'ambiguous' END,
+    CASE WHEN moved.uuid IS NULL THEN CASE WHEN e.export_id = '3' THEN 'scan_incomplete' ELSE 'no_media' END END
+  FROM e JOIN left_e USING (export_id, kind, entry_index) LEFT JOIN moved ON moved.export_id = e.export_id AND moved.entry_index = e.entry_index)""",
+        "entries", "media", "pairs",
+    ).replace("WITH ", "WITH RECURSIVE ", 1).replace("\nleft_e AS", ",\nleft_e AS", 1)
+)
 def memory_items(s: SparkSession, d: str) -> DataFrame:
-    entries = views.entries(s, d)
-    return reconcile.memory_items(entries, views.media(s, d), entries.select("export_id").limit(0))
+    gaps = s.createDataFrame([("3",)], "export_id string")
+    return reconcile.memory_items(views.entries(s, d), views.media(s, d), gaps)
 
 
 @query(
@@ -208,9 +232,9 @@ ORACLE_SQL["transcript_html"] = sql(
 )
 
 
-@query(sql("SELECT export_id, conversation, lower(coalesce(arg_min(title, seq) FILTER (title IS NOT NULL), any_value(conversation))) AS label FROM timeline GROUP BY ALL", "timeline"))
+@query(sql("SELECT *, row_number() OVER (PARTITION BY export_id ORDER BY label, conversation) AS place FROM (SELECT export_id, conversation, lower(coalesce(arg_min(title, seq) FILTER (title IS NOT NULL), any_value(conversation))) AS label FROM timeline GROUP BY ALL)", "timeline"))
 def conversation_picker(s: SparkSession, d: str) -> DataFrame:
-    return timeline.picker(timeline.merge_timeline(*views.histories(s, d))).select("export_id", "conversation", F.lower("label").alias("label"))
+    return timeline.picker(timeline.merge_timeline(*views.histories(s, d))).select("export_id", "conversation", F.lower("label").alias("label"), F.col("place").cast("long").alias("place"))
 
 
 # ---- planning ----
@@ -240,9 +264,17 @@ def dir_names(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", x.dir_name(F.col("url")).alias("dir"))
 
 
-@query()
+_CONVERSATIONS = "SELECT DISTINCT (page_id % 4)::VARCHAR AS export_id, regexp_replace(url, '[0-9?=&].*$', '') || repeat('?', (page_id % 3)::INT) AS conversation FROM pages"
+
+
+@query(
+    f"""WITH k AS ({_CONVERSATIONS}), n AS (SELECT export_id, conversation, {_DIR} AS name FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(conversation, '[^A-Za-z0-9._-]', '_', 'g')[:64], '^\\.+', ''), '\\.+$', '') AS t FROM k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY export_id, lower(name) ORDER BY conversation) AS i FROM n)
+SELECT export_id, conversation, name || CASE WHEN i > 1 THEN '_' || i ELSE '' END AS dir, false AS adopted FROM r"""
+)
 def allocate_dirs(s: SparkSession, d: str) -> DataFrame:
-    keys = table(s, d, "pages").select((F.col("page_id") % 4).cast("string").alias("export_id"), F.regexp_replace("url", "[0-9?=&].*$", "").alias("conversation"))
+    more = F.repeat(F.lit("?"), (F.col("page_id") % 3).cast("int"))
+    keys = table(s, d, "pages").select((F.col("page_id") % 4).cast("string").alias("export_id"), F.concat(F.regexp_replace("url", "[0-9?=&].*$", ""), more).alias("conversation"))
     return plan.allocate_dirs(keys)
 
 
@@ -253,7 +285,7 @@ def allocate_dirs(s: SparkSession, d: str) -> DataFrame:
     sql(
         """SELECT coalesce(i.export_id, n.export_id) AS export_id, coalesce(i.source_id, n.source_id) AS source_id, coalesce(status, 'pending') AS status, coalesce(n.url, i.url) AS url,
   CASE WHEN i.source_id IS NULL OR (n.url IS NOT NULL AND i.url IS DISTINCT FROM n.url) THEN 1700000000 ELSE updated_at END AS updated_at
-FROM items i FULL JOIN (SELECT (o_custkey % 16)::VARCHAR AS export_id, o_orderkey::VARCHAR AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'https://n/' || o_orderkey END AS url FROM orders WHERE o_orderstatus <> 'P') n
+FROM items i FULL JOIN (SELECT (o_custkey % 16)::VARCHAR AS export_id, CASE WHEN o_orderkey % 10 = 3 THEN 'n' ELSE '' END || o_orderkey AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'https://n/' || o_orderkey END AS url FROM orders WHERE o_orderstatus <> 'P') n
 ON i.export_id = n.export_id AND i.source_id = n.source_id""",
         "items",
     )
@@ -263,15 +295,17 @@ def enroll(s: SparkSession, d: str) -> DataFrame:
 
 
 def _second_run(s: SparkSession, d: str) -> DataFrame:
+    """A later delivery: orders of one status are gone, a tenth of the others has new names."""
     o = table(s, d, "orders").filter("o_orderstatus <> 'P'")
     key = F.col("o_orderkey").cast("string")
-    return o.select((F.col("o_custkey") % 16).cast("string").alias("export_id"), F.lit("memory").alias("kind"), key.alias("source_id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://n/"), key)).alias("url"))
+    name = F.concat(F.when(F.col("o_orderkey") % 10 == 3, "n").otherwise(""), key)
+    return o.select((F.col("o_custkey") % 16).cast("string").alias("export_id"), F.lit("memory").alias("kind"), name.alias("source_id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://n/"), key)).alias("url"))
 
 
 @query(
     sql(
         """SELECT export_id, source_id, CASE WHEN hit THEN 'retired' ELSE status END AS status, CASE WHEN hit THEN 'the export no longer holds a source for this item' ELSE last_error END AS last_error, output_path
-FROM (SELECT *, o_orderstatus = 'P' AND status NOT IN ('done', 'retired') AND export_id <> '3' AS hit FROM items)""",
+FROM (SELECT *, (o_orderstatus = 'P' OR k % 10 = 3) AND status NOT IN ('done', 'retired') AND export_id <> '3' AS hit FROM items)""",
         "items",
     )
 )
@@ -340,9 +374,12 @@ def fold_outcomes(s: SparkSession, d: str) -> DataFrame:
     return status.fold_outcomes(e.select((F.col("user_id") % 8).cast("string").alias("export_id"), F.lit("memory").alias("kind"), F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("seq"), event.alias("event")))
 
 
-@query(sql("SELECT export_id, source_id FROM items WHERE false", "items"))
+@query(sql("SELECT export_id, source_id FROM items WHERE status = 'done' AND k % 5 = 0 OR status IN ('pending', 'failed') AND k % 4 = 0 OR status IN ('source_missing', 'retired', 'excluded') AND k % 4 = 0", "items"))
 def record_violations(s: SparkSession, d: str) -> DataFrame:
-    return status.record_violations(views.items(s, d)).select("export_id", "source_id")
+    k = F.col("source_id").cast("long")
+    i = views.items(s, d)
+    torn = i.withColumn("checksum", F.when((F.col("status") == "done") & (k % 5 == 0), None).otherwise(F.col("checksum"))).withColumn("output_path", F.when((F.col("status") != "done") & (k % 4 == 0), "/left").otherwise(F.col("output_path")))
+    return status.record_violations(torn).select("export_id", "source_id")
 
 
 # ---- redaction ----
@@ -380,12 +417,6 @@ def json_leaves(s: SparkSession, d: str) -> DataFrame:
     return redact.leaves(s, corpus, 3).select("export_id", "file", "pointer", "key", "value")
 
 
-@query()
-def redacted_leaves(s: SparkSession, d: str) -> DataFrame:
-    corpus = table(s, d, "events").select((F.col("user_id") % 8).cast("string").alias("export_id"), F.col("event_id").cast("string").alias("file"), F.to_json(F.struct(F.col("user_id").alias("username"), F.col("ts").cast("string").alias("created"), "event_type", "value", "props")).alias("body"))
-    return redact.synthesise(redact.leaves(s, corpus, 2), "s", 86_400)
-
-
 @query(
     """WITH n AS (SELECT regexp_replace(url, '^.*/', '') AS name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^.*/', ''), '\\p{L}', 'a', 'g'), '[0-9]', '9', 'g'), 'a{12,}', 'aaaaaaaaaaaa', 'g'), '9{12,}', '999999999999', 'g') AS pattern FROM pages)
 SELECT pattern, count(*) AS n, array_to_string(list_sort(list_distinct(list(name)))[:3], ' ') AS examples FROM n GROUP BY 1"""
@@ -542,4 +573,7 @@ SELECT doc_id::VARCHAR AS file, '/text' AS pointer, rule, len(t) AS n_chars FROM
 )
 def leak_check(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("/text").alias("pointer"), F.lit("string").alias("kind"), F.col("text").alias("value"))
-    return redact.leak_check(docs, table(s, d, "part").select(F.col("p_name").alias("token")))
+    return redact.leak_check(docs, table(s, d, "part").select(F.col("p_name").alias("token"))).drop("excerpt")
+
+
+from heronry.plans import corpora, deliveries, rules  # noqa: E402,F401

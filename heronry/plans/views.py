@@ -19,10 +19,10 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def media(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of orders as media files; the id is a digest of the whole row."""
-    li = table(spark, d, "lineitem").filter("l_linenumber = 1")
+    """Lines of orders as media files; the id is a digest of the whole row."""
+    li = table(spark, d, "lineitem")
     cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
-    uuid = F.md5(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), cents("l_quantity"), cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), F.col("l_returnflag"), F.col("l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd")))
+    uuid = F.md5(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"), cents("l_quantity"), cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), F.col("l_returnflag"), F.col("l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd")))
     return li.select((F.col("l_suppkey") % 16).cast("string").alias("export_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.when(F.col("l_linestatus") == "F", "image").otherwise("video").alias("kind"), uuid.alias("uuid"))
 
 
@@ -35,8 +35,8 @@ def token_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_units(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as chat media files of four exports; some sizes have no file, some are of other tokens."""
-    p = table(spark, d, "part").filter("p_size > 10")
+    """Parts as chat media files of four exports; some sizes are of other tokens."""
+    p = table(spark, d, "part")
     key = F.col("p_partkey").cast("string")
     token = F.when(F.col("p_size") % 7 == 0, "media").otherwise("b")
     exports = F.explode(F.array(*(F.lit(str(i)) for i in range(4)))).alias("export_id")
@@ -79,8 +79,8 @@ def transcript(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Orders but those of the lowest priority as a status table: most statuses, records on done rows."""
-    o = table(spark, d, "orders").filter("o_orderpriority not like '5%'")
+    """Orders as a status table: most statuses, records on done rows."""
+    o = table(spark, d, "orders")
     m = F.col("o_orderkey") % 7
     status = F.when(m < 2, "done").when(m == 2, "pending").when(m == 3, "failed").when(m == 4, "source_missing").when(m == 5, "retired").otherwise("excluded")
     done = m < 2
@@ -100,9 +100,9 @@ SQL = {
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey)""",
     "media": """media AS (SELECT (l_suppkey % 16)::VARCHAR AS export_id, strftime(l_shipdate, '%Y-%m-%d') AS day,
   CASE WHEN l_linestatus = 'F' THEN 'image' ELSE 'video' END AS kind,
-  md5(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, round(l_quantity * 100)::BIGINT::VARCHAR, round(l_extendedprice * 100)::BIGINT::VARCHAR,
+  md5(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR, round(l_quantity * 100)::BIGINT::VARCHAR, round(l_extendedprice * 100)::BIGINT::VARCHAR,
     round(l_discount * 100)::BIGINT::VARCHAR, round(l_tax * 100)::BIGINT::VARCHAR, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))) AS uuid
-  FROM lineitem WHERE l_linenumber = 1)""",
+  FROM lineitem)""",
     "pairs": """e AS (SELECT *, row_number() OVER (PARTITION BY export_id, day, kind ORDER BY entry_index) AS rn, count(*) OVER (PARTITION BY export_id, day, kind) AS en FROM entries),
 m AS (SELECT *, row_number() OVER (PARTITION BY export_id, day, kind ORDER BY uuid) AS rn, count(*) OVER (PARTITION BY export_id, day, kind) AS mn FROM media),
 pairs AS (SELECT export_id, day, kind, entry_index, uuid, CASE WHEN en = 1 AND mn = 1 THEN 'exact' ELSE 'ambiguous' END AS confidence, lat, lon FROM e JOIN m USING (export_id, day, kind, rn))""",
@@ -112,7 +112,7 @@ tokens AS (SELECT (o_custkey % 4)::VARCHAR AS export_id, o_custkey::VARCHAR AS c
   CASE WHEN l_partkey % 50 <> 0 THEN 'b~' || l_partkey END AS token FROM orders JOIN parts ON o_orderkey = l_orderkey),
 first AS (SELECT export_id, token, min(ROW(conversation, pos, token_pos)) AS f FROM tokens WHERE token IS NOT NULL GROUP BY ALL),
 units AS (SELECT x.export_id, CASE WHEN p_size % 7 = 0 THEN 'media' ELSE 'b' END AS token, CASE WHEN p_size % 7 = 0 THEN 'media' ELSE 'b' END || '~' || p_partkey AS id
-  FROM part, (SELECT unnest(['0', '1', '2', '3']) AS export_id) x WHERE p_size > 10)""",
+  FROM part, (SELECT unnest(['0', '1', '2', '3']) AS export_id) x)""",
     "files": """files AS (SELECT (l_orderkey % 8)::VARCHAR AS export_id, l_orderkey::VARCHAR AS uuid, CASE WHEN l_linenumber % 2 = 0 THEN 'main' ELSE 'overlay' END AS role,
   'memories/' || l_orderkey || '/' || l_linenumber || '-' || l_suppkey || '.jpg' AS path FROM lineitem),
 claims AS (SELECT export_id, uuid, role, list_sort(list(path)) AS paths FROM files GROUP BY ALL)""",
@@ -128,7 +128,7 @@ timeline AS (SELECT *, row_number() OVER (PARTITION BY export_id, conversation O
   CASE WHEN o_orderkey % 7 = 3 THEN (o_orderkey % 4)::INT ELSE 0 END AS retry_count, CASE WHEN o_orderkey % 3 = 0 THEN 'https://h/' || md5(o_orderkey::VARCHAR) END AS url,
   CASE WHEN o_orderkey % 7 < 2 THEN '/out/' || o_orderkey || '.jpg' END AS output_path, CASE WHEN o_orderkey % 7 < 2 THEN sha256(o_orderkey::VARCHAR) END AS checksum,
   CASE WHEN o_orderkey % 7 < 2 THEN o_orderkey END AS bytes, CASE WHEN o_orderkey % 7 = 3 THEN 'old note' END AS last_error, 1::BIGINT AS updated_at, o_orderkey AS k, o_orderstatus
-  FROM orders WHERE o_orderpriority NOT LIKE '5%')""",
+  FROM orders)""",
 }
 
 

@@ -49,20 +49,27 @@ SCHEMAS: dict[str, T.DataType] = {
             "Basic Information": _texts("Username", "Name", "Creation Date", "Registration IP", "Country", "Last Active"),
             "Device Information": _texts("Make", "Model ID", "Model Name", "Language", "OS Type", "OS Version", "Connection Type"),
             "Device History": T.ArrayType(_texts("Make", "Model", "Start Time", "Device Type")),
+            "Privacy Policy and Terms of Service Acceptance History": _VARIANTS,
+            "Custom Creative Tools Terms": _VARIANTS,
             "Login History": T.ArrayType(_texts("IP", "Country", "Created", "Status", "Device")),
-            "Associated Accounts by Cloud Account ID": T.ArrayType(_texts("Username", "Created")),
+            "Family Center": _VARIANTS,
+            "Associated Accounts by Cloud Account ID": T.ArrayType(_texts("Device ID", "User ID", "Request Time", "Approximate Last Seen")),
         }
     ),
     "user_profile.json": _of(
         {
             "App Profile": _texts("Country", "Creation Time", "Account Creation Country", "Platform Version", "In-app Language"),
             "Demographics": _texts("Cohort Age", "Derived Ad Demographic"),
-            "Subscriptions": T.ArrayType(T.StringType()),
-            "Engagement": T.ArrayType(_texts("Event", "Occurrences")),
-            "Discover Channels Viewed": T.ArrayType(T.StringType()),
+            "Subscriptions": _VARIANTS,
+            "Engagement": T.ArrayType(_struct(Event=T.StringType(), Occurrences=T.LongType())),
+            "Discover Channels Viewed": _VARIANTS,
             "Breakdown of Time Spent on App": T.ArrayType(T.StringType()),
-            "Interest Categories": T.ArrayType(T.StringType()),
-            "Web Interactions": T.ArrayType(T.StringType()),
+            "Ads You Interacted With": _VARIANTS,
+            "Interest Categories": _VARIANTS,
+            "Content Categories": _VARIANTS,
+            "Geographic Information": _VARIANTS,
+            "Interactions": _of({"Web Interactions": T.ArrayType(T.StringType()), "App Interactions": _VARIANTS}),
+            "Off-Platform Sharing": _VARIANTS,
             "Mobile Ad Id": T.StringType(),
         }
     ),
@@ -70,16 +77,22 @@ SCHEMAS: dict[str, T.DataType] = {
         {
             "Frequent Locations": T.ArrayType(_texts("City", "Country", "Region")),
             "Latest Location": T.ArrayType(_texts("City", "Country", "Region")),
-            "Home & Work": T.MapType(T.StringType(), T.StringType()),
+            "Home, School & Work": T.MapType(T.StringType(), T.StringType()),
             "Daily Top Locations": _VARIANTS,
             "Top Locations Per Six-Day Period": _VARIANTS,
-            "Location History": T.MapType(T.StringType(), _VARIANTS),
-            "Businesses and public places you may have visited": T.ArrayType(_texts("Date", "Time", "Name")),
+            "Location History": _VARIANTS,
+            "Businesses and places you may have visited": T.MapType(T.StringType(), _VARIANTS),
+            "Actiomoji information from places you may have visited": _VARIANTS,
             "Areas you may have visited in the last two years": T.ArrayType(_texts("Time", "City", "Region", "Postal Code")),
         }
     ),
-    "story_history.json": _of({"Your Story Views": T.ArrayType(_struct(**{"Story Date": T.StringType(), "Story URL": T.StringType(), "Story Views": T.LongType(), "Story Replies": T.LongType()})), "Friend and Public Story Views": T.ArrayType(_texts("View", "Media Type", "View Date"))}),
-    "snapchat_plus.json": _of({"": T.StringType(), "Purchase History": T.ArrayType(_struct(**{"Purchase Date": T.StringType(), "Product": T.StringType(), "Price": T.DoubleType()})), "Subscription": T.ArrayType(T.StringType())}),
+    "story_history.json": _of({"Your Story Views": T.ArrayType(_of({"Story Date": T.StringType(), "Story Views": T.LongType(), "Story Replies": T.LongType()})), "Friend and Public Story Views": _VARIANTS}),
+    "snapchat_plus.json": _of({"": T.ArrayType(_of({"Purchase Date": T.StringType(), "Purchase Type": T.StringType(), "Purchase Provider": T.StringType(), "Price": T.DoubleType(), "End Date (if applicable)": T.StringType()}))}),
+}
+#: Fields that hold a moment, by file; others stay texts, whatever they look like.
+MOMENTS: dict[str, tuple[str, ...]] = {
+    "account.json": ("Creation Date", "Start Time", "Created", "Request Time", "Approximate Last Seen"),
+    "user_profile.json": ("Creation Time",),
 }
 
 
@@ -102,15 +115,15 @@ def read_sections(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All known files of every delivery, and errors. texts: export_id, file, body.
 
     sections: export_id, file, state (absent, loaded or broken), body. errors: export_id, file, kind (syntax, shape
-    or duplicate_key), n_chars. A body is broken if it is no JSON, if it holds a key twice, or if its top level has
-    another shape than its file should have.
+    or duplicate_key), n_chars. A body is broken if it is no JSON or goes on behind its end, if it holds a key twice, or
+    if its top level has another shape than its file should have.
     """
     exports = texts.select("export_id").distinct()
     names = F.explode(F.array(*map(F.lit, SECTION_FILES))).alias("file")
-    parsed = F.try_parse_json("body")
     loose = F.from_json("body", "map<string,string>")
     head = F.left(F.trim("body"), F.lit(1))
-    kind = F.when(parsed.isNull() & ((F.size(F.map_keys(loose)) > 0) & F.rtrim("body").endswith("}")), "duplicate_key").when(parsed.isNull(), "syntax").when(head != "{", "shape")
+    twice = F.try_parse_json("body").isNull() & (F.size(F.map_keys(loose)) > 0) & F.rtrim("body").endswith("}")
+    kind = F.when(twice, "duplicate_key").when(x.parse_strict(F.col("body")).isNull(), "syntax").when(head != "{", "shape")
     judged = texts.withColumn("kind", kind)
     grid = exports.select("export_id", names)
     sections = grid.join(judged, ["export_id", "file"], "left").select(
@@ -175,65 +188,101 @@ def fail_on_errors(errors: DataFrame) -> None:
         raise ValueError("invalid deliveries: " + ", ".join(f"{r.file} {r.kind}: {r['count']}" for r in counts))
 
 
-def _child(parsed: DataFrame, key: str) -> DataFrame:
-    rows = parsed.select("export_id", F.posexplode(F.col(f"s.`{key}`")).alias("pos", "r"))
-    columns = rows.schema["r"].dataType
-    if isinstance(columns, T.StructType):
-        return rows.select("export_id", "pos", *(F.col(f"r.`{f.name}`").alias(_snake(f.name)) for f in columns))
-    return rows.select("export_id", "pos", F.col("r").alias("value"))
+def _snake(name: str) -> str:
+    words = "".join(c if c.isalnum() else " " for c in name.lower().replace("&", "and")).split()
+    return "_".join(words) or "blank"
+
+
+def _typed(file: str, fields: list[tuple[T.StructField, Column, str]]) -> list[Column]:
+    """Columns of fields (field, value, name of the column): empty texts are null, moments are structs of six numbers,
+    and ``error`` is the first moment that is none."""
+    out, errors = [], []
+    for f, value, name in fields:
+        if f.name in MOMENTS.get(file, ()):
+            moment = x.parse_utc(value)
+            out.append(moment.alias(name))
+            errors.append(x.validation_error(file, f.name, "timestamp", value, moment.isNotNull()))
+        else:
+            out.append((x.opt_text(value) if isinstance(f.dataType, T.StringType) else value).alias(name))
+    return [*out, F.coalesce(*errors).alias("error")] if errors else out
 
 
-def _snake(name: str) -> str:
-    return "_".join(name.lower().replace("-", " ").replace("&", "and").split()) or "blank"
+def _child(parsed: DataFrame, file: str, field: str, kind: T.DataType) -> DataFrame:
+    rows = parsed.select("export_id", F.posexplode(F.col(field)).alias("pos", "r"))
+    if isinstance(kind, T.StructType):
+        return rows.select("export_id", "pos", *_typed(file, [(f, F.col(f"r.`{f.name}`"), _snake(f.name)) for f in kind]))
+    return rows.select("export_id", "pos", F.col("r").alias("value"))
 
 
 def _tables(sections: DataFrame, file: str) -> dict[str, DataFrame]:
-    """A table for the struct fields of a file, and one for each of its lists and maps."""
+    """A table for the fields of a file that occur once, and one for each of its lists and maps."""
     parsed = _loaded(sections, file)
     out: dict[str, DataFrame] = {}
-    flat: list[Column] = []
-    for f in SCHEMAS[file]:
+    flat: list[tuple[T.StructField, Column, str]] = []
+
+    def add(f: T.StructField, at: str, prefix: str) -> None:
+        name = prefix + _snake(f.name)
         if isinstance(f.dataType, T.ArrayType):
-            out[_snake(f.name)] = _child(parsed, f.name)
+            out[name] = _child(parsed, file, at, f.dataType.elementType)
         elif isinstance(f.dataType, T.MapType):
-            out[_snake(f.name)] = parsed.select("export_id", F.explode(F.col(f"s.`{f.name}`")).alias("key", "value"))
+            out[name] = parsed.select("export_id", F.explode(F.col(at)).alias("key", "value"))
         elif isinstance(f.dataType, T.StructType):
-            flat += [x.opt_text(F.col(f"s.`{f.name}`.`{g.name}`")).alias(f"{_snake(f.name)}__{_snake(g.name)}") for g in f.dataType]
+            for g in f.dataType:
+                add(g, f"{at}.`{g.name}`", f"{name}__")
         else:
-            flat.append(F.col(f"s.`{f.name}`").alias(_snake(f.name)))
+            flat.append((f, F.col(at), name))
+
+    for f in SCHEMAS[file]:
+        add(f, f"s.`{f.name}`", "")
     if flat:
-        out["basics"] = parsed.select("export_id", *flat)
+        out["basics"] = parsed.select("export_id", *_typed(file, flat))
     return out
 
 
 def account_tables(sections: DataFrame) -> dict[str, DataFrame]:
-    """basics, device_history, login_history and the associated accounts."""
+    """basics, device_history, login_history, the associated accounts, and the lists that are not modelled. Moments
+    are structs of six numbers; ``error`` tells of one that is none."""
     return _tables(sections, "account.json")
 
 
 def profile_tables(sections: DataFrame) -> dict[str, DataFrame]:
-    """basics with the number of subscriptions, and a table for each list."""
+    """basics with the number of subscriptions, and a table for each list. The creation time is a struct of six
+    numbers; ``error`` tells if it is none."""
     out = _tables(sections, "user_profile.json")
     counted = _loaded(sections, "user_profile.json").select("export_id", F.coalesce(F.size("s.Subscriptions"), F.lit(0)).alias("n_subscriptions"))
     return out | {"basics": out["basics"].join(counted, "export_id")}
 
 
 def location_tables(sections: DataFrame) -> dict[str, DataFrame]:
+    """A table for each of the nine lists and maps of places; their dates are texts of no fixed form."""
     return _tables(sections, "location_history.json")
 
 
 def story_views(sections: DataFrame) -> DataFrame:
+    """The owner's stories: pos, story_date (a text of no fixed form), story_views and story_replies."""
     return _tables(sections, "story_history.json")["your_story_views"]
 
 
+def subscriptions(sections: DataFrame) -> DataFrame:
+    """Purchases of the paid tier, which the archive keeps under an empty key."""
+    return _tables(sections, "snapchat_plus.json")["blank"]
+
+
 def friends_long(sections: DataFrame) -> DataFrame:
-    """All relations of all lists in one table; ``list`` names the list, shortcuts have a name and a date only."""
-    parsed = _loaded(sections, "friends.json")
+    """All relations of all lists in one table; ``list`` names the list, shortcuts have a name and a date only.
+
+    created and modified are structs of six numbers; ``error`` tells of the first of them that is none.
+    """
+    file = "friends.json"
+    parsed = _loaded(sections, file)
     row = lambda **c: F.struct(*(c.get(n, F.lit(None).cast("string")).alias(n) for n in ("username", "display_name", "created", "modified", "origin")))
-    lists = [F.struct(F.lit(_snake(n)).alias("list"), F.transform(F.col(f"s.`{n}`"), lambda r: row(username=r["Username"], display_name=x.opt_text(r["Display Name"]), created=x.opt_text(r["Creation Timestamp"]), modified=x.opt_text(r["Last Modified Timestamp"]), origin=x.opt_text(r["Source"]))).alias("rows")) for n in FRIEND_LISTS]
-    lists.append(F.struct(F.lit("shortcuts").alias("list"), F.transform(F.col("s.Shortcuts"), lambda r: row(display_name=r["Shortcut Name"], created=x.opt_text(r["Created"]))).alias("rows")))
-    each = parsed.select("export_id", F.explode(F.array(*lists)).alias("l"))
-    return each.select("export_id", "l.list", F.posexplode("l.rows").alias("pos", "r")).select("export_id", "list", "pos", "r.*")
+    lists = [F.struct(F.lit(_snake(n)).alias("list"), F.transform(F.col(f"s.`{n}`"), lambda r: row(username=x.opt_text(r["Username"]), display_name=x.opt_text(r["Display Name"]), created=r["Creation Timestamp"], modified=r["Last Modified Timestamp"], origin=x.opt_text(r["Source"]))).alias("rows")) for n in FRIEND_LISTS]
+    lists.append(F.struct(F.lit("shortcuts").alias("list"), F.transform(F.col("s.Shortcuts"), lambda r: row(display_name=x.opt_text(r["Shortcut Name"]), created=r["Created"])).alias("rows")))
+    each = parsed.select("export_id", F.explode(F.array(*lists)).alias("l")).select("export_id", "l.list", F.posexplode("l.rows").alias("pos", "r"))
+    created, modified = x.parse_utc(F.col("r.created")), x.parse_utc(F.col("r.modified"))
+    wrong = lambda field, text, moment: x.validation_error(file, field, "timestamp", text, moment.isNotNull())
+    error = F.coalesce(wrong("Creation Timestamp", F.col("r.created"), created), wrong("Last Modified Timestamp", F.col("r.modified"), modified))
+    return each.select("export_id", "list", "pos", "r.username", "r.display_name", created.alias("created"), modified.alias("modified"), "r.origin", error.alias("error"))
 
 
 def passthrough(sections: DataFrame, file: str) -> DataFrame:

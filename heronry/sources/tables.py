@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where tables are written between steps when a local session names no spark.checkpoint.dir.
+LOCAL_SHARED = "file:///tmp/checkpoints/heronry"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a session whose tasks all run in
+    the driver's process may go without the setting; a cluster must name a folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
+
+
+def cut(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read again, for tables that several later steps read: each of them would
+    plan and run the whole way to it once more."""
+    path = f"{shared_dir(rows.sparkSession)}/heronry-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Table ``name`` under ``root``; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{root}/{name}.parquet")

@@ -160,6 +160,20 @@ def test_dirs_keep_their_places(spark):
     assert got == {"x": ("d", True), "y": ("d2", True), "z": ("z_2", False)}
 
 
+def test_dirs_with_long_chains_of_suffixes(spark):
+    """Two conversations never get one directory, however many suffixes a name has."""
+    from heronry.functions import expr as x
+
+    names = ["a" + "_2" * n for n in range(11)] + ["A" + "_2" * 7, "A" + "_2" * 9, "a?", "b_3_2", "b", "b?", "c_2", "c_2?", "_7", "_7?", "_7_2"]
+    df = spark.createDataFrame([(e, k) for e in ("e", "f") for k in names], "export_id string, conversation string").withColumn("n", x.dir_name(F.col("conversation")))
+    want = walk([(v.conversation, v.n) for v in df.filter("export_id = 'e'").collect()], ["_no-conversation"])
+    out = plan.allocate_dirs(df, occupied=spark.createDataFrame([("f", "zz")], "export_id string, dir string")).collect()
+    assert {(v.export_id, v.conversation): v.dir for v in out} == {(e, k): d for e in ("e", "f") for k, d in want.items()}
+    taken = plan.allocate_dirs(df, occupied=spark.createDataFrame([("f", "b_2"), ("f", "C_2_2")], "export_id string, dir string")).collect()
+    want_f = walk([(v.conversation, v.n) for v in df.filter("export_id = 'f'").collect()], ["_no-conversation", "b_2", "C_2_2"])
+    assert {v.conversation: v.dir for v in taken if v.export_id == "f"} == want_f and {v.conversation: v.dir for v in taken if v.export_id == "e"} == want
+
+
 def test_copies(spark):
     rows = spark.createDataFrame([("e", "/o", 0, 0, "a", "jpg"), ("e", "/o", 0, 1, "A", "JPG"), ("e", "/o", 1, 0, "a_2", "jpg"), ("e", "/o", 2, 0, "a", "png")], "export_id string, dir string, seq int, part int, stem string, ext string")
     assert sorted(r.copy for r in plan.allocate_copies(rows).collect()) == ["A_2.JPG", "a.jpg", "a.png", "a_2_2.jpg"]
@@ -277,3 +291,64 @@ def test_ingest(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.ingest(jobs.stream_texts(spark, str(tmp_path / "mydata~9")), jobs.write_batches(out), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(f"{out}/sections").filter("state = 'loaded'").first().file == "friends.json"
+
+
+def test_transcript_files(spark, tmp_path):
+    import json
+
+    made = (2020, 1, 1, 0, 0, 0)
+    rows = [("e", 'c"1', i, "chat", f"s{i}", "TEXT", made, f"=line one\nline {i}", None, "T" if i == 2 else None, i % 2 == 0, None, 0) for i in (1, 2, 3)] + [("e", "d", 1, "snap", None, "IMAGE", None, None, None, None, True, None, 0)]
+    t = spark.createDataFrame(rows, "export_id string, conversation string, seq int, source string, sender string, media_type string, resolved struct<year: int, month: int, day: int, hour: int, minute: int, second: int>, content string, media_ids string, title string, is_sender boolean, links array<string>, created_epoch_ms long")
+    dirs = spark.createDataFrame([("e", 'c"1', "c_1"), ("e", "d", "d")], "export_id string, conversation string, dir string")
+    whole = {f: {r.conversation: r.document for r in timeline.documents(t, f).collect()} for f in timeline.FORMATS}
+    for fmt, ext in timeline.FORMATS.items():
+        timeline.write_transcripts(t, str(tmp_path), fmt, dirs=dirs)
+        files = {d.name: [p.read_bytes().decode() for p in d.glob("part-*")] for d in (tmp_path / ext / "export_id=e").iterdir() if d.is_dir()}
+        assert sorted(files) == ["dir=c_1", "dir=d"] and all(len(x) == 1 for x in files.values())
+        for folder, conversation in (("dir=c_1", 'c"1'), ("dir=d", "d")):
+            got, want = files[folder][0], whole[fmt][conversation]
+            if fmt in ("csv", "text"):
+                assert got == want
+            elif fmt == "json":
+                assert json.loads(got) == json.loads(want)
+            else:
+                assert got.replace("</article>\n<article>", "</article><article>") == want
+
+
+def test_snapshots(spark, tmp_path):
+    items = frame(spark, [item("a"), item("b", "done", output_path="/o", checksum="c", bytes=1)], ITEMS)
+    status.write_snapshot(items, str(tmp_path), 1)
+    back = status.read_snapshot(spark, str(tmp_path), 1, "e")
+    assert back.columns == items.columns and sorted(back.collect(), key=str) == sorted(items.collect(), key=str)
+    with pytest.raises(ValueError):
+        status.read_snapshot(spark, str(tmp_path), 1, "other")
+    with pytest.raises(Exception, match="(?i)exist"):
+        status.write_snapshot(items, str(tmp_path), 1)
+
+
+def test_named_set_is_disjoint(spark):
+    ids = lambda *ks: spark.createDataFrame([("e", k) for k in ks], "export_id string, source_id string")
+    assert {(r.source_id, r.side) for r in reconcile.named_set(ids("a", "b"), ids("c")).collect()} == {("a", "item"), ("b", "item"), ("c", "gap")}
+    with pytest.raises(Exception, match="share an id"):
+        reconcile.named_set(ids("a"), ids("a")).collect()
+
+
+def test_mirror(spark, tmp_path):
+    import json
+
+    corpus = spark.createDataFrame([("e", "marielle1.json", '{"username": "marielle", "n": [1, {"note": "home"}]}'), ("e", "marielle2.json", '{"username": "paul"}')], "export_id string, file string, body string")
+    out = redact.synthesise(redact.leaves(spark, corpus), "s", 0)
+    redact.write_redacted(out, str(tmp_path))
+    docs = {p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "documents" / "export_id=e").glob("*/part-*")}
+    assert set(docs) == {"file=xxxxxxxxx.json", "file=xxxxxxxxx-2.json"} and docs["file=xxxxxxxxx.json"]["n"][1]["note"].startswith("redacted-")
+    listing = {(r.file, r.leaves) for r in spark.read.parquet(f"{tmp_path}/listing").collect()}
+    assert listing == {("xxxxxxxxx.json", 3), ("xxxxxxxxx-2.json", 1)} and spark.read.parquet(f"{tmp_path}/report").count() > 0
+    assert "marielle" not in str(list(tmp_path.rglob("*"))) and "paul" not in str(docs)
+
+
+def test_json_that_goes_on_is_no_json(spark):
+    from heronry.functions import expr as x
+
+    given = ['{"a": 1}', '{"a": 1}}', '{"a": 1} {"b": 2}', '{"a": 1},{}', '{"a": 1},null', "7", " [1] ", "", None, '{"a": 1, "a": 2}']
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "b string").select(F.to_json(x.parse_strict(F.col("b"))).alias("j")).collect()]
+    assert got == ['{"a":1}', None, None, None, None, "7", "[1]", None, None, None]
