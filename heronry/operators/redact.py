@@ -14,21 +14,33 @@ from pyspark.sql import functions as F
 from heronry.functions import expr as x
 from heronry.sources.tables import cut
 
-# Keys whose values join rows, keys of free text, and words that say nothing about a person.
-USER_KEYS = ("from", "to", "username", "user", "sender", "name", "displayname")
-CONVERSATION_KEYS = ("conversation", "conversationid", "conversationtitle", "thread")
-ID_KEYS = ("id", "mediaids", "uuid", "deviceid", "adid")
-FREE_TEXT_KEYS = ("content", "text", "note", "body", "message", "title")
-ENUM_WORDS = ("TEXT", "MEDIA", "STATUS", "NOTE", "STICKER", "IMAGE", "VIDEO", "true", "false", "UTC", "Success", "Failed")
-EXTENSIONS = ("jpg", "jpeg", "png", "mp4", "gif", "webp", "json", "html", "zip", "mov")
-KNOWN_PARAMS = ("id", "page", "ref", "q", "token", "lang", "uid", "mid", "ts")
-FILE_WORDS = ("main", "overlay", "media", "thumbnail", "memories", "metadata", "history", "chat", "snap", "zip", "b")
-COORDINATE_KEYS = ("latitude", "longitude", "lat", "lon", "lng")
+# Normal forms of keys whose values join rows, keys of coordinates, and signs of keys of free text.
+USER_KEYS = (
+    "username", "user", "userid", "from", "to", "sender", "recipient", "recipients", "participant", "participants", "friend", "handle", "screenname", "displayname", "addedby",
+)
+CONVERSATION_KEYS = ("conversationid", "conversationtitle", "conversation", "chatid", "groupid", "threadid")
+ID_KEYS = ("id", "mediaid", "messageid", "snapid", "memoryid", "externalid", "uuid", "guid")
+COORDINATE_KEYS = ("lat", "latitude", "lon", "lng", "long", "longitude", "coord", "coords", "coordinate", "coordinates", "latlon", "latlng", "geo")
+FREE_TEXT = "name|user|display|nick|title|caption|content|text|message|subject|note|bio|description|comment|address|email|phone"
+STATE_KEYS = ("type", "status", "state", "kind")
+# Words, endings, parameters and labels that say nothing about a person.
+ENUM_WORDS = (
+    "PHOTO", "VIDEO", "VIDEO_NO_SOUND", "IMAGE", "AUDIO", "AUDIO_NOTE", "TEXT", "MEDIA", "STICKER", "NOTE", "SNAP", "STATUS", "LOCATION", "SHARE", "GIF", "BITMOJI", "SENT", "RECEIVED", "DELIVERED", "VIEWED", "SCREENSHOT", "SAVED",
+    "UNSAVED", "DELETED", "PENDING", "EXPIRED", "OPENED", "REPLAYED", "TRUE", "FALSE", "NONE", "NULL", "UNKNOWN", "OTHER", "PUBLIC", "PRIVATE", "FRIENDS", "EVERYONE", "CUSTOM",
+)
+EXTENSIONS = ("jpg", "jpeg", "png", "webp", "gif", "heic", "heif", "mp4", "mov", "m4v", "avi", "webm", "mp3", "m4a", "aac", "ogg", "opus", "wav", "json", "txt", "html", "csv", "zip", "vcf")
+KNOWN_PARAMS = ("uid", "sid", "mid", "cid", "sig", "signature", "policy", "key", "token", "hash", "type", "mo", "ttl", "expires", "expiry", "t", "e", "v", "id", "dmd", "media", "format")
+FILE_WORDS = (
+    "media", "overlay", "overlays", "thumbnail", "thumbnails", "metadata", "main", "zip", "part", "mydata", "image", "video", "audio", "note", "sticker", "account", "history", "chat", "snap", "snaps", "story", "stories", "memories",
+    "friends", "location", "ranking", "shared", "subscriptions", "support", "talk", "terms", "user", "profile", "index", "community", "lenses", "connected", "apps", "purchase", "reports", "app", "in", "with", "json", "html", "files",
+    "data", "bitmoji", "custom", "email", "emails", "campaign", "feature", "ads", "pro", "ai", "plus",
+)
+PLACE_LABELS = ("latitude, longitude:", "latitude,longitude:", "lat, lon:", "lat,lon:", "lat, long:", "lat,long:", "latitude:", "longitude:", "location:", "coordinates:", "coordinate:")
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 DATES = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:([ T])([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]+))?( UTC|Z)?)?\z"
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"
-LABELLED = r"(?i)^latitude, longitude:\s*([+-]?[0-9]+(?:\.[0-9]+)?),\s*([+-]?[0-9]+(?:\.[0-9]+)?)\z"
+LABELLED = r"^((?i:" + "|".join(PLACE_LABELS) + r")\s*|)([+-]?[0-9]{1,3}\.[0-9]+)(\s*,\s*)([+-]?[0-9]{1,3}\.[0-9]+)\z"
 URL_IN_TEXT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'\\<>]+"""
 PAIR_IN_TEXT = r"(?i:latitude, longitude:\s*[+-]?[0-9]+(?:\.[0-9]+)?\s*,\s*[+-]?[0-9]+(?:\.[0-9]+)?)|[+-]?[0-9]{1,3}\.[0-9]+\s*,\s*[+-]?[0-9]{1,3}\.[0-9]+"
 PAIR_END = r"([+-]?[0-9]+(?:\.[0-9]+)?)\s*,\s*([+-]?[0-9]+(?:\.[0-9]+)?)\z"
@@ -105,7 +117,8 @@ def join_class(key: Column) -> Column:
 def value_class(value: Column, key: Column) -> Column:
     """What a text is: the first that fits of a fixed order. A join key's value keeps its own format if it has one."""
     formatted = value.rlike(URL) | value.rlike(DATES) | value.rlike(UUID) | value.rlike(LABELLED)
-    free = normal_key(key).isin(*FREE_TEXT_KEYS)
+    name = normal_key(key)
+    free = name.rlike(FREE_TEXT) & ~name.rlike(f"({'|'.join(STATE_KEYS)})\\z")
     return (
         F.when(value == "", "empty").when(join_class(key).isNotNull() & ~formatted, "join").when(value.isin(*ENUM_WORDS) & ~free, "enum").when(value.rlike(URL), "url")
         .when(value.rlike(LABELLED), "latlon").when(value.rlike(DATES), "datetime").when(value.rlike(UUID), "uuid").when(F.lower(F.ltrim(value, F.lit("."))).isin(*EXTENSIONS), "extension")
@@ -158,8 +171,9 @@ def is_coordinate(key: Column, parent_key: Column) -> Column:
 
 
 def redact_latlon(value: Column, digest: Column) -> Column:
-    lat, lon = F.regexp_extract(value, LABELLED, 1), F.regexp_extract(value, LABELLED, 2)
-    return F.when(value.rlike(LABELLED), F.concat(F.lit("Latitude, Longitude: "), fake_coordinate(lat, digest), F.lit(", "), fake_coordinate(lon, F.reverse(digest))))
+    """A pair of degrees, with one of the known labels or none, that keeps its label and its numbers of decimals."""
+    label, lat, between, lon = (F.regexp_extract(value, LABELLED, i) for i in (1, 2, 3, 4))
+    return F.when(value.rlike(LABELLED), F.concat(label, fake_coordinate(lat, digest), between, fake_coordinate(lon, F.reverse(digest))))
 
 
 def redact_url(value: Column, known_hosts: tuple[str, ...] = ()) -> Column:

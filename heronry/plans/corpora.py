@@ -72,7 +72,7 @@ def value_classes(s: SparkSession, d: str) -> DataFrame:
     k, h = F.col("o_orderkey"), F.md5(_text("o_orderkey"))
     uuid = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     value = _pick(
-        k % 13, F.lit(""), F.concat(F.lit("https://h/"), h), F.concat(F.lit("Latitude, Longitude: 1.5, "), _text("o_orderkey")), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), uuid,
+        k % 13, F.lit(""), F.concat(F.lit("https://h/"), h), F.concat(F.lit("Latitude, Longitude: 1.5, 9."), _text("o_orderkey")), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), uuid,
         F.lit("MEDIA"), F.lit(".JPG"), F.concat(h, F.lit(".png")), F.concat(F.lit("00"), _text("o_orderkey")), F.concat(F.lit("some words "), h), F.lit("media"), F.concat(h, F.lit(".exe")), F.concat(F.lit("a/"), h, F.lit(".png")),
     )
     key = _pick(k % 3, F.lit("Some Key"), F.lit("Conversation-ID"), F.lit("Note"))
@@ -80,13 +80,13 @@ def value_classes(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, 'Latitude, Longitude: 1.' || translate(md5(c_custkey::VARCHAR)[1:2], 'abcdef', '012345') || ', 1' AS pair, '1.' || translate(md5(c_custkey::VARCHAR)[1:3], 'abcdef', '012345') AS number,
+    """SELECT c_custkey, 'lat, lon: 1.' || translate(md5(c_custkey::VARCHAR)[1:2], 'abcdef', '012345') || ', 1.' || translate(reverse(md5(c_custkey::VARCHAR))[1:1], 'abcdef', '012345') AS pair, '1.' || translate(md5(c_custkey::VARCHAR)[1:3], 'abcdef', '012345') AS number,
   c_custkey % 2 = 0 AS by_key FROM customer"""
 )
 def redacted_places(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer")
     digest = F.md5(_text("c_custkey"))
-    pair = F.concat(F.lit("latitude, longitude: -"), _text("c_nationkey"), F.lit(".25, "), _text("c_custkey"))
+    pair = F.concat(F.lit("lat, lon: -"), _text("c_nationkey"), F.lit(".25, "), F.lpad(_text("c_custkey"), 3, "0"), F.lit(".5"))
     key = F.when(F.col("c_custkey") % 2 == 0, "Lat").otherwise("late")
     return c.select("c_custkey", redact.redact_latlon(pair, digest).alias("pair"), redact.fake_coordinate(F.concat(F.lit("-"), _text("c_custkey"), F.lit(".125")), digest).alias("number"), redact.is_coordinate(key, F.lit("place")).alias("by_key"))
 
@@ -129,12 +129,13 @@ def masking_rules(s: SparkSession, d: str) -> DataFrame:
     return met.select("l_orderkey", "l_linenumber", "l_suppkey", "rule").unionByName(unused.select("rule"), allowMissingColumns=True)
 
 
+_ENDINGS = ", ".join(f"'{e}'" for e in redact.EXTENSIONS)
 _GAPS = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Za-z][A-Za-z0-9]*|[0-9]+|[^A-Za-z0-9]+)"
 
 
 @query(
     rf"""WITH p AS (SELECT CASE WHEN page_id % 2 = 0 THEN replace(url, '/', '_') ELSE url END AS path FROM pages), t AS (SELECT contains(path, '/') AS nested, unnest(regexp_extract_all(path, '{_GAPS}')) AS t FROM p),
-b AS (SELECT t, CASE WHEN lower(t) IN ('http', 'https', 'www', 'jpg', 'jpeg', 'png', 'mp4', 'gif', 'webp', 'json', 'html', 'zip', 'mov') OR regexp_matches(t, '^[._~/-]+$') THEN NULL WHEN nested THEN CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9]*$') THEN 'withheld' END
+b AS (SELECT t, CASE WHEN lower(t) IN ('http', 'https', 'www', {_ENDINGS}) OR regexp_matches(t, '^[._~/-]+$') THEN NULL WHEN nested THEN CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9]*$') THEN 'withheld' END
   WHEN NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9]*$') THEN 'not_fixable' WHEN len(t) > 12 THEN 'over_cap' ELSE 'named' END AS bucket FROM t)
 SELECT bucket, CASE WHEN bucket = 'named' THEN lower(t) END AS word, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY ALL"""
 )

@@ -389,8 +389,8 @@ def record_violations(s: SparkSession, d: str) -> DataFrame:
     """SELECT page_id, 'REDACTED' AS mark, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://redacted.invalid'
   || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) ELSE '/REDACTED' END
   || CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN '?' || array_to_string(list_transform(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
-       lambda p: CASE WHEN string_split(p, '=')[1] IN ('id', 'page', 'ref', 'q', 'token', 'lang', 'uid', 'mid', 'ts') THEN string_split(p, '=')[1] ELSE 'REDACTED' END || CASE WHEN contains(p, '=') THEN '=REDACTED' ELSE '' END), '&') ELSE '' END
-  || CASE WHEN regexp_extract(url, '#(.*)', 1) <> '' THEN '#REDACTED' ELSE '' END AS url FROM pages"""
+       lambda p: CASE WHEN string_split(p, '=')[1] IN (@PARAMS) THEN string_split(p, '=')[1] ELSE 'REDACTED' END || CASE WHEN contains(p, '=') THEN '=REDACTED' ELSE '' END), '&') ELSE '' END
+  || CASE WHEN regexp_extract(url, '#(.*)', 1) <> '' THEN '#REDACTED' ELSE '' END AS url FROM pages""".replace("@PARAMS", ", ".join(f"'{p}'" for p in redact.KNOWN_PARAMS))
 )
 def redact_urls(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.lit("REDACTED").alias("mark"), redact.redact_url(F.col("url")).alias("url"))
@@ -547,9 +547,12 @@ def stamps_and_names(s: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", x.stamp_text(F.col("t")).alias("stamp"), near[0].alias("next_day"), near[1].alias("previous_day"), F.concat_ws("/", x.output_dir(F.lit("/out"), moment), x.output_name(x.output_stem(moment), F.lit("jpg"), F.lit(1))).alias("path"))
 
 
+_FINE = ", ".join(f"'{w}'" for w in (*redact.FILE_WORDS, *redact.EXTENSIONS, *redact.ENUM_WORDS, "redacted", "latitude", "longitude", "invalid"))
+
+
 @query(
-    """SELECT doc_id, token, 'token' AS rule FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}|[0-9]+')) AS token FROM documents) t
-WHERE regexp_matches(token, '^[A-Za-z]') AND lower(token) NOT IN (SELECT lower(w) FROM (SELECT unnest(['main','overlay','media','thumbnail','memories','metadata','history','chat','snap','zip','b','jpg','jpeg','png','mp4','gif','webp','json','html','mov','TEXT','STATUS','NOTE','STICKER','IMAGE','VIDEO','true','false','UTC','Success','Failed','redacted','latitude','longitude','invalid']) AS w))
+    f"""SELECT doc_id, token, 'token' AS rule FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}|[0-9]+')) AS token FROM documents) t
+WHERE regexp_matches(token, '^[A-Za-z]') AND lower(token) NOT IN (SELECT lower(w) FROM (SELECT unnest([{_FINE}]) AS w))
   AND NOT regexp_matches(token, '^(x+|0+)$') AND token NOT IN (SELECT p_name FROM part)"""
 )
 def leaked_words(s: SparkSession, d: str) -> DataFrame:
@@ -558,7 +561,7 @@ def leaked_words(s: SparkSession, d: str) -> DataFrame:
     return tokens.filter("rule = 'token'").select(F.col("file").cast("long").alias("doc_id"), "token", "rule")
 
 
-_PLAIN_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://redacted\.invalid(/(REDACTED)?)*(\?{0}(&{0})*)?(#(REDACTED)?)?$".format("(REDACTED|(id|page|ref|q|token|lang|uid|mid|ts|REDACTED)=REDACTED)?")
+_PLAIN_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://redacted\.invalid(/(REDACTED)?)*(\?{0}(&{0})*)?(#(REDACTED)?)?$".format(f"(REDACTED|({'|'.join(redact.KNOWN_PARAMS)}|REDACTED)=REDACTED)?")
 
 
 @query(
@@ -567,7 +570,7 @@ UNION ALL SELECT doc_id, 'live_url', t FROM (SELECT doc_id, regexp_replace(unnes
 UNION ALL SELECT doc_id, 'coordinate', t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{redact.PAIR_IN_TEXT}')) AS t FROM documents)
   WHERE NOT (regexp_extract(t, '([+-]?[0-9]+(\.[0-9]+)?)\s*,[^,]*$', 1)::DOUBLE BETWEEN 1 - 1e-9 AND 2 + 1e-9 AND regexp_extract(t, ',\s*([^,\s]*)$', 1)::DOUBLE BETWEEN 1 - 1e-9 AND 2 + 1e-9)
 UNION ALL SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]') THEN 'number' ELSE 'token' END, t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}|[0-9]+')) AS t FROM documents)
-  WHERE lower(t) NOT IN (SELECT lower(w) FROM (SELECT unnest(['main','overlay','media','thumbnail','memories','metadata','history','chat','snap','zip','b','jpg','jpeg','png','mp4','gif','webp','json','html','mov','TEXT','STATUS','NOTE','STICKER','IMAGE','VIDEO','true','false','UTC','Success','Failed','redacted','latitude','longitude','invalid']) AS w))
+  WHERE lower(t) NOT IN (SELECT lower(w) FROM (SELECT unnest([{_FINE}]) AS w))
   AND NOT regexp_matches(t, '^(x+|0+)$') AND t NOT IN (SELECT p_name FROM part))
 SELECT doc_id::VARCHAR AS file, '/text' AS pointer, rule, len(t) AS n_chars FROM f"""
 )
