@@ -27,13 +27,19 @@ CELLS = 1 << 19
 CHUNK = 1 << 12
 #: Bits that remember the sets with possible partners; wrong hits cost time only.
 FILTER_BITS = 1 << 25
-#: Sets under one word beyond which all pass on unfiltered, and sets of it that one task compares.
+#: Sets under one word beyond which all pass on unfiltered (which costs time only), in pieces of that size, and sets
+#: of it that one task compares.
 MAX_FILTERED, BLOCK = 10_000, 2048
+#: Sets under one word beyond which the words before it are not looked at.
+MAX_EARLY = 200
+#: Ratio of the sizes in a size class: a little over the largest ratio of sets that match, so that such sets lie in one
+#: class or in neighbouring ones.
+SIZE_RATIO = 1.26
 
 #: Sets of more words than this also have a bitmap of WIDE_BITS bits, since 64 bits tell large sets little.
 WIDE_FROM, WIDE_BITS = 40, 512
 
-LINES = "doc_id long, th long, line int, sig long, n int, bits long, wide binary, prefix array<long>"
+LINES = "doc_id long, th long, line int, sig long, check long, n int, bits long, wide binary, prefix array<long>"
 
 
 def least_overlap(a, b):
@@ -45,18 +51,27 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(45)).astype(np.int64)
 
 
-def _sets(raw: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct words of all lines in order of rarity: line of each and its hash; text and number of each line."""
+def _sets(raw: np.ndarray, offsets: np.ndarray, ranks: np.ndarray, other: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct words of all lines in order of rarity: line of each and its hash; text and number of each line; and the
+    words' hashes in the other lane, if asked for."""
     starts, ends, _ = textvec.words(raw, offsets)
-    h = textvec.word_hashes(textvec.ascii_lower(raw), starts, ends)
+    folded = textvec.ascii_lower(raw)
+    h = textvec.word_hashes(folded, starts, ends)
     l_starts, _, l_doc = textvec.lines(raw, offsets)
     line = np.searchsorted(l_starts, starts, side="right") - 1
     number = np.arange(len(l_doc)) - np.searchsorted(l_doc, l_doc)
-    return *by_rarity(line, h, ranks, len(l_doc)), l_doc, number
+    at = rarity_order(line, h, ranks, len(l_doc))
+    return line[at], h[at], l_doc, number, textvec.word_hashes(folded, starts[at], ends[at], 1) if other else h[:0]
 
 
 def by_rarity(line: np.ndarray, h: np.ndarray, ranks: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
     """Lines and hashes in order of line and rarity, each hash of a line once."""
+    at = rarity_order(line, h, ranks, n_lines)
+    return line[at], h[at]
+
+
+def rarity_order(line: np.ndarray, h: np.ndarray, ranks: np.ndarray, n_lines: int) -> np.ndarray:
+    """Places in order of line and rarity, one for each hash of a line."""
     rank = ranks[_cell(h)]
     # one key holds line, rank and half of the hash; where halves meet, whole hashes decide
     by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(32)) | (h >> np.uint64(32)))
@@ -66,7 +81,7 @@ def by_rarity(line: np.ndarray, h: np.ndarray, ranks: np.ndarray, n_lines: int)
     line, h = line[by], h[by]
     new = np.ones(len(h), bool)
     new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-    return line[new], h[new]
+    return by[new]
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
@@ -133,15 +148,16 @@ def _line_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, "text"):
-            line, h, l_doc, number = _sets(*textvec.column_bytes(batch.column("text")), shared.value)
+            line, h, l_doc, number, other = _sets(*textvec.column_bytes(batch.column("text")), shared.value, True)
             first, size, sig, bits = _signature(line, h)
+            check = np.add.reduceat(textvec.mix(other), first) if len(first) else sig
             mine = line[first]
             reach = np.where(size * DEN < (size + 1) * NUM, 0, size - (NUM * size + DEN - 1) // DEN + 1)
             at = np.repeat(first, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(reach)), pa.int32()), pa.array(h[at].view(np.int64)))
             ids = [batch.column(c).take(pa.array(l_doc[mine])) for c in ("doc_id", "th")]
-            columns = [*ids, pa.array(number[mine], pa.int32()), pa.array(sig.view(np.int64)), pa.array(size, pa.int32()), pa.array(bits.view(np.int64)), _wide_bitmaps(h, first, size), prefix]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "line", "sig", "n", "bits", "wide", "prefix"])
+            columns = [*ids, pa.array(number[mine], pa.int32()), pa.array(sig.view(np.int64)), pa.array(check.view(np.int64)), pa.array(size, pa.int32()), pa.array(bits.view(np.int64)), _wide_bitmaps(h, first, size), prefix]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "line", "sig", "check", "n", "bits", "wide", "prefix"])
 
     return docs.mapInArrow(rows, LINES)
 
@@ -168,19 +184,37 @@ def _filter_group(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, sig: np.ndar
     return live
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Tables that hold all rows of each key they have, from batches that are sorted by the keys."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables that hold all rows of each key they have, from batches that are sorted by the keys, and true.
+
+    A key of more than ``most`` rows comes in pieces of its own instead, with false, so that it is never held whole.
+    """
     held: pa.Table | None = None
+    open_: np.ndarray | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
+        if not held.num_rows:
+            continue
         key = np.stack([held.column(c).to_numpy() for c in keys])
-        other = np.flatnonzero((key != key[:, -1:]).any(0)) if held.num_rows else ()
+        if open_ is not None:
+            rest = np.flatnonzero((key != open_).any(0))
+            mine = int(rest[0]) if len(rest) else held.num_rows
+            if mine:
+                yield held.slice(0, mine), False
+                held, key = held.slice(mine), key[:, mine:]
+            if not held.num_rows:
+                continue
+            open_ = None
+        other = np.flatnonzero((key != key[:, -1:]).any(0))
         if len(other):
-            yield held.slice(0, int(other[-1]) + 1)
+            yield held.slice(0, int(other[-1]) + 1), True
             held = held.slice(int(other[-1]) + 1)
+        if most is not None and held.num_rows > most:
+            yield held, False
+            open_, held = key[:, -1:], None
     if held is not None and held.num_rows:
-        yield held
+        yield held, True
 
 
 def _live(lines: DataFrame) -> DataFrame:
@@ -189,7 +223,7 @@ def _live(lines: DataFrame) -> DataFrame:
     postings = each.select("word", "sig", "bits", F.expr("n * 4294967296L + pos").alias("size_pos"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ("word",)):
+        for t, whole in _whole_groups(batches, ("word",), MAX_FILTERED):
             word, sig, bits, packed = (t.column(c).to_numpy() for c in ("word", "sig", "bits", "size_pos"))
             # words and sizes in order, equal sets side by side
             group = np.cumsum(np.append(0, word[1:] != word[:-1]))
@@ -198,7 +232,7 @@ def _live(lines: DataFrame) -> DataFrame:
             new = np.append(True, (word[1:] != word[:-1]) | (sig[1:] != sig[:-1]))
             word, sig, bits, packed = (x[new] for x in (word, sig, bits, packed))
             n, pos = packed >> 32, packed & 0xFFFFFFFF
-            live = _filter_group(n, pos, bits.view(np.uint64)[:, None], sig, word)
+            live = _filter_group(n, pos, bits.view(np.uint64)[:, None], sig, word) if whole else np.ones(len(n), bool)
             yield pa.RecordBatch.from_arrays([pa.array(word[live]), pa.array(sig[live]), pa.array(pos[live].astype(np.int32))], names=["word", "sig", "pos"])
 
     return postings.repartition("word").sortWithinPartitions("word").mapInArrow(keep, "word long, sig long, pos int")
@@ -211,7 +245,10 @@ def _refined(live: DataFrame, sets: DataFrame) -> DataFrame:
     rows = live.join(sets, "sig").select("word", "sig", "pos", "n", "wide", F.col(part).alias("side"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ("word",)):
+        for t, whole in _whole_groups(batches, ("word",), MAX_FILTERED):
+            if not whole:
+                yield from t.select(["word", "sig", "pos"]).to_batches()
+                continue
             word, sig, pos, n, side = (t.column(c).to_numpy() for c in ("word", "sig", "pos", "n", "side"))
             group = np.cumsum(np.append(0, word[1:] != word[:-1]))
             by = np.argsort(group << 32 | n.astype(np.int64), kind="stable")
@@ -233,20 +270,23 @@ def _refined(live: DataFrame, sets: DataFrame) -> DataFrame:
 def _needed(live: DataFrame) -> DataFrame:
     """word and sig where the set may have a partner with which it shares no live word before this one.
 
-    All other meetings of a set happen under an earlier word. Large groups pass whole.
+    All other meetings of a set happen under an earlier word. Groups of more than MAX_EARLY pass whole.
     """
     ordered = live.groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("w"))
     each = ordered.select("sig", "w", F.posexplode("w").alias("i", "p")).select(F.col("p.word").alias("word"), "sig", F.transform(F.slice("w", F.lit(1), F.col("i")), lambda e: e["word"]).alias("early"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ("word",)):
+        for t, complete in _whole_groups(batches, ("word",), 50 * MAX_EARLY):
+            if not complete:
+                yield from t.select(["word", "sig"]).to_batches()
+                continue
             word, sig = t.column("word").to_numpy(), t.column("sig").to_numpy()
             early = t.column("early").combine_chunks()
             size = early.value_lengths().to_numpy(zero_copy_only=False)
             edge = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
             whole = np.minimum.reduceat(size, edge[:-1]) == 0
-            hit = np.repeat(whole | (np.diff(edge) > 200), np.diff(edge))
-            for g in np.flatnonzero(~whole & (np.diff(edge) > 1) & (np.diff(edge) <= 200)).tolist():
+            hit = np.repeat(whole | (np.diff(edge) > MAX_EARLY), np.diff(edge))
+            for g in np.flatnonzero(~whole & (np.diff(edge) > 1) & (np.diff(edge) <= MAX_EARLY)).tolist():
                 sets = [frozenset(x) for x in early.slice(edge[g], edge[g + 1] - edge[g]).to_pylist()]
                 kinds = set(sets)
                 if len(kinds) > 1:
@@ -274,7 +314,7 @@ def _whole_sets(docs: DataFrame, counts: np.ndarray, member: np.ndarray) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, member = shared.value
         for batch in batch_slices(batches, "text"):
-            line, h, _, _ = _sets(*textvec.column_bytes(batch.column("text")), ranks)
+            line, h, *_ = _sets(*textvec.column_bytes(batch.column("text")), ranks)
             first, size, sig, _ = _signature(line, h)
             bit = (sig.view(np.int64) % FILTER_BITS).astype(np.uint64)
             hit = np.flatnonzero(member[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
@@ -332,20 +372,31 @@ def _pairs(sets: list[np.ndarray], place: list[int], cross: np.ndarray | None) -
 
 
 def dealt(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """live with the columns of sets and i, j and own: a crowded word's sets are dealt into blocks, and every two
-    blocks i and j meet in one task."""
-    crowd = live.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    rows = live.join(crowd, "word", "left").join(sets, "sig")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    met = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("met", F.explode(met))
-    return rows.withColumn("i", F.least("own", "met")).withColumn("j", F.greatest("own", "met"))
+    """live with the columns of sets and i, j and own: the cells that meet, and the row's own one.
+
+    A crowded word's sets are dealt into cells by size class and hash. Two cells meet in a task of their own if they
+    are of one class or of neighbouring ones; sets of other classes are too unlike in size to match.
+    """
+    zero = F.lit(0)
+    crowd = materialise(live.groupBy("word").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("word"), "crowd")
+    if not crowd.take(1):
+        return live.select("*", zero.alias("i"), zero.alias("j"), zero.alias("own")).join(sets, "sig")
+    easy = live.join(crowd, "word", "left_anti").select("word", "sig", zero.alias("i"), zero.alias("j"), zero.alias("own"))
+    size = F.octet_length("words") / 8
+    hard = live.join(crowd, "word", "left_semi").select("word", "sig").join(sets.select("sig", F.floor(F.log(size) / F.log(F.lit(SIZE_RATIO))).cast("int").alias("class")), "sig")
+    cells = hard.groupBy("word", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
+    cells = cells.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("class", "cells"))).alias("cells"))
+    first = F.shiftleft("class", 20)
+    near = lambda step: F.coalesce(F.transform(F.sequence(zero, F.try_element_at("cells", F.col("class") + step) - 1), lambda k: F.shiftleft(F.col("class") + step, 20) + k), F.array().cast("array<int>"))
+    hard = hard.join(cells, "word").withColumn("own", first + F.pmod(F.xxhash64("sig"), F.try_element_at("cells", F.col("class"))).cast("int"))
+    hard = hard.withColumn("met", F.explode(F.concat(near(F.lit(-1)), near(F.lit(0)), near(F.lit(1)))))
+    hard = hard.select("word", "sig", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own")
+    return easy.unionByName(hard).join(sets, "sig")
 
 
 def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFrame:
     """sig, first place, links (how many other sets match) and earliest place of a match, for sets with a match."""
-    first = materialise(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "first-lines")
+    first = materialise(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "line", "check")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "first-lines")
     live = materialise(_live(lines), "live")
     live = materialise(_refined(live, first.select("sig", "n", "wide")), "refined")
     first = first.select("sig", "first")
@@ -355,7 +406,7 @@ def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFram
     rows = dealt(live, sets).select("word", "i", "j", "own", "sig", "words", "first.doc_id", "first.th", "first.line")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ("word", "i", "j")):
+        for t, _ in _whole_groups(batches, ("word", "i", "j")):
             yield matched(t)
 
     names = ["sig", "links", "doc_id", "th", "line"]
@@ -398,14 +449,16 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th and, for each document with words, its lines' verdicts: removed line numbers and sums.
 
     docs: doc_id, th, text. A line is removed if a line before it, by doc_id (null first), hash of the text and
-    number, has the same words or matches them.
+    number, has the same words or matches them. Sets of words are told apart by 64 bits, and before a line goes they
+    must agree in 64 more, of other hashes of their words.
     """
     counts = word_counts(docs)
     lines = materialise(_line_rows(docs, counts), "lines")
     links = materialise(set_links(docs, lines, counts), "links")
-    place = F.struct("doc_id", "th", "line")
-    each = lines.select("doc_id", "th", "line", "sig").join(links, "sig")
-    removed = (place != F.col("first")) | F.coalesce(F.col("match") < F.col("first"), F.lit(False))
+    place, first = F.struct("doc_id", "th", "line"), F.struct("first.doc_id", "first.th", "first.line")
+    each = lines.select("doc_id", "th", "line", "sig", "check").join(links, "sig")
+    each = each.withColumn("same", F.col("check") == F.col("first.check")).withColumn("first", first)
+    removed = F.col("same") & ((place != F.col("first")) | F.coalesce(F.col("match") < F.col("first"), F.lit(False)))
     return each.groupBy("doc_id", "th").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sort_array(F.collect_list(F.when(removed, F.col("line")))).alias("removed"),

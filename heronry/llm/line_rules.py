@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import in_slices
+from heronry.llm.common import in_slices, require_free
 
 #: A document fails at once below so many words, or above this share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -22,12 +22,15 @@ MAX_MARKED, MAX_SEPARATORS, MAX_STUTTER = 0.3, 0.1, 0.3
 MIN_OPEN_WORDS = 8
 #: A document is rejected if failed lines hold more than this share of its word characters.
 MAX_LOST = 0.4
-#: Phrases of lines that web pages repeat.
+#: Phrases of lines that web pages repeat, in the languages that the rules know.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "cookie policy", "we use cookies", "accept cookies", "terms of use",
     "terms of service", "enable javascript", "sign up for our newsletter", "subscribe to our newsletter",
     "click here to", "skip to content", "back to top", "powered by", "share on facebook", "follow us on",
     "licensed under", "released under the", "under the gnu general public license",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "wir verwenden cookies", "zum inhalt springen", "nach oben scrollen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "nous utilisons des cookies", "aller au contenu", "retour en haut",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utilizamos cookies", "saltar al contenido", "volver arriba",
 )
 END_MARKS = (".", "!", "?", "\"", "'", ":", ";", ")", "]", "…", "”", "’", "»", "。", "！", "？")
 
@@ -56,12 +59,12 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seen_before(keys: np.ndarray) -> np.ndarray:
-    """Which keys equal an earlier one."""
-    order = np.argsort(keys, kind="stable")
-    later = np.zeros(len(keys), bool)
-    later[1:] = keys[order][1:] == keys[order][:-1]
-    out = np.empty(len(keys), bool)
+def _seen_before(*keys: np.ndarray) -> np.ndarray:
+    """Which places equal an earlier one in all keys."""
+    order = np.lexsort(keys)
+    later = np.zeros(len(order), bool)
+    later[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    out = np.empty(len(order), bool)
     out[order] = later
     return out
 
@@ -69,9 +72,9 @@ def _seen_before(keys: np.ndarray) -> np.ndarray:
 def measure(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Counts for each text; starts, ends, text and failure of each line."""
     n = len(offsets) - 1
-    prefix = textvec.prefix_hash(raw)
+    prefix = textvec.Prefixes(raw)
     starts, ends, doc = textvec.words(raw, offsets)
-    hashes = textvec.range_hash(prefix, starts, ends)
+    hashes = prefix.ranges(starts, ends)
     chars_to = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=chars_to[1:])
     symbols_to = np.zeros(len(raw) + 1, np.int64)
@@ -82,10 +85,11 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     salt = textvec.mix(np.arange(1, n + 1, dtype=np.uint64))
     repeat = np.zeros(len(starts) + 1, np.int64)
     if len(starts) >= WINDOW:
-        up, down = textvec.powers(len(starts) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
         at = np.flatnonzero(doc[WINDOW - 1 :] == doc[: len(doc) - WINDOW + 1])
-        keys = textvec.mix((sums[at + WINDOW] - sums[at]) * down[at]) + salt[doc[at]]
+        keys = salt[doc[at]]
+        for j in range(WINDOW):
+            keys = (keys ^ hashes[at + j]) * np.uint64(textvec.BASE)
+            keys ^= keys >> np.uint64(32)
         hit = at[_repeated(keys)]
         np.add.at(repeat, hit, 1)
         np.add.at(repeat, hit + WINDOW, -1)
@@ -98,8 +102,8 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     line = np.searchsorted(l_starts, starts, side="right") - 1
     l_words = np.bincount(line, minlength=k)
     full = np.flatnonzero(l_words > 0)
-    keys = textvec.range_hash(prefix, l_starts[full], l_ends[full]) + textvec.mix(l_ends[full] - l_starts[full] + 1) + salt[l_doc[full]]
-    out["n_dup_lines"] = np.bincount(l_doc[full][_seen_before(keys)], minlength=n)
+    keys = [textvec.Prefixes(raw, lane).ranges(l_starts[full], l_ends[full]) if lane else prefix.ranges(l_starts[full], l_ends[full]) for lane in (0, 1)]
+    out["n_dup_lines"] = np.bincount(l_doc[full][_seen_before(l_doc[full], *keys)], minlength=n)
 
     share = lambda which: np.bincount(line[which], minlength=k) / np.maximum(l_words, 1)
     last, before = raw[ends - 1], raw[np.maximum(ends - 2, 0)]
@@ -162,10 +166,14 @@ def line_quality(text: Column, with_text: bool = True) -> Column:
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", name: str = "rules") -> DataFrame:
-    """The columns of docs and a struct ``name`` with counts, verdicts and the cleaned text."""
+    """The columns of docs and a struct ``name`` with counts, verdicts and the cleaned text.
+
+    A column of docs called like ``name`` is an error."""
+    require_free(docs, name)
     return docs.withColumn(name, line_quality(F.col(text_col)))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts and both verdicts of every document; all columns but doc_id and text are ignored."""
     judged = docs.select("doc_id", line_quality(F.col("text"), with_text=False).alias("r"))
     return judged.select("doc_id", *(f"r.{c}" for c in COUNTS), "r.base_failed", "r.kept")

@@ -153,7 +153,7 @@ def _prefix_links(docs: DataFrame, sets: DataFrame, parts: DataFrame, ranks: obj
     rows = line_dedup.dealt(live, whole).select("word", "i", "j", "own", "sig", "words")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in line_dedup._whole_groups(batches, ("word", "i", "j")):
+        for t, _ in line_dedup._whole_groups(batches, ("word", "i", "j")):
             key = np.stack([t.column(c).to_numpy() for c in ("word", "i", "j")])
             edge = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), t.num_rows)
             own, sig, raw = t.column("own").to_numpy(), t.column("sig").to_numpy(), t.column("words")

@@ -10,24 +10,46 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Odd base of the polynomial hash modulo 2^64, and its inverse.
+#: Texts are hashed as polynomials modulo a prime (so that no structure of the text makes them meet, as it does modulo
+#: a power of two), under two bases for a hash. Lanes have bases of their own: hashes of two lanes are independent.
+PRIME = (1 << 31) - 1
+BASES = ((1_779_033_703, 1_013_904_242), (1_359_893_119, 528_734_635))
+#: Bytes whose terms can be summed in 64 bits.
+CHUNK = 1 << 24
+#: Odd base of the rolling hash modulo 2^64, which chooses places and never tells texts apart.
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i below n at least."""
-    if len(_powers.get("up", ())) < n:
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME for any 64-bit x."""
+    p, low = np.uint64(PRIME), np.uint64(31)
+    x = (x & p) + (x >> low)
+    x = (x & p) + (x >> low)
+    return np.where(x >= p, x - p, x)
+
+
+def powers(base: int, n: int, modulus: int = PRIME) -> np.ndarray:
+    """base^i for i below n at least, modulo PRIME or 2^64; a worker keeps the tables."""
+    table = _powers.get(base)
+    if table is None or len(table) < n:
         size = max(n, 1 << 20) * 5 // 4
-        for name, b in (("up", BASE), ("down", INVERSE)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+        if modulus == PRIME:
+            table, have, step = np.ones(size, np.uint64), 1, base
+            while have < size:
+                more = min(have, size - have)
+                table[have : have + more] = _reduce(table[:more] * np.uint64(step))
+                have, step = have + more, step * step % PRIME
+            table = table.astype(np.uint32)
+        else:
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            table = np.cumprod(table, dtype=np.uint64)
+        _powers[base] = table
+    return table
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,22 +109,43 @@ def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts[by_start], ends[by_end], doc[by_start]
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums: entry i covers the first i bytes."""
-    up, _ = powers(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range that depends on its bytes alone."""
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(raw), starts, ends)
+class Prefixes:
+    """Prefix sums of a byte vector, from which any range of it has a hash of 62 bits that its bytes alone decide."""
+
+    def __init__(self, raw: np.ndarray, lane: int = 0) -> None:
+        self.bases = BASES[lane]
+        self.sums = []
+        for base in self.bases:
+            up = powers(base, len(raw) + 1)
+            out = np.zeros(len(raw) + 1, np.uint64)
+            for begin in range(0, len(raw), CHUNK):
+                part = raw[begin : begin + CHUNK]
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[begin : begin + len(part)], out=out[begin + 1 : begin + 1 + len(part)])
+                if begin:
+                    out[begin + 1 : begin + 1 + len(part)] += np.uint64(int(out[begin]) % PRIME)
+            self.sums.append(out)
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each range, spread over 64 bits."""
+        halves = []
+        for base, sums in zip(self.bases, self.sums, strict=True):
+            back = powers(pow(base, -1, PRIME), len(sums))
+            value = _reduce(sums[ends]) + np.uint64(PRIME) - _reduce(sums[starts])
+            halves.append(_reduce(_reduce(value) * back[starts]))
+        return mix(halves[0] << np.uint64(31) | halves[1])
+
+
+def rolling(raw: np.ndarray, width: int) -> np.ndarray:
+    """A quick hash of every string of ``width`` bytes. Different strings may meet: it only chooses places."""
+    up = powers(BASE, len(raw) + 1, 0)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    back = powers(pow(BASE, -1, 1 << 64), len(raw) + 1, 0)
+    return mix((sums[width:] - sums[:-width]) * back[: len(sums) - width])
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    return Prefixes(raw, lane).ranges(starts, ends)
 
 
 def ascii_lower(raw: np.ndarray) -> np.ndarray:

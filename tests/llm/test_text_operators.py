@@ -72,7 +72,9 @@ def test_line_rules_verdicts(spark):
     menu = good.split("\n")[0] + "\n" + "\n".join("Home | About | Contact | Login | News | Sport | Shop | Help | Terms" for _ in range(1)) + "\n" + "\n".join(f"Item{i} | More{i} | Buy{i} | Now{i}" for i in range(30))
     shout = " ".join(f"WORD{i}!!" for i in range(60)) + "."
     rows = [(1, good), (2, menu), (3, shout), (4, good + "\nAll rights reserved.")]
-    out = {r.doc_id: r for r in line_rules.clean_documents(frame(spark, rows)).select("doc_id", "rules.*").collect()}
+    out = {r.doc_id: r for r in line_rules.clean_documents(frame(spark, rows), name="judged").select("doc_id", "judged.*").collect()}
+    with pytest.raises(ValueError, match="rules"):
+        line_rules.clean_documents(frame(spark, rows))
     assert [out[i].kept for i in (1, 2, 3, 4)] == [True, False, False, True]
     assert out[4].clean_text == good and out[1].clean_text == good
 
@@ -111,7 +113,9 @@ def test_mixing_edges(spark):
     docs = frame(spark, TRICKY)
     assert mixing.mix_report(docs).count() == len(TRICKY) and mixing.mix_report(docs.limit(0)).count() == 0
     mixed = mixing.mixed_documents(docs)
-    assert set(mixed.columns) == set(docs.columns) - {"mix"}
+    assert mixed.columns == docs.columns and {r.mix for r in mixed.select("mix").collect()} == {1}
+    with pytest.raises(ValueError, match="mix"):
+        mixing.mix_sources(docs)
 
 
 # ---- op5 ----
@@ -345,3 +349,160 @@ def test_cotraining(spark):
     assert all(0 <= r.quality <= 1 for r in out.values())
     one_class = cotraining.report(docs, labels.filter("quality = 1"))
     assert {r.kept for r in one_class.collect()} == {True} and cotraining.report(docs.limit(0), labels).count() == 0
+
+
+# ---- hashes ----
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two texts of 2^n letters that meet under every polynomial hash modulo a power of two, if n is large enough."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_texts_do_not_meet(spark):
+    pairs = [thue_morse(n) for n in (10, 11, 12)]
+    rows = [(10 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    both = [(100 + i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)]
+    counts = line_rules.quality_report(frame(spark, both)).collect()
+    assert [(r.n_dup_lines, r.n_repeat_words) for r in counts] == [(0, 0)] * 3
+    assert dedup_rows(spark, frame(spark, rows + both)) == plain_line_dedup(rows + both)
+    got = sorted((tuple(r) for r in suffixes.report(frame(spark, rows), length=400).collect()), key=repr)
+    assert got == plain_repeats(rows, 400)
+    raw = np.frombuffer("".join(t for pair in pairs for t in pair).encode(), np.uint8)
+    ends = np.cumsum([len(t) for pair in pairs for t in pair])
+    for lane in (0, 1):
+        assert len(set(textvec.word_hashes(raw, np.append(0, ends[:-1]), ends, lane).tolist())) == 6
+
+
+def test_hashes_depend_on_bytes_alone(monkeypatch):
+    r = np.random.default_rng(7)
+    raw = r.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.array([0, 7, 4000])
+    whole = [textvec.Prefixes(raw, lane).ranges(starts, starts + 900) for lane in (0, 1)]
+    apart = [[textvec.Prefixes(raw[s : s + 900], lane).ranges(np.array([0]), np.array([900]))[0] for s in starts] for lane in (0, 1)]
+    assert np.array_equal(whole, apart)
+    monkeypatch.setattr(textvec, "CHUNK", 512)
+    assert np.array_equal(whole, [textvec.Prefixes(raw, lane).ranges(starts, starts + 900) for lane in (0, 1)])
+    plain = [sum((int(b) + 1) * pow(base, i, textvec.PRIME) for i, b in enumerate(raw[:900])) % textvec.PRIME for base in textvec.BASES[0]]
+    assert whole[0][0] == textvec.mix(np.array([plain[0] << 31 | plain[1]], np.uint64))[0]
+
+
+def test_crowded_words_meet_by_size(spark, monkeypatch):
+    """One word in the prefix of sets of many sizes: cells of like sizes meet, and nothing is lost."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "MAX_FILTERED", 2)
+    monkeypatch.setattr(line_dedup, "MAX_EARLY", 1)
+    r = random.Random(11)
+    rows = []
+    for i in range(120):
+        n = r.choice([1, 2, 4, 5, 6, 8, 10, 12, 15, 30, 38])
+        rows.append((i, "hot " + " ".join(f"w{(r.randint(0, 2) * 7 + k) % 60}" for k in range(n))))
+    assert dedup_rows(spark, frame(spark, rows)) == plain_line_dedup(rows)
+
+
+def plain_cotraining(spark, rows, labels, most, rounds):
+    """The same rounds over rows held in memory: every unlabelled document is scored by both views in each round."""
+    import pyarrow as pa
+
+    by_id = {r[0]: r for r in rows if r[0] is not None}
+    parts = {i: cotraining.describe(*textvec.column_bytes(pa.array([r[1] or ""]))) for i, r in by_id.items()}
+    x = {i: p.matrix()[0].astype(np.float16).astype(np.float32) for i, p in parts.items()}
+    meta = {i: cotraining.metadata([r[2]], [r[3]], [r[4]])[0] for i, r in by_id.items()}
+    y = {i: int(q) for i, q, _ in labels if i in by_id and q is not None}
+    order = sorted(y, key=lambda i: (y[i], i))
+    pick = lambda ids, of: np.stack([of[i] for i in ids]).astype(np.float32)
+    t = cotraining.Trainer(pick(order, x), pick(order, meta), np.array([y[i] for i in order]), sum(y.values()) / len(y))
+    t.refit()
+    passed = [set(), set()]
+    for turn in range(rounds):
+        hashes = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in by_id], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(turn))).collect()}
+        odds = [{i: t.views[0].odds(parts[i].scores(t.views[0].weights))[0] for i in by_id if i not in y}, {i: t.views[1].odds(meta[i] @ t.views[1].weights) for i in by_id if i not in y}]
+        new = [{}, {}]
+        for v in (0, 1):
+            for label in (0, 1):
+                p = {i: cotraining._sigmoid(np.array([o]))[0] for i, o in odds[v].items()}
+                sure = sorted((i for i in p if (p[i] >= cotraining.CONFIDENT if label else p[i] <= 1 - cotraining.CONFIDENT)), key=lambda i: (hashes[i], i))
+                new[v] |= dict.fromkeys([i for i in sure if i not in passed[v]][: most // 2], label)
+            passed[v] |= set(new[v])
+        for v, of in ((0, meta), (1, x)):
+            if ids := sorted(new[v]):
+                t.learn(1 - v, pick(ids, of), np.array([new[v][i] for i in ids]))
+        t.history.append((len(new[0]), len(new[1])))
+        t.refit()
+    m = t.model()
+    score = lambda i: m.combine(*(np.clip(o, -12, 12) for o in (m.text.odds(parts[i].scores(m.text.weights)), np.array([m.meta.odds(meta[i] @ m.meta.weights)]))))[0]
+    return m.history, {i: score(i) for i in by_id}
+
+
+def test_cotraining_scores_every_document_in_every_round(spark):
+    r = random.Random(8)
+    words = ["the", "river", "moves", "under", "stone", "bridges", "quietly", "today"]
+    rows = []
+    for i in range(240):
+        good = i % 3 > 0
+        text = " ".join(r.choice(words) if good or r.random() < 0.5 else r.choice(["BUY", "NOW$$", "win&&"]) for _ in range(40))
+        rows.append((i, text, r.choice(["en", "de", None]), "a" if good ^ (r.random() < 0.1) else "b", len(text)))
+    rows += [(500, "very long " * 40_000, "en", "a", 400_000), (501, None, None, None, None), (None, "no id", None, None, 5)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 90)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("scores", F.lit(1)).withColumn("y", F.lit("x"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    history, want = plain_cotraining(spark, rows, labels, 20, 2)
+    model = cotraining.train(docs.repartition(5), table, max_passed=20, rounds=2)
+    assert model.history == history and sum(map(sum, history)) > 20
+    got = {x.doc_id: x.s.quality for x in cotraining.score_documents(docs, model, "s").select("doc_id", "s").collect()}
+    assert set(got) == {i for i, *_ in rows} and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+    with pytest.raises(ValueError, match="scores"):
+        cotraining.score_documents(docs, model)
+
+
+def test_languages_equal_a_plain_pairwise_vote(spark):
+    """Predictions against loops over pairs, and against separators fitted one by one."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    bits = {"da": ["et", "og", "af"], "no": ["et", "og", "ikk"], "sv": ["ett", "och", "ikk"], "fr": ["eau", "ou", "que"], "es": ["ado", "ll", "que"], "zz": ["qx", "xq"]}
+    text = lambda lang: " ".join("".join(r.choice(bits[lang]) for _ in range(2)) for _ in range(60))
+    rows = [(lang, text(lang)) for lang in list(bits) * 30]
+    spread = spark.createDataFrame([(t,) for _, t in rows], "t string").coalesce(1).select(language.profile(F.col("t")).alias("p")).collect()
+    x = np.stack([np.frombuffer(p.p, np.float16) for p in spread]).astype(np.float32)
+    langs = [lang for lang, _ in rows]
+    model = language.learn(langs, x)
+    # a column for each of four families, then the pairs da-no, da-sv, no-sv and es-fr
+    assert [c[1:] for c in model.columns if c[0]] == [("da", "no"), ("da", "sv"), ("no", "sv"), ("es", "fr")] and model.weights.shape[1] == len(model.families) + 4
+    for j, (f, a, b) in enumerate(model.columns):
+        if f:
+            mine = np.array([v in (a, b) for v in langs])
+            alone = language._hinge(x[mine], np.array([[1 if v == a else -1] for v in langs if v in (a, b)]), language.EPOCHS, language.PENALTY)
+            assert np.allclose(alone[:, 0], model.weights[:, j])
+    fresh = [(lang, text(lang)) for lang in list(bits) * 10]
+    got = [p["lang_pred"] for p in language._predict(model, pa.array([t for _, t in fresh])).to_pylist()]
+    want = []
+    for _, t in fresh:
+        h, _ = language.trigrams(*textvec.column_bytes(pa.array([t])))
+        margin = {c: sum(float(model.weights[i, j]) for i in h) for j, c in enumerate(model.columns)}
+        f = max(model.families, key=lambda f: margin["", f, ""])
+        votes = Counter({m: 0 for m in model.members[f]})
+        total = Counter()
+        for (of, a, b), value in margin.items():
+            if of == f and of:
+                votes[a if value >= 0 else b] += 1
+                total[a] += value
+                total[b] -= value
+        want.append(max(votes, key=lambda m: (votes[m], total[m])))
+    assert got == want and sum(g == lang for g, (lang, _) in zip(got, fresh, strict=True)) >= 0.97 * len(fresh)
+
+
+@pytest.mark.parametrize("name", ["simhash", "language", "bpe", "rules", "suffixes"])
+def test_empty_tables_and_clashing_columns(spark, name):
+    """No rows give no rows, and columns that callers bring along do no harm."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    run = {
+        "simhash": simhash.report, "language": language.language_report, "rules": line_rules.quality_report, "suffixes": suffixes.report,
+        "bpe": lambda docs: bpe.digests(bpe.encode_documents(docs.select("doc_id", "text"), path)),
+    }[name]
+    docs = frame(spark, TRICKY)
+    for c in ("id", "fp", "th", "body", "r", "key", "held_out", "score", "n_words", "lang_pred", "part", "component", "bpe", "ranges"):
+        docs = docs.withColumn(c, F.lit(c))
+    assert run(docs.limit(0)).count() == 0 and run(docs).count() == len(TRICKY)
