@@ -3,7 +3,9 @@
 Which suffixes take part. Every window of ``length`` bytes has an anchor: the least hash among its ``GRAM``-byte
 strings, a choice that its bytes alone decide. Equal windows have equal anchors at equal places, so only anchors
 whose hash occurs twice or more are of use, and one suffix stands for all windows that share an anchor. Anchors
-with equal surroundings (a *class*) are exchanged twice at most and share the verdict.
+with equal surroundings (a *class*, known by hashes of two lanes, 124 bits) are exchanged twice at most and share
+the verdict. An anchor with very many different surroundings is taken apart: each of its windows is a class of its
+own, and only those that two hashes call repeated are exchanged and compared.
 
 The sort. Tasks sort suffixes from the anchors on, and exchange them as front-coded runs (the length of what each
 shares with the one before, and its rest), cut at splitters. A task merges its runs with a loser tree whose
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +32,9 @@ from heronry.llm.common import batch_slices, drop_path, materialise, materialise
 GRAM = 100
 #: Bytes of suffixes in a sorted run, and aimed at in a merge task.
 RUN_BYTES, PART_BYTES = 24 << 20, 6 << 20
-#: Anchors sampled for splitters.
-SAMPLE = 4000
-#: Different surroundings of one anchor that a merge task takes; windows of more frequent ones are counted.
+#: Strings drawn for splitters, for each part that they cut, at least; about four times as many are.
+DRAWN = 16
+#: Different surroundings of one anchor that stay in one group of a merge; beyond, its windows are classes themselves.
 MAX_SPANS = 20_000
 
 ANCHOR = "doc_id long, th long, kg long, sh long, at long, back int, fwd int"
@@ -40,15 +42,13 @@ RUN = "part int, lcp array<int>, rest array<binary>, prior array<binary>, kg arr
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, place, and first and last window start of every anchor, as positions in raw; and the prefix sums."""
+    """Text, place, and first and last window start of every anchor, as positions in raw."""
     n, width = len(raw), length - gram + 1
-    prefix = textvec.prefix_hash(raw)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, prefix
-    grams = np.arange(n - gram + 1)
-    least = textvec.range_hash(prefix, grams, grams + gram)
-    least = (least >> np.uint64(32) << np.uint64(32)) | grams.astype(np.uint64)
+        return empty, empty, empty, empty
+    least = textvec.rolling(raw, gram)
+    least = (least >> np.uint64(32) << np.uint64(32)) | np.arange(n - gram + 1, dtype=np.uint64)
     span = 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -59,13 +59,13 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - length + 1]
     starts = np.flatnonzero(offsets[1:][doc] - np.arange(n - length + 1) >= length)
     if not len(starts):
-        return empty, empty, empty, empty, prefix
+        return empty, empty, empty, empty
     place, doc = place[starts], doc[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return doc[first], place[first], starts[first], starts[last], prefix
+    return doc[first], place[first], starts[first], starts[last]
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -239,11 +239,11 @@ def _find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches, "body"):
             raw, offsets = textvec.column_bytes(batch.column("body"))
-            doc, place, first, last, prefix = anchors(raw, offsets, length, gram)
+            doc, place, first, last = anchors(raw, offsets, length, gram)
             if not len(doc):
                 continue
-            kg = textvec.range_hash(prefix, place, place + gram)
-            sh = textvec.range_hash(prefix, first, last + length) + textvec.mix(place - first)
+            kg = textvec.Prefixes(raw).ranges(place, place + gram)
+            sh = textvec.Prefixes(raw, 1).ranges(first, last + length) + textvec.mix(place - first)
             ids = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "th")]
             back, fwd = (place - first).astype(np.int32), (place - last).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.view(np.int64)) for x in (kg, sh)), pa.array(place - offsets[doc]), pa.array(back), pa.array(fwd)], names=["doc_id", "th", "kg", "sh", "at", "back", "fwd"])
@@ -251,20 +251,21 @@ def _find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(find, ANCHOR)
 
 
-def _splitters(docs: DataFrame, n: int, length: int, gram: int, sample: int = SAMPLE) -> list[bytes]:
-    """n - 1 anchors' bytes that cut a bounded sample of anchors into equal parts."""
+def _splitters(rows: DataFrame, n: int, gram: int) -> list[bytes]:
+    """n - 1 starts of the strings that are merged, which cut a sample of them into equal parts.
+
+    rows: body, and list (kg, sh, at, back, fwd), a sample of some DRAWN strings for each part.
+    """
     if n < 2:
         return []
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_slices(batches, "body"):
-            raw, offsets = textvec.column_bytes(batch.column("body"))
-            _, place, *_ = anchors(raw, offsets, length, gram)
-            draw = place[:: max(1, len(place) // 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([raw[p : p + gram].tobytes() for p in draw.tolist()], pa.binary())], ["g"])
+        for batch in batches:
+            for body, picks in zip(batch.column("body"), batch.column("picks"), strict=True):
+                body = body.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([body[p["at"] : p["at"] + gram] for p in picks.as_py()], pa.binary())], ["g"])
 
-    few = docs.filter(F.octet_length("body") >= length).orderBy(F.xxhash64("doc_id", "th")).limit(sample // 16).repartition(4)
-    got = sorted({r.g for r in few.mapInArrow(some, "g binary").collect()})
+    got = sorted(r.g for r in rows.select("body", "picks").mapInArrow(some, "g binary").collect())
     return sorted({got[len(got) * i // n] for i in range(1, n)}) if got else []
 
 
@@ -304,50 +305,83 @@ def _sorted_runs(rows: DataFrame, splitters: list[bytes], length: int) -> DataFr
     return rows.select("body", "picks").mapInArrow(sort, RUN)
 
 
-def _counted_windows(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated offsets of classes whose anchor has too many surroundings for one task: each window is hashed to
-    128 bits and counted. rows: body, and list (kg, sh, at, back, fwd)."""
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """kg, sh, o, the window's hashes h1 and h2, its text's doc_id and th and its place, for every window of the
+    picked surroundings. rows: doc_id, th, body, and list (kg, sh, at, back, fwd)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, picks in zip(batch.column("body"), batch.column("picks"), strict=True):
+            for i, (body, picks) in enumerate(zip(batch.column("body"), batch.column("picks"), strict=True)):
                 raw = np.frombuffer(body.as_py(), np.uint8)
-                twice = [textvec.prefix_hash(raw), textvec.prefix_hash(raw ^ 0xA5)]
-                for p in picks.as_py():
-                    o = np.arange(p["fwd"], p["back"] + 1)
-                    s = p["at"] - o
-                    h = [pa.array(textvec.range_hash(x, s, s + length).view(np.int64)) for x in twice]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(o), p[c])) for c in ("kg", "sh")), pa.array(o.astype(np.int32)), *h], names=["kg", "sh", "o", "h1", "h2"])
+                lanes = [textvec.Prefixes(raw, lane) for lane in (0, 1)]
+                picks = picks.as_py()
+                size = np.array([p["back"] - p["fwd"] + 1 for p in picks])
+                o = np.concatenate([np.arange(p["fwd"], p["back"] + 1) for p in picks])
+                at = np.repeat(np.array([p["at"] for p in picks]), size) - o
+                ids = [pa.repeat(batch.column(c)[i], len(o)) for c in ("doc_id", "th")]
+                keys = [pa.array(np.repeat(np.array([p[c] for p in picks]), size)) for c in ("kg", "sh")]
+                hashes = [pa.array(x.ranges(at, at + length).view(np.int64)) for x in lanes]
+                yield pa.RecordBatch.from_arrays([*ids, *keys, pa.array(o.astype(np.int32)), *hashes, pa.array(at)], names=["doc_id", "th", "kg", "sh", "o", "h1", "h2", "at"])
+
+    return rows.select("doc_id", "th", "body", "picks").mapInArrow(windows, "doc_id long, th long, kg long, sh long, o int, h1 long, h2 long, at long")
+
+
+_PLACE = ("doc_id", "th", "at", "back", "fwd")
+
 
-    each = materialise(rows.select("body", "picks").mapInArrow(windows, "kg long, sh long, o int, h1 long, h2 long"), "windows")
-    twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return each.join(twice, ["h1", "h2"], "left_semi").select("kg", "sh", F.col("o").alias("low"), F.col("o").alias("high")).distinct()
+def _classes(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """kg and sh, from two hash columns, with the number of rows and the first and the last place."""
+    place = F.struct(*_PLACE)
+    return rows.groupBy(F.col(one).alias("kg"), F.col(other).alias("sh")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+
+
+def _verdicts(docs: DataFrame, classes: DataFrame, length: int, gram: int) -> DataFrame:
+    """kg, sh and the ranges of offsets (low to high) whose windows are repeated, by sorted runs and their merge."""
+    total = classes.select(F.sum(F.when(F.col("n") > 1, 2).otherwise(1))).first()[0] or 0
+    parts = max(1, -(-total * length * 3 // (2 * PART_BYTES)))
+    cuts = []
+    if parts > 1:
+        # splitters come from the strings of some documents, so that no other text is moved for them
+        share = min(1.0, 4 * DRAWN * parts / total)
+        drawn = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+        cuts = _splitters(_same_row(docs.filter(drawn("doc_id", "th")), _picks(classes, drawn("p.doc_id", "p.th"))), parts, gram)
+    runs = _sorted_runs(_same_row(docs, _picks(classes)), cuts, length)
+    return runs.groupBy("part").applyInArrow(_merge_part(length, gram), "kg long, sh long, low int, high int")
+
+
+def _picks(classes: DataFrame, where: Column | None = None) -> DataFrame:
+    """doc_id, th and ``picks``, all first and last places of classes in that text."""
+    twice = F.explode(F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("p")
+    each = classes.select("kg", "sh", twice)
+    return (each if where is None else each.filter(where)).groupBy("p.doc_id", "p.th").agg(F.collect_list(F.struct("kg", "sh", "p.at", "p.back", "p.fwd")).alias("picks"))
+
+
+def _busy_verdicts(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """_verdicts for classes of anchors with too many surroundings for one group: their windows are the classes."""
+    each = materialise(_windows(_same_row(docs, _picks(classes)), length), "windows")
+    zero = F.lit(0).alias
+    again = _classes(each.select("doc_id", "th", "at", zero("back"), zero("fwd"), "h1", "h2"), "h1", "h2").filter("n > 1")
+    found = _verdicts(docs, materialise(again, "window-classes"), length, length).select(F.col("kg").alias("h1"), F.col("sh").alias("h2")).distinct()
+    return each.join(found, ["h1", "h2"], "left_semi").select("kg", "sh", F.col("o").alias("low"), F.col("o").alias("high")).distinct()
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = GRAM, max_spans: int = MAX_SPANS) -> DataFrame:
-    """doc_id, th and ranges (begin, end) of bytes that lie in a repeated string. docs: doc_id, th, body."""
+    """doc_id, th and ranges (begin, end) of bytes that lie in a repeated string. docs: doc_id, th, body.
+
+    max_spans decides how an anchor is worked through, never what is found.
+    """
     found, anchors_at = materialise_at(_find_anchors(docs, length, gram), "anchors")
     # written first, so that the join has a shuffle of its own on both sides, whose large partitions Spark can split
     common = materialise(found.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "common")
     kept = materialise(found.join(common, "kg", "left_semi"), "repeated")
     drop_path(docs.sparkSession, anchors_at)  # repeated is written and takes its place
-    place = F.struct("doc_id", "th", "at", "back", "fwd")
-    classes, classes_at = materialise_at(kept.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")
+    classes, classes_at = materialise_at(_classes(kept, "kg", "sh"), "classes")
     busy = classes.groupBy("kg").agg(F.count(F.lit(1)).alias("spans")).filter(F.col("spans") > max_spans).select("kg")
-    some_busy = bool(busy.take(1))
-    twice = F.explode(F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("p")
-
-    def with_text(part: DataFrame) -> DataFrame:
-        picks = part.select("kg", "sh", twice).groupBy("p.doc_id", "p.th").agg(F.collect_list(F.struct("kg", "sh", "p.at", "p.back", "p.fwd")).alias("picks"))
-        return _same_row(docs, picks)
-
-    calm = classes.join(busy, "kg", "left_anti") if some_busy else classes
-    total = calm.select(F.sum(F.when(F.col("n") > 1, 2).otherwise(1))).first()[0] or 0
-    parts = max(1, -(-total * length * 3 // (2 * PART_BYTES)))
-    runs = _sorted_runs(with_text(calm), _splitters(docs, parts, length, gram), length)
-    verdicts = runs.groupBy("part").applyInArrow(_merge_part(length, gram), "kg long, sh long, low int, high int")
-    if some_busy:
-        verdicts = verdicts.unionByName(_counted_windows(with_text(classes.join(busy, "kg", "left_semi")), length))
+    if busy.take(1):
+        busy = materialise(busy, "busy")
+        verdicts = _verdicts(docs, classes.join(busy, "kg", "left_anti"), length, gram).unionByName(_busy_verdicts(docs, classes.join(busy, "kg", "left_semi"), length))
+    else:
+        verdicts = _verdicts(docs, classes, length, gram)
     verdicts = materialise(verdicts, "verdicts")
     drop_path(docs.sparkSession, classes_at)
     begin, end = F.col("at") - F.col("high"), F.col("at") - F.col("low") + length
