@@ -4,6 +4,12 @@ For every prefix of a word exactly one last token is possible: a vocabulary entr
 compatible with the last token of what stands before it. Matches come from an automaton over the vocabulary,
 compatibility from undoing both tokens' merges at their border; back-pointers then give the ids. No merge is
 ever carried out. The tokenizer's file is a parameter; words repeat, so a worker keeps the ids of words it met.
+
+The automaton is one of Aho and Corasick, in place of a suffix automaton. Both report the same: after reading a
+prefix, the first stands on the longest suffix of it that begins an entry, the second on the longest that lies
+anywhere in an entry. An entry that ends the prefix is a suffix of it that begins an entry (itself) and lies in one
+(itself), so it is the place of either automaton or further down its chain of suffix links, and both walk that chain
+to its end. Each prefix thus meets all entries that end it, longest first, and the pair test keeps the one.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.common import trim
+from heronry.llm.common import require_free, trim
 
 #: Words and pairs that a worker remembers before it starts anew.
 MAX_WORDS, MAX_PAIRS = 120_000, 200_000
@@ -174,7 +180,10 @@ def round_trip(text: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", name: str = "bpe") -> DataFrame:
-    """The columns of docs and a struct ``name`` of ids and decoded text, whole texts, one row for each row."""
+    """The columns of docs and a struct ``name`` of ids and decoded text, whole texts, one row for each row.
+
+    A column of docs called like ``name`` is an error."""
+    require_free(docs, name)
     return docs.withColumn(name, round_trip(F.col(text_col), path))
 
 

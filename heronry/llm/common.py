@@ -13,19 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where tables are cut when the session names no spark.checkpoint.dir (tests, local runs).
-DEFAULT_SHARED = "file:///tmp/checkpoints/heronry"
+from heronry.sources.tables import shared_dir
+
 #: Bytes of text that a vectorised step takes at once; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
 #: Rows and bytes that Spark sends to a Python worker at once; long texts make batches of few rows.
 BATCH_ROWS, BATCH_BYTES = 50_000, 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/heronry-{name}-{uuid.uuid4().hex}"
 
@@ -46,13 +41,31 @@ def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffles that nothing refers to any more, before the next ones need the disk."""
     gc.collect()
-    spark._jvm.System.gc()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:  # a remote session has none, and its server cleans by itself
+        jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this process wrote under the shared folder."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    """Delete a folder that this process wrote under the shared folder; a remote session leaves it to its server."""
+    if not path.startswith(f"{shared_dir(spark)}/heronry-"):
+        raise ValueError("not a folder of this process")
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to be none of df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def require_free(df: DataFrame, *names: str) -> None:
+    """Raise if df has a column of one of the names: nothing that a caller brings along is overwritten."""
+    if clash := sorted({n.lower() for n in names} & {c.lower() for c in df.columns}):
+        raise ValueError(f"columns named {clash} are there already: rename them, or pass another name")
 
 
 def bound_batches(spark: SparkSession) -> None:

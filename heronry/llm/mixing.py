@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.llm.common import free_name, require_free
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source that a window task may hold, on average.
 ROWS_PER_RANGE = 50_000
@@ -53,21 +55,23 @@ def mix_sources(
     source_col: str = "source",
     rows_per_range: int = ROWS_PER_RANGE,
     keep: list[str] | None = None,
+    name: str = "mix",
 ) -> DataFrame:
-    """The columns of ``docs`` (those in ``keep``, if given) and ``mix``, a struct of size, source_size, target, epochs, in_cut and taken.
+    """The columns of ``docs`` (those in ``keep``, if given) and ``name``, a struct of size, source_size, target, epochs, in_cut and taken.
 
     size counts the words of the text (null or empty: 0). epochs counts the whole passes over the source;
     in_cut is true for documents that begin before the last, partial pass ends; taken counts the document's
     words in the mix, the last document of the partial pass in part, so that a source gives its target to the
     word. A null source is a source. The key is a hash of id and text: equal rows get equal keys, and ties are
-    equal in all that decides, so reruns agree. No rows give no rows. Columns of docs keep their names; the
-    struct ``mix`` replaces a column of that name.
+    equal in all that decides, so reruns agree. No rows give no rows. Columns of docs keep their names; a kept column
+    called like ``name`` is an error.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
-    kept = [c for c in docs.columns if c != "mix" and (keep is None or c in keep)]
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    require_free(docs.select(*kept), name)
     rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
-    return _cut(rows, weights, cap, rows_per_range).select("row.*", F.struct("size", "source_size", "target", "epochs", "in_cut", "taken").alias("mix"))
+    return _cut(rows, weights, cap, rows_per_range).select("row.*", F.struct("size", "source_size", "target", "epochs", "in_cut", "taken").alias(name))
 
 
 def _range_of(ranges: int) -> Column:
@@ -107,9 +111,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The one document of a source that its cut divides is kept whole, so a source may run over its target by
     less than that document.
     """
-    mixed = mix_sources(docs, **options)
-    times = F.col("mix.epochs") * F.when(F.col("mix.size") > 0, 1).otherwise(0) + F.col("mix.in_cut").cast("long")
-    return mixed.withColumn("mix", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop("mix")
+    name = free_name(docs, "mix")
+    mixed = mix_sources(docs, name=name, **options)
+    times = F.col(f"{name}.epochs") * F.when(F.col(f"{name}.size") > 0, 1).otherwise(0) + F.col(f"{name}.in_cut").cast("long")
+    return mixed.withColumn(name, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop(name)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
