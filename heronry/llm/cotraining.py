@@ -1,8 +1,9 @@
 """Quality scores by co-training a classifier of texts and one of page metadata.
 
-Each view has a logistic model. Over some rounds both label a pool of unlabelled documents, and each hands its
-most confident labels to the other view's training rows. Scores are calibrated on labelled rows kept apart, and
-a second small model on the same rows combines the two views.
+Each view has a logistic model. Over some rounds both score all unlabelled documents, and each hands confident labels
+to the other view's training rows. Scores are calibrated on labelled rows kept apart, and a second small model on the
+same rows combines the two views. Documents are scored in tasks; models are fitted on the driver, on bounded samples
+of labelled and pseudo-labelled rows.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import slice_ends, trim
-
-#: Bounds of the rows that models are fitted on: labelled rows over both classes, and the unlabelled pool.
-MAX_LABELLED, MAX_POOL = 3000, 4000
-ROUNDS = 4
-#: Calibrated confidence from which a pseudo-label is passed on, and the share of the pool passed on per round.
-CONFIDENT, PER_ROUND = 0.95, 0.1
+from heronry.llm.common import materialise, require_free, slice_ends, trim
+
+#: Bounds of the rows that models are fitted on: labelled rows over both classes, and pseudo-labelled rows that a view
+#: hands to the other in a round, over both classes.
+MAX_LABELLED, MAX_PASSED = 3000, 600
+ROUNDS = 3
+#: Calibrated confidence from which a pseudo-label may be passed on, and the weight of such a row.
+CONFIDENT, PSEUDO = 0.95, 0.5
 #: Share of labelled rows kept apart for calibration.
 APART = 0.25
 THRESHOLD = 0.5
@@ -172,42 +174,42 @@ def _view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, held_x: np.ndarray,
     return view, (mean, spread, w)
 
 
-def fit(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, prior: float, rounds: int = ROUNDS) -> Model:
-    """Co-train on labelled rows (y is 0 or 1) and an unlabelled pool. prior: the share of 1 among all labels,
-    which calibration restores, as both classes give like numbers of rows."""
-    apart = np.arange(len(y)) % round(1 / APART) == 0
-    if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
-        apart = np.zeros(len(y), bool)
-    held = apart if apart.any() else np.ones(len(y), bool)
-    share = y[held].mean()
-    fair = np.where(y[held] > 0.5, prior / share, (1 - prior) / (1 - share))
-    floors = (_FLOOR, np.full(META_DIM, 0.05, np.float32))
-    learn = ~apart
-    sets = [[x_text[learn], y[learn].astype(np.float32), np.ones(learn.sum())], [x_meta[learn], y[learn].astype(np.float32), np.ones(learn.sum())]]
-    whole, pools = (x_text, x_meta), (pool_text, pool_meta)
-    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
-    starts: list[tuple | None] = [None, None]
-    views: list[View | None] = [None, None]
-    history = []
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            balance = np.where(sets[v][1] > 0.5, 0.5 / max(1e-9, (sets[v][1] > 0.5).mean()), 0.5 / max(1e-9, (sets[v][1] <= 0.5).mean()))
-            views[v], starts[v] = _view(sets[v][0], sets[v][1], sets[v][2] * balance, whole[v][held], y[held], fair, floors[v], 80 if turn == 0 else 30, starts[v])
-        if turn == rounds or not len(pool_text):
-            break
-        passed = []
+class Trainer:
+    """Training rows of both views and their models. Labelled rows: y is 0 or 1; prior is the share of 1 among all
+    labels, which calibration restores, as both classes give like numbers of rows."""
+
+    def __init__(self, x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, prior: float) -> None:
+        apart = np.arange(len(y)) % round(1 / APART) == 0
+        if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
+            apart = np.zeros(len(y), bool)
+        self.held = apart if apart.any() else np.ones(len(y), bool)
+        self.y = y
+        share = y[self.held].mean()
+        self.fair = np.where(y[self.held] > 0.5, prior / share, (1 - prior) / (1 - share))
+        self.whole = (x_text, x_meta)
+        self.sets = [[x[~apart], y[~apart].astype(np.float32), np.ones((~apart).sum())] for x in self.whole]
+        self.starts: list[tuple | None] = [None, None]
+        self.views: list[View | None] = [None, None]
+        self.history: list[tuple[int, int]] = []
+
+    def refit(self) -> None:
+        floors = (_FLOOR, np.full(META_DIM, 0.05, np.float32))
         for v in (0, 1):
-            p = _sigmoid(views[v].odds(pools[v] @ views[v].weights))
-            other = 1 - v
-            sure = np.flatnonzero(free[other] & (np.maximum(p, 1 - p) >= CONFIDENT))
-            sure = sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][: max(1, int(PER_ROUND * len(p)))]
-            free[other][sure] = False
-            sets[other] = [np.concatenate([sets[other][0], pools[other][sure]]), np.append(sets[other][1], (p[sure] > 0.5).astype(np.float32)), np.append(sets[other][2], np.full(len(sure), 0.5))]
-            passed.append(len(sure))
-        history.append(tuple(passed))
-    odds = np.stack([views[v].odds(whole[v][held] @ views[v].weights) for v in (0, 1)], axis=1)
-    mix = _logistic(np.clip(odds, -12, 12).astype(np.float32) / 4, y[held], fair, 300, penalty=1e-3)
-    return Model(views[0], views[1], np.array([mix[0] / 4, max(0.0, mix[1] / 4), mix[2]]), history)
+            x, y, weight = self.sets[v]
+            ones = (y > 0.5).mean()
+            balance = np.where(y > 0.5, 0.5 / max(1e-9, ones), 0.5 / max(1e-9, 1 - ones))
+            steps = 80 if self.starts[v] is None else 30
+            self.views[v], self.starts[v] = _view(x, y, weight * balance, self.whole[v][self.held], self.y[self.held], self.fair, floors[v], steps, self.starts[v])
+
+    def learn(self, view: int, x: np.ndarray, y: np.ndarray) -> None:
+        """Take in rows that the other view has labelled."""
+        old = self.sets[view]
+        self.sets[view] = [np.concatenate([old[0], x]), np.append(old[1], y.astype(np.float32)), np.append(old[2], np.full(len(y), PSEUDO))]
+
+    def model(self) -> Model:
+        odds = np.stack([self.views[v].odds(self.whole[v][self.held] @ self.views[v].weights) for v in (0, 1)], axis=1)
+        mix = _logistic(np.clip(odds, -12, 12).astype(np.float32) / 4, self.y[self.held], self.fair, 300, penalty=1e-3)
+        return Model(self.views[0], self.views[1], np.array([mix[0] / 4, max(0.0, mix[1] / 4), mix[2]]), self.history)
 
 
 def _features(text: Column) -> Column:
@@ -225,11 +227,13 @@ def _features(text: Column) -> Column:
     return features(text)
 
 
-def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-    got = rows.withColumn("f", _features(F.col("text"))).drop("text").collect()
-    x = np.stack([np.frombuffer(r.f, np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, TEXT_DIM), np.float32)
-    meta = metadata([r.lang for r in got], [r.source for r in got], [r.n_chars for r in got]).astype(np.float32)
-    return x, meta, got
+def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Features of both views of a bounded number of documents, in order of doc_id; of rows with one doc_id, one."""
+    each = rows.select("doc_id", F.struct(_features(F.col("text").cast("string")).alias("f"), *(F.col(c).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long")))).alias("r"))
+    got = sorted(each.groupBy("doc_id").agg(F.min("r").alias("r")).collect())
+    x = np.stack([np.frombuffer(r.r.f, np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, TEXT_DIM), np.float32)
+    meta = metadata([r.r.lang for r in got], [r.r.source for r in got], [r.r.n_chars for r in got]).astype(np.float32)
+    return x, meta, [r.doc_id for r in got]
 
 
 def _draw(column: str) -> Column:
@@ -237,12 +241,28 @@ def _draw(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model | None:
-    """A model from bounded samples; None if the labels don't hold both classes.
+def _confident(scored: DataFrame, turn: int, most: int, passed: list[set]) -> dict[int, dict[int, int]]:
+    """For each view the doc_ids, and their labels, that it passes on: of the confident rows of each class those with
+    the smallest hashes, most // 2 of them, without those it passed on before."""
+    out: dict[int, dict[int, int]] = {}
+    for v, p in enumerate(("text", "meta")):
+        out[v] = {}
+        for label in (0, 1):
+            sure = scored.filter((F.col(p) >= CONFIDENT) if label else (F.col(p) <= 1 - CONFIDENT))
+            ids = [r.doc_id for r in sure.orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id").select("doc_id").limit(most // 2 + len(passed[v])).collect()]
+            out[v] |= dict.fromkeys([i for i in ids if i not in passed[v]][: most // 2], label)
+        passed[v] |= set(out[v])
+    return out
 
-    Both classes give half of max_labelled rows each, or all they have, those with the smallest hash of doc_id.
-    The pool is drawn by the same hash from all documents. What reaches the driver is a vector of fixed length for
-    each sampled row. Labels without a doc_id or quality are ignored; several labels of a document count by their mean.
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_passed: int = MAX_PASSED, rounds: int = ROUNDS) -> Model | None:
+    """A co-trained model; None if the labels don't hold both classes.
+
+    Both classes give half of max_labelled rows each, or all they have, those with the smallest hash of doc_id. In
+    each round both views score all documents without a label, and each passes on max_passed of its confident labels
+    at most, drawn by hash from all of them. What reaches the driver is a vector of fixed length for each of those
+    rows. Labels without a doc_id or quality are ignored; several labels of a document count by their mean, and of
+    rows that share a doc_id one is learned from. Reruns agree.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -250,22 +270,34 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return None
     quota = max_labelled // 2
     share = F.when(F.col("y") == 1, min(1.0, quota / counts[1])).otherwise(min(1.0, quota / counts[0]))
-    chosen = known.filter(_draw("doc_id") <= share).orderBy(F.xxhash64("doc_id")).limit(max_labelled)
-    columns = [F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")]
-    # max_labelled rows at most, so they can go to all executors
-    x_text, x_meta, got = _gather(docs.select(*columns).join(F.broadcast(chosen), "doc_id"))
-    total = docs.select("doc_id").count()
-    pool = docs.select(*columns).filter(_draw("doc_id") <= min(1.0, max_pool / max(1, total))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    pool_text, pool_meta, pooled = _gather(pool)
-    y = np.array([r.y for r in got])
+    chosen = {r.doc_id: r.y for r in known.filter(_draw("doc_id") <= share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()}
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").filter(F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    # the ids are bounded by the parameters, so they can go to all executors
+    of = lambda ids: _gather(rows.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id"))
+    x_text, x_meta, ids = of(chosen) if chosen else of([])
+    y = np.array([chosen[i] for i in ids])
     if set(y) != {0, 1}:
         return None
-    ids = {r.doc_id for r in got}
-    free = np.array([r.doc_id not in ids for r in pooled], bool)
-    by = np.lexsort((np.array([r.doc_id for r in got]), y))
-    del got, pooled
-    trim()
-    model = fit(x_text[by], x_meta[by], y[by], pool_text[free], pool_meta[free], counts[1] / (counts[0] + counts[1]), rounds)
+    by = np.argsort(y, kind="stable")
+    trainer = Trainer(x_text[by], x_meta[by], y[by], counts[1] / (counts[0] + counts[1]))
+    trainer.refit()
+    passed: list[set] = [set(), set()]
+    for turn in range(rounds):
+        now = Model(trainer.views[0], trainer.views[1], np.zeros(3), [])
+        scored = rows.select("doc_id", score(now, *(F.col(c) for c in ("text", "lang", "source", "n_chars"))).alias("s")).groupBy("doc_id").agg(F.min("s.text").alias("text"), F.min("s.meta").alias("meta"))
+        scored = materialise(scored.join(known, "doc_id", "left_anti"), "confidence")
+        new = _confident(scored, turn, max_passed, passed)
+        every = sorted(set(new[0]) | set(new[1]))
+        if every:
+            x_text, x_meta, ids = of(every)
+            for v, x in ((0, x_meta), (1, x_text)):  # what the text view labels, the metadata view learns from
+                at = [k for k, i in enumerate(ids) if i in new[v]]
+                trainer.learn(1 - v, x[at], np.array([new[v][ids[k]] for k in at]))
+        trainer.history.append((len(new[0]), len(new[1])))
+        trainer.refit()
+        trim()
+    model = trainer.model()
     trim()
     return model
 
@@ -298,7 +330,10 @@ def score(model: Model | None, text: Column, lang: Column, source: Column, n_cha
 
 
 def score_documents(docs: DataFrame, model: Model | None, name: str = "scores") -> DataFrame:
-    """The columns of docs and a struct ``name`` of text, meta and quality scores."""
+    """The columns of docs and a struct ``name`` of text, meta and quality scores.
+
+    A column of docs called like ``name`` is an error."""
+    require_free(docs, name)
     return docs.withColumn(name, score(model, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")))
 
 
