@@ -39,10 +39,31 @@ def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 5.0]), (None, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, [inf, 1.0]), (40, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in multi_index.report(df).collect())
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 1.0), (0, 4, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 1.0), (20, 4, 3, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 1.0), (0, 4, 20, 1.0), (0, 5, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 1.0), (20, 4, 2, 1.0), (20, 5, 3, 0.0)]
     assert multi_index.report(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors_are_rows_of_their_own(spark):
+    """Candidates that repeat a row count as often as they occur; so do queries, which get an answer each."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in multi_index.report(df).collect())
+    assert [g for g in got if g[0] == 0] == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 20, 1.0), (0, 4, 1, 0.5), (0, 5, 20, 0.0), (0, 6, 20, 0.0)]
+    assert sum(g[0] == 20 for g in got) == 3 * 4
+
+
+def test_wide_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(300, 700))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in multi_index.report(df).collect()}
+    hit = 0
+    for q in range(0, 300, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += sum((q, v) in got for v in np.argsort(-score)[:20].tolist())
+    assert hit >= 0.9 * 20 * 15
+
+
 PAGES = [(1, "u", "x" * 1500), (2, "u", "x" * 1500), (3, None, None), (None, "u", "x" * 1500), (4, "u", "é" * 40000), (4, "u", "é" * 40000), (5, "a b\r\n", "WARC/1.1\r\n\r\n\r\n\r\n" * 3), (6, "u", "s"), (7, "u", "s"), (8, "u", "")]
 
 
@@ -66,11 +87,24 @@ def test_payloads_come_back_byte_for_byte(spark, tmp_path):
     warc.write_warc(warc.mark_revisits(df), path, segment_bytes=1000)
     records = warc.read_records(spark, path)
     assert records.filter("record_type = 'continuation'").count() > 100
-    back = {(r.page_id, bytes(r.payload)) for r in warc.reassemble(records).filter("record_type = 'response'").collect()}
-    assert back == {(i, (h or "").encode()) for i, _, h in PAGES if i not in (None, 1)}
+    back = sorted((r.page_id, bytes(r.payload)) for r in warc.read_payloads(spark, path).filter("record_type = 'response'").collect())
+    assert back == sorted((i, (h or "").encode()) for i, _, h in PAGES if i not in (None, 1))
+    assert records.filter("segment is null").count() + warc.reassemble(records).count() == sum(i is not None for i, _, _ in PAGES)
+    revisit = records.filter("record_type = 'revisit'").first()
+    assert (revisit.page_id, revisit.refers_to) == (1, 2)
     torn = records.filter("not (record_type = 'continuation' and segment = 3)")
     with pytest.raises(Exception, match="segments are missing"):
         warc.reassemble(torn).collect()
+    with pytest.raises(ValueError, match="payload"):
+        warc.mark_revisits(df.withColumn("payload", F.lit(1)))
+
+
+def test_a_revisit_without_its_response_fails(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "x" * 1500), (2, "u", "x" * 1500)], "page_id long, url string, html string")
+    whole = warc.read_payloads
+    monkeypatch.setattr(warc, "read_payloads", lambda s, p: whole(s, p).filter("record_type = 'revisit'"))
+    with pytest.raises(Exception, match="no response for the revisit of page 1"):
+        warc.archive_report(spark, df).collect()
 
 
 def test_chunks():
