@@ -138,7 +138,9 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = 4, max_bucket: int
     fingerprints: one column fp of distinct longs. A bucket is a mask and what it keeps of a fingerprint; its
     members are compared in one task, and each component gives one star of links instead of all pairs. A bucket
     of more than max_bucket members is masked again with the same masks over the bits that are still free; this
-    keeps every pair, since those bits hold all differences, and goes on until few bits are free.
+    keeps every pair, since those bits hold all differences. Every level leaves about half of the bits free that
+    were, and a bucket with b free bits has 2^b members at most, so levels end, and no bucket is ever compared that is larger
+    than max_bucket.
     """
     masks = covering_masks(radius)
     table = F.array(*(F.lit(_signed(m)).cast("long") for m in masks))
@@ -150,7 +152,9 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = 4, max_bucket: int
     some = counts.filter(F.col("n") <= max_bucket)
     links = _bucket_links(first.join(some.drop("n"), keys, "left_semi"), keys, radius)
     level = 0
-    while level < 6 and many.take(1):
+    while many.take(1):
+        if level == 62 // (radius + 1) - 1:  # beyond, numbers of mask sequences outgrow a long
+            raise RuntimeError(f"buckets are still crowded after {level} levels of masks")
         # bits outside the mask are free: deal masks over their ranks by masking again with shifted vectors
         level += 1
         rows = first.join(many.drop("n"), keys, "left_semi")
@@ -159,9 +163,8 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = 4, max_bucket: int
         first = rows.select("fp", (F.col("t") * (1 << (radius + 1)) + F.col("u") + 1).alias("t"), F.col("mask").bitwiseOR(F.col("more")).alias("mask")).withColumn("kept", F.col("fp").bitwiseAND(F.col("mask")))
         first = materialise(first, "masked")
         counts = materialise(first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-        last = level == 6
-        many = counts.filter(F.col("n") > max_bucket) if not last else counts.filter("false")
-        some = counts if last else counts.filter(F.col("n") <= max_bucket)
+        many = counts.filter(F.col("n") > max_bucket)
+        some = counts.filter(F.col("n") <= max_bucket)
         links = links.unionByName(_bucket_links(first.join(some.drop("n"), keys, "left_semi"), keys, radius))
     return links
 
