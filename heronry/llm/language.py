@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, text_col: str = "text", l
     """Learn from a bounded sample of rows with a language; None if there are none.
 
     Each language gives the same number of rows, about max_rows in all, those with the smallest hash in
-    ``key_col``. What reaches the driver is max_rows profiles of fixed length.
+    ``key_col``; rows without a key are not learned from. What reaches the driver is max_rows profiles of fixed length.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -123,9 +123,18 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, text_col: str = "text", l
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, quota / n)))))
     draw = F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(draw <= share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key_col).alias("key"))
-    got = sample.orderBy(F.xxhash64("key"), "key", "lang").limit(max_rows).select("lang", profile(F.col("text")).alias("p")).collect()
-    x = np.stack([np.frombuffer(r.p, np.float16) for r in got]).astype(np.float32)
-    langs = np.array([r.lang for r in got])
+    # keys are chosen without their texts, and max_rows of them can go to all executors
+    keys = sample.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(max_rows)
+    each = sample.join(F.broadcast(keys), "key").select("key", "lang", profile(F.col("text")).alias("p"))
+    # of rows that share a key one is learned from
+    got = sorted(each.groupBy("key").agg(F.min(F.struct("lang", "p")).alias("r")).select("r.lang", "r.p", F.xxhash64("key").alias("h"), "key").collect(), key=lambda r: (r.h, r.key))
+    return learn([r.lang for r in got], np.stack([np.frombuffer(r.p, np.float16) for r in got]).astype(np.float32))
+
+
+def learn(labels: list[str], x: np.ndarray) -> Model:
+    """A model from profiles and their languages: a column for each family against the others, then one for each pair
+    of languages of a family, fitted on rows of those two alone."""
+    langs = np.array(labels)
     kinds = np.array([family(lang) for lang in langs])
     families = sorted(set(kinds))
     members = {f: sorted(set(langs[kinds == f])) for f in families}
