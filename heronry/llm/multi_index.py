@@ -131,12 +131,12 @@ def _flips(depth: int) -> np.ndarray:
 
 
 def search_block(index: Index, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query id, id and score of each query's k best in a block; a radius that finds too few is widened."""
+    """Place of the query, id and score of each query's k best in a block; a radius that finds too few is widened."""
     tables = Tables(index.codes(x))
     codes = index.codes(queries, query=True)
     widest = codes.shape[1] * SUBSTRING
     out = []
-    for q, vector, code in zip(query_ids.tolist(), queries, codes, strict=True):
+    for place, (q, vector, code) in enumerate(zip(query_ids.tolist(), queries, codes, strict=True)):
         radius, enough = index.radius, min(k + 1, len(ids))
         while len(rows := tables.within(code, radius)) < enough and radius < widest:
             radius = min(widest, radius + codes.shape[1])
@@ -144,7 +144,7 @@ def search_block(index: Index, k: int, ids: np.ndarray, x: np.ndarray, query_ids
         # a row's sum must not depend on where it stands: equal vectors must tie
         score = (x[rows] * vector).sum(1)
         best = np.lexsort((ids[rows], -score))[:k]
-        out.append((np.full(len(best), q), ids[rows][best], score[best]))
+        out.append((np.full(len(best), place), ids[rows][best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
@@ -164,12 +164,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Every row but those with the query's own id is a candidate; ties go to the smaller id. Rows with a null id,
     and vectors that are null, zero, hold a null or non-finite component or have not the most common dimension,
-    take no part. Rows equal in id and vector count once; an id with several vectors asks with the least one. A
-    query finds min(k, candidates) rows. Queries meet all rows in blocks: a task builds the tables of one block
-    of rows and asks it one block of queries.
+    take no part. Repeated rows are candidates of their own, and every query row gets an answer of its own. A query
+    finds min(k, candidates) rows. Queries meet all rows in blocks: a task builds the tables of one block of rows and
+    asks it one block of queries.
     """
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = materialise(rows.distinct(), "vectors")
+    rows = materialise(rows, "vectors")
     spark = vectors.sparkSession
     kinds = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
     kind = kinds.orderBy(F.desc("n"), "dim").first()
@@ -178,24 +178,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = rows.filter(F.size("v") == kind.dim)
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).select("v").toPandas()["v"]
     index = fit(np.stack(sample.to_list()), kind.norm, k)
-    asking = rows.withColumnRenamed("id", id_col).filter(is_query).groupBy(F.col(id_col).alias("id")).agg(F.min("v").alias("v"))
+    # equal query rows are asked once and answered as often as they occur
+    asking = rows.withColumnRenamed("id", id_col).filter(is_query).groupBy(F.col(id_col).alias("id"), "v").agg(F.count(F.lit(1)).alias("times"))
+    asking = materialise(asking.withColumn("key", F.xxhash64("id", "v")), "queries")
     blocks = max(1, -(-kind.n // CANDIDATE_BLOCK))
     query_blocks = max(1, -(-asking.count() // QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select(block(blocks).alias("c"), spread(query_blocks).alias("q"), "id", "v")
-    right = asking.select(spread(blocks).alias("c"), block(query_blocks).alias("q"), "id", "v")
+    right = asking.select(spread(blocks).alias("c"), block(query_blocks).alias("q"), "id", "v", "key", "times")
     dim = kind.dim
 
     def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         ids, query_ids = candidates.column("id").to_numpy(), queries.column("id").to_numpy()
-        found = search_block(index, k, ids, _matrix(candidates.column("v"), dim), query_ids, _matrix(queries.column("v"), dim))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
+        at, vec_id, score = search_block(index, k, ids, _matrix(candidates.column("v"), dim), query_ids, _matrix(queries.column("v"), dim))
+        of = lambda c: queries.column(c).to_numpy()[at.astype(np.int64)]
+        return pa.table({"query_id": of("id"), "key": of("key"), "times": of("times"), "vec_id": vec_id, "score": score})
 
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(search, "query_id long, key long, times long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("times", F.explode(F.array_repeat("times", F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
 def report(vectors: DataFrame) -> DataFrame:
+    """The 20 nearest of every row whose vec_id is divisible by 20: query_id, rank, vec_id and score."""
     return nearest(vectors, F.col("vec_id") % 20 == 0)
