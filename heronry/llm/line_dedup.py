@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import batch_slices, materialise
+from heronry.llm.common import batch_slices, drop_path, materialise, materialise_at
 
 #: Similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5
@@ -397,12 +397,15 @@ def dealt(live: DataFrame, sets: DataFrame) -> DataFrame:
 def set_links(docs: DataFrame, lines: DataFrame, counts: np.ndarray) -> DataFrame:
     """sig, first place, links (how many other sets match) and earliest place of a match, for sets with a match."""
     first = materialise(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "th", "line", "check")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "first-lines")
-    live = materialise(_live(lines), "live")
-    live = materialise(_refined(live, first.select("sig", "n", "wide")), "refined")
+    spark = docs.sparkSession
+    live, live_at = materialise_at(_live(lines), "live")
+    refined, refined_at = materialise_at(_refined(live, first.select("sig", "n", "wide")), "refined")
+    drop_path(spark, live_at)  # what replaces a table is written
     first = first.select("sig", "first")
-    sigs = live.select("sig").distinct()
-    live = materialise(_needed(live), "needed")
-    sets = _whole_sets(docs, counts, _membership(sigs)).join(first, "sig")
+    member = _membership(refined.select("sig").distinct())
+    live = materialise(_needed(refined), "needed")
+    drop_path(spark, refined_at)
+    sets = _whole_sets(docs, counts, member).join(first, "sig")
     rows = dealt(live, sets).select("word", "i", "j", "own", "sig", "words", "first.doc_id", "first.th", "first.line")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
