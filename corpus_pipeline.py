@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers don't reject."""
     common.bound_batches(spark)
     model = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = cotraining.score_documents(docs, model, "quality_scores")
-    return scored.filter(F.col("quality_scores.quality") >= cotraining.THRESHOLD).select(*docs.columns)
+    name = common.free_name(docs, "scores")
+    scored = cotraining.score_documents(docs, model, name)
+    return scored.filter(F.col(f"{name}.quality") >= cotraining.THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
