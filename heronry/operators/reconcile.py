@@ -14,6 +14,8 @@ from heronry.functions import expr as x
 from heronry.sources.tables import cut
 
 BUCKET = ("export_id", "day", "kind")
+#: Chains of days of one export and kind that are walked in one call.
+CHAINS = 64
 
 
 def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -92,7 +94,9 @@ def adjacent_match(entries: DataFrame, media: DataFrame) -> DataFrame:
     m = media.select("export_id", "kind", number.alias("d"), "uuid").filter("d is not null")
     days = cut(_linked_days(e, m), "linked-days")
     key = ["export_id", "kind", "d"]
-    asking = e.join(days.select(*key, "chain"), key)
+    # a call to pandas costs more than a short chain, so that some are walked together; they cannot meet
+    days = days.withColumn("chains", F.floor(F.col("chain") / CHAINS))
+    asking = e.join(days.select(*key, "chains"), key)
 
     def take(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         left = {d: n for d, n in zip(have["d"].tolist(), have["n_media"].tolist(), strict=True) if n}
@@ -108,7 +112,7 @@ def adjacent_match(entries: DataFrame, media: DataFrame) -> DataFrame:
         out = asks[["export_id", "kind", "entry_index"]].assign(d=pd.array(day, "Int32"), rank=pd.array(rank, "Int32"))
         return out[out["d"].notna()]
 
-    chain = ["export_id", "kind", "chain"]
+    chain = ["export_id", "kind", "chains"]
     have = days.toDF(*days.columns)  # columns of its own: both sides stem from the same days
     taken = asking.groupBy(*chain).cogroup(have.groupBy(*chain)).applyInPandas(take, "export_id string, kind string, entry_index long, d int, rank int")
     ranked = m.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("uuid")))

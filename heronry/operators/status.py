@@ -179,7 +179,8 @@ def resume_report(items: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def file_digests(spark, root: str) -> DataFrame:
-    """path, SHA-256 and length of all files under root. Files beyond 2 GB need digests from elsewhere."""
+    """path, SHA-256 and length of all files under root. A file is one value, and Spark fails on one beyond 2 GB: those
+    need digests from elsewhere."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("checksum"), F.col("length").alias("bytes"))
 
