@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from heronry.sources.tables import shared_dir
 
 #: Bytes of text that a vectorised step takes at once; a longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows and bytes that Spark sends to a Python worker at once; long texts make batches of few rows.
-BATCH_ROWS, BATCH_BYTES = 50_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 50_000, 2 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -31,7 +31,7 @@ CONFIDENT, PSEUDO = 0.95, 0.5
 APART = 0.25
 THRESHOLD = 0.5
 #: Bytes of text that are described at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 #: Classes of bytes whose trigrams describe a text's shape.
 _KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".;:", ",", "!?", "|/\\_=+~^", "#*$%&<>@", "'\"()[]{}-`")

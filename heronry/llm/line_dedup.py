@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import batch_slices, drop_path, materialise, materialise_at
+from heronry.llm.common import batch_slices, drop_path, materialise, materialise_at, trim
 
 #: Similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5
@@ -30,6 +30,8 @@ FILTER_BITS = 1 << 25
 #: Sets under one word beyond which all pass on unfiltered (which costs time only), in pieces of that size, and sets
 #: of it that one task compares.
 MAX_FILTERED, BLOCK = 10_000, 2048
+#: Cells of a matrix of sets by words that is held at once.
+DENSE = 4_000_000
 #: Sets under one word beyond which the words before it are not looked at.
 MAX_EARLY = 200
 #: Ratio of the sizes in a size class: a little over the largest ratio of sets that match, so that such sets lie in one
@@ -215,6 +217,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most
             open_, held = key[:, -1:], None
     if held is not None and held.num_rows:
         yield held, True
+    trim()
 
 
 def _live(lines: DataFrame) -> DataFrame:
@@ -338,7 +341,7 @@ def _pairs(sets: list[np.ndarray], place: list[int], cross: np.ndarray | None) -
     words, code = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), size)
     before = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(place, size)
-    step = max(1, min(m, 64_000_000 // max(1, len(words)) // 4))
+    step = max(1, min(m, DENSE // max(1, len(words))))
     out = ([], [])
     parts = [(b, min(b + step, m)) for b in range(0, m, step)]
 

@@ -36,7 +36,7 @@ def powers(base: int, n: int, modulus: int = PRIME) -> np.ndarray:
     """base^i for i below n at least, modulo PRIME or 2^64; a worker keeps the tables."""
     table = _powers.get(base)
     if table is None or len(table) < n:
-        size = max(n, 1 << 20) * 5 // 4
+        size = max(n, 1 << 19) * 5 // 4
         if modulus == PRIME:
             table, have, step = np.ones(size, np.uint64), 1, base
             while have < size:
