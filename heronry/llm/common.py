@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heronry.sources.tables import shared_dir
 
@@ -79,6 +80,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def same_row(docs: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on doc_id, which may be null, and th."""
+    right = other.withColumnRenamed("doc_id", "r_id").withColumnRenamed("th", "r_th")
+    at = (F.coalesce(docs["doc_id"], F.lit(0)) == F.coalesce(F.col("r_id"), F.lit(0))) & (docs["th"] == F.col("r_th")) & docs["doc_id"].isNull().eqNullSafe(F.col("r_id").isNull() & F.col("r_th").isNotNull())
+    return docs.join(right, at, how).drop("r_id", "r_th")
+
+
+def at_most(rows: DataFrame, times: int) -> DataFrame:
+    """rows (doc_id, th and others) with those that agree in doc_id and th cut to ``times`` of them: what is the same for
+    two copies and for a million is worked out on ``times`` copies."""
+    many = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > times).select("doc_id", "th")
+    many = materialise(many, "copied")
+    if not many.take(1):
+        return rows
+    one = same_row(rows, many, "left_semi").dropDuplicates(["doc_id", "th"])
+    if times > 1:
+        one = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("copy")
+    return same_row(rows, many, "left_anti").unionByName(one)
+
+
 def trim() -> None:
     """Give memory that this process has freed back to the machine: Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

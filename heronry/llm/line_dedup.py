@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import batch_slices, drop_path, materialise, materialise_at, trim
+from heronry.llm.common import at_most, batch_slices, drop_path, materialise, materialise_at, trim
 
 #: Similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5
@@ -456,8 +456,10 @@ def judged_lines(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, th, text. A line is removed if a line before it, by doc_id (null first), hash of the text and
     number, has the same words or matches them. Sets of words are told apart by 64 bits, and before a line goes they
-    must agree in 64 more, of other hashes of their words.
+    must agree in 64 more, of other hashes of their words; a match by similarity rests on the first 64. Rows equal in
+    doc_id and th are one document.
     """
+    docs = at_most(docs, 1)
     counts = word_counts(docs)
     lines = materialise(_line_rows(docs, counts), "lines")
     links = materialise(set_links(docs, lines, counts), "links")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.llm import textvec
-from heronry.llm.common import batch_slices, drop_path, materialise, materialise_at
+from heronry.llm.common import at_most, batch_slices, drop_path, materialise, materialise_at, same_row
 
 #: Bytes hashed for an anchor.
 GRAM = 100
@@ -344,8 +344,8 @@ def _verdicts(docs: DataFrame, classes: DataFrame, length: int, gram: int) -> Da
         # splitters come from the strings of some documents, so that no other text is moved for them
         share = min(1.0, 4 * DRAWN * parts / total)
         drawn = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-        cuts = _splitters(_same_row(docs.filter(drawn("doc_id", "th")), _picks(classes, drawn("p.doc_id", "p.th"))), parts, gram)
-    runs = _sorted_runs(_same_row(docs, _picks(classes)), cuts, length)
+        cuts = _splitters(same_row(docs.filter(drawn("doc_id", "th")), _picks(classes, drawn("p.doc_id", "p.th"))), parts, gram)
+    runs = _sorted_runs(same_row(docs, _picks(classes)), cuts, length)
     return runs.groupBy("part").applyInArrow(_merge_part(length, gram), "kg long, sh long, low int, high int")
 
 
@@ -358,7 +358,7 @@ def _picks(classes: DataFrame, where: Column | None = None) -> DataFrame:
 
 def _busy_verdicts(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """_verdicts for classes of anchors with too many surroundings for one group: their windows are the classes."""
-    each = materialise(_windows(_same_row(docs, _picks(classes)), length), "windows")
+    each = materialise(_windows(same_row(docs, _picks(classes)), length), "windows")
     zero = F.lit(0).alias
     again = _classes(each.select("doc_id", "th", "at", zero("back"), zero("fwd"), "h1", "h2"), "h1", "h2").filter("n > 1")
     found = _verdicts(docs, materialise(again, "window-classes"), length, length).select(F.col("kg").alias("h1"), F.col("sh").alias("h2")).distinct()
@@ -388,13 +388,6 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = GRAM, max_sp
     return kept.join(verdicts, ["kg", "sh"]).select("doc_id", "th", begin.alias("begin"), end.alias("end"))
 
 
-def _same_row(docs: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on doc_id, which may be null, and th."""
-    right = other.withColumnRenamed("doc_id", "r_id").withColumnRenamed("th", "r_th")
-    at = (F.coalesce(docs["doc_id"], F.lit(0)) == F.coalesce(F.col("r_id"), F.lit(0))) & (docs["th"] == F.col("r_th")) & docs["doc_id"].isNull().eqNullSafe(F.col("r_id").isNull() & F.col("r_th").isNotNull())
-    return docs.join(right, at, how).drop("r_id", "r_th")
-
-
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, spans (removed ranges of bytes, merged and in order) and kept, the bytes that stay.
 
@@ -405,7 +398,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).withColumn("th", F.xxhash64("body"))
-    ranges = repeated_ranges(rows, length, **options).groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    # two copies of a row repeat each other as any number does
+    ranges = repeated_ranges(at_most(rows, 2), length, **options).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 sizes.append(len(body))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=kind.names)
 
-    return _same_row(rows, ranges, "left").select("doc_id", "body", "ranges").mapInArrow(cut, kind)
+    return same_row(rows, ranges, "left").select("doc_id", "body", "ranges").mapInArrow(cut, kind)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
