@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import bpe, cotraining, language, line_dedup, line_rules, mixing, multi_index, simhash, suffixes, warc, zone_maps
+from heronry.llm import anchors, bpe, cotraining, language, line_dedup, line_rules, mixing, multi_index, simhash, suffixes, warc, zone_maps
 from heronry.llm.common import documents
 
 
@@ -58,6 +58,11 @@ def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(documents(spark, sf_dir))
 
 
+def op12_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``."""
+    return anchors.report(documents(spark, sf_dir))
+
+
 def op13_zone_map_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, squared distance and inertias of every vector of ``embeddings``."""
     return zone_maps.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_rules": op8_line_rules,
     "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_suffix_merge": op10_suffix_merge,
+    "op12_anchor_expansion": op12_anchor_expansion,
     "op13_zone_map_clustering": op13_zone_map_clustering,
 }
 
