@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import anchors, bpe, cotraining, language, line_dedup, line_rules, mixing, multi_index, simhash, suffixes, warc, zone_maps
+from heronry.llm import anchors, bpe, conversations, cotraining, language, line_dedup, line_rules, mixing, multi_index, simhash, suffixes, warc, zone_maps
 from heronry.llm.common import documents
 
 
@@ -58,6 +58,11 @@ def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired rows of every conversation of ``conversations``."""
+    return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     return anchors.report(documents(spark, sf_dir))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_rules": op8_line_rules,
     "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_suffix_merge": op10_suffix_merge,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_anchor_expansion": op12_anchor_expansion,
     "op13_zone_map_clustering": op13_zone_map_clustering,
 }
@@ -86,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": mixing.MIX_SQL,
     "op4_warc_segments": warc.ARCHIVE_SQL,
+    "op11_conversation_repair": conversations.REPAIR_SQL,
     "op13_zone_map_clustering": zone_maps.CLUSTER_SQL,
 }
