@@ -7,6 +7,9 @@ rows are dealt to tasks.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +40,18 @@ FILE_WORDS = (
 )
 PLACE_LABELS = ("latitude, longitude:", "latitude,longitude:", "lat, lon:", "lat,lon:", "lat, long:", "lat,long:", "latitude:", "longitude:", "location:", "coordinates:", "coordinate:")
 
+# Files whose keys at the top are names of people, and labels among those keys that are not.
+KEYED_FILES = ("chat_history.json", "snap_history.json", "talk_history.json")
+SCHEMA_LABELS = (
+    "received saved chat history", "sent saved chat history", "received chat history", "sent chat history", "received snap history", "sent snap history", "saved media", "saved chat history", "chat history", "snap history",
+    "talk history", "conversations", "messages", "basic information", "device information", "frequent locations", "latest location", "friends", "deleted friends", "blocked users", "hidden friend suggestions",
+    "your subscriptions", "your stories", "shared stories",
+)
+ZERO_UUID = "00000000-0000-0000-0000-000000000000"
+
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
-DATES = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:([ T])([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]+))?( UTC|Z)?)?\z"
+DATES = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:([ T])([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,9}))?(\s*(?:UTC|GMT|Z|[+-][0-9]{2}:?[0-9]{2}))?)?\z"
+YEAR_FIRST, YEAR_LAST = r"^([0-9]{4})/([0-9]{2})/([0-9]{2})\z", r"^([0-9]{2})/([0-9]{2})/([0-9]{4})\z"
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"
 LABELLED = r"^((?i:" + "|".join(PLACE_LABELS) + r")\s*|)([+-]?[0-9]{1,3}\.[0-9]+)(\s*,\s*)([+-]?[0-9]{1,3}\.[0-9]+)\z"
 URL_IN_TEXT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'\\<>]+"""
@@ -47,11 +60,50 @@ PAIR_END = r"([+-]?[0-9]+(?:\.[0-9]+)?)\s*,\s*([+-]?[0-9]+(?:\.[0-9]+)?)\z"
 MAX_RUN = 12
 #: Levels of JSON that one plan opens.
 CUT = 6
+#: A step into a container: the key of an object or the place in an array, and the prefix of the handle that takes the
+#: key's place, if a rule masks it.
+STEPS = "array<struct<name:string,at:int,mask:string>>"
+#: Masking rules that one plan takes.
+MAX_RULES = 1000
+
+
+@dataclass(frozen=True)
+class MaskRule:
+    """Objects whose keys are data: ``FILE:/pointer`` or ``/pointer`` for any file, where ``*`` is any step (or any part
+    of the file's name) and ``/`` the document itself. A built-in rule leaves known labels, another one masks all."""
+
+    text: str
+    builtin: bool = False
+
+    def __post_init__(self) -> None:
+        if not self.pointer.startswith("/"):
+            raise ValueError(f"{self.text!r}: a rule is /pointer or FILE:/pointer")
+
+    @property
+    def file_glob(self) -> str:
+        return "*" if self.text.startswith("/") else self.text.split(":", 1)[0]
+
+    @property
+    def pointer(self) -> str:
+        return self.text if self.text.startswith("/") else self.text.partition(":")[2]
+
+    def covers(self, file: Column, pointer: Column) -> Column:
+        steps = "" if self.pointer == "/" else "/".join("[^/]*" if s == "*" else re.escape(s) for s in self.pointer.split("/"))
+        name = ".*".join(re.escape(p) for p in self.file_glob.split("*"))
+        return file.rlike(rf"(?s)^{name}\z") & pointer.rlike(rf"(?s)^{steps}\z")
+
+
+BUILTIN_RULES = tuple(MaskRule(f"{f}:/", builtin=True) for f in KEYED_FILES)
 
 
 # ---- leaves ----
 
 
+def escaped(key: Column) -> Column:
+    """A key as a step of a pointer."""
+    return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
 def levels(body: Column) -> Column:
     """How deep the containers of a JSON text are nested; 0 for a plain value or none."""
     brackets = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
@@ -59,30 +111,78 @@ def levels(body: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
 
 
-def leaves(spark: SparkSession, corpus: DataFrame, depth: int = 0) -> DataFrame:
-    """A row for each leaf of each document: export_id, file, pointer, key, parent_key, kind, value.
+def _mask(rules: Sequence[MaskRule], file: Column, pointer: Column, key: Column) -> Column:
+    """The prefix of the handle that masks a key of the object at pointer: ``key`` by a rule of the user's, ``user`` by a
+    built-in one, null for a key that stays."""
+    met = lambda builtin: reduce(lambda a, b: a | b, [r.covers(file, pointer) for r in rules if r.builtin == builtin], F.lit(False))
+    label = F.array_join(F.filter(F.split(F.lower(key), r"\s+"), lambda w: w != ""), " ")
+    return F.when(met(False), "key").when(met(True) & ~label.isin(*SCHEMA_LABELS), "user")
+
+
+def leaves(spark: SparkSession, corpus: DataFrame, depth: int = 0, rules: Sequence[MaskRule] = BUILTIN_RULES) -> DataFrame:
+    """A row for each leaf of each document: export_id, file, pointer, key, parent_key, kind, value, steps.
 
     corpus: export_id, file, body (JSON text). An element of an array has its array's key. All levels are opened: the
     deepest one is found first, and depth levels at least are gone through; empty containers are leaves, of kind nested.
+    pointer and steps hold the keys as they are; steps tell which of them the rules mask (a step that is masked is met by
+    ``*`` alone), and synthesise puts handles in their place. A number beyond doubles is an error.
     """
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     empty = F.lit("")
-    rows = corpus.select("export_id", "file", x.parse_strict(F.col("body")).alias("v"), empty.alias("pointer"), empty.alias("key"), empty.alias("parent_key"), F.lit(True).alias("open")).filter("v is not null")
+    rows = corpus.select("export_id", "file", x.parse_strict(F.col("body")).alias("v"), empty.alias("pointer"), empty.alias("key"), empty.alias("parent_key"), F.array().cast(STEPS).alias("steps"), empty.alias("place"), F.lit(True).alias("open")).filter("v is not null")
     deepest = corpus.filter(x.parse_strict(F.col("body")).isNotNull()).agg(F.max(levels(F.col("body")))).first()[0] or 0
     for level in range(max(depth, deepest)):
         if level and level % CUT == 0:
             rows = cut(rows, "leaves")  # Spark's optimizer does not come through plans of many levels
         inner = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()), how="left")
-        went = F.col("pos").isNotNull()
-        step = F.coalesce(F.replace(F.replace(F.col("key_"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
-        inner = inner.toDF("export_id", "file", "v", "pointer", "key", "parent_key", "open", "pos", "key_", "value")
+        inner = inner.toDF("export_id", "file", "v", "pointer", "key", "parent_key", "steps", "place", "open", "pos", "key_", "value")
+        went, named = F.col("pos").isNotNull(), F.col("pos").isNotNull() & F.col("key_").isNotNull()
+        inner = inner.withColumn("mask", F.when(named, _mask(rules, F.col("file"), F.col("place"), F.col("key_")))) if rules else inner.withColumn("mask", F.lit(None).cast("string"))
+        step = F.coalesce(escaped(F.col("key_")), F.col("pos").cast("string"))
+        one = F.struct(F.col("key_").alias("name"), F.when(~named, F.col("pos")).cast("int").alias("at"), F.col("mask"))
+        # no step of a rule is spelt like a masked one, which holds an escape that no pointer has
+        hidden = F.when(F.col("mask").isNotNull(), "~").otherwise(step)
         rows = inner.select(
             "export_id", "file", F.when(went, F.col("value")).otherwise(F.col("v")).alias("v"), F.when(went, F.concat("pointer", F.lit("/"), step)).otherwise(F.col("pointer")).alias("pointer"),
-            F.when(went & F.col("key_").isNotNull(), F.col("key_")).otherwise(F.col("key")).alias("key"), F.when(went & F.col("key_").isNotNull(), F.col("key")).otherwise(F.col("parent_key")).alias("parent_key"), went.alias("open"),
+            F.when(named, F.col("key_")).otherwise(F.col("key")).alias("key"), F.when(named, F.col("key")).otherwise(F.col("parent_key")).alias("parent_key"),
+            F.when(went, F.concat("steps", F.array(one))).otherwise(F.col("steps")).cast(STEPS).alias("steps"), F.when(went, F.concat("place", F.lit("/"), hidden)).otherwise(F.col("place")).alias("place"), went.alias("open"),
         )
     schema = F.schema_of_variant("v")
     kind = F.when(schema == "VOID", "null").when(schema == "BOOLEAN", "bool").when(schema == "STRING", "string").when(schema == "BIGINT", "int").when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").otherwise("nested")
     text = F.when(kind == "nested", F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string"))
-    return rows.select("export_id", "file", "pointer", "key", "parent_key", kind.alias("kind"), text.alias("value"))
+    beyond = (kind == "float") & text.isin("Infinity", "-Infinity", "NaN")
+    text = F.when(beyond, F.raise_error(F.concat(F.lit("a number beyond doubles: "), "file")).cast("string")).otherwise(text)
+    return rows.select("export_id", "file", "pointer", "key", "parent_key", kind.alias("kind"), text.alias("value"), "steps")
+
+
+def pointer_of(steps: Column) -> Column:
+    """The pointer that steps spell."""
+    return F.array_join(F.transform(steps, lambda s: F.concat(F.lit("/"), F.coalesce(escaped(s["name"]), s["at"].cast("string")))), "")
+
+
+def containers(rows: DataFrame) -> DataFrame:
+    """export_id, file and place of every object of each document; the place is its pointer with ~ for masked steps."""
+    spelt = lambda part: F.array_join(F.transform(part, lambda s: F.concat(F.lit("/"), F.when(s["mask"].isNotNull(), F.lit("~")).otherwise(F.coalesce(escaped(s["name"]), s["at"].cast("string"))))), "")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size("steps") - 1), lambda i: (i >= 0) & F.get("steps", i)["name"].isNotNull()), lambda i: spelt(F.slice("steps", 1, i)))
+    own = F.when((F.col("kind") == "nested") & (F.col("value") == "{}"), F.array(spelt(F.col("steps")))).otherwise(F.array().cast("array<string>"))
+    each = F.when(F.size("steps") > 0, F.concat(above, own)).otherwise(own)
+    return rows.select("export_id", "file", F.explode(each).alias("place")).distinct()
+
+
+def unused_rules(rows: DataFrame, rules: Sequence[MaskRule]) -> list[str]:
+    """The user's rules that cover no object of a corpus: mistakes, as their keys would stay in clear."""
+    mine = [r for r in rules if not r.builtin]
+    if not mine:
+        return []
+    met = containers(rows).agg(*(F.coalesce(F.bool_or(r.covers(F.col("file"), F.col("place"))), F.lit(False)).alias(f"r{i}") for i, r in enumerate(mine))).first()
+    return [r.text for r, hit in zip(mine, met, strict=True) if not hit]
+
+
+def require_used(rows: DataFrame, rules: Sequence[MaskRule]) -> None:
+    """Raise if a rule of the user's covers nothing."""
+    if idle := unused_rules(rows, rules):
+        raise ValueError(f"rules that cover no object: {idle}")
 
 
 def duplicate_keys(corpus: DataFrame) -> DataFrame:
@@ -115,13 +215,15 @@ def join_class(key: Column) -> Column:
 
 
 def value_class(value: Column, key: Column) -> Column:
-    """What a text is: the first that fits of a fixed order. A join key's value keeps its own format if it has one."""
-    formatted = value.rlike(URL) | value.rlike(DATES) | value.rlike(UUID) | value.rlike(LABELLED)
+    """What a text is: the first that fits of a fixed order. A join key's URL, date or
+    place keeps its own class; a uuid there is a value that joins."""
+    dated = value.rlike(DATES) | value.rlike(YEAR_FIRST) | value.rlike(YEAR_LAST)
+    formatted = value.rlike(URL) | dated | value.rlike(LABELLED)
     name = normal_key(key)
     free = name.rlike(FREE_TEXT) & ~name.rlike(f"({'|'.join(STATE_KEYS)})\\z")
     return (
         F.when(value == "", "empty").when(join_class(key).isNotNull() & ~formatted, "join").when(value.isin(*ENUM_WORDS) & ~free, "enum").when(value.rlike(URL), "url")
-        .when(value.rlike(LABELLED), "latlon").when(value.rlike(DATES), "datetime").when(value.rlike(UUID), "uuid").when(F.lower(F.ltrim(value, F.lit("."))).isin(*EXTENSIONS), "extension")
+        .when(value.rlike(LABELLED), "latlon").when(dated, "datetime").when(value.rlike(UUID), "uuid").when(F.lower(F.ltrim(value, F.lit("."))).isin(*EXTENSIONS), "extension")
         .when(value.rlike(r"^[^/\\\s]+\.(?i:" + "|".join(EXTENSIONS) + r")\z"), "filename").when(value.rlike(r"^[0-9]+\z"), "digits").otherwise("generic")
     )
 
@@ -140,15 +242,19 @@ def draw_int(hex_digits: Column, n: Column | int) -> Column:
 
 
 def shift_date(value: Column, seconds: int) -> Column:
-    """A date or time moved by an offset, in its own shape; null for what no calendar has. Fractions are redrawn by
-    mirroring their digits."""
+    """A date or time moved by an offset, in its own shape (year first or last, with dashes or slashes, any zone); null
+    for what no calendar has. Fractions are redrawn by mirroring their digits."""
     part = lambda i: F.regexp_extract(value, DATES, i)
+    moment = lambda y, m, d, time: F.try_to_timestamp(F.concat(y, F.lit("-"), m, F.lit("-"), d, F.lit(" "), time), F.lit("yyyy-MM-dd HH:mm:ss"))
+    moved = lambda t: F.timestamp_seconds(F.unix_seconds(t) + F.lit(seconds))
     dated = part(4) == ""
-    moment = F.try_to_timestamp(F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), F.when(dated, "00:00:00").otherwise(F.concat(part(5), F.lit(":"), part(6), F.lit(":"), part(7)))), F.lit("yyyy-MM-dd HH:mm:ss"))
-    moved = F.timestamp_seconds(F.unix_seconds(moment) + F.lit(seconds))
+    at = moved(moment(part(1), part(2), part(3), F.when(dated, "00:00:00").otherwise(F.concat(part(5), F.lit(":"), part(6), F.lit(":"), part(7)))))
     fraction = F.when(part(8) != "", F.concat(F.lit("."), F.translate(part(8), "0123456789", "9876543210"))).otherwise("")
-    out = F.concat(F.date_format(moved, "yyyy-MM-dd"), F.when(dated, "").otherwise(F.concat(part(4), F.date_format(moved, "HH:mm:ss"), fraction, part(9))))
-    return F.when(value.rlike(DATES), out)
+    out = F.concat(F.date_format(at, "yyyy-MM-dd"), F.when(dated, "").otherwise(F.concat(part(4), F.date_format(at, "HH:mm:ss"), fraction, part(9))))
+    midnight = F.lit("00:00:00")
+    first = moved(moment(*(F.regexp_extract(value, YEAR_FIRST, i) for i in (1, 2, 3)), midnight))
+    last = moved(moment(*(F.regexp_extract(value, YEAR_LAST, i) for i in (3, 1, 2)), midnight))
+    return F.when(value.rlike(DATES), out).when(value.rlike(YEAR_FIRST), F.date_format(first, "yyyy/MM/dd")).when(value.rlike(YEAR_LAST), F.date_format(last, "MM/dd/yyyy"))
 
 
 def shift_epoch(value: Column, seconds: int) -> Column:
@@ -240,29 +346,85 @@ def handles(values: DataFrame, seed: str, digits: int = 4) -> DataFrame:
     return numbered.select("value", "cls", F.concat("cls", F.lit("_"), (F.col("offset") + F.col("k")).cast("string")).alias("handle"))
 
 
-def synthesise(rows: DataFrame, seed: str, seconds: int) -> DataFrame:
-    """leaves with cls and ``out``, the value that takes its place. Join keys' values take handles.
+def stand_in_uuid(value: Column, seed: str) -> Column:
+    """A uuid that seed and value decide: equal values have equal ones, in any file and at any place."""
+    d = draw(seed, "uuid", F.lower(value))
+    return F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.substring(d, 13, 4), F.substring(d, 17, 4), F.substring(d, 21, 12))
+
 
-    Null, empty and 0 stay; truth values are redrawn; numbers and texts keep their shape. A container that was not
-    opened is an error.
+def stand_in_number(value: Column, seed: str, rounds: int = 4) -> Column:
+    """A whole number with the value's sign and digits, that seed and value decide.
+
+    Different values never share one, however narrow they are: the numbers of a width are permuted. A number is a pair
+    (left, right), and rounds add to one half what seed, round and the other half draw, modulo the half's size.
+    """
+    digits = F.regexp_replace(value, "^-", "")
+    n = F.length(digits)
+    big = lambda c: c.cast("decimal(38,0)")
+    # of one digit: 0 to 9; of more: those without a leading 0
+    low = F.when(n == 1, big(F.lit(0))).otherwise(big(F.rpad(F.lit("1"), n, "0")))
+    right_size = big(F.rpad(F.lit("1"), F.floor((n - 1) / 2).cast("int") + 1, "0"))
+    left_size = F.when(n == 1, big(F.lit(10))).otherwise(big(F.lit(9) * big(F.rpad(F.lit("1"), n - F.floor((n - 1) / 2).cast("int"), "0"))))
+    at = big(big(digits) - low)
+    pair = lambda left, right: F.struct(big(left).alias("left"), big(right).alias("right"))
+    start = pair((at - at % right_size) / right_size, at % right_size)
+    drawn = lambda i, half: big(F.conv(F.left(draw(seed, "number", i.cast("string"), n.cast("string"), half.cast("string")), F.lit(13)), 16, 10))
+    turn = lambda p, i: F.when(i % 2 == 0, pair((p["left"] + drawn(i, p["right"])) % left_size, p["right"])).otherwise(pair(p["left"], (p["right"] + drawn(i, p["left"])) % right_size))
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn, lambda p: p)
+    out = big(low + end["left"] * right_size + end["right"]).cast("string")
+    return F.when(digits.rlike("^[0-9]{1,19}$"), F.concat(F.when(value.startswith("-"), "-").otherwise(""), out))
+
+
+def _masked_steps(rows: DataFrame, given: DataFrame, seed: str) -> DataFrame:
+    """rows with handles in the place of masked keys, in steps and in pointer. given: value, handle."""
+    hidden = F.array_distinct(F.transform(F.filter("steps", lambda s: s["mask"].isNotNull()), lambda s: s["name"]))
+    rows = rows.withColumn("hidden", hidden)
+    most = rows.agg(F.max(F.size("hidden"))).first()[0] or 0
+    for i in range(most):
+        one = given.select(F.col("value").alias(f"v{i}"), F.col("handle").alias(f"h{i}"))
+        rows = rows.join(one, F.get("hidden", F.lit(i)) == F.col(f"v{i}"), "left").drop(f"v{i}")
+    if not most:
+        return rows.drop("hidden")
+    names = F.array(*(F.col(f"h{i}") for i in range(most)))
+    name = lambda s: F.when(s["mask"].isNull(), s["name"]).when(s["name"].rlike(UUID), stand_in_uuid(s["name"], seed)).otherwise(F.get(names, (F.array_position("hidden", s["name"]) - 1).cast("int")))
+    steps = F.transform("steps", lambda s: F.struct(name(s).alias("name"), s["at"].alias("at"), s["mask"].alias("mask"))).cast(STEPS)
+    return rows.withColumn("steps", steps).withColumn("pointer", pointer_of(F.col("steps"))).drop("hidden", *(f"h{i}" for i in range(most)))
+
+
+def synthesise(rows: DataFrame, seed: str, seconds: int, known_hosts: tuple[str, ...] = ()) -> DataFrame:
+    """leaves with cls and ``out``, the value that takes its place; masked keys are handles in pointer and steps.
+
+    Join keys' texts and masked keys take handles from one table, so that a name is one handle at keys and values of all
+    files; uuids and whole numbers of join keys take stand-ins that the value decides. Null, empty and, but for join keys,
+    0 stay; truth values are redrawn; other uuids are zeroed; numbers and texts keep their shape, in draws that the
+    masked pointer decides. A container that was not opened is an error. The leaves are written once, with their classes.
     """
-    digest = draw(seed, "leaf", F.col("file"), F.col("pointer"))
     kind, value = F.col("kind"), F.col("value")
-    cls = F.when(kind == "string", value_class(value, F.col("key"))).otherwise(kind)
-    rows = rows.withColumn("digest", digest).withColumn("cls", cls)
-    wanted = rows.filter("cls = 'join'").select("value", F.coalesce(join_class(F.col("key")), F.lit("id")).alias("cls"))
-    given = handles(wanted, seed).select("value", "handle")
+    text_class = value_class(value, F.col("key"))
+    number_class = F.when(join_class(F.col("key")).isNotNull(), "join int").otherwise("int")
+    rows = rows.withColumn("cls", F.when(kind == "string", text_class).when(kind == "int", number_class).otherwise(kind))
+    rows = cut(rows.withColumn("hides", F.exists("steps", lambda s: s["mask"].isNotNull())), "classes")
+    joins = (F.col("cls") == "join") & ~value.rlike(UUID)
+    wanted = rows.filter(joins).select("value", F.coalesce(join_class(F.col("key")), F.lit("id")).alias("cls"))
+    keys = rows.filter("hides").select(F.explode(F.filter("steps", lambda s: s["mask"].isNotNull() & ~s["name"].rlike(UUID))).alias("s")).select(F.col("s.name").alias("value"), F.col("s.mask").alias("cls"))
+    given = cut(handles(wanted.unionByName(keys), seed).select("value", "handle"), "handles")
+    rows = rows.filter(~F.col("hides")).unionByName(_masked_steps(rows.filter("hides"), given, seed))
+    given = given.withColumnRenamed("value", "named")
+    joined = rows.filter(joins).join(given, F.col("value") == F.col("named"), "left").drop("named")
+    rows = joined.unionByName(rows.filter(~F.coalesce(joins, F.lit(False))).withColumn("handle", F.lit(None).cast("string")))
+    rows = rows.withColumn("digest", draw(seed, "leaf", F.col("file"), F.col("pointer")))
     d = F.col("digest")
     out = (
         F.when((kind == "nested") & ~value.isin("{}", "[]"), F.raise_error(F.concat(F.lit("not opened: "), "file")).cast("string"))
-        .when(kind.isin("null", "nested") | F.col("cls").isin("empty", "enum", "extension"), value).when(F.col("cls") == "join", F.col("handle")).when(kind == "bool", F.when(draw_int(d, 2) == 0, "false").otherwise("true"))
+        .when(kind.isin("null", "nested") | F.col("cls").isin("empty", "enum", "extension"), value).when(F.col("cls") == "join", F.coalesce("handle", stand_in_uuid(value, seed))).when(kind == "bool", F.when(draw_int(d, 2) == 0, "false").otherwise("true"))
+        .when(F.col("cls") == "join int", stand_in_number(value, seed))
         .when(kind == "int", F.coalesce(shift_epoch(value, seconds), F.when(is_coordinate(F.col("key"), F.col("parent_key")), F.lit("1")), redact_int(value, d)))
         .when(kind == "float", F.when(is_coordinate(F.col("key"), F.col("parent_key")), fake_coordinate(value, d)).otherwise(redact_float(value, d)))
-        .when(F.col("cls") == "url", redact_url(value)).when(F.col("cls") == "latlon", redact_latlon(value, d)).when(F.col("cls") == "datetime", F.coalesce(shift_date(value, seconds), generic_tag(d)))
-        .when(F.col("cls") == "uuid", F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.substring(d, 13, 4), F.substring(d, 17, 4), F.substring(d, 21, 12)))
+        .when(F.col("cls") == "url", redact_url(value, known_hosts)).when(F.col("cls") == "latlon", redact_latlon(value, d)).when(F.col("cls") == "datetime", F.coalesce(shift_date(value, seconds), generic_tag(d)))
+        .when(F.col("cls") == "uuid", F.lit(ZERO_UUID))
         .when(F.col("cls") == "filename", redact_filename(value, seconds)).when(F.col("cls") == "digits", F.coalesce(shift_epoch(value, seconds), redact_int(value, d))).otherwise(generic_tag(d))
     )
-    return rows.join(given, "value", "left").withColumn("out", out).drop("digest", "handle")
+    return rows.withColumn("out", out).drop("digest", "handle", "hides")
 
 
 # ---- rules and reports ----
@@ -271,8 +433,11 @@ def synthesise(rows: DataFrame, seed: str, seconds: int) -> DataFrame:
 def rule_hits(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Leaves that a masking rule meets, and rules that meet none (an error for the caller).
 
-    rules: rule, file_glob, pointer with ``*`` for any one step; some dozens, so they go to every task.
+    rules: rule, file_glob, pointer with ``*`` for any one step; they go to every task, so that more than MAX_RULES are
+    refused.
     """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     glob = lambda c: F.concat(F.lit("^"), F.replace(F.regexp_replace(c, r"([.+^$()\[\]{}|?\\])", r"\\$1"), F.lit("*"), F.lit("[^/]*")), F.lit(r"\z"))
     small = F.broadcast(rules.select("rule", glob(F.col("file_glob")).alias("fg"), glob(F.col("pointer")).alias("pg"), F.size(F.split("pointer", "/")).alias("steps")))
     met = rows.withColumn("steps", F.size(F.split("pointer", "/"))).join(small, "steps").filter(F.regexp_like("file", F.col("fg")) & F.regexp_like("pointer", F.col("pg"))).drop("fg", "pg", "steps")
@@ -289,6 +454,33 @@ def tallies(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file", "kind", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+def key_tallies(rows: DataFrame) -> DataFrame:
+    """file, masked and kept: different keys at different places that a rule masked, and known labels that one kept.
+
+    rows: leaves, or what synthesise makes of them.
+    """
+    spelt = F.transform(F.sequence(F.lit(1), F.greatest(F.size("steps"), F.lit(1))), lambda i: F.struct(pointer_of(F.slice("steps", 1, i)).alias("place"), F.get("steps", i - 1)["name"].alias("name"), F.get("steps", i - 1)["mask"].alias("mask")))
+    each = rows.select("export_id", "file", F.explode(spelt).alias("k"))
+    keys = each.filter("k.name is not null").select("export_id", "file", "k.*").distinct()
+    label = F.array_join(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""), " ")
+    return keys.groupBy("file").agg(F.count_if(F.col("mask").isNotNull()).alias("masked"), F.count_if(F.col("mask").isNull() & label.isin(*SCHEMA_LABELS)).alias("kept"))
+
+
+def key_texts(rows: DataFrame) -> DataFrame:
+    """file, pointer, kind and value of every key that no rule masked, once for each document, for leak_check. rows: with
+    steps, as synthesise makes them."""
+    spelt = F.transform(F.sequence(F.lit(1), F.greatest(F.size("steps"), F.lit(1))), lambda i: F.struct(pointer_of(F.slice("steps", 1, i)).alias("pointer"), F.get("steps", i - 1)["name"].alias("value"), F.get("steps", i - 1)["mask"].alias("mask")))
+    each = rows.select("file", F.explode(spelt).alias("k")).select("file", "k.*").filter("value is not null and mask is null")
+    return each.select("file", "pointer", F.lit("key").alias("kind"), "value").distinct()
+
+
+def generated_tokens(rows: DataFrame) -> DataFrame:
+    """token: words and numbers of the stand-ins that synthesise made, of values and of masked keys, for leak_check."""
+    made = rows.filter(~F.col("cls").isin("empty", "enum", "extension", "nested", "null")).select(F.col("out").alias("t"))
+    keys = rows.select(F.explode(F.filter("steps", lambda s: s["mask"].isNotNull())).alias("s")).select(F.col("s.name").alias("t"))
+    return made.unionByName(keys).select(F.explode(F.regexp_extract_all("t", F.lit("([A-Za-z]{6,}|[0-9]+)"), F.lit(1))).alias("token")).distinct()
+
+
 def id_keyed_containers(keys: DataFrame, schema_words: tuple[str, ...] = (), least: int = 4) -> DataFrame:
     """Containers whose keys look like ids: least keys of one kind, half of the unknown ones in no other container.
 
@@ -396,23 +588,21 @@ def write_redacted(rows: DataFrame, path: str, seconds: int = 0) -> None:
 
 
 def renest(rows: DataFrame, value: str = "out") -> DataFrame:
-    """export_id, file and body: JSON built from leaves again, level by level from the deepest.
-
-    Steps that are numbers make arrays; so a document whose object keys are all numbers comes back as an array.
-    """
+    """export_id, file and body: JSON built from leaves again, level by level from the deepest, as objects and arrays by
+    the kind of each step. Keys of an object come in order."""
     key = ["export_id", "file"]
     literal = F.when(F.col("kind") == "string", F.to_json(F.array(F.col(value)))).otherwise(F.concat(F.lit("["), F.coalesce(F.col(value), F.lit("null")), F.lit("]")))
     body = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    level = rows.select(*key, F.split("pointer", "/").alias("path"), body.alias("body"))
-    deepest = level.agg(F.max(F.size("path"))).first()[0] or 1
-    name = lambda c: F.replace(F.replace(c, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-    for depth in range(deepest, 1, -1):
-        here = level.filter(F.size("path") == depth).select(*key, F.slice("path", 1, depth - 1).alias("path"), F.element_at("path", -1).alias("step"), "body")
-        number = F.col("step").rlike(r"^[0-9]+\z")
-        entry = F.struct(F.when(number, F.col("step").try_cast("long")).alias("i"), "step", "body")
-        label = lambda s: F.regexp_replace(F.to_json(F.array(name(s))), r"^\[|\]$", "")
-        grouped = here.groupBy(*key, "path").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.min(number).alias("list"))
+    path = F.transform("steps", lambda s: F.struct(s["name"].alias("name"), s["at"].alias("at")))
+    each = cut(rows.select(*key, path.alias("path"), body.alias("body")), "texts")
+    deepest = each.agg(F.max(F.size("path"))).first()[0] or 0
+    label = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
+    level = each.filter(F.size("path") == deepest)
+    for depth in range(deepest, 0, -1):
+        here = level.select(*key, F.slice("path", 1, depth - 1).alias("path"), F.element_at("path", -1).alias("s"), "body")
+        entry = F.struct(F.col("s.at").alias("at"), F.col("s.name").alias("name"), "body")
+        grouped = here.groupBy(*key, "path").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.bool_and(F.col("s.name").isNull()).alias("list"))
         array = F.concat(F.lit("["), F.array_join(F.transform("e", lambda s: s["body"]), ","), F.lit("]"))
-        object_ = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda s: F.concat(label(s["step"]), F.lit(":"), s["body"])), ","), F.lit("}"))
-        level = level.filter(F.size("path") < depth).unionByName(grouped.select(*key, "path", F.when(F.col("list"), array).otherwise(object_).alias("body")))
+        object_ = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda s: F.concat(label(s["name"]), F.lit(":"), s["body"])), ","), F.lit("}"))
+        level = each.filter(F.size("path") == depth - 1).unionByName(grouped.select(*key, "path", F.when(F.col("list"), array).otherwise(object_).alias("body")))
     return level.select(*key, "body")

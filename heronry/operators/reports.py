@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
+from heronry.operators.redact import redact_filename
 
 
 def reconcile_report(items: DataFrame, media: DataFrame, orphans: DataFrame | None = None, dups: DataFrame | None = None, unparsed: DataFrame | None = None) -> DataFrame:
@@ -90,15 +91,14 @@ def mask_name(c):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{L}", "a"), r"[0-9]", "9"), "a{12,}", "a" * 12), "9{12,}", "9" * 12)
 
 
-def pattern_census(names: DataFrame, examples: int = 3, name_col: str = "name") -> DataFrame:
-    """pattern, count, and the first names by order as examples, at most that many for each pattern."""
+def pattern_census(names: DataFrame, examples: int = 3, name_col: str = "name", seconds: int = 0) -> DataFrame:
+    """pattern, count, and examples: the first names by order, at most that many for each pattern, rendered so that no
+    part of a name but known words and endings survives (see redact.redact_filename)."""
     rows = names.select(F.col(name_col).alias("name"), mask_name(F.col(name_col)).alias("pattern")).filter("name is not null")
     counts = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     few = rows.distinct().withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy("name"))).filter(F.col("k") <= examples)
-    shown = few.groupBy("pattern").agg(F.array_sort(F.collect_list("name")).alias("examples"))
-    return counts.join(shown, "pattern")
+    shown = few.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("k", redact_filename(F.col("name"), seconds).alias("name")))).alias("e"))
+    return counts.join(shown.select("pattern", F.col("e.name").alias("examples")), "pattern")
 
 
 def top_patterns(census: DataFrame, k: int) -> DataFrame:

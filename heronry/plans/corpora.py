@@ -25,14 +25,27 @@ def event_corpus(s: SparkSession, d: str) -> DataFrame:
 
 
 _DIGEST = "sha256('s' || chr(31) || 'leaf' || chr(31) || event_id || chr(31) || '/{}')"
+def _stand_in(v: str) -> str:
+    """redact.stand_in_number with seed s in SQL: a number of len(v) digits as a pair, each half moved by what the other draws."""
+    right = f"(10 ** ((len({v}) - 1) // 2))::HUGEINT"
+    left = f"(CASE WHEN len({v}) = 1 THEN 10 ELSE 9 * 10 ** (len({v}) - 1 - (len({v}) - 1) // 2) END)::HUGEINT"
+    low = f"(CASE WHEN len({v}) = 1 THEN 0 ELSE 10 ** (len({v}) - 1) END)::HUGEINT"
+    drawn = lambda i, half: f"('0x' || sha256('s' || chr(31) || 'number' || chr(31) || {i} || chr(31) || len({v}) || chr(31) || {half})[1:13])::BIGINT"
+    start = f"{{'l': ({v}::HUGEINT - {low}) // {right}, 'r': ({v}::HUGEINT - {low}) % {right}}}"
+    step = f"CASE WHEN i % 2 = 0 THEN {{'l': (p.l + {drawn('i', 'p.r')}) % {left}, 'r': p.r}} ELSE {{'l': p.l, 'r': (p.r + {drawn('i', 'p.l')}) % {right}}} END"
+    for i in range(4):
+        start = f"list_transform([{start}], lambda p: {step.replace('i % 2', f'{i} % 2').replace('|| i ||', f'|| {i} ||')})[1]"
+    return f"list_transform([{start}], lambda p: ({low} + p.l * {right} + p.r)::VARCHAR)[1]"
+
+
 _NUMBER = "greatest(translate({0}[1:1], 'abcdef', '123456'), '1') || translate({0}[2:{1}], 'abcdef', '123456')"
 
 
 @query(
-    f"""WITH e AS (SELECT event_id, user_id, ts, event_type, props, value::VARCHAR AS v, {_DIGEST.format("username")} AS du, {_DIGEST.format("event_type")} AS dt, {_DIGEST.format("amount")} AS da, {_DIGEST.format("props")} AS dp,
+    f"""WITH e AS (SELECT event_id, user_id, ts, event_type, props, value::VARCHAR AS v, {_DIGEST.format("event_type")} AS dt, {_DIGEST.format("amount")} AS da, {_DIGEST.format("props")} AS dp,
   rtrim(strftime(ts, '%f'), '0') AS f FROM events),
 n AS (SELECT *, string_split(v, '.')[1] AS whole, nullif(string_split(v, '.')[2], '0') AS decimals FROM e)
-SELECT event_id::VARCHAR AS file, '/username' AS pointer, 'int' AS kind, 'int' AS cls, CASE WHEN user_id = 0 THEN '0' ELSE {_NUMBER.format("du", "len(user_id::VARCHAR)")} END AS out FROM e
+SELECT event_id::VARCHAR AS file, '/username' AS pointer, 'int' AS kind, 'join int' AS cls, {_stand_in("user_id::VARCHAR")} AS out FROM e
 UNION ALL SELECT event_id::VARCHAR, '/created', 'string', 'datetime', strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') || CASE WHEN f = '' THEN '' ELSE '.' || translate(f, '0123456789', '9876543210') END FROM e
 UNION ALL SELECT event_id::VARCHAR, '/event_type', 'string', 'generic', 'redacted-' || translate(dt, '0123456789', 'ghijklmnop')[1:6] FROM e
 UNION ALL SELECT event_id::VARCHAR, '/amount', 'float', 'float', CASE WHEN whole = '0' THEN '0' ELSE {_NUMBER.format("da", "len(whole)")} END || CASE WHEN decimals IS NULL THEN '' ELSE '.' || translate(reverse(da)[1:len(decimals)], 'abcdef', '012345') END FROM n
@@ -43,11 +56,12 @@ def redacted_leaves(s: SparkSession, d: str) -> DataFrame:
     return redact.synthesise(redact.leaves(s, event_corpus(s, d), 1), "s", 86_400).select("file", "pointer", "kind", "cls", "out")
 
 
-@query("SELECT event_id::VARCHAR AS file, '{\"a\":[' || user_id || ',{\"b\":\"' || event_type || '\"},null],\"o\":{\"p\":true},\"z\":[]}' AS body FROM events")
+@query("SELECT event_id::VARCHAR AS file, '{\"' || user_id || '\":{\"12\":{},\"7\":\"x\",\"k' || event_id || '\":0},\"a\":[' || user_id || ',{\"b\":\"' || event_type || '\"},null],\"o\":{\"0\":true},\"z\":[]}' AS body FROM events")
 def renested(s: SparkSession, d: str) -> DataFrame:
-    """Documents taken apart into leaves and put together again."""
+    """Documents taken apart into leaves and put together again; some of their objects have numbers as keys."""
     e = table(s, d, "events")
-    body = F.concat(F.lit('{"z": [], "o": {"p": true}, "a": ['), _text("user_id"), F.lit(', {"b": "'), "event_type", F.lit('"}, null]}'))
+    numbers = F.concat(F.lit(', "'), _text("user_id"), F.lit('": {"7": "x", "12": {}, "k'), _text("event_id"), F.lit('": 0}'))
+    body = F.concat(F.lit('{"z": [], "o": {"0": true}, "a": ['), _text("user_id"), F.lit(', {"b": "'), "event_type", F.lit('"}, null]'), numbers, F.lit("}"))
     corpus = e.select(F.lit("e").alias("export_id"), _text("event_id").alias("file"), body.alias("body"))
     return redact.renest(redact.leaves(s, corpus, 3), "value").select("file", "body")
 
@@ -59,8 +73,43 @@ def duplicate_keys(s: SparkSession, d: str) -> DataFrame:
     return redact.duplicate_keys(table(s, d, "events").select(F.lit("e").alias("export_id"), _text("event_id").alias("file"), body.alias("body"))).select("file")
 
 
+_HANDLE = "'{0}_' || row_number() OVER (ORDER BY sha256('s' || chr(31) || 'handle' || chr(31) || {1}), {1})"
+
+
+@query(
+    f"""WITH h AS (SELECT c_name, {_HANDLE.format("user", "c_name")} AS handle FROM (SELECT DISTINCT c_name FROM customer)), k AS (SELECT o, {_HANDLE.format("key", "o")} AS handle FROM (SELECT DISTINCT o_orderpriority AS o FROM orders))
+SELECT 'chat' AS kind, c_custkey AS id, '{{"Received Saved Chat History":[],"' || handle || '":[{{"From":"' || handle || '","n":0}},0]}}' AS body FROM customer JOIN h USING (c_name)
+UNION ALL SELECT 'order', o_orderkey, '{{"by":{{"' || handle || '":{{"Saved Media":""}}}}}}' FROM orders JOIN k ON o = o_orderpriority"""
+)
+def masked_keys(s: SparkSession, d: str) -> DataFrame:
+    """Documents whose keys are names, by a built-in rule and by one of the user's, redacted and put together again."""
+    people, orders = table(s, d, "customer"), table(s, d, "orders")
+    chat = F.concat(F.lit('{"'), "c_name", F.lit('": [{"n": 0, "From": "'), "c_name", F.lit('"}, 0], "Received Saved Chat History": []}'))
+    order = F.concat(F.lit('{"by": {"'), "o_orderpriority", F.lit('": {"Saved Media": ""}}}'))
+    corpus = people.select(F.concat(F.lit("c"), _text("c_custkey")).alias("export_id"), F.lit("chat_history.json").alias("file"), chat.alias("body"))
+    corpus = corpus.unionByName(orders.select(F.concat(F.lit("o"), _text("o_orderkey")).alias("export_id"), F.lit("orders.json").alias("file"), order.alias("body")))
+    rules = (*redact.BUILTIN_RULES, redact.MaskRule("order*.json:/by"))
+    rows = redact.leaves(s, corpus, rules=rules)
+    redact.require_used(rows, rules)
+    out = redact.renest(redact.synthesise(rows, "s", 0))
+    return out.select(F.when(F.left("export_id", F.lit(1)) == "c", "chat").otherwise("order").alias("kind"), F.substring("export_id", 2, 20).cast("long").alias("id"), "body")
+
+
+@query("SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def joined_ids(s: SparkSession, d: str) -> DataFrame:
+    """Two redacted tables of documents, joined on the stand-ins of a uuid and of a whole number that they share."""
+    h = lambda c: F.md5(_text(c))
+    uuid = lambda c: F.concat_ws("-", *(F.substring(h(c), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    one = table(s, d, "customer").select(F.lit("c").alias("export_id"), _text("c_custkey").alias("file"), F.to_json(F.struct(uuid("c_custkey").alias("id"), F.col("c_custkey").alias("user_id"))).alias("body"))
+    two = table(s, d, "orders").select(F.lit("o").alias("export_id"), _text("o_orderkey").alias("file"), F.to_json(F.struct(F.array(F.struct(uuid("o_custkey").alias("Media ID"), F.col("o_custkey").alias("Sender"))).alias("list"))).alias("body"))
+    rows = redact.synthesise(redact.leaves(s, one.unionByName(two)), "s", 0)
+    ids = rows.groupBy("export_id", "file").agg(F.max(F.when(F.col("cls") == "join", F.col("out"))).alias("uuid"), F.max(F.when(F.col("cls") == "join int", F.col("out"))).alias("number"))
+    left, right = (ids.filter(F.col("export_id") == e).select("file", "uuid", "number") for e in ("c", "o"))
+    return left.join(right.drop("file"), ["uuid", "number"]).groupBy(F.col("file").cast("long").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _VALUES = """(SELECT o_orderkey AS k, o_orderkey % 13 AS n, CASE o_orderkey % 3 WHEN 0 THEN 'Some Key' WHEN 1 THEN 'Conversation-ID' ELSE 'Note' END AS key FROM orders)"""
-_FORMATS = "n IN (1, 2, 3, 4)"
+_FORMATS = "n IN (1, 2, 3)"
 
 
 @query(

@@ -418,8 +418,11 @@ def json_leaves(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT regexp_replace(url, '^.*/', '') AS name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^.*/', ''), '\\p{L}', 'a', 'g'), '[0-9]', '9', 'g'), 'a{12,}', 'aaaaaaaaaaaa', 'g'), '9{12,}', '999999999999', 'g') AS pattern FROM pages)
-SELECT pattern, count(*) AS n, array_to_string(list_sort(list_distinct(list(name)))[:3], ' ') AS examples FROM n GROUP BY 1"""
+    """WITH n AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\\p{L}', 'a', 'g'), '[0-9]', '9', 'g'), 'a{12,}', 'aaaaaaaaaaaa', 'g'), '9{12,}', '999999999999', 'g') AS pattern
+  FROM (SELECT regexp_replace(url, '^.*/', '') AS name FROM pages)),
+shown AS (SELECT pattern, count(*) AS n, list_sort(list_distinct(list(name)))[:3] AS few FROM n GROUP BY 1)
+SELECT pattern, n, array_to_string(list_transform(few, lambda f: array_to_string(list_transform(regexp_extract_all(f, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+'),
+  lambda t: CASE WHEN lower(t) IN (@WORDS) OR regexp_matches(t, '^[._~-]+$') THEN t ELSE repeat('x', least(len(t), 12)) END), '')), ' ') AS examples FROM shown""".replace("@WORDS", ", ".join(f"'{w}'" for w in (*redact.FILE_WORDS, *redact.EXTENSIONS)))
 )
 def pattern_census(s: SparkSession, d: str) -> DataFrame:
     out = reports.pattern_census(table(s, d, "pages").select(x.base_name(F.col("url")).alias("name")))

@@ -250,7 +250,7 @@ def test_leaves_of_any_depth(spark):
     out = " ".join(r.out for r in redact.synthesise(rows, "s", 0).collect())
     assert "marielle" not in out and "48.8566" not in out
     with pytest.raises(Exception, match="not opened: f"):
-        redact.synthesise(spark.createDataFrame([("e", "f", "/a", "a", "", "nested", '{"b":1}')], rows.schema), "s", 0).collect()
+        redact.synthesise(spark.createDataFrame([("e", "f", "/a", "a", "", "nested", '{"b":1}', [("a", None, None)])], rows.schema), "s", 0).collect()
 
 
 def test_leaks_behind_the_first_match(spark):
@@ -273,6 +273,98 @@ def test_masking_rules(spark):
     assert [r.rule for r in met.collect()] == ["r1"] and [r.rule for r in unused.collect()] == ["r2"]
 
 
+NAMED = {
+    "chat_history.json": {"marielle.dupont": [{"From": "marielle.dupont", "user_id": 4711, "Conversation ID": "11111111-2222-3333-4444-555555555555"}], "Received  Saved Chat History": [], "paul": {"paul": 0}},
+    "other.json": {"to": "paul", "by": [{"eve/l": [1]}], "id": "11111111-2222-3333-4444-555555555555", "sender": 4711, "note": "11111111-2222-3333-4444-555555555556", "7": {"7": "x", "12": {"0": []}}},
+}
+
+
+def named_corpus(spark):
+    import json
+
+    return spark.createDataFrame([("e", f, json.dumps(v)) for f, v in NAMED.items()], "export_id string, file string, body string")
+
+
+def test_keys_are_masked_and_join(spark):
+    import json
+
+    rules = (*redact.BUILTIN_RULES, redact.MaskRule("other*:/by/*"))
+    rows = redact.leaves(spark, named_corpus(spark), rules=rules)
+    assert redact.unused_rules(rows, rules) == []
+    out = redact.synthesise(rows, "s", 0)
+    docs = {r.file: json.loads(r.body) for r in redact.renest(out).collect()}
+    chat, other = docs["chat_history.json"], docs["other.json"]
+    marielle, paul = chat_keys = next(k for k in chat if isinstance(chat[k], list) and chat[k]), other["to"]
+    assert set(chat) == {marielle, paul, "Received  Saved Chat History"} and all(k.startswith("user_") for k in chat_keys)
+    message = chat[marielle][0]
+    assert message["From"] == marielle and message["user_id"] == other["sender"] != 4711 and len(str(message["user_id"])) == 4
+    assert message["Conversation ID"] == other["id"] != NAMED["other.json"]["id"] and other["note"] == redact.ZERO_UUID
+    assert list(other["by"][0])[0].startswith("key_") and list(chat[paul]) == ["paul"]  # only the top level is keyed by names
+    pointers = " ".join(r.pointer for r in out.collect())
+    assert "marielle" not in pointers and "eve" not in pointers and f"/{marielle}/0/From" in pointers
+    tallied = {r.file: (r.masked, r.kept) for r in redact.key_tallies(out).collect()}
+    assert tallied == {"chat_history.json": (2, 1), "other.json": (1, 0)}
+    with pytest.raises(ValueError, match="cover no object.*nowhere"):
+        redact.require_used(rows, (*rules, redact.MaskRule("/nowhere")))
+    with pytest.raises(ValueError, match="FILE"):
+        redact.MaskRule("x:y")
+
+
+def test_a_key_left_in_on_purpose_is_found(spark):
+    out = redact.synthesise(redact.leaves(spark, named_corpus(spark), rules=()), "s", 0)
+    values = out.select("file", "pointer", "kind", F.col("out").alias("value")).filter("value is not null")
+    known = ("Conversation", "sender")
+    found = redact.leak_check(redact.key_texts(out), redact.generated_tokens(out), (*known, "received", "history")).collect()
+    assert {(r.file, r.rule, r.n_chars) for r in found if r.rule == "token"} == {("chat_history.json", "token", 8), ("chat_history.json", "token", 6)}
+    masked = redact.synthesise(redact.leaves(spark, named_corpus(spark)), "s", 0)
+    assert redact.leak_check(redact.key_texts(masked), redact.generated_tokens(masked), (*known, "received", "history")).filter("rule = 'token'").count() == 0
+    assert redact.leak_check(values, redact.generated_tokens(out)).filter("rule = 'token'").count() == 0
+
+
+def test_random_documents_come_back(spark):
+    import json
+    import random
+
+    rng = random.Random(5)
+
+    def node(depth):
+        pick = rng.random()
+        if depth == 0 or pick < 0.3:
+            return rng.choice([None, True, False, 0, -12, 3.5, "", "x", 'q"\\/~\n', "é"])
+        keys = ["0", "1", "7", "12", "a/b", "~", "", "k", 'q"', " "]
+        return [node(depth - 1) for _ in range(rng.randrange(4))] if pick < 0.6 else {k: node(depth - 1) for k in rng.sample(keys, rng.randrange(5))}
+
+    docs = {str(i): node(5) for i in range(60)}
+    corpus = spark.createDataFrame([("e", k, json.dumps(v)) for k, v in docs.items()], "export_id string, file string, body string")
+    back = {r.file: json.loads(r.body) for r in redact.renest(redact.leaves(spark, corpus), "value").collect()}
+    assert back == docs
+    with pytest.raises(Exception, match="beyond doubles"):
+        redact.leaves(spark, spark.createDataFrame([("e", "f", "[1e400]")], corpus.schema)).collect()
+
+
+def test_numbers_of_a_width_are_permuted(spark):
+    for width in (1, 2, 3, 4):
+        low = 0 if width == 1 else 10 ** (width - 1)
+        df = spark.range(low, 10**width).select(F.col("id").cast("string").alias("v"))
+        got = [r[0] for r in df.select(redact.stand_in_number(F.col("v"), "s").alias("o")).collect()]
+        assert sorted(map(int, got)) == list(range(low, 10**width)) and (width == 1 or got != [str(i) for i in range(low, 10**width)])
+    odd = ["-42", "1000000000000000000", "9223372036854775807", "-0", "x"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in odd], "v string").select(redact.stand_in_number(F.col("v"), "s")).collect()]
+    assert got[0][0] == "-" and len(got[0]) == 3 and [len(g) for g in got[1:3]] == [19, 19] and got[4] is None
+
+
+def test_date_shapes(spark):
+    given = ["2020-02-28", "2020/02/28", "02/28/2020", "2020-02-28T23:00:00Z", "2020-02-28 23:00:00 GMT", "2020-02-28 23:00:00.25+01:00", "2020-02-28 23:00:00 -0330", "2020/02/30", "13/28/2020", "2020-02-28 23:00:00 CET", "2020-02-28 23:00:00.1234567890"]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "v string").select(redact.shift_date(F.col("v"), 7200)).collect()]
+    assert got == ["2020-02-28", "2020/02/28", "02/28/2020", "2020-02-29T01:00:00Z", "2020-02-29 01:00:00 GMT", "2020-02-29 01:00:00.74+01:00", "2020-02-29 01:00:00 -0330", None, None, None, None]
+
+
+def test_known_hosts_stay(spark):
+    corpus = spark.createDataFrame([("e", "f", '{"a": "https://cdn.example/x?id=1", "b": "https://u@cdn.example/"}')], "export_id string, file string, body string")
+    out = {r.key: r.out for r in redact.synthesise(redact.leaves(spark, corpus), "s", 0, ("cdn.example",)).collect()}
+    assert out == {"a": "https://cdn.example/REDACTED?id=REDACTED", "b": "https://redacted.invalid/"}
+
+
 def test_streamed_outcomes_equal_the_batch(spark, tmp_path):
     events = [("e", "memory", k, i, ev) for i, (k, ev) in enumerate([("a", "failed"), ("b", "done"), ("a", "reset"), ("a", "failed"), ("b", "missing"), ("c", "failed")])]
     df = spark.createDataFrame(events, jobs.EVENT_SCHEMA)
