@@ -67,6 +67,34 @@ def section_errors(s: SparkSession, d: str) -> DataFrame:
     return exports.read_sections(chat_texts(s, d))[1].select("export_id", "file", "kind")
 
 
+def misshapen_texts(s: SparkSession, d: str) -> DataFrame:
+    """Orders as files, of which some are right and the others have each another shape than theirs somewhere."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    bodies = [
+        ("memories_history.json", '{"Saved Media": "@"}'), ("chat_history.json", '{"@": [7, {"From": "@"}]}'), ("chat_history.json", '{"@": {"From": "@"}}'), ("story_history.json", '{"Your Story Views": [{"Story Views": null}, {"Story Views": -1}, {"Story Date": 3}]}'),
+        ("chat_history.json", '{"@": [{"Created(microseconds)": "@", "IsSender": "no"}, {"IsSender": 1}]}'), ("user_profile.json", '{"Interactions": {"Web Interactions": ["a"], "App Interactions": [{"App": "@", "Count": 2}, 7]}, "New": [1]}'),
+        ("chat_history.json", '{"@": [{"Content": null, "Created(microseconds)": null, "Conversation Title": null, "IsSender": true}]}'), ("snapchat_plus.json", '{"": [{"Price": 3}, {"Price": 2.5}]}'), ("ranking.json", "[1]"),
+    ]
+    pick = lambda i: F.element_at(F.array(*(F.lit(b[i]) for b in bodies)), (k % len(bodies) + 1).cast("int"))
+    return o.select(_text("o_orderkey").alias("export_id"), pick(0).alias("file"), F.replace(pick(1), F.lit("@"), _text("o_orderkey")).alias("body"))
+
+
+@query(
+    """SELECT o_orderkey::VARCHAR AS export_id, file, path, expected, found, n::BIGINT AS n FROM orders JOIN (VALUES (0, 'memories_history.json', '/Saved Media', 'array', 'string', 1), (1, 'chat_history.json', '/*/*', 'object', 'int', 1),
+  (2, 'chat_history.json', '/*', 'array', 'object', 1), (3, 'story_history.json', '/Your Story Views/*/Story Views', 'count', 'null', 1), (3, 'story_history.json', '/Your Story Views/*/Story Views', 'count', 'int', 1),
+  (3, 'story_history.json', '/Your Story Views/*/Story Date', 'string', 'int', 1), (4, 'chat_history.json', '/*/*/Created(microseconds)', 'int', 'string', 1), (4, 'chat_history.json', '/*/*/IsSender', 'bool', 'string', 1),
+  (4, 'chat_history.json', '/*/*/IsSender', 'bool', 'int', 1)) t(k, file, path, expected, found, n) ON o_orderkey % 9 = k"""
+)
+def shape_errors(s: SparkSession, d: str) -> DataFrame:
+    return exports.shape_errors(misshapen_texts(s, d))
+
+
+@query("SELECT o_orderkey::VARCHAR AS export_id, CASE WHEN o_orderkey % 9 IN (5, 6, 7) THEN 'loaded' ELSE 'broken' END AS state FROM orders")
+def shape_states(s: SparkSession, d: str) -> DataFrame:
+    """States of files that are JSON, some of another shape than theirs."""
+    return exports.read_sections(misshapen_texts(s, d))[0].filter("state <> 'absent'").select("export_id", "state")
+
+
 @query(
     f"""SELECT conv_id::VARCHAR AS export_id, 'c' || conv_id AS conversation, 'chat' AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS sender, CASE WHEN turn % 2 = 0 THEN 'TEXT' ELSE 'NOTE' END AS media_type,
   CASE WHEN turn % 7 > 0 THEN printf('2020-02-30 %02d:%02d:00 UTC', turn % 24, turn % 60) END AS created, nullif(turn % 3, 0) AS epoch, nullif(text, '') AS content, CASE WHEN turn <> 1 THEN 't' END AS title, role = 'user' AS is_sender, turn % 2 = 1 AS is_saved,
@@ -86,7 +114,7 @@ def table_errors(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT user_id::VARCHAR AS export_id, event_type AS conversation, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos, CASE WHEN event_id % 4 > 0 THEN 'u' || event_id % 5 END AS sender,
-  event_id % 2 = 0 AS is_sender, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS created, event_id AS epoch, NULL AS content FROM events WHERE event_id > 0 OR true""".replace(", event_id AS epoch", ", nullif(event_id, 0) AS epoch").replace(" WHERE event_id > 0 OR true", "")
+  event_id % 2 = 0 AS is_sender, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS created, nullif(event_id, 0) AS epoch, NULL AS content FROM events"""
 )
 def snap_messages(s: SparkSession, d: str) -> DataFrame:
     from heronry.functions import expr as x

@@ -111,25 +111,154 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
     return at.filter(known & x.base_name(F.col("path")).isin(*SECTION_FILES)).select(delivery_of(F.col("path")).alias("export_id"), x.base_name(F.col("path")).alias("file"), "body")
 
 
+#: Fields that may hold null; everywhere else null is another shape than the one that is stated.
+NULLABLE = ("Content", "Conversation Title", "Created(microseconds)")
+#: Fields that hold counts: whole numbers from 0 on.
+COUNTS = ("Story Views", "Story Replies")
+
+
+#: Spark's words for what a variant is, and the words of the verdicts.
+WORDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "bool", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float", "VOID": "null"}
+
+
+def _found(v: Column) -> Column:
+    """What a variant is: object, array, string, bool, int, float, null, or other."""
+    words = F.create_map(*(F.lit(w) for pair in WORDS.items() for w in pair))
+    return F.coalesce(F.try_element_at(words, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)), F.lit("other"))
+
+
+def _expected(kind: T.DataType, name: str = "") -> str:
+    """The word for what a schema states; empty where it states nothing."""
+    if isinstance(kind, (T.StructType, T.MapType)):
+        return "object"
+    if isinstance(kind, T.LongType):
+        return "count" if name in COUNTS else "int"
+    return {T.ArrayType: "array", T.StringType: "string", T.BooleanType: "bool", T.DoubleType: "float"}.get(type(kind), "")
+
+
+def _fitting(word: str, null: bool) -> list[str]:
+    """The words of what a place takes that a schema states."""
+    return [*({"float": ["float", "int"], "count": ["int"]}.get(word, [word])), *(["null"] if null else [])]
+
+
+def _wrong(v: Column, word: str, null: bool) -> Column:
+    if word == "count":
+        return F.coalesce(F.try_variant_get(v, "$", "long") < 0, F.lit(False)) | ~_found(v).isin("int")
+    return ~_found(v).isin(*_fitting(word, null))
+
+
+def _misshapen(v: Column, kind: T.DataType, name: str = "") -> Column:
+    """Whether a variant has another shape than stated, at any depth. Unknown fields and fields that are missing fit."""
+    word = _expected(kind, name)
+    if not word:
+        return F.lit(False)
+    wrong = _wrong(v, word, name in NULLABLE)
+    if isinstance(kind, T.ArrayType) and _expected(kind.elementType):
+        return F.when(wrong, True).otherwise(F.exists(v.cast("array<variant>"), lambda e: _misshapen(e, kind.elementType)))
+    if isinstance(kind, T.MapType) and _expected(kind.valueType):
+        return F.when(wrong, True).otherwise(F.exists(F.map_values(v.cast("map<string,variant>")), lambda e: _misshapen(e, kind.valueType)))
+    if isinstance(kind, T.StructType):
+
+        def bad(e: Column) -> Column:
+            """By the fields' rules; fields of one kind without inner rules share a branch."""
+            plain: dict[tuple[str, bool], list[str]] = {}
+            inner = F.lit(False)
+            for f in kind:
+                if isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType)) and _expected(f.dataType):
+                    inner = F.when(e["key"] == f.name, _misshapen(e["value"], f.dataType, f.name)).otherwise(inner)
+                elif w := _expected(f.dataType, f.name):
+                    plain.setdefault((w, f.name in NULLABLE), []).append(f.name)
+            for (w, null), names in plain.items():
+                inner = F.when(e["key"].isin(*names), _wrong(e["value"], w, null)).otherwise(inner)
+            return inner
+
+        return F.when(wrong, True).otherwise(F.exists(F.map_entries(v.cast("map<string,variant>")), bad))
+    return wrong
+
+
+def _nodes(file: str) -> list[tuple[str, str, bool, bool]]:
+    """path, expected word, whether null fits, and whether its members share one rule, for all that a file's schema states."""
+    out = []
+
+    def add(path: str, kind: T.DataType, name: str) -> None:
+        if word := _expected(kind, name):
+            out.append((path, word, name in NULLABLE, isinstance(kind, (T.ArrayType, T.MapType))))
+        if isinstance(kind, T.StructType):
+            for f in kind:
+                add(f"{path}/{f.name}", f.dataType, f.name)
+        elif isinstance(kind, (T.ArrayType, T.MapType)):
+            add(f"{path}/*", kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType, "")
+
+    add("", SCHEMAS[file], "")
+    return out
+
+
+def shape_errors(texts: DataFrame) -> DataFrame:
+    """export_id, file, path, expected, found and n of whatever in parsed files has another shape than stated.
+
+    texts: export_id, file, body. A path has ``*`` for places in lists and for keys that are data, so that no value and
+    no name of a person is in it; n counts the places. Only files that have such an error are walked, a level at a time,
+    and only into what the schema states.
+    """
+    spark = texts.sparkSession
+    rules = {(f, path): rest for f in SCHEMAS for path, *rest in _nodes(f)}
+    rule = spark.createDataFrame([(f, path, word, _fitting(word, null), shared) for (f, path), (word, null, shared) in rules.items()], "file string, path string, word string, takes array<string>, shared boolean")
+    depth = max(path.count("/") for _, path in rules)
+    rows = misshapen(texts).select("export_id", "file", F.lit("").alias("path"), "v")
+    errors = None
+    for level in range(depth + 1):
+        # a row for each place that the schemas state
+        rows = rows.join(F.broadcast(rule), ["file", "path"]).withColumn("found", _found(F.col("v")))
+        fits = F.array_contains("takes", F.col("found")) & ((F.col("word") != "count") | F.coalesce(F.try_variant_get("v", "$", "long") >= 0, F.lit(False)))
+        here = rows.filter(~fits).select("export_id", "file", "path", F.col("word").alias("expected"), "found")
+        errors = here if errors is None else errors.unionByName(here)
+        if level < depth:
+            inner = rows.filter(fits & F.col("found").isin("object", "array")).select("export_id", "file", "path", "shared", "v")
+            inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).toDF("export_id", "file", "path", "shared", "v", "pos", "key", "value")
+            rows = inner.select("export_id", "file", F.concat("path", F.lit("/"), F.when(F.col("shared"), "*").otherwise(F.col("key"))).alias("path"), F.col("value").alias("v"))
+    return errors.groupBy("export_id", "file", "path", "expected", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _wrong_shape(v: Column, file: Column) -> Column:
+    """Whether a parsed file has another shape than stated. The variant is bound once, as it is looked at many times."""
+
+    def judged(e: Column) -> Column:
+        out = _found(e) != "object"
+        for name, kind in SCHEMAS.items():
+            out = F.when(file == name, _misshapen(e, kind)).otherwise(out)
+        return out
+
+    return F.exists(F.array(v), judged)
+
+
+def misshapen(texts: DataFrame) -> DataFrame:
+    """export_id, file and the parsed ``v`` of files that are JSON of another shape than theirs."""
+    rows = texts.select("export_id", "file", x.parse_strict(F.col("body")).alias("v")).filter("v is not null")
+    # judged where the file is read, once
+    return rows.filter(_wrong_shape(F.col("v"), F.col("file")))
+
+
 def read_sections(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All known files of every delivery, and errors. texts: export_id, file, body.
+    """All known files of every delivery, and errors. texts: export_id, file, body; a null body is a file that could not
+    be read.
 
-    sections: export_id, file, state (absent, loaded or broken), body. errors: export_id, file, kind (syntax, shape
+    sections: export_id, file, state (absent, loaded or broken), body. errors: export_id, file, kind (io, syntax, shape
     or duplicate_key), n_chars. A body is broken if it is no JSON or goes on behind its end, if it holds a key twice, or
-    if its top level has another shape than its file should have.
+    if anything in it, at any depth, has another shape than its file should have (see shape_errors). Fields that the
+    schema doesn't name, and lists whose elements it doesn't state, take any shape.
     """
     exports = texts.select("export_id").distinct()
     names = F.explode(F.array(*map(F.lit, SECTION_FILES))).alias("file")
     loose = F.from_json("body", "map<string,string>")
-    head = F.left(F.trim("body"), F.lit(1))
+    parsed = x.parse_strict(F.col("body"))
     twice = F.try_parse_json("body").isNull() & (F.size(F.map_keys(loose)) > 0) & F.rtrim("body").endswith("}")
-    kind = F.when(twice, "duplicate_key").when(x.parse_strict(F.col("body")).isNull(), "syntax").when(head != "{", "shape")
-    judged = texts.withColumn("kind", kind)
+    kind = F.when(F.col("body").isNull(), "io").when(twice, "duplicate_key").when(parsed.isNull(), "syntax").when(_wrong_shape(parsed, F.col("file")), "shape")
+    judged = texts.withColumn("kind", kind).withColumn("there", F.lit(True))
     grid = exports.select("export_id", names)
     sections = grid.join(judged, ["export_id", "file"], "left").select(
-        "export_id", "file", F.when(F.col("body").isNull(), "absent").when(F.col("kind").isNotNull(), "broken").otherwise("loaded").alias("state"), F.when(F.col("kind").isNull(), F.col("body")).alias("body")
+        "export_id", "file", F.when(F.col("there").isNull(), "absent").when(F.col("kind").isNotNull(), "broken").otherwise("loaded").alias("state"), F.when(F.col("kind").isNull(), F.col("body")).alias("body")
     )
-    errors = judged.filter(F.col("kind").isNotNull()).select("export_id", "file", "kind", F.char_length("body").cast("long").alias("n_chars"))
+    errors = judged.filter(F.col("kind").isNotNull()).select("export_id", "file", "kind", F.coalesce(F.char_length("body"), F.lit(0)).cast("long").alias("n_chars"))
     return sections, errors
 
 
