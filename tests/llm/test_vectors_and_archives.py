@@ -26,12 +26,41 @@ def test_nearest_recall(spark):
 
 
 def test_pigeonhole_misses_nothing():
-    codes = np.random.default_rng(2).integers(0, 1 << 16, (500, 4), dtype=np.uint16)
-    codes[:100] = codes[0] ^ (1 << np.random.default_rng(3).integers(0, 16, (100, 4))).astype(np.uint16)
-    tables = multi_index.Tables(codes)
-    for radius in (0, 3, 8, 20, 64):
-        for q in codes[:20]:
-            assert set(tables.within(q, radius).tolist()) == set(np.flatnonzero(multi_index.distances(codes, q) <= radius).tolist())
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, (2000, 26))
+    bits[:500] = bits[0] ^ (rng.random((500, 26)) < 0.15)
+    for tables in (1, 3, 5):
+        edges = [26 * t // tables for t in range(tables + 1)]
+        codes = np.stack([bits[:, a:b] @ (1 << np.arange(b - a)) for a, b in zip(edges, edges[1:])], 1)
+        for radius in (0, 1, 3, 8, 26):
+            depths = multi_index.thresholds(radius, tables)
+            for q in range(20):
+                near, _ = multi_index.retrieved(codes, codes[q], depths)
+                assert near[(bits != bits[q]).sum(1) <= radius].all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_share_on_the_tables(spark, sf):
+    """Every query of the table against brute force, and how many rows the tables retrieve for it."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in multi_index.report(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert sorted(got) == ids[asked].tolist()
+    index = multi_index.fit(x, np.linalg.norm(x, axis=1).max(), 20)
+    codes, own = index.codes(x), index.codes(x, query=True)
+    hit, share = 0, []
+    for i in asked.tolist():
+        score = (x * x[i]).sum(1)
+        score[i] = -np.inf
+        mine = sorted(got[ids[i]])
+        assert [r for r, _, _ in mine] == list(range(1, 21)) and all(s == score[np.flatnonzero(ids == v)[0]] for _, v, s in mine)
+        hit += len({v for _, v, _ in mine} & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+        share.append(multi_index.retrieved(codes, own[i], multi_index.thresholds(index.radius, index.tables))[0].mean())
+    print(sf, "recall", hit / (20 * len(asked)), "share retrieved", np.mean(share), "radius", index.radius)
+    assert hit >= 0.9 * 20 * len(asked) and np.mean(share) < 0.9
 
 
 def test_vectors_that_take_no_part(spark):
