@@ -11,26 +11,32 @@ from heronry.llm.common import documents
 
 
 def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two views that label for each other."""
     return cotraining.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that go because they resemble earlier ones."""
     return line_dedup.report(documents(spark, sf_dir))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mixing.mix_report(documents(spark, sf_dir))
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of every page, written as archives and read back."""
     return warc.archive_report(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.report(documents(spark, sf_dir))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
     return language.language_report(documents(spark, sf_dir))
 
 
@@ -42,19 +48,23 @@ def word_tokenizer() -> str:
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text decoded from them."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe.digests(bpe.encode_documents(docs, word_tokenizer()))
 
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document by rules for its lines."""
     return line_rules.quality_report(documents(spark, sf_dir))
 
 
 def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
     return multi_index.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in strings of 400 bytes found elsewhere."""
     return suffixes.report(documents(spark, sf_dir))
 
 
