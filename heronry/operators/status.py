@@ -6,10 +6,15 @@ items: export_id, kind, source_id, status, retry_count, url, output_path, checks
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
+from heronry.sources.named_files import content_digest, filesystem
 
 KEY = ["export_id", "kind", "source_id"]
 COLUMNS = [*KEY, "status", "retry_count", "url", "output_path", "checksum", "bytes", "last_error", "updated_at"]
@@ -178,11 +183,26 @@ def resume_report(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rest.join(checked, key, "left").fillna(0, ["verified", "sent_back"])
 
 
-def file_digests(spark, root: str) -> DataFrame:
-    """path, SHA-256 and length of all files under root. A file is one value, and Spark fails on one beyond 2 GB: those
-    need digests from elsewhere."""
+def file_digests(spark: SparkSession, root: str, whole: int = 1 << 30) -> DataFrame:
+    """path, SHA-256 and length of all files under root. Files of up to ``whole`` bytes are values of Spark's; larger ones
+    are read in pieces by tasks, which need a file system that pyarrow knows. A null digest is a file that can't be read.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    store, inner = filesystem(path)
+                    out.append(content_digest(store, inner))
+                except (OSError, ValueError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string()), batch.column("bytes")], names=["path", "checksum", "bytes"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("checksum"), F.col("length").alias("bytes"))
+    small = files.filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("checksum"), F.col("length").alias("bytes"))
+    large = files.filter(F.col("length") > whole).select("path", F.col("length").alias("bytes")).mapInArrow(digest, "path string, checksum string, bytes long")
+    return small.unionByName(large).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
 
 
 def claim_directories(items: DataFrame, claims: DataFrame, now: int) -> DataFrame:
@@ -207,6 +227,68 @@ def write_snapshot(items: DataFrame, path: str, version: int) -> None:
     items.select(F.lit(version).alias("version"), "export_id").distinct().write.mode("error").parquet(f"{path}/version={version}/meta")
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that no one else has created; False if it is there. Atomic on file systems that create
+    exclusively, as local ones and HDFS do."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        store.create(target, False).close()
+    except Exception as e:
+        if store.exists(target):
+            return False
+        raise e
+    return True
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def is_published(spark: SparkSession, path: str, version: int) -> bool:
+    return _exists(spark, f"{path}/version={version}/_PUBLISHED")
+
+
+def latest(spark: SparkSession, path: str) -> int:
+    """The highest version that is published; 0 for none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_PUBLISHED")) if store.exists(root) else []
+    return max((int(f.getPath().getParent().getName().removeprefix("version=")) for f in found), default=0)
+
+
+def publish(items: DataFrame, path: str, version: int, owner: str | None = None) -> None:
+    """The table as a version under path, which readers see when all of it is there.
+
+    Versions follow one another: the one before must be the latest (0 for none). A version has one writer, the first to
+    claim it; another one fails and writes nothing. The claim holds the owner's name (by default one of its own), so a
+    writer that failed half way may come again under its owner's name and write anew. The mark that readers go by is made
+    last.
+    """
+    spark = items.sparkSession
+    if (now := latest(spark, path)) != version - 1:
+        raise ValueError(f"version {version} does not follow the latest one, {now}")
+    owner = owner or uuid.uuid4().hex
+    at = f"{path}/version={version}"
+    if not _claim(spark, f"{at}/_CLAIM") and not _exists(spark, f"{at}/_CLAIM.{owner}"):
+        raise ValueError(f"version {version} has another writer")
+    _claim(spark, f"{at}/_CLAIM.{owner}")
+    items.select(*COLUMNS).write.partitionBy("kind").mode("overwrite").parquet(f"{at}/items")
+    _claim(spark, f"{at}/_PUBLISHED")
+
+
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest published version of a table, or a stated one; without any, an empty table (as version 0 is)."""
+    version = latest(spark, path) if version is None else version
+    if version == 0:
+        return spark.createDataFrame([], SCHEMA)
+    if not is_published(spark, path, version):
+        raise ValueError(f"version {version} is not published")
+    return spark.read.schema(SCHEMA).parquet(f"{path}/version={version}/items").select(*COLUMNS)
+
+
 def read_snapshot(spark, path: str, version: int, export_id: str | None = None) -> DataFrame:
     """The table of a finished snapshot. With an export_id the snapshot must hold that export alone."""
     meta = spark.read.parquet(f"{path}/version={version}/meta")

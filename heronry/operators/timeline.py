@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
+from heronry.operators.places import MOST, numbered
+from heronry.sources.named_files import write_named
 
 FORMATS = {"json": "json", "csv": "csv", "text": "txt", "html": "html"}
 CSV_HEADER = "kind,from,is_sender,media_type,created,content,media_ids,conversation_title"
@@ -20,14 +22,15 @@ def _order() -> list[Column]:
     return [F.col("resolved").asc_nulls_last(), F.col("created_epoch_ms").asc_nulls_first(), F.col("source"), F.col("pos")]
 
 
-def merge_timeline(chat: DataFrame, snap: DataFrame) -> DataFrame:
+def merge_timeline(chat: DataFrame, snap: DataFrame, most: int = MOST) -> DataFrame:
     """Both histories with ``resolved`` (the stated time, else the epoch's) and ``seq``, from 1 in each conversation.
 
-    Either history may lack a conversation. One conversation is one window; it sorts on disk if it must.
+    Either history may lack a conversation. A conversation of up to ``most`` messages is one window; longer ones are
+    numbered by ranges of their order, no task holding more than some ``most`` messages.
     """
     rows = chat.unionByName(snap, allowMissingColumns=True)
     rows = rows.withColumn("resolved", _stamp(rows))
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("export_id", "conversation").orderBy(*_order())))
+    return numbered(rows, ["export_id", "conversation"], _order(), "seq", most)
 
 
 def ordered_timeline(chat: DataFrame, snap: DataFrame) -> DataFrame:
@@ -162,15 +165,21 @@ def document_lines(timeline: DataFrame, fmt: str, with_links: bool = False) -> D
 
 
 def write_transcripts(timeline: DataFrame, path: str, fmt: str, with_links: bool = False, dirs: DataFrame | None = None) -> None:
-    """Each conversation's document as a text file under path, in a folder for its export and one for itself.
+    """Each conversation's document at ``path/<export>/<dir>/history.<ext>``, where plan.document_names has it.
 
-    dirs: export_id, conversation, dir as plan.allocate_dirs gives them; without them a folder is the conversation's
-    key. Messages are written one by one in order, so a conversation of any length passes through a task's memory.
+    dirs: export_id, conversation, dir as plan.allocate_dirs gives them; without them a folder is named by the
+    conversation's key, and keys that give one name are an error. Messages are written one by one in order, so a
+    conversation of any length passes through a task's memory. Documents appear when all are written; those of other
+    conversations and of earlier runs stay, and one that has not changed is not touched.
     """
     rows = document_lines(timeline, fmt, with_links)
     if dirs is None:
-        rows = rows.withColumn("dir", F.col("conversation"))
+        folder = x.dir_name(F.col("conversation"))
+        named = timeline.select("export_id", "conversation").distinct().groupBy("export_id", folder.alias("dir")).count().filter("count > 1").limit(1).collect()
+        if named:
+            raise ValueError("two conversations would share a folder: allocate their directories first")
+        rows = rows.withColumn("dir", folder)
     else:
         rows = rows.join(dirs.select("export_id", "conversation", "dir"), ["export_id", "conversation"])
-    ordered = rows.select("export_id", "dir", "place", "piece").repartition("export_id", "dir").sortWithinPartitions("export_id", "dir", "place")
-    ordered.select("export_id", "dir", "piece").write.partitionBy("export_id", "dir").mode("overwrite").text(f"{path}/{FORMATS[fmt]}")
+    file = F.concat_ws("/", "export_id", "dir", F.lit(f"history.{FORMATS[fmt]}"))
+    write_named(rows.select(file.alias("path"), "place", "piece"), path)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heronry.operators import reports, timeline
+from heronry.operators import plan, reports, status, timeline
 from heronry.plans import views
-from heronry.plans.registry import query
+from heronry.plans.registry import ORACLE_SQL, query
 from heronry.plans.views import sql
 from heronry.sources import exports
-from heronry.sources.tables import table
+from heronry.sources.named_files import write_named
+from heronry.sources.tables import shared_dir, table
+from heronry.streaming import jobs
 
 
 def _text(c: str | Column) -> Column:
@@ -372,3 +376,71 @@ def sample_arrays(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
     rows = e.select(F.lit("e").alias("export_id"), F.lit("f").alias("file"), _text("user_id").alias("pointer"), F.col("pos").cast("long").alias("pos"), "user_id", "event_id")
     return redact.sample_arrays(rows, 5).select("user_id", "event_id", "pos", "length")
+
+
+# ---- files, versions and streams ----
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/heronry-{name}-{uuid.uuid4().hex}"
+
+
+@query(sql("SELECT export_id, conversation, source, pos, seq FROM timeline", "timeline"))
+def wide_timeline(s: SparkSession, d: str) -> DataFrame:
+    """The merged timeline with conversations of over 40 messages numbered by ranges of their order."""
+    merged = timeline.merge_timeline(*views.histories(s, d), most=40)
+    return merged.select("export_id", "conversation", "source", "pos", F.col("seq").cast("long").alias("seq"))
+
+
+@query(sql("SELECT export_id, kind, source_id, status, retry_count, url, output_path, updated_at FROM items", "items"))
+def published_items(s: SparkSession, d: str) -> DataFrame:
+    """The status table as its latest published version, after one that holds less."""
+    path, items = _folder(s, "items"), views.items(s, d)
+    status.publish(items.filter("status = 'done'"), path, 1)
+    status.publish(items, path, 2)
+    return status.read_published(s, path).select("export_id", "kind", "source_id", "status", "retry_count", "url", "output_path", "updated_at")
+
+
+def _memory_deliveries(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as deliveries with two files, their orders as memories; even orders have a file in the listing. Customers
+    of one segment have a folder that could not be read."""
+    o = table(s, d, "orders").withColumn("export_id", _text("o_custkey"))
+    entry = _named(date=_stamp("o_orderdate"), media_type=F.lit("Image"), link=F.concat(F.lit("https://d/"), _text("o_orderkey")))
+    rows = o.groupBy("export_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("m")))), lambda r: r["m"]).alias("rows"))
+    memories = _texts(rows, "memories_history.json", F.struct(F.col("rows").alias("Saved Media")))
+    friends = _texts(rows, "friends.json", F.struct(F.array().cast("array<string>").alias("Friends")))
+    h = F.md5(_text("o_orderkey"))
+    name = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    listing = o.filter("o_orderkey % 2 = 0").select("export_id", F.concat(F.lit("m/memories/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_"), name, F.lit("-main.jpg")).alias("path"))
+    gaps = table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(_text("c_custkey").alias("export_id"))
+    return memories.unionByName(friends), listing, gaps
+
+
+@query(
+    """WITH e AS (SELECT o_custkey::VARCHAR AS export_id, o_orderdate AS day, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS media FROM orders GROUP BY ALL),
+m AS (SELECT e.export_id, n, media, n - media AS l, c_mktsegment = 'BUILDING' AS gap FROM e LEFT JOIN customer ON e.export_id = c_custkey::VARCHAR)
+SELECT export_id, 'pending' AS status, sum(media)::BIGINT AS n, NULL AS note FROM m GROUP BY ALL HAVING sum(media) > 0
+UNION ALL SELECT export_id, 'source_missing', sum(l)::BIGINT, CASE WHEN coalesce(gap, false) THEN 'scan_incomplete' ELSE 'no_media' END FROM m GROUP BY export_id, gap HAVING sum(l) > 0"""
+)
+def landed_items(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries written as files in two rounds and taken in as they land, up to the published status table."""
+    texts, listing, gaps = _memory_deliveries(s, d)
+    root, out = _folder(s, "landing"), _folder(s, "status")
+    path = F.concat(F.lit("mydata~"), "export_id", F.lit("/json/"), "file")
+    progress = _folder(s, "progress")
+    for file in ("friends.json", "memories_history.json"):
+        write_named(texts.filter(F.col("file") == file).select(path.alias("path"), F.lit(0).alias("place"), F.col("body").alias("piece")), root)
+        jobs.ingest(jobs.stream_texts(s, root, 1_000_000), jobs.take_deliveries(out, listing, gaps, 5), progress).awaitTermination()
+    items = status.read_published(s, f"{out}/items")
+    return items.groupBy("export_id", "status").agg(F.count(F.lit(1)).alias("n"), F.max("last_error").alias("note"))
+
+
+@query(ORACLE_SQL["transcript_csv"].replace(", len(doc) AS n_chars", ""))
+def written_transcripts(s: SparkSession, d: str) -> DataFrame:
+    """Documents written to the paths that the plan reserves for them, and read again from there."""
+    rows, root = views.transcript(s, d), _folder(s, "transcripts")
+    dirs = plan.document_names(plan.allocate_dirs(rows.select("export_id", "conversation").distinct()), {"csv": "csv"})
+    timeline.write_transcripts(rows, root, "csv", dirs=dirs)
+    files = s.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select("value", F.input_file_name().alias("file"))
+    named = files.withColumn("at", F.slice(F.split("file", "/"), -3, 3)).select("value", F.get("at", F.lit(0)).alias("export_id"), F.array_join(F.slice("at", 2, 2), "/").alias("document_path"))
+    return named.join(dirs.select("export_id", "conversation", "document_path"), ["export_id", "document_path"]).select("export_id", "conversation", F.md5("value").alias("digest"))

@@ -99,12 +99,12 @@ MOMENTS: dict[str, tuple[str, ...]] = {
 def delivery_of(path: Column) -> Column:
     """The id of the delivery that a path lies in: its innermost folder named like a part."""
     folders = F.filter(F.split(path, "/"), lambda s: F.startswith(s, F.lit(x.PART_PREFIX)) | F.startswith(s, F.lit("mydata%7E")))
-    return x.parse_part(F.replace(F.element_at(folders, -1), F.lit("%7E"), F.lit("~")))["id"]
+    return x.parse_part(F.replace(F.try_element_at(folders, F.lit(-1)), F.lit("%7E"), F.lit("~")))["id"]
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """export_id, file and body of every known JSON file in a ``json`` folder under root, one file a row."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
     path = F.input_file_name()
     at = raw.select(path.alias("path"), F.col("value").alias("body"))
     known = F.element_at(F.split("path", "/"), -2) == "json"

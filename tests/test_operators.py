@@ -5,8 +5,8 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from heronry.operators import plan, reconcile, redact, reports, status, timeline
-from heronry.sources import exports
+from heronry.operators import places, plan, reconcile, redact, reports, status, timeline
+from heronry.sources import exports, named_files
 from heronry.streaming import jobs
 
 ITEMS = status.SCHEMA
@@ -92,7 +92,7 @@ def test_sections(spark):
 
 
 def test_reading_a_tree(spark, tmp_path):
-    for name, text in (("mydata~1/json/memories_history.json", '{"Saved Media": [{"Date": "2020-01-01 00:00:00 UTC", "Media Type": "Image", "Location": "Latitude, Longitude: 1, 2", "Download Link": "l"}]}'), ("mydata~1-2/memories/x.jpg", "x"), ("mydata~1-2/memories/deep/y.jpg", "y")):
+    for name, text in (("mydata~1/json/memories_history.json", '{"Saved Media":\n [{"Date": "2020-01-01 00:00:00 UTC",\n"Media Type": "Image", "Location": "Latitude, Longitude: 1, 2", "Download Link": "l"}]}'), ("mydata~1-2/memories/x.jpg", "x"), ("mydata~1-2/memories/deep/y.jpg", "y")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     sections, errors = exports.read_sections(exports.read_texts(spark, str(tmp_path)))
@@ -366,14 +366,52 @@ def test_known_hosts_stay(spark):
 
 
 def test_streamed_outcomes_equal_the_batch(spark, tmp_path):
-    events = [("e", "memory", k, i, ev) for i, (k, ev) in enumerate([("a", "failed"), ("b", "done"), ("a", "reset"), ("a", "failed"), ("b", "missing"), ("c", "failed")])]
-    df = spark.createDataFrame(events, jobs.EVENT_SCHEMA)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.fold_stream(spark.readStream.schema(jobs.EVENT_SCHEMA).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("folded").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    streamed = {(r.source_id, r.status, r.retry_count) for r in spark.table("folded").collect()}
-    assert streamed == {(r.source_id, r.status, r.retry_count) for r in status.fold_outcomes(df).collect()} == {("a", "failed", 1), ("b", "source_missing", 0), ("c", "failed", 1)}
+    """Events in any order, in any batches."""
+    import random
+
+    rng, source, got = random.Random(1), tmp_path / "in", {}
+    events = [("e", "memory", k, i, rng.choice(["done", "failed", "failed", "reset", "missing"])) for i, k in enumerate(rng.choices("abcde", k=60))]
+    want = {r.source_id: (r.status, r.retry_count, r.n_events) for r in status.fold_outcomes(spark.createDataFrame(events, jobs.EVENT_SCHEMA)).collect()}
+    rng.shuffle(events)
+    source.mkdir()
+    for part in (events[:20], events[20:45], events[45:]):
+        spark.createDataFrame(part, jobs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        keep = lambda df, _: got.update({r.source_id: (r.status, r.retry_count, r.n_events) for r in df.collect()})
+        stream = jobs.fold_stream(spark.readStream.schema(jobs.EVENT_SCHEMA).parquet(str(source)))
+        stream.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    assert got == want
+
+
+class State:
+    """What a state does for a group: held between calls, timed out when told so."""
+
+    def __init__(self):
+        self.held, self.hasTimedOut, self.waits = None, False, None
+
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+
+    def update(self, held):
+        self.held = held
+
+    def remove(self):
+        self.held = None
+
+    def setTimeoutDuration(self, ms):
+        self.waits = ms
+
+
+def test_state_ends():
+    import pandas as pd
+
+    key, state = ("e", "memory", "a"), State()
+    fold = lambda *events: [tuple(f.iloc[0])[3:] for f in jobs._fold(key, iter([pd.DataFrame(list(events), columns=["seq", "event"])] if events else []), state, 500)]
+    assert fold((2, "failed"), (1, "failed")) == [("failed", 2, 2, 2)] and state.waits == 500
+    assert fold((5, "done"), (3, "reset")) == [("done", 0, 5, 4)]
+    state.hasTimedOut = True
+    assert fold() == [] and not state.exists
+    state.hasTimedOut = False
+    assert fold((4, "failed")) == [("failed", 1, 4, 1)]
 
 
 def test_ingest(spark, tmp_path):
@@ -395,16 +433,131 @@ def test_transcript_files(spark, tmp_path):
     whole = {f: {r.conversation: r.document for r in timeline.documents(t, f).collect()} for f in timeline.FORMATS}
     for fmt, ext in timeline.FORMATS.items():
         timeline.write_transcripts(t, str(tmp_path), fmt, dirs=dirs)
-        files = {d.name: [p.read_bytes().decode() for p in d.glob("part-*")] for d in (tmp_path / ext / "export_id=e").iterdir() if d.is_dir()}
-        assert sorted(files) == ["dir=c_1", "dir=d"] and all(len(x) == 1 for x in files.values())
-        for folder, conversation in (("dir=c_1", 'c"1'), ("dir=d", "d")):
-            got, want = files[folder][0], whole[fmt][conversation]
+        files = {str(p.relative_to(tmp_path)): p.read_bytes().decode() for p in tmp_path.rglob(f"*.{ext}")}
+        assert sorted(files) == [f"e/c_1/history.{ext}", f"e/d/history.{ext}"]
+        for folder, conversation in (("c_1", 'c"1'), ("d", "d")):
+            got, want = files[f"e/{folder}/history.{ext}"], whole[fmt][conversation]
             if fmt in ("csv", "text"):
                 assert got == want
             elif fmt == "json":
                 assert json.loads(got) == json.loads(want)
             else:
-                assert got.replace("</article>\n<article>", "</article><article>") == want
+                assert got.replace("</article>\n<article>", "</article><article>") == want + "\n" * (got.endswith("\n") and not want.endswith("\n"))
+    kept = (tmp_path / "e/d/history.json").stat().st_mtime_ns
+    timeline.write_transcripts(t.filter("conversation = 'd'"), str(tmp_path), "json", dirs=dirs)
+    assert (tmp_path / "e/d/history.json").stat().st_mtime_ns == kept and (tmp_path / "e/c_1/history.json").exists()
+    same = t.withColumn("conversation", F.when(F.col("conversation") == "d", "c 1").otherwise("c/1"))
+    with pytest.raises(ValueError, match="share a folder"):
+        timeline.write_transcripts(same, str(tmp_path / "x"), "json")
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.txt", 1, "one"), ("b/y.txt", 1, "two")], "path string, place int, piece string")
+    bad = rows.withColumn("piece", F.when(F.col("path") == "b/y.txt", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("piece")))
+    with pytest.raises(Exception, match="lost"):
+        named_files.write_named(bad, str(tmp_path / "out"))
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    with pytest.raises(Exception, match="below the root"):
+        named_files.write_named(rows.withColumn("path", F.lit("../x")), str(tmp_path / "out"))
+    named_files.write_named(rows, str(tmp_path / "out"))
+    assert (tmp_path / "out/b/y.txt").read_text() == "two\n" and not (tmp_path / "out/_staging").exists()
+
+
+def test_listing_with_gaps(spark, tmp_path):
+    class Locked(named_files.MediaFolders):
+        """As where a folder called locked can't be read. A class of its own, which tasks get by value."""
+
+        @staticmethod
+        def scan(path):
+            if path.endswith("/locked"):
+                raise PermissionError(path)
+            return named_files._scan(path)
+
+    for f in ("mydata~1/memories/a.jpg", "mydata~1/memories/deep/b.jpg", "mydata~2/x/memories/c.jpg", "mydata~2/locked/memories/d.jpg", "mydata~3/other/e.jpg"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    (tmp_path / "mydata~3/memories").symlink_to(tmp_path / "mydata~1/memories")
+    listing, gaps = named_files.media_folders(spark, str(tmp_path), "memories", Locked)
+    assert {(r.export_id, r.name, r.length) for r in listing.collect()} == {("1", "a.jpg", 1), ("2", "c.jpg", 1)}
+    assert [(r.export_id, r.dir.endswith("mydata~2/locked"), r.kind) for r in gaps.collect()] == [("2", True, "PermissionError")]
+    entries = spark.createDataFrame([("1", 0, "2020-01-01", "image"), ("2", 0, "2020-01-01", "image")], "export_id string, entry_index long, day string, kind string")
+    media = spark.createDataFrame([], "export_id string, day string, kind string, uuid string")
+    assert {(r.export_id, r.reason) for r in reconcile.memory_items(entries, media, gaps).collect()} == {("1", "no_media"), ("2", "scan_incomplete")}
+    _, none = named_files.media_folders(spark, str(tmp_path / "absent"), "memories")
+    assert [r.kind for r in none.collect()] == ["FileNotFoundError"]
+
+
+def test_numbers_of_a_wide_group(spark):
+    rows = spark.range(5000).selectExpr("if(id % 10 < 7, null, id % 10) AS g", "(id * 7919) % 5003 AS v")
+    out = places.numbered(rows, ["g"], [F.col("v").desc()], "k", most=300)
+    assert out.columns == ["g", "v", "k"]
+    want = rows.selectExpr("g", "v", "row_number() OVER (PARTITION BY g ORDER BY v DESC) AS k")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    parts = places.numbered(rows.filter("g is null"), ["g"], [F.col("v")], "k", most=300)
+    assert parts.agg(F.max("k")).first()[0] == 3500
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    import hashlib
+
+    for name, n in (("a", 10), ("b", 3_000_000)):
+        (tmp_path / name).write_bytes(name.encode() * n)
+    got = {r.path: (r.checksum, r.bytes) for r in status.file_digests(spark, str(tmp_path), whole=1000).collect()}
+    assert got == {str(tmp_path / name): (hashlib.sha256(name.encode() * n).hexdigest(), n) for name, n in (("a", 10), ("b", 3_000_000))}
+
+
+def test_versions_follow_one_another(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    items = frame(spark, [item("a"), item("b", "done", output_path="/o", checksum="c", bytes=1)], ITEMS)
+    assert status.latest(spark, path) == 0 and status.read_published(spark, path).count() == 0
+    status.publish(items, path, 1, "one")
+    assert status.latest(spark, path) == 1 and sorted(status.read_published(spark, path).collect(), key=str) == sorted(items.collect(), key=str)
+    with pytest.raises(ValueError, match="does not follow"):
+        status.publish(items, path, 1, "two")
+    # a writer that died half way holds the version: readers don't see it, others fail, the same one comes again
+    assert status._claim(spark, f"{path}/version=2/_CLAIM") and status._claim(spark, f"{path}/version=2/_CLAIM.one")
+    with pytest.raises(ValueError, match="another writer"):
+        status.publish(items, path, 2, "two")
+    assert status.latest(spark, path) == 1
+    with pytest.raises(ValueError, match="not published"):
+        status.read_published(spark, path, 2)
+    status.publish(items.limit(1), path, 2, "one")
+    assert status.latest(spark, path) == 2 and status.read_published(spark, path).count() == 1 and status.read_published(spark, path, 1).count() == 2
+
+
+def memories(tmp_path, export, file, entries):
+    import json
+
+    f = tmp_path / f"mydata~{export}" / "json" / file
+    f.parent.mkdir(parents=True, exist_ok=True)
+    f.write_text(json.dumps({"Saved Media": entries} if file.startswith("mem") else {"Friends": entries}))
+
+
+def test_deliveries_that_land_apart(spark, tmp_path):
+    """Files of one delivery in several batches, and a batch that comes again, give what one run gives."""
+    uuid = "0a1b2c3d-0000-1111-2222-{:012d}"
+    entry = lambda d: {"Date": f"2020-01-{d:02d} 00:00:00 UTC", "Media Type": "Image", "Download Link": f"https://h/{d}"}
+    listing = spark.createDataFrame([("1", f"m/memories/2020-01-{d:02d}_{uuid.format(d)}-main.jpg") for d in (1, 2)] + [("2", f"m/memories/2020-01-09_{uuid.format(9)}-main.jpg")], "export_id string, path string")
+    gaps = spark.createDataFrame([("2",)], "export_id string")
+
+    def run(name, steps):
+        root, out = tmp_path / name, f"file://{tmp_path}/{name}-out"
+        for step in steps:
+            for args in step:
+                memories(root, *args)
+            jobs.ingest(jobs.stream_texts(spark, str(root)), jobs.take_deliveries(out, listing, gaps, 5), f"{tmp_path}/{name}-cp").awaitTermination(120)
+        return out, sorted(tuple(r) for r in status.read_published(spark, out + "/items").select("export_id", "source_id", "status", "last_error").collect())
+
+    one = ("1", "memories_history.json", [entry(1), entry(3)])
+    two = ("2", "memories_history.json", [entry(5)])
+    friends = ("1", "friends.json", [])
+    _, whole = run("whole", [[one, two, friends]])
+    out, apart = run("apart", [[friends, two], [one]])
+    assert apart == whole and [(e, s) for e, _, s, _ in whole] == [("1", "pending"), ("1", "pending"), ("2", "source_missing")]
+    version = status.latest(spark, out + "/items")
+    batch = spark.createDataFrame([("1", "memories_history.json", "{}")], "export_id string, file string, body string")
+    jobs.take_deliveries(out, listing, gaps, 5)(batch, version - 1)  # replayed: published already
+    assert status.latest(spark, out + "/items") == version
 
 
 def test_snapshots(spark, tmp_path):
