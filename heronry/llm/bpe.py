@@ -5,11 +5,9 @@ compatible with the last token of what stands before it. Matches come from an au
 compatibility from undoing both tokens' merges at their border; back-pointers then give the ids. No merge is
 ever carried out. The tokenizer's file is a parameter; words repeat, so a worker keeps the ids of words it met.
 
-The automaton is one of Aho and Corasick, in place of a suffix automaton. Both report the same: after reading a
-prefix, the first stands on the longest suffix of it that begins an entry, the second on the longest that lies
-anywhere in an entry. An entry that ends the prefix is a suffix of it that begins an entry (itself) and lies in one
-(itself), so it is the place of either automaton or further down its chain of suffix links, and both walk that chain
-to its end. Each prefix thus meets all entries that end it, longest first, and the pair test keeps the one.
+The automaton is the suffix automaton of all entries. After reading a prefix it stands on the longest suffix of it
+that lies anywhere in an entry. Every entry that ends the prefix is such a suffix, so it is that place or further up
+its chain of suffix links; the chain is walked from entry to entry, longest first, and the pair test keeps the one.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -49,6 +46,74 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class SuffixAutomaton:
+    """All substrings of a list of words, one state for those that end at the same places of the same words.
+
+    A word also ends where it stands alone, and nothing longer does, so it is the longest string of its state.
+    ``word`` holds the word of a state (-1: none), ``size`` the length of the longest string, ``link`` the state of
+    the longest suffix that ends elsewhere too, ``above`` the nearest state up the links that has a word (0: none).
+    """
+
+    def __init__(self, words: list[str]) -> None:
+        self.go: list[dict[str, int]] = [{}]
+        self.link, self.size, self.word = [-1], [0], [-1]
+        for i, text in enumerate(words):
+            state = 0
+            for letter in text:
+                state = self._step(state, letter)
+            self.word[state] = i
+        self.above = [0] * len(self.go)
+        for state in sorted(range(1, len(self.go)), key=self.size.__getitem__):
+            up = self.link[state]
+            self.above[state] = up if self.word[up] >= 0 else self.above[up]
+
+    def _step(self, state: int, letter: str) -> int:
+        """The state whose longest string is that of ``state`` and a letter more; made if there is none."""
+        go, link, size = self.go, self.link, self.size
+        if letter in go[state]:
+            return self._alone(state, letter)
+        new = self._add({}, -1, size[state] + 1)
+        while state >= 0 and letter not in go[state]:
+            go[state][letter] = new
+            state = link[state]
+        link[new] = self._alone(state, letter) if state >= 0 else 0
+        return new
+
+    def _alone(self, state: int, letter: str) -> int:
+        """The state that a letter leads to, parted from the longer strings that shared it."""
+        go, link, size = self.go, self.link, self.size
+        old = go[state][letter]
+        if size[old] == size[state] + 1:
+            return old
+        part = self._add(dict(go[old]), link[old], size[state] + 1)
+        link[old] = part
+        while state >= 0 and go[state].get(letter) == old:
+            go[state][letter] = part
+            state = link[state]
+        return part
+
+    def _add(self, go: dict[str, int], link: int, size: int) -> int:
+        self.go.append(go)
+        self.link.append(link)
+        self.size.append(size)
+        self.word.append(-1)
+        return len(self.go) - 1
+
+    def endings(self, text: str) -> Iterator[tuple[int, int]]:
+        """For each prefix of a text, its length and the longest word's state that ends it (0: none)."""
+        go, link, size, word, above = self.go, self.link, self.size, self.word, self.above
+        state = length = 0
+        for end, letter in enumerate(text, 1):
+            while (to := go[state].get(letter)) is None and state:
+                state = link[state]
+                length = size[state]
+            if to is None:
+                yield end, 0
+                continue
+            state, length = to, length + 1
+            yield end, state if word[state] >= 0 and size[state] == length else above[state]
+
+
 class WordTokenizer:
     """A lower-casing, word-wise tokenizer read from a ``tokenizers`` file with end-of-word marks."""
 
@@ -69,12 +134,11 @@ class WordTokenizer:
             raise ValueError("ids of merged tokens must rise with their merges, one merge each")
         self._known: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
-        self._automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if i not in self._halves or self._stands(i):
-                form = token.removesuffix(mark) + END if token.endswith(mark) and len(token) > len(mark) else token
-                self._automaton.add_word(form, (len(form), i))
-        self._automaton.make_automaton()
+        stands = {t: i for t, i in vocab.items() if i not in self._halves or self._stands(i)}
+        ended = lambda t: t.endswith(mark) and len(t) > len(mark)
+        self._automaton = SuffixAutomaton([t.removesuffix(mark) + END if ended(t) else t for t in stands])
+        ids = list(stands.values())
+        self._automaton.word = [ids[w] if w >= 0 else -1 for w in self._automaton.word]
 
     def _stands(self, token: int) -> bool:
         """Whether encoding the token's own text gives the token: no other merge breaks up its halves' border."""
@@ -102,25 +166,26 @@ class WordTokenizer:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given in byte letters."""
-        known, agree = self._known, self._agree
+        known, agree, automaton = self._known, self._agree, self._automaton
+        size, tokens, above = automaton.size, automaton.word, automaton.above
         if len(known) > MAX_PAIRS:
             known.clear()
         text = word + END
         last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        for end, (size, token) in self._automaton.iter(text):
-            end += 1
-            if last[end] is not None:
-                continue
-            begin = end - size
-            if begin:
-                if (back := last[begin]) is None:
-                    continue
-                pair = back[1] << 32 | token
-                if (fits := known.get(pair)) is None:
-                    fits = known[pair] = agree(back[1], token)
-                if not fits:
-                    continue
-            last[end] = (begin, token)
+        for end, state in automaton.endings(text):
+            while state:
+                begin, token = end - size[state], tokens[state]
+                if not begin:
+                    last[end] = (0, token)
+                    break
+                if (back := last[begin]) is not None:
+                    pair = back[1] << 32 | token
+                    if (fits := known.get(pair)) is None:
+                        fits = known[pair] = agree(back[1], token)
+                    if fits:
+                        last[end] = (begin, token)
+                        break
+                state = above[state]
         out, at = [], len(text)
         while at:
             at, token = last[at]

@@ -215,6 +215,28 @@ def test_languages_of_a_family_vote_by_pairs(spark):
 # ---- op7 ----
 
 
+def test_the_suffix_automaton_finds_every_word_that_ends_a_prefix():
+    draw = random.Random(9)
+    for letters in ("ab", "abc", "aé日"):
+        words = list({"".join(draw.choice(letters) for _ in range(draw.randint(1, 6))) for _ in range(25)})
+        automaton = bpe.SuffixAutomaton(words)
+        parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i, len(w) + 1)}
+        # a state stands for substrings with the same ends in the same words
+        ends = {p: frozenset((k, i) for k, w in enumerate(words) for i in range(len(w) + 1) if w[:i].endswith(p)) for p in parts}
+        assert len(automaton.go) == len(set(ends.values()))
+        for _ in range(60):
+            text = "".join(draw.choice(letters + "x") for _ in range(draw.randint(0, 14)))
+            for end, state in automaton.endings(text):
+                found = []
+                while state:
+                    assert automaton.size[state] == len(words[automaton.word[state]])
+                    found.append(words[automaton.word[state]])
+                    state = automaton.above[state]
+                assert found == sorted((w for w in words if text[:end].endswith(w)), key=len, reverse=True)
+    empty = bpe.SuffixAutomaton([])
+    assert list(empty.endings("ab")) == [(1, 0), (2, 0)]
+
+
 def test_bpe_equals_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, ours = Tokenizer.from_file(path), bpe.tokenizer(path)
