@@ -79,6 +79,47 @@ def test_line_rules_verdicts(spark):
     assert out[4].clean_text == good and out[1].clean_text == good
 
 
+def plain_shared(rows):
+    """Numbers of the lines of each row that many different documents of its source share, by brute force."""
+    form = lambda line: re.sub("[0-9]", "0", lower(re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line)))
+    texts, lines = defaultdict(set), defaultdict(set)
+    for _, t, source in rows:
+        mine = [form(line) for line in (t or "").split("\n") if WORD.search(line)]
+        if mine:
+            main = max(mine, key=lambda x: len(x.encode()))
+            texts[source].add(main)
+            for x in mine:
+                lines[source, x].add(main)
+    good = {k for k, docs in lines.items() if len(docs) >= 10 and 100 * len(docs) >= len(texts[k[0]]) and len(WORD.findall(k[1])) <= 40}
+    return [[i for i, line in enumerate((t or "").split("\n")) if (source, form(line)) in good] for _, t, source in rows]
+
+
+def test_lines_that_a_source_repeats_are_boilerplate(spark):
+    r = random.Random(3)
+    fine = lambda: "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "." for n in (r.randint(9, 14), 9, 60, 11))
+    foot = "Story {} was brought to you by the people of our small town."
+    long = " ".join(f"word{i}x" for i in range(45)) + "."
+    rows = [(i, fine() + "\n  " + foot.format(i) + "\n" + long, "a") for i in range(25)]
+    rows += [(100 + i, fine() + "\n" + foot.format(i), "b") for i in range(9)]  # too few of b
+    copied = fine()
+    rows += [(200 + i, copied + f"\nA line {i} of the copy that differs in its end only.", "c") for i in range(40)]  # one document
+    rows += [(300 + i, fine() + "\nThis page of the null source has been seen by many people.", None) for i in range(12)]
+    rows += [(400, fine() + "\n" + foot.format(7), "d"), (1, rows[1][1], "a"), (500, None, "a"), (501, "", None), (502, "\n\n", "b")]
+    docs = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], DOCS)
+    docs = docs.withColumn("row", F.lit(1)).withColumn("m", F.lit("x")).withColumn("h", F.lit(2)).withColumn("key", F.lit(3))
+    out = line_rules.clean_documents(docs)
+    assert out.columns == [*docs.columns, "rules"]
+    got = Counter((x.doc_id, x.text, x.source, x.rules.n_failed_lines, x.rules.clean_text) for x in out.collect())
+    want = Counter()
+    for (i, t, s), gone in zip(rows, plain_shared(rows)):
+        want[i, t, s, len(gone), t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)] += 1
+    assert got == want
+    assert sum(n * k[3] for k, n in got.items()) == 26 + 12  # feet of a and the line of the null source, nothing else
+    report = {x.doc_id: x for x in line_rules.quality_report(docs).collect()}
+    assert all(report[i].n_failed_lines == n for (i, _, _, n, _) in got)
+    assert report[3].lost_chars == len("".join(WORD.findall(foot.format(3))))
+
+
 # ---- op3 ----
 
 
