@@ -38,3 +38,23 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, m
     many = within.join(offsets, same & (F.col("__part") == F.col("__p")))
     many = many.withColumn(name, (F.col("__before") + F.col("__k")).cast("int")).select(*rows.columns, name)
     return few.unionByName(many)
+
+
+def free_numbers(rows: DataFrame, held: DataFrame, keys: list[str], order: list[Column], name: str, start: int = 0, most: int = MOST) -> DataFrame:
+    """rows with ``name``: of the numbers from ``start`` on that nobody holds in their group, the k-th goes to the k-th row.
+
+    held: keys and ``name``, distinct; numbers below start and null ones count for nothing. A held number is put behind as
+    many rows as there are free numbers below it; in that common order rows and held numbers stand at their own numbers.
+    No number that is not held or given is ever made, and groups may be of any size. Keys may be null.
+    """
+    own = [c for c in rows.columns if c not in keys]
+    asking = rows.select(*keys, F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__at"), F.struct(*own, *(c.alias(f"__o{i}") for i, c in enumerate(order))).alias("__row"))
+    holding = held.filter(F.col(name) >= start).select(*keys, F.lit(0).alias("__kind"), F.col(name).cast("long").alias("__at"))
+    both = cut(asking.unionByName(holding, allowMissingColumns=True), "numbers")
+    places = [F.col("__at"), *(F.col(f"__row.__o{i}") for i in range(len(order)))]
+    both = numbered(both, [*keys, "__kind"], places, "__k", most)
+    # free numbers below a held one, rows before a row
+    both = both.withColumn("__v", F.coalesce(F.col("__at") - start, F.lit(0)) - F.when(F.col("__kind") == 0, F.col("__k") - 1).otherwise(1 - F.col("__k")))
+    both = numbered(both, keys, [F.col("__v"), F.col("__kind"), F.col("__k")], "__n", most)
+    given = both.filter("__kind = 1")
+    return given.select(*keys, *(F.col(f"__row.{c}").alias(c) for c in own), (F.col("__n") + (start - 1)).cast("long").alias(name))

@@ -1,18 +1,19 @@
 """Output paths and directories that don't collide and stay the same from run to run.
 
 Names are given in turn: the first that asks takes ``x``, the next ``x_2``, ``x_3``. Where a suffixed name can't be
-another's stem, the k-th new row takes the k-th free number, which is a join; where it can (directory keys such as
+another's stem, the k-th new row takes the k-th free number, in groups of any size; where it can (directory keys such as
 ``a`` and ``a_2``), rows that can meet form a family, and each family is walked in order.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronry.functions import expr as x
+from heronry.operators.places import free_numbers
 from heronry.sources.tables import cut
 
 OVERLAY_MODES = ("merged", "both", "originals")
@@ -88,12 +89,7 @@ def allocate_paths(plan: DataFrame, recorded: DataFrame, order: list[str]) -> Da
     plain = F.struct(F.col("folded").alias("g"), F.lit(0).cast("long").alias("ordinal"))
     suffixed = F.struct(F.concat(F.regexp_extract("folded", name, 1), F.regexp_extract("folded", name, 2), F.lit("."), F.regexp_extract("folded", name, 4)).alias("g"), (number.try_cast("long") - 1).alias("ordinal"))
     taken = owner.select("export_id", F.explode(F.array(plain, F.when((number != "") & (number.try_cast("long") >= 2), suffixed))).alias("t")).filter("t is not null").select("export_id", "t.g", "t.ordinal").distinct()
-    need = new.groupBy(*group).agg(F.count(F.lit(1)).alias("need"))
-    held = need.join(taken.groupBy(*group).agg(F.collect_set("ordinal").alias("held")), group, "left")
-    free = held.select(*group, F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("need") + F.coalesce(F.size("held"), F.lit(0)) - 1), F.coalesce("held", F.array().cast("array<bigint>")))).alias("ordinal"))
-    by = Window.partitionBy(*group)
-    free = free.withColumn("k", F.row_number().over(by.orderBy("ordinal")))
-    numbered = new.withColumn("k", F.row_number().over(by.orderBy(*order))).join(free, [*group, "k"])
+    numbered = free_numbers(new, taken, group, [F.col(c) for c in order], "ordinal")
     named = numbered.withColumn("output_path", F.concat("dir", F.lit("/"), x.output_name(F.col("stem"), F.col("ext"), F.col("ordinal"))))
     columns = [*plan.columns, "ordinal", "output_path", "adopted"]
     kept = adopted.filter("adopted").withColumn("ordinal", F.lit(None).cast("long")).withColumn("output_path", F.col("r_path"))
@@ -129,8 +125,8 @@ def _number_of(name: Column, stem: Column) -> Column:
 def _claim_in_order(requests: DataFrame, reserved: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """requests (key, order, name) with ``claimed``: the name, or name_2 and so on, that nothing before holds.
 
-    reserved: key, folded. Where a family's requests all ask for one name, the k-th takes the k-th free number, which
-    is a join on row numbers; families of several names, such as ``a`` and ``a_2``, are walked one by one.
+    reserved: key, folded. Where a family's requests all ask for one name, the k-th takes the k-th free number, in
+    groups of any size; families of several names, such as ``a`` and ``a_2``, are walked one by one.
     """
     rows = cut(requests.withColumn("folded", x.fold(F.col("name"))), "requests")
     taken = cut(reserved.select(*key, "folded").distinct(), "reserved")
@@ -138,16 +134,14 @@ def _claim_in_order(requests: DataFrame, reserved: DataFrame, key: list[str], or
     group = [*key, "family"]
     rows = rows.join(family, [*key, "folded"])
     held = taken.join(family, [*key, "folded"])
-    kinds = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("need"), F.min("folded").alias("low"), F.max("folded").alias("high"))
-    one = kinds.filter("low = high").select(*group, "need", F.col("low").alias("stem"))
-    numbers = held.join(one, group).select(*group, _number_of(F.col("folded"), F.col("stem")).alias("n")).groupBy(*group).agg(F.collect_set("n").alias("held"))
-    none = F.array().cast("array<bigint>")
-    free = one.join(numbers, group, "left").select(*group, F.coalesce("held", none).alias("held"), "need")
-    free = free.select(*group, F.explode(F.array_except(F.sequence(F.lit(1).cast("long"), F.col("need") + F.size("held")), "held")).alias("n"))
-    by = Window.partitionBy(*group)
-    free = free.withColumn("k", F.row_number().over(by.orderBy("n")))
-    alone = rows.join(one.select(*group), group, "left_semi").withColumn("k", F.row_number().over(by.orderBy(*order))).join(free, [*group, "k"])
-    suffix = F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")
+    kinds = rows.groupBy(*group).agg(F.min("folded").alias("low"), F.max("folded").alias("high"))
+    one = kinds.filter("low = high").select(*group, F.col("low").alias("stem"))
+    numbers = held.join(one, group).select(*group, _number_of(F.col("folded"), F.col("stem")).alias("__number"))
+    asked = rows.join(one.select(*group), group, "left_semi")
+    # a request may bring columns called like ours
+    alone = asked.select(*group, F.struct(*asked.columns).alias("asked"))
+    alone = free_numbers(alone, numbers, group, [F.col(f"asked.{c}") for c in order], "__number", 1).select("asked.*", "__number")
+    suffix = F.when(F.col("__number") > 1, F.concat(F.lit("_"), F.col("__number").cast("string"))).otherwise("")
     alone = alone.select(*requests.columns, F.concat("name", suffix).alias("claimed"))
 
     columns = requests.columns

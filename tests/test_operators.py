@@ -129,6 +129,26 @@ def test_paths_keep_reserve_and_count(spark):
     assert got == {"a": "/o/2020/s_2.jpg", "b": "/o/2020/S_3.jpg", "c": "/o/2020/s_4.jpg", "d": "/o/2020/s_5.jpg"}
 
 
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_free_numbers_equal_counting(spark, most):
+    from heronry.operators import places
+
+    r = random.Random(most)
+    rows = [(g, i, r.randint(0, 9)) for g in ("a", "b", None, "c") for i in range({"a": 150, "b": 3}.get(g, 30))]
+    held = [(g, n) for g in ("a", "b", None, "z") for n in {r.randint(-2, 200) for _ in range(60)} | {10**12}] + [("a", None)]
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        taken, n = {n for h, n in held if h == g}, 1
+        for _, i, _ in sorted((x for x in rows if x[0] == g), key=lambda x: (x[2], x[1])):
+            while n in taken:
+                n += 1
+            want[g, i], n = n, n + 1
+    df = spark.createDataFrame(rows, "g string, i int, o int").withColumn("mine", F.lit("x"))
+    out = places.free_numbers(df, spark.createDataFrame(held, "g string, n long"), ["g"], [F.col("o"), F.col("i")], "n", 1, most)
+    assert set(out.columns) == {"g", "i", "o", "mine", "n"} and {(v.g, v.i): v.n for v in out.collect()} == want
+    assert places.free_numbers(df.limit(0), spark.createDataFrame(held, "g string, n long"), ["g"], [F.col("i")], "n").count() == 0
+
+
 def walk(keys, reserved):
     taken, out = {r.lower() for r in reserved}, {}
     for k, name in sorted(keys):
