@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
+from heronry.operators.zones import assign_zone as assign_zone
 from heronry.sources.tables import cut
 
 BUCKET = ("export_id", "day", "kind")
@@ -242,34 +243,6 @@ def memory_items(entries: DataFrame, media: DataFrame, scan_gaps: DataFrame) ->
     return flat.unionByName(rest).withColumn("source_id", F.coalesce("uuid", F.concat(F.lit("unpaired-entry-"), F.col("entry_index").cast("string"))))
 
 
-def assign_zone(points: DataFrame, zones: DataFrame, cell: float = 1.0, id_col: str = "id") -> DataFrame:
-    """points (id, lat, lon) with the zone that holds each; the first by name if several do, null if none.
-
-    zones: zone, min_lat, max_lat, min_lon, max_lon, and optionally polygon (array of lat, lon structs). Boxes are
-    cut into cells, points meet zones by cell, and containment is tested for those only.
-    """
-    at = lambda c: F.floor(c / cell).cast("int")
-    span = lambda low, high: F.explode(F.sequence(at(F.col(low)), at(F.col(high))))
-    cells = zones.withColumn("x", span("min_lat", "max_lat")).withColumn("y", span("min_lon", "max_lon"))
-    near = points.withColumn("x", at(F.col("lat"))).withColumn("y", at(F.col("lon"))).join(cells, ["x", "y"])
-    inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    if "polygon" in zones.columns:
-        inside &= F.col("polygon").isNull() | in_polygon(F.col("lat"), F.col("lon"), F.col("polygon"))
-    best = near.filter(inside).groupBy(id_col).agg(F.min("zone").alias("zone"))
-    return points.join(best, id_col, "left")
-
-
-def in_polygon(lat: Column, lon: Column, polygon: Column) -> Column:
-    """Whether a ring of (lat, lon) structs holds a point: an odd number of its edges lie to the east of it."""
-    n = F.size(polygon)
-    crossings = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: ((F.get(polygon, i)["lat"] > lat) != (F.get(polygon, (i + 1) % n)["lat"] > lat))
-        & (lon < (F.get(polygon, (i + 1) % n)["lon"] - F.get(polygon, i)["lon"]) * (lat - F.get(polygon, i)["lat"]) / (F.get(polygon, (i + 1) % n)["lat"] - F.get(polygon, i)["lat"]) + F.get(polygon, i)["lon"]),
-    )
-    return F.size(crossings) % 2 == 1
-
-
 def named_set(items: DataFrame, gaps: DataFrame) -> DataFrame:
     """export_id, source_id and side (item or gap) of all that a run names. items and gaps: export_id, source_id.
 

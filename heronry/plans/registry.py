@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
-from heronry.operators import plan, reconcile, redact, reports, status, timeline
+from heronry.operators import plan, reconcile, redact, reports, status, timeline, zones
 from heronry.plans import views
 from heronry.plans.views import sql
 from heronry.sources.tables import table
@@ -180,8 +180,8 @@ def assign_zone(s: SparkSession, d: str) -> DataFrame:
     at = lambda i: F.element_at("embedding", i).cast("double")
     points = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (at(1) * 90).alias("lat"), (at(2) * 180).alias("lon"))
     a, b = (F.col("n_nationkey") % 5) * 12 - 30, F.floor(F.col("n_nationkey") / 5) * 24 - 60
-    zones = table(s, d, "nation").select(F.col("n_name").alias("zone"), a.alias("min_lat"), (a + 15).alias("max_lat"), b.alias("min_lon"), (b + 30).alias("max_lon"))
-    return reconcile.assign_zone(points, zones, 5.0).select("id", "zone")
+    boxes = table(s, d, "nation").select(F.col("n_name").alias("zone"), a.alias("min_lat"), (a + 15).alias("max_lat"), b.alias("min_lon"), (b + 30).alias("max_lon"))
+    return zones.assign_zone(points, boxes).select("id", "zone")
 
 
 # ---- timelines and transcripts ----

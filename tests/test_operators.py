@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,65 @@ def test_zones_take_the_first_name_and_polygons(spark):
     assert {r.id: r.zone for r in reconcile.assign_zone(points, zones).collect()} == {1: "a", 2: None, 3: "b"}
 
 
+def in_ring(lat, lon, ring):
+    n = len(ring)
+    return sum((a[0] > lat) != (b[0] > lat) and lon < (b[1] - a[1]) * (lat - a[0]) / (b[0] - a[0]) + a[1] for a, b in ((ring[i], ring[(i + 1) % n]) for i in range(n))) % 2 == 1
+
+
+def plain_zone(lat, lon, zones):
+    held = []
+    for name, low, high, left, right, polygon, holes in zones:
+        past = left > right
+        along = lambda o: o + 360 if past and o < left else o  # noqa: E731, B023
+        turn = lambda ring: [(a, along(o)) for a, o in ring]  # noqa: E731, B023
+        if lat is None or lon is None or not (low <= lat <= high and left <= along(lon) <= (right + 360 if past else right)):
+            continue
+        if (polygon is None or in_ring(lat, along(lon), turn(polygon))) and not any(in_ring(lat, along(lon), turn(h)) for h in holes or []):
+            held.append(name)
+    return min(held, default=None)
+
+
+@pytest.mark.parametrize("cells", [16, 64, 400])
+def test_zones_equal_brute_force(spark, cells):
+    import math
+
+    from heronry.operators import zones
+
+    r = random.Random(cells)
+
+    def star(lat, lon, size, n):
+        turns = sorted(r.uniform(0, 2 * math.pi) for _ in range(n))
+        return [(lat + size * r.uniform(0.4, 1) * math.sin(t), lon + size * r.uniform(0.4, 1) * math.cos(t)) for t in turns]
+
+    shapes = [("box", -10.0, 10.0, -20.0, 20.0, None, None), ("pacific", -30.0, 30.0, 160.0, -150.0, None, [star(0, 179, 5, 7)]), ("east", -5.0, 5.0, 181.0, 190.0, None, None), ("none", 5.0, -5.0, 0.0, 1.0, None, None), ("flat", 50.0, 60.0, 0.0, 9.0, [], None)]
+    for i in range(14):
+        lat, lon, size = r.uniform(-70, 70), r.uniform(-170, 170), r.choice([0.01, 1.0, 15.0])
+        ring = star(lat, lon, size, r.choice([3, 8, 60]))
+        lats, lons = zip(*ring)
+        shapes.append((f"z{i % 9}", min(lats), max(lats), min(lons), max(lons), ring, [star(lat, lon, size / 5, 5)] if i % 2 else None))
+    # a polygon on both sides of the antimeridian
+    ring = [(a, (o + 180) % 360 - 180) for a, o in star(-40, 181, 12, 20)]
+    shapes.append(("dateline", min(a for a, _ in ring), max(a for a, _ in ring), min(o for _, o in ring if o > 0), max(o for _, o in ring if o < 0), ring, None))
+    places = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(900)] + [(r.uniform(-60, 60), r.choice([r.uniform(150, 200), r.uniform(-180, -140)])) for _ in range(300)]
+    for _, low, high, left, right, polygon, _ in shapes:
+        places += [(low, left), (high, right), *(polygon or [])]
+        places += [(r.uniform(min(low, high), max(low, high)), r.uniform(left, right)) for _ in range(30)]
+    places += [(None, 1.0), (0.0, None), (0.0, 180.0), (0.0, -180.0), (90.0, 0.0), (0.0, 185.0)]
+    ring_type = "array<struct<lat: double, lon: double>>"
+    df = spark.createDataFrame(shapes, f"zone string, min_lat double, max_lat double, min_lon double, max_lon double, polygon {ring_type}, holes array<{ring_type}>")
+    points = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(places)] + [(None, 0.0, 0.0), (0, 0.0, 0.0)], "id long, lat double, lon double").withColumn("x", F.lit(1))
+    out = zones.assign_zone(points, df, cells)
+    assert out.columns == ["id", "lat", "lon", "x", "zone"]
+    got = out.collect()
+    assert len(got) == len(places) + 2
+    assert [v for v in got if v.zone != plain_zone(v.lat, v.lon, shapes)] == []
+    for _, low, high, left, right, polygon, holes in shapes:
+        as_arrays = [np.array(list(zip(*ring)), float) if ring else np.zeros((2, 0)) for ring in [polygon or [], *(holes or [])]]
+        if left <= right and low <= high:
+            assert len(zones.covering((low, high, left, right), None if polygon is None else tuple(as_arrays[0]), [tuple(h) for h in as_arrays[1:]], cells)) <= cells
+    assert {v.zone for v in zones.assign_zone(points, df.limit(0)).collect()} == {None} and zones.assign_zone(points.limit(0), df).count() == 0
+
+
 def test_sections(spark):
     body = '{"c1": [{"From": "a", "Media Type": "Text", "Created": "2020-01-01 00:00:00 UTC", "Content": "hi", "IsSender": true, "Created(microseconds)": 5}, {"From": "", "Created": "bad", "Unknown": 1}], "": []}'
     texts = spark.createDataFrame([("e", "chat_history.json", body), ("e", "friends.json", '{"Friends": [{"Username": "u"}], "Shortcuts": [{"Shortcut Name": "s"}]}'), ("e", "ranking.json", "[1]"), ("e", "snap_history.json", "{broken"), ("e", "memories_history.json", '{"a": 1, "a": 2}')], "export_id string, file string, body string")
@@ -131,8 +191,6 @@ def test_paths_keep_reserve_and_count(spark):
 
 @pytest.mark.parametrize("most", [1_000_000, 20])
 def test_free_numbers_equal_counting(spark, most):
-    from heronry.operators import places
-
     r = random.Random(most)
     rows = [(g, i, r.randint(0, 9)) for g in ("a", "b", None, "c") for i in range({"a": 150, "b": 3}.get(g, 30))]
     held = [(g, n) for g in ("a", "b", None, "z") for n in {r.randint(-2, 200) for _ in range(60)} | {10**12}] + [("a", None)]
