@@ -466,6 +466,25 @@ def key_tallies(rows: DataFrame) -> DataFrame:
     return keys.groupBy("file").agg(F.count_if(F.col("mask").isNotNull()).alias("masked"), F.count_if(F.col("mask").isNull() & label.isin(*SCHEMA_LABELS)).alias("kept"))
 
 
+def array_tallies(rows: DataFrame, n: int) -> DataFrame:
+    """file, arrays, truncated and left_out: arrays with elements, those longer than n, and elements beyond n (n = 0 keeps all).
+
+    rows: leaves. An array is known by its place in its document; its length is its last element's number and one.
+    """
+    places = F.filter(F.transform("steps", lambda s, i: F.struct(pointer_of(F.slice("steps", 1, i)).alias("place"), s["at"].alias("at"))), lambda p: p["at"].isNotNull())
+    sizes = rows.select("export_id", "file", F.explode(places).alias("p")).groupBy("export_id", "file", "p.place").agg((F.max("p.at") + 1).cast("long").alias("size"))
+    beyond = F.greatest(F.col("size") - n, F.lit(0)) if n else F.lit(0).cast("long")
+    return sizes.groupBy("file").agg(F.count(F.lit(1)).alias("arrays"), F.count_if(beyond > 0).alias("truncated"), F.sum(beyond).alias("left_out"))
+
+
+def vocabulary_used(rows: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:
+    """word and n: words of the vocabulary, in lower case, that values kept, and in how many values. rows: of synthesise."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
+    kept = F.array_intersect(words("value"), words("out"))
+    each = rows.filter("kind = 'string'").select(F.explode(kept).alias("word")).filter(F.col("word").isin(*(w.lower() for w in vocabulary)))
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def key_texts(rows: DataFrame) -> DataFrame:
     """file, pointer, kind and value of every key that no rule masked, once for each document, for leak_check. rows: with
     steps, as synthesise makes them."""

@@ -203,6 +203,30 @@ def redaction_tallies(s: SparkSession, d: str) -> DataFrame:
     return redact.tallies(rows.withColumn("file", F.col("file").cast("long") % 10))
 
 
+@query(
+    """WITH g AS (SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_custkey, o_orderpriority)
+SELECT 'orders' || c_nationkey || '.json' AS file, count(*) AS arrays, count(*) FILTER (n > 2) AS truncated, sum(greatest(n - 2, 0))::BIGINT AS left_out, count(*) AS masked, count(*) AS kept FROM g GROUP BY 1"""
+)
+def redaction_statistics(s: SparkSession, d: str) -> DataFrame:
+    """Arrays that a sample of two elements cuts, keys that a rule masks and labels that it keeps, of one document for each
+    customer and priority."""
+    orders = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    docs = orders.groupBy("c_nationkey", "o_custkey", "o_orderpriority").agg(F.to_json(F.sort_array(F.collect_list("o_orderkey"))).alias("keys"))
+    body = F.concat(F.lit('{"by": {"'), "o_orderpriority", F.lit('": {"Saved Media": '), "keys", F.lit("}}}"))
+    corpus = docs.select(F.concat_ws("/", "o_custkey", "o_orderpriority").alias("export_id"), F.concat(F.lit("orders"), _text("c_nationkey"), F.lit(".json")).alias("file"), body.alias("body"))
+    rows = redact.leaves(s, corpus, rules=(*redact.BUILTIN_RULES, redact.MaskRule("orders*.json:/by")))
+    return redact.array_tallies(rows, 2).join(redact.key_tallies(rows), "file")
+
+
+@query("SELECT 'media' AS word, count(*) AS n FROM events WHERE event_type = 'view' HAVING count(*) > 0 UNION ALL SELECT 'jpg', count(*) FROM events HAVING count(*) > 0")
+def vocabulary_used(s: SparkSession, d: str) -> DataFrame:
+    """Words of the closed vocabularies that a redacted corpus kept: an enum's word in some documents, an extension in all."""
+    kind = F.when(F.col("event_type") == "view", "MEDIA").otherwise(F.concat(F.lit("some words of "), "event_type"))
+    body = F.to_json(F.struct(kind.alias("Some Kind"), F.concat(_text("event_id"), F.lit("-q.JPG")).alias("Some Name")))
+    corpus = table(s, d, "events").select(F.lit("e").alias("export_id"), _text("event_id").alias("file"), body.alias("body"))
+    return redact.vocabulary_used(redact.synthesise(redact.leaves(s, corpus), "s", 0), (*redact.ENUM_WORDS, *redact.FILE_WORDS, *redact.EXTENSIONS))
+
+
 @query(
     """WITH k AS (SELECT o_custkey AS container, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey::VARCHAR ELSE o_orderpriority END AS key, CASE WHEN o_custkey % 5 = 0 THEN o_orderstatus ELSE 'string' END AS kind FROM orders),
 h AS (SELECT key, count(DISTINCT container) AS homes FROM k GROUP BY 1)
