@@ -66,6 +66,8 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.go)), key=self.size.__getitem__):
             up = self.link[state]
             self.above[state] = up if self.word[up] >= 0 else self.above[up]
+        # the length at which a state has its word
+        self.full = [n if w >= 0 else -1 for n, w in zip(self.size, self.word, strict=True)]
 
     def _step(self, state: int, letter: str) -> int:
         """The state whose longest string is that of ``state`` and a letter more; made if there is none."""
@@ -99,19 +101,21 @@ class SuffixAutomaton:
         self.word.append(-1)
         return len(self.go) - 1
 
-    def endings(self, text: str) -> Iterator[tuple[int, int]]:
-        """For each prefix of a text, its length and the longest word's state that ends it (0: none)."""
-        go, link, size, word, above = self.go, self.link, self.size, self.word, self.above
+    def endings(self, text: str) -> list[int]:
+        """For each prefix of a text in turn, the state of the longest word that ends it (0: none)."""
+        go, link, size, full, above = self.go, self.link, self.size, self.full, self.above
         state = length = 0
-        for end, letter in enumerate(text, 1):
+        out = []
+        for letter in text:
             while (to := go[state].get(letter)) is None and state:
                 state = link[state]
                 length = size[state]
             if to is None:
-                yield end, 0
+                out.append(0)
                 continue
             state, length = to, length + 1
-            yield end, state if word[state] >= 0 and size[state] == length else above[state]
+            out.append(state if full[state] == length else above[state])
+        return out
 
 
 class WordTokenizer:
@@ -171,25 +175,26 @@ class WordTokenizer:
         if len(known) > MAX_PAIRS:
             known.clear()
         text = word + END
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        for end, state in automaton.endings(text):
+        # the last token of each prefix and where it begins
+        last, begins = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        for end, state in enumerate(automaton.endings(text), 1):
             while state:
                 begin, token = end - size[state], tokens[state]
                 if not begin:
-                    last[end] = (0, token)
+                    last[end] = token
                     break
-                if (back := last[begin]) is not None:
-                    pair = back[1] << 32 | token
+                if (before := last[begin]) >= 0:
+                    pair = before << 32 | token
                     if (fits := known.get(pair)) is None:
-                        fits = known[pair] = agree(back[1], token)
+                        fits = known[pair] = agree(before, token)
                     if fits:
-                        last[end] = (begin, token)
+                        last[end], begins[end] = token, begin
                         break
                 state = above[state]
         out, at = [], len(text)
         while at:
-            at, token = last[at]
-            out.append(token)
+            out.append(last[at])
+            at = begins[at]
         return out[::-1]
 
     def _plain_ids(self, text: str, out: list[bytes]) -> None:
