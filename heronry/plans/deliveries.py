@@ -435,7 +435,7 @@ def landed_items(s: SparkSession, d: str) -> DataFrame:
     return items.groupBy("export_id", "status").agg(F.count(F.lit(1)).alias("n"), F.max("last_error").alias("note"))
 
 
-@query(ORACLE_SQL["transcript_csv"].replace(", len(doc) AS n_chars", ""))
+@query(ORACLE_SQL["transcript_csv"])
 def written_transcripts(s: SparkSession, d: str) -> DataFrame:
     """Documents written to the paths that the plan reserves for them, and read again from there."""
     rows, root = views.transcript(s, d), _folder(s, "transcripts")
@@ -443,4 +443,4 @@ def written_transcripts(s: SparkSession, d: str) -> DataFrame:
     timeline.write_transcripts(rows, root, "csv", dirs=dirs)
     files = s.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select("value", F.input_file_name().alias("file"))
     named = files.withColumn("at", F.slice(F.split("file", "/"), -3, 3)).select("value", F.get("at", F.lit(0)).alias("export_id"), F.array_join(F.slice("at", 2, 2), "/").alias("document_path"))
-    return named.join(dirs.select("export_id", "conversation", "document_path"), ["export_id", "document_path"]).select("export_id", "conversation", F.md5("value").alias("digest"))
+    return named.join(dirs.select("export_id", "conversation", "document_path"), ["export_id", "document_path"]).select("export_id", "conversation", F.md5("value").alias("digest"), F.length("value").cast("long").alias("n_chars"))
