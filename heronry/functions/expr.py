@@ -60,8 +60,8 @@ def parse_utc(c: Column) -> Column:
 
     Days run to 31 in every month: February 30 is a value that can be ordered, not a moment. ``to_moment`` tells.
     """
-    part = [F.regexp_extract(c, _UTC, i + 1) for i in range(6)]
-    number = [F.try_to_number(p, F.lit("9999")).cast("int") for p in part]
+    # what has the form has its numbers at fixed places
+    number = [F.substring(c, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
     fits = c.rlike(_UTC) & number[1].between(1, 12) & number[2].between(1, 31) & (number[3] <= 23) & (number[4] <= 59) & (number[5] <= 59)
     return F.when(fits, F.struct(*(n.alias(p) for n, p in zip(number, _PARTS, strict=True))))
 

@@ -675,3 +675,14 @@ def test_json_that_goes_on_is_no_json(spark):
     given = ['{"a": 1}', '{"a": 1}}', '{"a": 1} {"b": 2}', '{"a": 1},{}', '{"a": 1},null', "7", " [1] ", "", None, '{"a": 1, "a": 2}']
     got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "b string").select(F.to_json(x.parse_strict(F.col("b"))).alias("j")).collect()]
     assert got == ['{"a":1}', None, None, None, None, "7", "[1]", None, None, None]
+
+
+def test_readers_of_sections_need_no_shuffle_and_a_small_plan(spark, capsys):
+    texts = spark.createDataFrame([("a", "friends.json", "{}"), ("a", "account.json", "[]"), ("b", "other.json", "{}"), (None, "friends.json", "{}"), ("c", "ranking.json", None)], "export_id string, file string, body string")
+    sections, errors = exports.read_sections(texts)
+    sections.filter("state <> 'absent'").select("export_id", "state").explain(True)
+    plan_text = capsys.readouterr().out
+    assert "Exchange" not in plan_text and len(plan_text) < 400_000
+    assert sorted((r.export_id, r.file, r.state) for r in sections.filter("state <> 'absent'").collect()) == [("a", "account.json", "broken"), ("a", "friends.json", "loaded"), ("c", "ranking.json", "broken")]
+    assert sections.groupBy("export_id").count().filter("count <> 20").count() == 0 and sections.count() == 80
+    assert sorted((r.file, r.kind) for r in errors.collect()) == [("account.json", "shape"), ("ranking.json", "io")]
