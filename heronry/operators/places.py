@@ -14,8 +14,9 @@ MOST = 1_000_000
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, most: int = MOST) -> DataFrame:
     """rows with ``name``, their numbers from 1 within a group by an order that is total in it (equal rows apart).
 
-    A group of up to ``most`` rows is numbered by a window. Larger ones are cut into ranges of (keys, order): a row's number
-    is the count of its group's rows in earlier ranges, which is a sum over ranges, and its place in its own.
+    A group of up to ``most`` rows is numbered by a window. Larger ones are cut into ranges of (keys, order), which are
+    sorted: a row's number is the count of its group's rows in earlier ranges, which is a sum over ranges, and its place
+    among its group's rows in its own. How many ranges there are follows from the rows, not from ``most`` alone.
     Groups are told apart by a count first; keys may be null.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -28,15 +29,16 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, m
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     few = rows.join(named, same, "left_anti").withColumn(name, F.row_number().over(window))
-    ranged = rows.join(named, same, "left_semi").repartitionByRange(int(2 * total // most) + 1, *keys, *order)
-    # written, so that a range is the same for all that follows
-    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * total // MOST, min(2 * total // most, spread)) + 1
+    ranged = rows.join(named, same, "left_semi").repartitionByRange(int(parts), *keys, *order).sortWithinPartitions(*keys, *order)
+    # written, so that a range and a row's place in it are the same for all that follows
+    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__seat", F.monotonically_increasing_id()), "ranges")
+    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__seat").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), before.alias("__before"))
-    within = ranged.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)))
-    many = within.join(offsets, same & (F.col("__part") == F.col("__p")))
-    many = many.withColumn(name, (F.col("__before") + F.col("__k")).cast("int")).select(*rows.columns, name)
+    offsets = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), (before - F.col("__first") + 1).alias("__before"))
+    many = ranged.join(offsets, same & (F.col("__part") == F.col("__p")))
+    many = many.withColumn(name, (F.col("__before") + F.col("__seat")).cast("int")).select(*rows.columns, name)
     return few.unionByName(many)
 
 

@@ -686,3 +686,21 @@ def test_readers_of_sections_need_no_shuffle_and_a_small_plan(spark, capsys):
     assert sorted((r.export_id, r.file, r.state) for r in sections.filter("state <> 'absent'").collect()) == [("a", "account.json", "broken"), ("a", "friends.json", "loaded"), ("c", "ranking.json", "broken")]
     assert sections.groupBy("export_id").count().filter("count <> 20").count() == 0 and sections.count() == 80
     assert sorted((r.file, r.kind) for r in errors.collect()) == [("account.json", "shape"), ("ranking.json", "io")]
+
+
+def test_ranges_follow_from_the_rows_and_not_from_the_bound_alone(spark, monkeypatch):
+    seen = {}
+
+    def cut(rows, name, real=places.cut):
+        out = real(rows, name)
+        if name == "ranges":
+            seen["ranges"] = out.select("__part").distinct().count()
+        return out
+
+    monkeypatch.setattr(places, "cut", cut)
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 4000).alias("v"))
+    out = places.numbered(rows, ["g"], [F.col("v")], "k", most=5)
+    assert 1 < seen["ranges"] <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    want = rows.toPandas().sort_values(["g", "v"])
+    want["k"] = want.groupby("g").cumcount() + 1
+    assert sorted(map(tuple, out.select("g", "v", "k").collect())) == sorted(map(tuple, want[["g", "v", "k"]].values.tolist()))
