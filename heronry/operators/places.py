@@ -37,18 +37,21 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, m
     counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__seat").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), (before - F.col("__first") + 1).alias("__before"))
-    many = ranged.join(offsets, same & (F.col("__part") == F.col("__p")))
+    # written, as its size tells whether each task can have it whole
+    many = ranged.join(cut(offsets, "offsets"), same & (F.col("__part") == F.col("__p")))
     many = many.withColumn(name, (F.col("__before") + F.col("__seat")).cast("int")).select(*rows.columns, name)
     return few.unionByName(many)
 
 
-def free_numbers(rows: DataFrame, held: DataFrame, keys: list[str], order: list[Column], name: str, start: int = 0, most: int = MOST) -> DataFrame:
+def free_numbers(rows: DataFrame, held: DataFrame | None, keys: list[str], order: list[Column], name: str, start: int = 0, most: int = MOST) -> DataFrame:
     """rows with ``name``: of the numbers from ``start`` on that nobody holds in their group, the k-th goes to the k-th row.
 
-    held: keys and ``name``, distinct; numbers below start and null ones count for nothing. A held number is put behind as
+    held: keys and ``name``, distinct, or none if nobody holds any; numbers below start and null ones count for nothing. A held number is put behind as
     many rows as there are free numbers below it; in that common order rows and held numbers stand at their own numbers.
     No number that is not held or given is ever made, and groups may be of any size. Keys may be null.
     """
+    if held is None:
+        return numbered(rows, keys, order, name, most).withColumn(name, (F.col(name) + (start - 1)).cast("long"))
     own = [c for c in rows.columns if c not in keys]
     asking = rows.select(*keys, F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__at"), F.struct(*own, *(c.alias(f"__o{i}") for i, c in enumerate(order))).alias("__row"))
     holding = held.filter(F.col(name) >= start).select(*keys, F.lit(0).alias("__kind"), F.col(name).cast("long").alias("__at"))

@@ -96,8 +96,9 @@ def allocate_paths(plan: DataFrame, recorded: DataFrame, order: list[str]) -> Da
     return named.select(*columns).unionByName(kept.select(*columns))
 
 
-def _families(keys: DataFrame, key: list[str], name: str) -> DataFrame:
-    """keys with ``family``: the name left when suffixes ``_n`` are taken off one by one while the shorter name is asked for too.
+def _roots(keys: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Names with ``root``: the name left when suffixes ``_n`` are taken off one by one while the shorter name is asked for too. Names that stand for
+    themselves are left out.
 
     keys: distinct rows of key and name. All shorter forms of a name are looked up at once, however many there are.
     """
@@ -112,7 +113,7 @@ def _families(keys: DataFrame, key: list[str], name: str) -> DataFrame:
     # the longest run of shorter names, from one suffix less on, that are all asked for
     run = F.aggregate(F.array_sort(F.map_keys("there")), F.lit(0), lambda acc, k: F.when(k == acc + 1, k).otherwise(acc))
     rooted = there.select(*key, name, F.try_element_at("there", run).alias("root"))
-    return keys.join(rooted, [*key, name], "left").select(*key, name, F.coalesce("root", name).alias("family"))
+    return rooted.filter("root is not null")
 
 
 def _number_of(name: Column, stem: Column) -> Column:
@@ -130,17 +131,22 @@ def _claim_in_order(requests: DataFrame, reserved: DataFrame, key: list[str], or
     """
     rows = cut(requests.withColumn("folded", x.fold(F.col("name"))), "requests")
     taken = cut(reserved.select(*key, "folded").distinct(), "reserved")
-    family = cut(_families(rows.select(*key, "folded").unionByName(taken).distinct(), key, "folded"), "families")
+    # few names have a root, so that requests don't move for it; null keys ask for nothing
+    roots = cut(_roots(rows.select(*key, "folded").unionByName(taken).distinct(), key, "folded"), "families")
+    related = lambda t: t.dropna(subset=[*key, "folded"]).join(roots, [*key, "folded"], "left").withColumn("family", F.coalesce("root", "folded")).drop("root")
     group = [*key, "family"]
-    rows = rows.join(family, [*key, "folded"])
-    held = taken.join(family, [*key, "folded"])
+    rows = related(rows)
+    held = related(taken)
     kinds = rows.groupBy(*group).agg(F.min("folded").alias("low"), F.max("folded").alias("high"))
-    one = kinds.filter("low = high").select(*group, F.col("low").alias("stem"))
-    numbers = held.join(one, group).select(*group, _number_of(F.col("folded"), F.col("stem")).alias("__number"))
-    asked = rows.join(one.select(*group), group, "left_semi")
+    mixed = cut(kinds.filter("low < high").select(*group), "mixed")
+    numbers = None
+    if not taken.isEmpty():
+        one = kinds.filter("low = high").select(*group, F.col("low").alias("stem"))
+        numbers = held.join(one, group).select(*group, _number_of(F.col("folded"), F.col("stem")).alias("__number"))
+    asked = rows.join(mixed, group, "left_anti")
     # a request may bring columns called like ours
-    alone = asked.select(*group, F.struct(*asked.columns).alias("asked"))
-    alone = free_numbers(alone, numbers, group, [F.col(f"asked.{c}") for c in order], "__number", 1).select("asked.*", "__number")
+    alone = asked.select(*group, F.struct(*(c for c in requests.columns if c not in key)).alias("asked"))
+    alone = free_numbers(alone, numbers, group, [F.col(f"asked.{c}") for c in order], "__number", 1).select(*key, "asked.*", "__number")
     suffix = F.when(F.col("__number") > 1, F.concat(F.lit("_"), F.col("__number").cast("string"))).otherwise("")
     alone = alone.select(*requests.columns, F.concat("name", suffix).alias("claimed"))
 
@@ -159,10 +165,10 @@ def _claim_in_order(requests: DataFrame, reserved: DataFrame, key: list[str], or
             out.append(name + end)
         return asking[columns].assign(claimed=out)
 
-    many = rows.join(kinds.filter("low < high").select(*group), group, "left_semi")
+    many = rows.join(mixed, group, "left_semi")
     schema = T.StructType([*requests.schema.fields, T.StructField("claimed", T.StringType())])
     # columns of its own, since both sides stem from the same names; names that nobody asks for stay out
-    holding = held.join(kinds.filter("low < high").select(*group), group, "left_semi")
+    holding = held.join(mixed, group, "left_semi")
     holding = holding.toDF(*holding.columns)
     return alone.unionByName(many.groupBy(*group).cogroup(holding.groupBy(*group)).applyInPandas(walk, schema))
 

@@ -704,3 +704,20 @@ def test_ranges_follow_from_the_rows_and_not_from_the_bound_alone(spark, monkeyp
     want = rows.toPandas().sort_values(["g", "v"])
     want["k"] = want.groupby("g").cumcount() + 1
     assert sorted(map(tuple, out.select("g", "v", "k").collect())) == sorted(map(tuple, want[["g", "v", "k"]].values.tolist()))
+
+
+def test_source_state_looks_at_parts_once(spark, capsys):
+    parts = spark.createDataFrame([("x", [1, 4], [2]), ("y", [], [1])], "id string, zips array<long>, folders array<long>")
+    out = reports.source_state(parts, spark.createDataFrame([("x",), ("z",)], "export_id string"))
+    out.explain()
+    assert capsys.readouterr().out.count("Join") == 1
+    assert sorted((r.export_id, r.state, r.zips, r.missing) for r in out.collect()) == [("x", "one", 2, [3]), ("z", "none", None, None)]
+
+
+def test_copies_are_numbered_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(places, "cut", lambda rows, name, real=places.cut: names.append(name) or real(rows, name))
+    rows = [("e", "/o", i, 0, s, "jpg") for i, s in enumerate(["a", "A", "a", "b_2", "b", "b"])]
+    out = plan.allocate_copies(spark.createDataFrame(rows, "export_id string, dir string, seq long, part int, stem string, ext string"))
+    assert [r.copy for r in out.orderBy("seq").collect()] == ["a.jpg", "A_2.jpg", "a_3.jpg", "b_2.jpg", "b.jpg", "b_3.jpg"]
+    assert "numbers" not in names
