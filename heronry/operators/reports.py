@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import expr as x
@@ -72,16 +72,22 @@ def story_totals(stories: DataFrame) -> DataFrame:
     return stories.groupBy("export_id").agg(F.count(F.lit(1)).alias("stories"), total("story_views"), total("story_replies"))
 
 
+def _seen() -> Column:
+    return F.array_sort(F.array_union("zips", "folders"))
+
+
+def _missing(seen: Column) -> Column:
+    return F.array_except(F.sequence(F.lit(1).cast("long"), F.array_max(seen)), seen)
+
+
 def missing_parts(parts: DataFrame) -> DataFrame:
     """id, the numbers seen in any form, and those from 1 to the largest that are not. parts: id, zips, folders."""
-    seen = F.array_sort(F.array_union("zips", "folders"))
-    return parts.select("id", seen.alias("seen"), F.array_except(F.sequence(F.lit(1).cast("long"), F.array_max(seen)), seen).alias("missing"))
+    return parts.select("id", _seen().alias("seen"), _missing(_seen()).alias("missing"))
 
 
 def source_state(parts: DataFrame, exports: DataFrame) -> DataFrame:
     """For each export none, or one with its counts of archives and folders and its missing parts."""
-    gaps = missing_parts(parts).select("id", "missing")
-    have = parts.join(gaps, "id").select(F.col("id").alias("export_id"), F.size("zips").alias("zips"), F.size("folders").alias("unpacked"), "missing")
+    have = parts.select(F.col("id").alias("export_id"), F.size("zips").alias("zips"), F.size("folders").alias("unpacked"), _missing(_seen()).alias("missing"))
     out = exports.join(have, "export_id", "left")
     return out.withColumn("state", F.when(F.col("zips").isNull(), "none").otherwise("one"))
 
