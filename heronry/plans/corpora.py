@@ -11,7 +11,7 @@ from heronry.plans import views
 from heronry.plans.registry import query
 from heronry.plans.rules import _pick
 from heronry.plans.views import sql
-from heronry.sources.tables import table
+from heronry.sources.tables import dealt, table
 
 
 def _text(c: str) -> Column:
@@ -21,7 +21,7 @@ def _text(c: str) -> Column:
 def event_corpus(s: SparkSession, d: str) -> DataFrame:
     """Events as one JSON document each: a whole number, a time, a word, a decimal number and JSON in a text."""
     body = F.to_json(F.struct(F.col("user_id").alias("username"), _text("ts").alias("created"), "event_type", F.col("value").alias("amount"), F.lit(0).alias("zero"), F.lit("").alias("none"), "props"))
-    return table(s, d, "events").select((F.col("user_id") % 8).cast("string").alias("export_id"), _text("event_id").alias("file"), body.alias("body"))
+    return dealt(table(s, d, "events"), "event_id").select((F.col("user_id") % 8).cast("string").alias("export_id"), _text("event_id").alias("file"), body.alias("body"))
 
 
 _DIGEST = "sha256('s' || chr(31) || 'leaf' || chr(31) || event_id || chr(31) || '/{}')"
@@ -83,7 +83,7 @@ UNION ALL SELECT 'order', o_orderkey, '{{"by":{{"' || handle || '":{{"Saved Medi
 )
 def masked_keys(s: SparkSession, d: str) -> DataFrame:
     """Documents whose keys are names, by a built-in rule and by one of the user's, redacted and put together again."""
-    people, orders = table(s, d, "customer"), table(s, d, "orders")
+    people, orders = dealt(table(s, d, "customer").select("c_custkey", "c_name"), "c_custkey"), dealt(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     chat = F.concat(F.lit('{"'), "c_name", F.lit('": [{"n": 0, "From": "'), "c_name", F.lit('"}, 0], "Received Saved Chat History": []}'))
     order = F.concat(F.lit('{"by": {"'), "o_orderpriority", F.lit('": {"Saved Media": ""}}}'))
     corpus = people.select(F.concat(F.lit("c"), _text("c_custkey")).alias("export_id"), F.lit("chat_history.json").alias("file"), chat.alias("body"))
@@ -100,8 +100,8 @@ def joined_ids(s: SparkSession, d: str) -> DataFrame:
     """Two redacted tables of documents, joined on the stand-ins of a uuid and of a whole number that they share."""
     h = lambda c: F.md5(_text(c))
     uuid = lambda c: F.concat_ws("-", *(F.substring(h(c), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    one = table(s, d, "customer").select(F.lit("c").alias("export_id"), _text("c_custkey").alias("file"), F.to_json(F.struct(uuid("c_custkey").alias("id"), F.col("c_custkey").alias("user_id"))).alias("body"))
-    two = table(s, d, "orders").select(F.lit("o").alias("export_id"), _text("o_orderkey").alias("file"), F.to_json(F.struct(F.array(F.struct(uuid("o_custkey").alias("Media ID"), F.col("o_custkey").alias("Sender"))).alias("list"))).alias("body"))
+    one = dealt(table(s, d, "customer").select("c_custkey"), "c_custkey").select(F.lit("c").alias("export_id"), _text("c_custkey").alias("file"), F.to_json(F.struct(uuid("c_custkey").alias("id"), F.col("c_custkey").alias("user_id"))).alias("body"))
+    two = dealt(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.lit("o").alias("export_id"), _text("o_orderkey").alias("file"), F.to_json(F.struct(F.array(F.struct(uuid("o_custkey").alias("Media ID"), F.col("o_custkey").alias("Sender"))).alias("list"))).alias("body"))
     rows = redact.synthesise(redact.leaves(s, one.unionByName(two)), "s", 0)
     ids = rows.groupBy("export_id", "file").agg(F.max(F.when(F.col("cls") == "join", F.col("out"))).alias("uuid"), F.max(F.when(F.col("cls") == "join int", F.col("out"))).alias("number"))
     left, right = (ids.filter(F.col("export_id") == e).select("file", "uuid", "number") for e in ("c", "o"))
