@@ -541,6 +541,20 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     assert (tmp_path / "out/b/y.txt").read_text() == "two\n" and not (tmp_path / "out/_staging").exists()
 
 
+def test_landed_files_are_followed_by_their_record(spark, tmp_path):
+    """The stream knows the record's files, one for each task; landed files, more in number, are opened by tasks."""
+    root, record, out = str(tmp_path / "in"), f"file://{tmp_path}/record", f"file://{tmp_path}/out"
+    sink = lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    for file in ("friends.json", "ranking.json"):
+        rows = spark.range(60).select(F.format_string(f"mydata~%d/json/{file}", "id").alias("path"), F.explode(F.array(F.lit(1), F.lit(0))).alias("place"), F.col("place").cast("string").alias("piece"))
+        named_files.write_named(rows, root, record)
+        jobs.ingest(jobs.stream_landed(spark, root, record), sink, str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("export_id", "file", "body", "batch").collect())
+    assert got == sorted((str(i), f, "0\n1\n", b) for i in range(60) for b, f in enumerate(("friends.json", "ranking.json")))
+    seen = [line for p in (tmp_path / "cp" / "sources").rglob("[0-9]*") if p.is_file() for line in p.read_text().splitlines() if "path" in line]
+    assert seen and all("/record/part-" in line for line in seen) and len(seen) <= 8
+
+
 def test_listing_with_gaps(spark, tmp_path):
     class Locked(named_files.MediaFolders):
         """As where a folder called locked can't be read. A class of its own, which tasks get by value."""
