@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.sources.tables import table
+from heronry.sources.tables import dealt_by_size, table
 
 STATUS_NOW = 1_700_000_000
+#: Lines of orders in a task that makes messages of them.
+LINES = 250_000
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +30,9 @@ def media(spark: SparkSession, d: str) -> DataFrame:
 
 def token_messages(spark: SparkSession, d: str) -> DataFrame:
     """Orders as messages that name the parts of their lines as media."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
+    # a line is sorted with its order, the order and the tokens of a task: tasks of a fixed size bound all three
+    lines = dealt_by_size(table(spark, d, "lineitem"), LINES, "l_orderkey")
+    li = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
     ids = F.array_join(F.transform("p", lambda s: F.concat(F.when(s["l_partkey"] % 50 == 0, "?").when(s["l_partkey"] % 3 == 0, "B~").otherwise("b~"), s["l_partkey"].cast("string"))), " | ")
     o = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.select((F.col("o_custkey") % 4).cast("string").alias("export_id"), F.col("o_custkey").cast("string").alias("conversation"), F.col("o_orderkey").alias("pos"), ids.alias("media_ids"))

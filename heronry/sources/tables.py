@@ -35,6 +35,12 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def dealt_by_size(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """rows dealt by keys to tasks of about ``most`` rows, however many rows there are: what a task sorts or collects then
+    stays as large as it is. Counts the rows, which costs next to nothing for a table as it is stored."""
+    return rows.repartition(max(1, -(-rows.count() // most)), *keys)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Table ``name`` under ``root``; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{root}/{name}.parquet")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heronry.operators import places, plan, reconcile, redact, reports, status, timeline
+from heronry.plans import views
 from heronry.sources import exports, named_files
 from heronry.streaming import jobs
 
@@ -663,6 +664,20 @@ def test_snapshots(spark, tmp_path):
         status.write_snapshot(items, str(tmp_path), 1)
 
 
+def test_messages_are_made_in_tasks_of_a_fixed_size(spark, tmp_path, monkeypatch):
+    """Twice the lines make twice the tasks, so that none of them holds more."""
+    monkeypatch.setattr(views, "LINES", 100)
+    made = []
+    for n in (400, 800):
+        d = f"{tmp_path}/{n}"
+        spark.range(n).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), F.col("id").alias("l_partkey")).coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+        spark.range(n // 4).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey")).write.parquet(f"{d}/orders.parquet")
+        messages = views.token_messages(spark, d)
+        assert messages.count() == n // 4 and messages.filter("pos = 1").first().media_ids == "b~4 | b~5 | B~6 | b~7"
+        made.append(messages.rdd.getNumPartitions())
+    assert made == [4, 8]
+
+
 def test_named_set_is_disjoint(spark):
     ids = lambda *ks: spark.createDataFrame([("e", k) for k in ks], "export_id string, source_id string")
     assert {(r.source_id, r.side) for r in reconcile.named_set(ids("a", "b"), ids("c")).collect()} == {("a", "item"), ("b", "item"), ("c", "gap")}
