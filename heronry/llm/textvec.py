@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 #: a power of two), under two bases for a hash. Lanes have bases of their own: hashes of two lanes are independent.
 PRIME = (1 << 31) - 1
 BASES = ((1_779_033_703, 1_013_904_242), (1_359_893_119, 528_734_635))
-#: Bytes whose terms can be summed in 64 bits.
-CHUNK = 1 << 24
+#: Bytes whose terms are summed at once, below 2^61, and a multiple of the modulus above such sums.
+CHUNK, ABOVE = 1 << 22, PRIME << 31
 #: Odd base of the rolling hash modulo 2^64, which chooses places and never tells texts apart.
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -26,10 +26,16 @@ _powers: dict[int, np.ndarray] = {}
 
 def _reduce(x: np.ndarray) -> np.ndarray:
     """x modulo PRIME for any 64-bit x."""
-    p, low = np.uint64(PRIME), np.uint64(31)
-    x = (x & p) + (x >> low)
-    x = (x & p) + (x >> low)
-    return np.where(x >= p, x - p, x)
+    x = _fold(_fold(x))
+    # below the modulus, x less the modulus is a very large number
+    return np.minimum(x, x - np.uint64(PRIME))
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number below 2^34 that equals any 64-bit x modulo PRIME, below 2^31 + 2^n for x below 2^(31 + n)."""
+    high = x >> np.uint64(31)
+    high += x & np.uint64(PRIME)
+    return high
 
 
 def powers(base: int, n: int, modulus: int = PRIME) -> np.ndarray:
@@ -114,24 +120,27 @@ class Prefixes:
 
     def __init__(self, raw: np.ndarray, lane: int = 0) -> None:
         self.bases = BASES[lane]
-        self.sums = []
-        for base in self.bases:
-            up = powers(base, len(raw) + 1)
-            out = np.zeros(len(raw) + 1, np.uint64)
-            for begin in range(0, len(raw), CHUNK):
-                part = raw[begin : begin + CHUNK]
-                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[begin : begin + len(part)], out=out[begin + 1 : begin + 1 + len(part)])
+        self.sums = [np.zeros(len(raw) + 1, np.uint64) for _ in self.bases]
+        for begin in range(0, len(raw), CHUNK):
+            part = raw[begin : begin + CHUNK].astype(np.uint64)
+            part += np.uint64(1)
+            for base, sums in zip(self.bases, self.sums, strict=True):
+                out = sums[begin + 1 : begin + 1 + len(part)]
+                np.multiply(part, powers(base, len(raw) + 1)[begin : begin + len(part)], out=out)
+                np.cumsum(out, out=out)
                 if begin:
-                    out[begin + 1 : begin + 1 + len(part)] += np.uint64(int(out[begin]) % PRIME)
-            self.sums.append(out)
+                    out += np.uint64(int(sums[begin]) % PRIME)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hash of each range, spread over 64 bits."""
         halves = []
         for base, sums in zip(self.bases, self.sums, strict=True):
             back = powers(pow(base, -1, PRIME), len(sums))
-            value = _reduce(sums[ends]) + np.uint64(PRIME) - _reduce(sums[starts])
-            halves.append(_reduce(_reduce(value) * back[starts]))
+            # a multiple of the modulus above all sums keeps the difference positive
+            value = sums[ends]
+            value += np.uint64(ABOVE)
+            value -= sums[starts]
+            halves.append(_reduce(_fold(value) * back[starts]))
         return mix(halves[0] << np.uint64(31) | halves[1])
 
 

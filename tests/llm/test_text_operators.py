@@ -569,3 +569,15 @@ def test_empty_tables_and_clashing_columns(spark, name):
     for c in ("id", "fp", "th", "body", "r", "key", "held_out", "score", "n_words", "lang_pred", "part", "component", "bpe", "ranges"):
         docs = docs.withColumn(c, F.lit(c))
     assert run(docs.limit(0)).count() == 0 and run(docs).count() == len(TRICKY)
+
+
+def test_hashes_of_ranges_are_polynomials(monkeypatch):
+    """Also where terms reach their largest sums and where ranges cross from one part of the sums to the next."""
+    monkeypatch.setattr(textvec, "CHUNK", 50)
+    assert 256 * textvec.PRIME * (1 << 22) + textvec.PRIME < textvec.ABOVE and textvec.ABOVE % textvec.PRIME == 0
+    raw = np.array([255] * 60 + list(range(90)), np.uint8)
+    starts, ends = np.array([0, 10, 49, 50, 99, 0]), np.array([150, 70, 51, 100, 101, 0])
+    for lane, bases in enumerate(textvec.BASES):
+        halves = [[sum((int(raw[i]) + 1) * pow(b, i - a, textvec.PRIME) for i in range(a, e)) % textvec.PRIME for a, e in zip(starts.tolist(), ends.tolist(), strict=True)] for b in bases]
+        want = textvec.mix(np.array([x << 31 | y for x, y in zip(*halves, strict=True)], np.uint64))
+        assert textvec.word_hashes(raw, starts, ends, lane).tolist() == want.tolist()
