@@ -51,7 +51,7 @@ def opt_epoch(c: Column) -> Column:
 
 # ---- times ----
 
-_UTC = r"^([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2}) UTC\z"
+_UTC = r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]) (?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] UTC\z"
 _PARTS = ("year", "month", "day", "hour", "minute", "second")
 
 
@@ -62,8 +62,7 @@ def parse_utc(c: Column) -> Column:
     """
     # what has the form has its numbers at fixed places
     number = [F.substring(c, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
-    fits = c.rlike(_UTC) & number[1].between(1, 12) & number[2].between(1, 31) & (number[3] <= 23) & (number[4] <= 59) & (number[5] <= 59)
-    return F.when(fits, F.struct(*(n.alias(p) for n, p in zip(number, _PARTS, strict=True))))
+    return F.when(c.rlike(_UTC), F.struct(*(n.alias(p) for n, p in zip(number, _PARTS, strict=True))))
 
 
 def to_moment(stamp: Column) -> Column:
@@ -154,24 +153,33 @@ def age_text(stamp: Column, now: Column) -> Column:
 # ---- places ----
 
 _POINT = "latitude, longitude:"
+_NUMBER = r"([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+#: Two numbers with a comma and white space of any script between and around them.
+_PAIR = rf"(?U)^\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\z"
 
 
-def split_location(c: Column) -> Column:
+def location_numbers(c: Column) -> tuple[Column, Column]:
+    """The two numbers behind a label's place in a text, whatever the label and the numbers are; null if there are no such two."""
+    pair = F.substring(c, len(_POINT) + 1, 1 << 30)
+    lat, lon = (F.regexp_extract(pair, _PAIR, i).try_cast("double") for i in (1, 2))
+    return lat, lon
+
+
+def split_location(c: Column, lat: Column | None = None, lon: Column | None = None) -> Column:
     """A struct of point (lat, lon), place and bad: a labelled pair of degrees, or any other name.
 
-    bad is true for the label with anything but two finite numbers in range behind it. Empty is absent.
+    bad is true for the label with anything but two finite numbers in range behind it. Empty is absent. lat, lon: what
+    location_numbers has, for callers that bind it, as each is looked at many times.
     """
+    if lat is None or lon is None:
+        lat, lon = location_numbers(c)
     text = opt_text(c)
     labelled = fold(F.left(text, F.lit(len(_POINT)))) == _POINT
-    pair = F.substring(text, len(_POINT) + 1, 1 << 30)
-    comma = F.instr(pair, ",")
-    number = lambda s: F.when(trim_unicode(s).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), trim_unicode(s).try_cast("double"))
-    lat, lon = number(F.substring(pair, F.lit(1), comma - 1)), number(F.substring(pair, comma + 1, F.lit(1 << 30)))
-    good = labelled & (comma > 0) & lat.between(-90, 90) & lon.between(-180, 180)
+    good = F.coalesce((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.lit(False))
     return F.struct(
-        F.when(good, F.struct(lat.alias("lat"), lon.alias("lon"))).alias("point"),
+        F.when(labelled & good, F.struct(lat.alias("lat"), lon.alias("lon"))).alias("point"),
         F.when(~labelled, text).alias("place"),
-        F.coalesce(labelled & ~F.coalesce(good, F.lit(False)), F.lit(False)).alias("bad"),
+        F.coalesce(labelled & ~good, F.lit(False)).alias("bad"),
     )
 
 
@@ -205,7 +213,7 @@ def kind_of_ext(c: Column) -> Column:
 
 def kind_of_word(c: Column) -> Column:
     """What a media word says an entry is; only image and video do."""
-    w = media_kind(c)
+    w = F.translate(c, _LOWER, _UPPER)
     return F.when(w == "IMAGE", "image").when(w == "VIDEO", "video").otherwise("unknown")
 
 
@@ -224,10 +232,19 @@ def strip_delimited(c: Column) -> Column:
     return F.regexp_replace(quoted, r"(?s)`[^`]*+(`|\z)", "`…$1")
 
 
+def wrapped_json(body: Column) -> Column:
+    """A JSON text as the element of a list, a variant; only_element takes it out."""
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+
+
+def only_element(wrapped: Column) -> Column:
+    """The element of a list; null if it holds more. ``wrapped`` is looked at twice and should be bound."""
+    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def parse_strict(body: Column) -> Column:
     """A JSON text as a variant; null if it is no JSON, holds a key twice, or goes on behind its end."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    return only_element(wrapped_json(body))
 
 
 def unknown_words(kind: Column, status: Column) -> Column:

@@ -137,11 +137,12 @@ def snap_messages(s: SparkSession, d: str) -> DataFrame:
   CASE WHEN o_orderkey % 3 = 2 THEN 'coordinates' END AS error FROM orders"""
 )
 def memory_entries(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders")
+    # orders move as they are stored, before texts are made of them
+    o = dealt(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), "o_custkey")
     k, key = F.col("o_orderkey"), _text("o_orderkey")
     place = F.when(k % 3 == 0, F.concat(F.lit("Latitude, Longitude: "), _text(k % 90), F.lit(", -1.5"))).when(k % 3 == 1, F.col("o_orderpriority")).otherwise("Latitude, Longitude: 1")
     entry = _named(date=_stamp("o_orderdate"), media_type=F.when(k % 2 == 0, "Image").otherwise("Story"), location=place, link=F.concat(F.lit("https://d/"), key), direct=F.when(k % 5 > 0, F.concat(F.lit("https://m/"), key)).otherwise(""))
-    rows = o.groupBy(_text("o_custkey").alias("export_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("m")))), lambda r: r["m"]).alias("rows"))
+    rows = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("m")))), lambda r: r["m"]).alias("rows")).withColumn("export_id", _text("o_custkey"))
     out = exports.memory_entries(exports.read_sections(_texts(rows, "memories_history.json", F.struct(F.col("rows").alias("Saved Media"))))[0])
     return out.select("export_id", "entry_index", "day", "kind", "lat", "lon", "place", "url", F.col("error.kind").alias("error"))
 

@@ -27,6 +27,13 @@ def test_location(spark):
     assert got[1].point == (1.5, -3.0) and got[2].place == "Paris" and got[3].place is None
 
 
+def test_numbers_of_a_location(spark):
+    label = "Latitude, Longitude:"
+    got = values(spark, x.split_location, label + "\u3000 .5\n,\t5.\u2028", label + "1 2, 3", label + "1, 2, 3", label + "1e999, 0", label + "+90.0,-180", label + " ,1", label + "9" * 3000)
+    assert [r.bad for r in got] == [False, True, True, True, False, True, True]
+    assert got[0].point == (0.5, 5.0) and got[4].point == (90.0, -180.0)
+
+
 def test_error_texts_lose_their_values(spark):
     assert values(spark, x.strip_delimited, 'a "b\\"c" d `e` f "open', "x `y") == ['a "…" d `…` f "…', "x `…"]
 

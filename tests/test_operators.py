@@ -750,3 +750,43 @@ def test_copies_are_numbered_once(spark, monkeypatch):
     out = plan.allocate_copies(spark.createDataFrame(rows, "export_id string, dir string, seq long, part int, stem string, ext string"))
     assert [r.copy for r in out.orderBy("seq").collect()] == ["a.jpg", "A_2.jpg", "a_3.jpg", "b_2.jpg", "b.jpg", "b_3.jpg"]
     assert "numbers" not in names
+
+
+def test_entries_are_made_by_code_that_the_jvm_compiles(spark):
+    texts = spark.createDataFrame([("a", "memories_history.json", "{}")], "export_id string, file string, body string")
+    rows = exports.memory_entries(exports.read_sections(texts)[0])
+    rows = rows.select("export_id", "entry_index", "day", "kind", "lat", "lon", "place", "url", F.col("error.kind").alias("error"))
+    code = rows._jdf.queryExecution().debug().codegenToSeq()
+    # methods of over 8000 bytes are interpreted
+    assert 0 < max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+
+
+def test_the_schema_of_a_whole_file_judges_as_the_walk_does(spark):
+    rng = random.Random(3)
+    odd = ["null", "1", "-1", "2.5", "1e3", "true", '"a"', '"null"', "[]", "[null]", "[1, 2.5]", "{}", '{"a": null}', "99999999999999999999"]
+
+    def some(kind, depth=0):
+        if rng.random() < 0.04:
+            return rng.choice(odd)
+        if hasattr(kind, "fields"):
+            keys = [f for f in kind if rng.random() < 0.7]
+            more = [f'"{k}": {rng.choice(odd)}' for k in ("New", "a`b", "Date: STRING, x", "") if rng.random() < 0.03 and k not in kind.names]
+            return "{" + ", ".join([f'"{f.name}": {some(f.dataType)}' for f in keys] + more) + "}"
+        if hasattr(kind, "elementType"):
+            return "[" + ", ".join(some(kind.elementType) for _ in range(rng.randrange(3))) + "]"
+        if hasattr(kind, "valueType"):
+            return "{" + ", ".join(f'"{k}": {some(kind.valueType)}' for k in "xyz"[: rng.randrange(3)]) + "}"
+        return {"string": '"s"', "bigint": "3", "double": rng.choice(["3", "2.5"]), "boolean": "true"}.get(kind.simpleString(), rng.choice(odd))
+
+    rows = [(f"{f}{i}", f, some(kind)) for f, kind in exports.SCHEMAS.items() for i in range(120)]
+    texts = spark.createDataFrame(rows, "export_id string, file string, body string")
+    walked = {r.export_id for r in exports.misshapen(texts).select("export_id").collect()}
+    sections, errors = exports.read_sections(texts)
+    assert {r.export_id for r in errors.filter("kind = 'shape'").collect()} == walked
+    by_file = {f: sum(e.startswith(f) for e in walked) for f in exports.SCHEMAS}
+    assert all(0 < n < 120 for n in by_file.values()), by_file
+    # a file that fits is not walked
+    plain = exports._plain_text(exports.SCHEMAS["memories_history.json"])
+    fits = '{"Saved Media": [{"Date": "d", "Media Type": "x", "Media Download Url": ""}, {}], "Saved Media 2": []}'
+    told = spark.createDataFrame([(fits.replace(', "Saved Media 2": []', ""),), (fits,), ('{"Saved Media": [{"Date": 1}]}',), ('{"Saved Media": []}',)], "b string").select(F.schema_of_variant(F.parse_json("b")).rlike(f"^{plain}\\z").alias("t"))
+    assert [r.t for r in told.collect()] == [True, False, False, True]
