@@ -164,13 +164,14 @@ def document_lines(timeline: DataFrame, fmt: str, with_links: bool = False) -> D
     return rows.select(*key, F.col("seq").cast("long").alias("place"), "piece").unionByName(frame.select(*key, "f.*").filter("piece is not null"))
 
 
-def write_transcripts(timeline: DataFrame, path: str, fmt: str, with_links: bool = False, dirs: DataFrame | None = None) -> None:
+def write_transcripts(timeline: DataFrame, path: str, fmt: str, with_links: bool = False, dirs: DataFrame | None = None, record: str | None = None) -> None:
     """Each conversation's document at ``path/<export>/<dir>/history.<ext>``, where plan.document_names has it.
 
     dirs: export_id, conversation, dir as plan.allocate_dirs gives them; without them a folder is named by the
     conversation's key, and keys that give one name are an error. Messages are written one by one in order, so a
     conversation of any length passes through a task's memory. Documents appear when all are written; those of other
-    conversations and of earlier runs stay, and one that has not changed is not touched.
+    conversations and of earlier runs stay, and one that has not changed is not touched. record: a folder to which the
+    documents' paths are added, for read_landed, as in write_named.
     """
     rows = document_lines(timeline, fmt, with_links)
     if dirs is None:
@@ -182,4 +183,4 @@ def write_transcripts(timeline: DataFrame, path: str, fmt: str, with_links: bool
     else:
         rows = rows.join(dirs.select("export_id", "conversation", "dir"), ["export_id", "conversation"])
     file = F.concat_ws("/", "export_id", "dir", F.lit(f"history.{FORMATS[fmt]}"))
-    write_named(rows.select(file.alias("path"), "place", "piece"), path)
+    write_named(rows.select(file.alias("path"), "place", "piece"), path, record)

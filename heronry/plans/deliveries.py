@@ -12,8 +12,8 @@ from heronry.plans import views
 from heronry.plans.registry import ORACLE_SQL, query
 from heronry.plans.views import sql
 from heronry.sources import exports
-from heronry.sources.named_files import write_named
-from heronry.sources.tables import dealt, shared_dir, table
+from heronry.sources.named_files import read_landed, write_named
+from heronry.sources.tables import cut, dealt, shared_dir, table
 from heronry.streaming import jobs
 
 
@@ -439,9 +439,12 @@ def landed_items(s: SparkSession, d: str) -> DataFrame:
 @query(ORACLE_SQL["transcript_csv"])
 def written_transcripts(s: SparkSession, d: str) -> DataFrame:
     """Documents written to the paths that the plan reserves for them, and read again from there."""
-    rows, root = views.transcript(s, d), _folder(s, "transcripts")
-    dirs = plan.document_names(plan.allocate_dirs(rows.select("export_id", "conversation").distinct()), {"csv": "csv"})
-    timeline.write_transcripts(rows, root, "csv", dirs=dirs)
-    files = s.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select("value", F.input_file_name().alias("file"))
-    named = files.withColumn("at", F.slice(F.split("file", "/"), -3, 3)).select("value", F.get("at", F.lit(0)).alias("export_id"), F.array_join(F.slice("at", 2, 2), "/").alias("document_path"))
-    return named.join(dirs.select("export_id", "conversation", "document_path"), ["export_id", "document_path"]).select("export_id", "conversation", F.md5("value").alias("digest"), F.length("value").cast("long").alias("n_chars"))
+    rows, root, record = views.transcript(s, d), _folder(s, "transcripts"), _folder(s, "record")
+    # written, as the documents and their names both need them
+    dirs = cut(plan.document_names(plan.allocate_dirs(rows.select("export_id", "conversation").distinct()), {"csv": "csv"}), "dirs")
+    timeline.write_transcripts(rows, root, "csv", dirs=dirs, record=record)
+    # tasks open what the record names: a listing would pass every folder through the driver
+    files = read_landed(dealt(s.read.schema("value string").text(record), "value"), root)
+    at = F.split("path", "/")
+    named = files.select(F.md5("body").alias("digest"), F.length("body").cast("long").alias("n_chars"), F.get(at, F.lit(0)).alias("export_id"), F.array_join(F.slice(at, 2, 2), "/").alias("document_path"))
+    return named.join(dirs.select("export_id", "conversation", "document_path"), ["export_id", "document_path"]).select("export_id", "conversation", "digest", "n_chars")

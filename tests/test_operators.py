@@ -790,3 +790,20 @@ def test_the_schema_of_a_whole_file_judges_as_the_walk_does(spark):
     fits = '{"Saved Media": [{"Date": "d", "Media Type": "x", "Media Download Url": ""}, {}], "Saved Media 2": []}'
     told = spark.createDataFrame([(fits.replace(', "Saved Media 2": []', ""),), (fits,), ('{"Saved Media": [{"Date": 1}]}',), ('{"Saved Media": []}',)], "b string").select(F.schema_of_variant(F.parse_json("b")).rlike(f"^{plain}\\z").alias("t"))
     assert [r.t for r in told.collect()] == [True, False, False, True]
+
+
+def test_written_transcripts_are_read_by_their_record(spark, tmp_path):
+    schema = "export_id string, conversation string, source string, seq int, sender string, is_sender boolean, media_type string, resolved struct<year: int, month: int, day: int, hour: int, minute: int, second: int>, content string, media_ids string, title string"
+    rows = spark.createDataFrame([("e 1", c, "chat", n, "u", True, "TEXT", None, f"{c}é{n}", None, None) for c in ("a", "b%20") for n in (1, 2)], schema)
+    root, record = str(tmp_path / "out"), str(tmp_path / "record")
+    timeline.write_transcripts(rows, root, "csv", record=record)
+    got = {r.path: r.body for r in named_files.read_landed(spark.read.text(record), root).collect()}
+    assert got == {f"e 1/{d}/history.csv": (tmp_path / "out" / "e 1" / d / "history.csv").read_text() for d in ("a", "b_20")}
+    assert all(len(body.splitlines()) == 3 for body in got.values())
+
+
+def test_no_scan_lists_the_written_transcripts(spark):
+    from heronry.plans import registry
+
+    files = registry.QUERIES["written_transcripts"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if f.endswith("history.csv")]
