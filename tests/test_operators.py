@@ -807,3 +807,64 @@ def test_no_scan_lists_the_written_transcripts(spark):
 
     files = registry.QUERIES["written_transcripts"](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not [f for f in files if f.endswith("history.csv")]
+
+
+def test_landed_files_make_room(spark, monkeypatch):
+    """A round of landed_items has some of its files on disk at a time, and none of them, nor a table between its steps,
+    when they are taken in."""
+    from pathlib import Path
+
+    from heronry.plans import deliveries, registry
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, held, ingest = set(shared.iterdir()), [], jobs.ingest
+    new = lambda: set(shared.iterdir()) - before
+    files = lambda: [f for d in new() if d.name.startswith("heronry-landing-") for f in d.rglob("*.json")]
+
+    def counted(*args):
+        held.append(len(files()))
+        return ingest(*args)
+
+    monkeypatch.setattr(jobs, "ingest", counted)
+    monkeypatch.setattr(deliveries, "LANDED_AT_ONCE", 80, raising=False)
+    out = registry.QUERIES["landed_items"](spark, "/root/testdata/sf0.001")
+    assert sum(held) == 2 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey").distinct().count()
+    assert max(held) < 110 and not files()
+    assert {d.name.split("-")[1] for d in new()} == {"landing", "status", "progress", "record"}
+    assert out.agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_landed_files_are_removed_one_by_one(spark, tmp_path):
+    root, record, seen = str(tmp_path / "in"), f"file://{tmp_path}/record", []
+    rows = spark.range(40).select(F.format_string("mydata~%d/json/a.json", "id").alias("path"), F.explode(F.array(F.lit(1), F.lit(0))).alias("place"), F.col("place").cast("string").alias("piece"))
+    other = tmp_path / "in" / "mydata~7" / "other.json"
+    other.parent.mkdir(parents=True)
+    other.write_text("kept")
+    take = lambda: seen.append({str(p.relative_to(root)): p.read_text() for p in (tmp_path / "in").rglob("a.json")})
+    named_files.land(rows, root, record, 10, take)
+    assert len(seen) == 4 and all(0 < len(s) < 25 for s in seen)
+    assert {k: v for s in seen for k, v in s.items()} == {f"mydata~{i}/json/a.json": "0\n1\n" for i in range(40)} and sum(map(len, seen)) == 40
+    assert [p for p in (tmp_path / "in").rglob("*")] == [other.parent, other] and other.read_text() == "kept"
+    gone = spark.read.text(record)
+    named_files.remove_named(gone, root)  # a task that comes again
+    assert gone.distinct().count() == 40 and other.exists()
+    with pytest.raises(Exception, match="below the root"):
+        named_files.remove_named(spark.createDataFrame([("../in/mydata~7/other.json",)], "value string"), root)
+
+
+def test_batches_of_one_version(spark, tmp_path):
+    """Batches that are kept first and published together give what they give one by one; later batches come first."""
+    body = lambda *days: '{"Saved Media": [' + ", ".join(f'{{"Date": "2020-01-{d:02d} 00:00:00 UTC", "Media Type": "Image", "Download Link": "https://h/{d}"}}' for d in days) + "]}"
+    listing = spark.createDataFrame([(e, f"m/memories/2020-01-01_0a1b2c3d-0000-1111-2222-{int(e):012d}-main.jpg") for e in "123"], "export_id string, path string")
+    gaps = spark.createDataFrame([("2",)], "export_id string")
+    rows = [[("1", body(1), 0), ("2", body(9), 0)], [("3", body(1, 5), 1)], [("1", body(1, 3), 2)]]
+    batches = [spark.createDataFrame([(e, "memories_history.json", b) for e, b, _ in r], "export_id string, file string, body string") for r in rows]
+    state = lambda out: sorted(tuple(r) for r in status.read_published(spark, out + "/items").select("export_id", "source_id", "status", "last_error").collect())
+    apart, whole = f"file://{tmp_path}/apart", f"file://{tmp_path}/whole"
+    for i, batch in enumerate(batches):
+        jobs.take_deliveries(apart, listing, gaps, 5)(batch, i)
+        jobs.keep_texts(whole, 1 + i // 2)(batch, i)
+    for version in (1, 2, 2):
+        jobs.publish_deliveries(spark, whole, version, listing, gaps, 5)
+    assert status.latest(spark, whole + "/items") == 2 and status.latest(spark, apart + "/items") == 3
+    assert state(whole) == state(apart) and len(state(whole)) == 5
